@@ -27,9 +27,15 @@ def total_health(alive: Column) -> Column:
     )
 
 
+def finite(number: Column) -> Column:
+    """The number, or null for NaN and the infinities."""
+    infinity = F.lit(float("inf"))
+    return F.when(~F.isnan(number) & (F.abs(number) < infinity), number)
+
+
 def seconds_left(text: Column) -> Column:
-    """Countdown text as float; absent or unreadable text counts as 0."""
-    return F.coalesce(text.try_cast("float"), F.lit(0.0).cast("float"))
+    """Countdown text as float; absent, unreadable or non-finite text counts as 0."""
+    return F.coalesce(finite(text.try_cast("float")), F.lit(0.0).cast("float"))
 
 
 def last_entry_per_player(players: Column) -> Column:

@@ -166,53 +166,51 @@ def _archives_in_force(ticks: DataFrame, archives: DataFrame) -> DataFrame:
     )
 
 
-def history_in_force(ticks: DataFrame, archives: DataFrame, history: DataFrame) -> DataFrame:
-    """Per (session, slice, archive): the last-three sums of the players alive while it was the latest.
+def asked_players(ticks: DataFrame, archives: DataFrame) -> DataFrame:
+    """Per slice, each archive some tick looks back to, with every player alive in such a tick.
 
-    One row per archive that any tick of the slice looks back to, placed at the archive's
-    position, with ``standing`` = map of player -> (kills, damage). Only players a tick of the
-    slice asks for are in it, so the map is bounded by the slice.
+    An archive whose ticks have nobody alive keeps one row with a null player.
     """
     seen = _archives_in_force(
-        ticks.select("session", SLICE, *ORDER, F.concat("alive_ct", "alive_t").alias("alive")),
-        archives,
+        ticks.select("session", SLICE, *ORDER, F.concat("alive_ct", "alive_t").alias("alive")), archives
     )
-    asked = (
+    return (
         seen.filter(F.col("archive").isNotNull())
-        .select("session", SLICE, "archive", F.explode_outer("alive").alias("player"))
+        .select("session", SLICE, "archive.*", F.explode_outer("alive").alias("player"))
         .distinct()
     )
-    # as-of per player: latest history row at or before the archive asked about
+
+
+def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """Per (session, slice, archive): the last-three sums of the asked players as of that archive.
+
+    One row per archive, placed at its position, with ``standing`` = map of player -> sums. Only
+    players that a tick of the slice asks for are in it, so the map is bounded by the slice.
+    """
     by = ["session", "player"]
     question = (
         asked.filter(F.col("player").isNotNull())
-        .select(*by, F.col("archive.home").alias(SLICE), F.col("archive.round_num").alias("round_num"))
+        .select(*by, F.col("home").alias(SLICE), "round_num")
         .distinct()
     )
     known = history.select(*by, SLICE, "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
     rows = known.unionByName(carried(known, by, ["round_num"], question)).withColumn("asks", F.lit(False))
-    as_of = Window.partitionBy(*by, SLICE).orderBy("round_num", "asks")
+    as_of = (
+        Window.partitionBy(*by, SLICE)
+        .orderBy("round_num", "asks")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     answers = (
         rows.unionByName(question.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-        .withColumn(
-            "sums",
-            F.last("sums", ignorenulls=True).over(as_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
+        .withColumn("sums", F.last("sums", ignorenulls=True).over(as_of))
         .filter(F.col("asks") & F.col("sums").isNotNull())
         .select(*by, "round_num", "sums")
     )
-    flat = asked.withColumn("round_num", F.col("archive.round_num"))
     entry = F.when(F.col("sums").isNotNull(), F.struct("player", "sums"))
     return (
-        flat.join(answers, [*by, "round_num"], "left")
-        .groupBy("session", SLICE, "archive")
+        asked.join(answers, [*by, "round_num"], "left")
+        .groupBy("session", SLICE, *ORDER)
         .agg(F.map_from_entries(F.collect_list(entry)).alias("standing"))
-        .select(
-            "session",
-            SLICE,
-            *[F.col(f"archive.{c}").alias(c) for c in ORDER],
-            "standing",
-        )
     )
 
 
@@ -243,14 +241,22 @@ def with_prev3(ticks: DataFrame, standing: DataFrame) -> DataFrame:
     )
 
 
+def staged_transitions(line: DataFrame) -> DataFrame:
+    return staged(transitions(line), "transitions")
+
+
+def staged_history(steps: DataFrame) -> DataFrame:
+    return staged(player_history(round_player_stats(steps)), "history")
+
+
 def tick_features(line: DataFrame) -> DataFrame:
     """Feature rows with their log position (partition, offset), from a staged timeline."""
-    steps = staged(transitions(line), "transitions")
-    history = player_history(round_player_stats(steps))
+    steps = staged_transitions(line)
+    history = staged_history(steps)
     archives = steps.filter(F.col("step") == "archive").select("session", SLICE, *ORDER, "round_num")
     ticks = tick_rows(line)
-    standing = history_in_force(ticks, archives, history)
-    return with_prev3(ticks, standing).select(
+    asked = staged(asked_players(ticks, archives), "asked")
+    return with_prev3(ticks, history_in_force(asked, history)).select(
         "session_key",
         "round_num",
         F.col("second").alias("event_timestamp"),

@@ -35,27 +35,28 @@ def carried(
     key must grow with the slices, as positions do.
     """
     values = [c for c in rows.columns if c not in (*by, SLICE, *key)]
-    row = F.struct(*key, *values)
-    greatest = F.max(F.struct(*key)) if not values else F.max_by(row, F.struct(*key))
+    both = rows.select(
+        *by, SLICE, F.struct(*key, *values).alias("row"), F.struct(*key).alias("key"), F.lit(False).alias("wanted")
+    ).unionByName(targets.select(*by, SLICE, F.lit(True).alias("wanted")), allowMissingColumns=True)
+    greatest = F.max_by("row", "key")
     if depth == 1:
-        per_slice = rows.groupBy(*by, SLICE).agg(F.array(greatest).alias("tail"))
+        tail = F.when(greatest.isNotNull(), F.array(greatest))
     else:
-        latest_first = F.sort_array(F.collect_list(row), asc=False)
-        per_slice = rows.groupBy(*by, SLICE).agg(F.slice(latest_first, 1, depth).alias("tail"))
-        with_previous = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(1 - depth, 0)
-        per_slice = per_slice.withColumn("tails", F.collect_list("tail").over(with_previous)).select(
-            *by,
-            SLICE,
-            F.slice(F.sort_array(F.flatten("tails"), asc=False), 1, depth).alias("tail"),
-        )
-    wanted = targets.select(*by, SLICE).distinct().withColumn("wanted", F.lit(True))
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
-    # depth 1 takes the running greatest, so the key need not grow with the slices
-    running = F.max("tail") if depth == 1 else F.last("tail", ignorenulls=True)
+        tail = F.slice(F.sort_array(F.collect_list("row"), asc=False), 1, depth)
+    per_slice = both.groupBy(*by, SLICE).agg(tail.alias("tail"), F.max("wanted").alias("wanted"))
+    in_order = Window.partitionBy(*by).orderBy(SLICE)
+    earlier = in_order.rangeBetween(Window.unboundedPreceding, -1)
+    if depth == 1:
+        # the running greatest, so the key need not grow with the slices
+        running = F.max("tail").over(earlier)
+    else:
+        per_slice = per_slice.repartition(*by).withColumn("filled", F.size("tail") > 0)
+        with_previous = Window.partitionBy(*by, "filled").orderBy(SLICE).rowsBetween(1 - depth, 0)
+        latest = F.sort_array(F.flatten(F.collect_list("tail").over(with_previous)), asc=False)
+        per_slice = per_slice.withColumn("tail", F.when(F.col("filled"), F.slice(latest, 1, depth)))
+        running = F.last("tail", ignorenulls=True).over(earlier)
     return (
-        per_slice.withColumn("wanted", F.lit(False))
-        .unionByName(wanted.withColumn("tail", F.lit(None)), allowMissingColumns=True)
-        .withColumn("tail", running.over(earlier))
+        per_slice.withColumn("tail", running)
         .filter("wanted")
         .select(*by, SLICE, F.explode("tail").alias("row"))
         .select(*by, SLICE, "row.*")

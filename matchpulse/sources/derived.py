@@ -17,8 +17,11 @@ def _div(column: Column, by: int) -> Column:
     return F.floor(column / by).cast("bigint")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, spread over the cores when it comes in fewer splits than there are cores."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    cores = spark.sparkContext.defaultParallelism
+    return events.repartition(cores, "event_id") if events.rdd.getNumPartitions() < cores else events
 
 
 def instant(ntz: Column) -> Column:
@@ -30,7 +33,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the session each row plays in and its running number there (``rn``)."""
     E = F.col("event_id")
     hot, keyless = E % 3 == 0, E % 12 == 11
-    return table(spark, sf_dir, "events").select(
+    return events_table(spark, sf_dir).select(
         "event_id",
         "event_type",
         "value",
