@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(column: Column) -> Column:
+    """The column as a one-element explode, for costly values that are filtered on later.
+
+    Catalyst pushes a filter below the projection that makes the value and computes the value
+    once more per filter; it does not push below an explode.
+    """
+    return F.explode(F.array(column))
+
+
 def is_predictable(phase: Column) -> Column:
     """Only live play and the post-plant phase are scored."""
     return phase.isin("live", "bomb")

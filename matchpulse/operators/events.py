@@ -10,16 +10,12 @@ from matchpulse.functions import expressions as X
 
 
 def decode_events(raw: DataFrame) -> DataFrame:
-    """Message key and JSON body, decoded permissively: a bad body gives nulls, not an error.
-
-    The one-element explode keeps later filters above the decoder. Pushed below it they would
-    decode the body once more per filter.
-    """
+    """Message key and JSON body, decoded permissively: a bad body gives nulls, not an error."""
     body = F.from_json(F.col("value").cast("string"), schemas.EVENT)
     position = [c for c in ("partition", "offset") if c in raw.columns]
     return raw.select(
         F.col("key").cast("string").alias("session_key"),
-        F.explode(F.array(body)).alias("event"),
+        X.once(body).alias("event"),
         F.col("timestamp").alias("event_timestamp"),
         *position,
     )

@@ -24,7 +24,7 @@ def _decoded(raw: DataFrame) -> DataFrame:
         {"columnNameOfCorruptRecord": "_corrupt"},
     )
     return raw.filter(F.col("value").isNotNull()).select(
-        F.explode(F.array(body)).alias("body"),
+        X.once(body).alias("body"),
         F.col("timestamp").alias("arrived_at"),
         *[F.col(c) if c in raw.columns else F.lit(0).cast(t).alias(c) for c, t in (("partition", "int"), ("offset", "bigint"))],
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchpulse.functions import expressions as X
+
 TIMEOUT_SECONDS = 10
 
 
@@ -18,7 +20,7 @@ def read_responses(raw: DataFrame) -> DataFrame:
     log = [c for c in ("partition", "offset") if c in raw.columns]
     return (
         raw.filter(F.col("value").isNotNull())
-        .select(F.explode(F.array(body)).alias("body"), F.col("timestamp").alias("responded_at"), *log)
+        .select(X.once(body).alias("body"), F.col("timestamp").alias("responded_at"), *log)
         .filter(F.col("body._corrupt").isNull() & F.col("body.correlationId").isNotNull())
         .select(
             F.col("body.correlationId").alias("correlation_id"),

@@ -42,7 +42,7 @@ def decode_requests(raw: DataFrame) -> DataFrame:
         F.col("value").cast("string"), _TEXT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}
     )
     log = [c for c in ("timestamp", "partition", "offset") if c in raw.columns]
-    text = raw.select(F.explode(F.array(body)).alias("body"), "value", *log)
+    text = raw.select(X.once(body).alias("body"), "value", *log)
 
     def number(field: str) -> Column:
         given = F.trim(F.col(f"body.{field}"))
@@ -153,7 +153,7 @@ def _hp_error(alive: Column, hp: Column, side: str) -> Column:
     )
 
 
-def _outside(number: Column, low: int, high: Column | int, text: Column) -> Column:
+def _outside(number: Column, low: int, high: int, text: Column) -> Column:
     return F.when(number.isNull() | (number < low) | (number > high), text)
 
 
@@ -163,38 +163,41 @@ def validate_requests(form: DataFrame) -> DataFrame:
     Fields may be text or numbers, named like the features. Health is checked only where that
     side's number of living players is fine.
     """
-    number = {}
+    numbers = {}
     for name in schemas.FEATURES:
         text = F.trim(F.col(name).cast("string"))
-        value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-        number[name] = X.finite(value)
-        if name not in ("remaining_time", "bomb_planted"):
-            number[name] = F.when(number[name] == F.floor(number[name]), number[name]).cast("bigint")
-    ct, t = number["ct_alive"], number["t_alive"]
-    ct_range = _outside(ct, 0, 5, F.lit(_ALIVE))
-    t_error = _outside(t, 0, 5, F.lit(_ALIVE))
-    nobody = ct_range.isNull() & t_error.isNull() & (ct == 0) & (t == 0)
-    ct_error = F.when(nobody, F.lit(_NOBODY)).otherwise(ct_range)
-    planted = F.coalesce(number["bomb_planted"] != 0, F.lit(False))
+        numbers[f"_{name}"] = X.finite(F.when(text.rlike(_NUMBER), text.try_cast("double")))
+    parsed = form.withColumns(numbers)
+    whole = [n for n in schemas.FEATURES if n not in ("remaining_time", "bomb_planted")]
+    parsed = parsed.withColumns(
+        {f"_{n}": F.when(F.col(f"_{n}") == F.floor(f"_{n}"), F.col(f"_{n}")).cast("bigint") for n in whole}
+    )
+    ct, t = F.col("_ct_alive"), F.col("_t_alive")
+    nobody = (ct == 0) & (t == 0)
+    parsed = parsed.withColumns(
+        {
+            "_ct_error": F.when(nobody, F.lit(_NOBODY)).otherwise(_outside(ct, 0, 5, F.lit(_ALIVE))),
+            "_t_error": _outside(t, 0, 5, F.lit(_ALIVE)),
+            "_planted": F.coalesce(F.col("_bomb_planted") != 0, F.lit(False)),
+        }
+    )
+    planted, time = F.col("_planted"), F.col("_remaining_time")
     errors = {
-        "ct_alive": ct_error,
-        "t_alive": t_error,
-        "ct_total_hp": F.when(ct_error.isNull(), _hp_error(ct, number["ct_total_hp"], "CT")),
-        "t_total_hp": F.when(t_error.isNull(), _hp_error(t, number["t_total_hp"], "T")),
-        "remaining_time": _outside(
-            number["remaining_time"],
-            0,
-            F.when(planted, 40).otherwise(115),
-            F.when(planted, F.lit(_FUSE)).otherwise(F.lit(_TIMER)),
+        "ct_alive": F.col("_ct_error"),
+        "t_alive": F.col("_t_error"),
+        "ct_total_hp": F.when(F.col("_ct_error").isNull(), _hp_error(ct, F.col("_ct_total_hp"), "CT")),
+        "t_total_hp": F.when(F.col("_t_error").isNull(), _hp_error(t, F.col("_t_total_hp"), "T")),
+        "remaining_time": F.when(planted, _outside(time, 0, 40, F.lit(_FUSE))).otherwise(
+            _outside(time, 0, 115, F.lit(_TIMER))
         ),
     }
     for side in ("ct", "t"):
         kills, damage = f"{side}_alive_kills_prev3_sum", f"{side}_alive_damage_prev3_sum"
-        errors[kills] = _outside(number[kills], 0, 15, F.lit(_KILLS))
-        errors[damage] = _outside(number[damage], 0, 3000, F.lit(_DAMAGE))
+        errors[kills] = _outside(F.col(f"_{kills}"), 0, 15, F.lit(_KILLS))
+        errors[damage] = _outside(F.col(f"_{damage}"), 0, 3000, F.lit(_DAMAGE))
     entries = [F.struct(F.lit(name).alias("key"), text.alias("value")) for name, text in errors.items()]
     found = F.filter(F.array(*entries), lambda e: e["value"].isNotNull())
-    return form.withColumn("errors", F.map_from_entries(found))
+    return parsed.select(*form.columns, X.once(F.map_from_entries(found)).alias("errors"))
 
 
 def round_start_defaults(form: DataFrame) -> DataFrame:

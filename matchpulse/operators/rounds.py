@@ -56,34 +56,25 @@ def round_state(control: DataFrame) -> DataFrame:
     )
 
 
-def round_starts(control: DataFrame) -> DataFrame:
-    """A freezetime that announces a higher round than any before starts it; others change nothing."""
-    return (
-        round_state(control)
-        .filter((F.col("round_phase") == "freezetime") & (F.col("round_num") > F.col("current_round")))
-        .select("session", SLICE, *ORDER, "round_num", "players", F.lit("start").alias("step"))
-    )
-
+def transitions(line: DataFrame) -> DataFrame:
+    """Start and archive rows of all sessions: at most one each per session and round.
 
-def round_archives(control: DataFrame) -> DataFrame:
-    """The first ``over`` of the current round archives it."""
-    position = F.struct(*ORDER)
-    row = F.struct(SLICE, *ORDER, "players")
+    A freezetime that announces a higher round than any before starts it; others change nothing.
+    The first ``over`` of the current round archives it. The first is picked with a map-side
+    minimum, so a flood of ``over`` rows in one round does not meet in one task.
+    """
+    state = round_state(control_rows(line))
+    freeze, number, current = F.col("round_phase") == "freezetime", F.col("round_num"), F.col("current_round")
+    step = F.when(freeze & (number > current), "start").when(~freeze & (number == current), "archive")
     return (
-        round_state(control)
-        .filter((F.col("round_phase") == "over") & (F.col("round_num") == F.col("current_round")))
-        .groupBy("session", "round_num")
-        .agg(F.min_by(row, position).alias("first"))
-        .select("session", "round_num", "first.*", F.lit("archive").alias("step"))
+        state.withColumn("step", step)
+        .filter("step is not null")
+        .groupBy("session", "round_num", "step")
+        .agg(F.min_by(F.struct(SLICE, *ORDER, "players"), F.struct(*ORDER)).alias("first"))
+        .select("session", "first.*", "round_num", "step")
     )
 
 
-def transitions(line: DataFrame) -> DataFrame:
-    """Start and archive rows of all sessions: at most two per session and round."""
-    control = control_rows(line)
-    return round_starts(control).unionByName(round_archives(control))
-
-
 def kill_snapshots(steps: DataFrame) -> DataFrame:
     """Each present player's running kills at the start of a round."""
     return (
