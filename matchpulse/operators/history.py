@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from matchpulse.functions import expressions as X
 from matchpulse.operators.slices import row_numbers, sliced
-from matchpulse.sources.staging import staged
 
 ARRIVAL = ["arrived_at", "partition", "offset"]
 PAGE_OFFSETS = 4096
@@ -130,9 +129,11 @@ def round_summary(predictions: DataFrame, by: tuple[str, ...] = ("round",)) -> D
     )
 
 
-def tick_index(predictions: DataFrame, by: tuple[str, ...] = ("session_key", "round")) -> DataFrame:
+def tick_index(
+    predictions: DataFrame, by: tuple[str, ...] = ("session_key", "round"), slices: int | None = None
+) -> DataFrame:
     """Number the ticks of each round 1..N in arrival order."""
-    cut = staged(sliced(predictions, [*by, *ARRIVAL]), "ticks")
+    cut = sliced(predictions, [*by, *ARRIVAL], "ticks", slices)
     return row_numbers(cut, list(by), ARRIVAL, "tick")
 
 

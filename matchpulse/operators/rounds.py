@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import events as E
-from matchpulse.operators.slices import SLICE, carried, sliced
+from matchpulse.operators.slices import SLICE, before, sliced, with_carried
 from matchpulse.schemas import ORDER
 from matchpulse.sources.staging import staged
 
@@ -20,13 +20,8 @@ HISTORY_ROUNDS = 3
 
 
 def timeline(events: DataFrame, slices: int | None = None) -> DataFrame:
-    """Parsed events -> staged, sliced timeline of control and tick rows.
-
-    Two writes: the first so that the JSON is decoded once (choosing the range cuts reads the
-    input a second time), the second to fix the cuts for all later readers.
-    """
-    slim = staged(E.slim_timeline(events), "decoded")
-    return staged(sliced(slim, ["session", *ORDER], slices), "timeline", partition_by="kind")
+    """Parsed events -> written, sliced timeline of control and tick rows."""
+    return sliced(E.slim_timeline(events), ["session", *ORDER], "timeline", slices, partition_by="kind")
 
 
 def control_rows(line: DataFrame) -> DataFrame:
@@ -41,17 +36,18 @@ def tick_rows(line: DataFrame) -> DataFrame:
 
 def round_state(control: DataFrame) -> DataFrame:
     """Add ``current_round``: the highest round a freezetime announced before this row, at least 0."""
-    freezes = control.filter(F.col("round_phase") == "freezetime")
-    brought = carried(
-        freezes.select("session", SLICE, "round_num", *ORDER), ["session"], ["round_num", *ORDER], control
-    ).withColumns({"round_phase": F.lit("freezetime"), "brought": F.lit(True)})
-    so_far = Window.partitionBy("session", SLICE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    announced = F.max(F.when(F.col("round_phase") == "freezetime", F.col("round_num"))).over(so_far)
+    announced = F.when(F.col("brought") | (F.col("round_phase") == "freezetime"), F.col("round_num"))
     return (
-        control.withColumn("brought", F.lit(False))
-        .unionByName(brought, allowMissingColumns=True)
-        .withColumn("current_round", F.greatest(F.lit(0), announced))
-        .filter(~F.col("brought"))
+        with_carried(
+            control,
+            by=["session"],
+            key=["round_num", *ORDER],
+            keep=[],
+            source=F.col("round_phase") == "freezetime",
+            target=F.lit(True),
+        )
+        .withColumn("current_round", F.greatest(F.lit(0), F.max(announced).over(before(["session"], ORDER))))
+        .filter("not brought")
         .drop("brought")
     )
 
@@ -89,25 +85,16 @@ def round_player_stats(steps: DataFrame) -> DataFrame:
 
     Kills are counted from the player's latest snapshot; without one the round counts 0 kills.
     """
+    by = ["session", "player"]
     present = steps.select("session", SLICE, *ORDER, "round_num", "step", F.inline("players"))
-    starts = present.filter(F.col("step") == "start")
-    archives = present.filter(F.col("step") == "archive")
-    brought = carried(
-        starts.select("session", "player", SLICE, *ORDER, "kills"), ["session", "player"], ORDER, archives
-    ).withColumn("step", F.lit("start"))
-    so_far = (
-        Window.partitionBy("session", "player", SLICE)
-        .orderBy(*ORDER)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    at_start = F.last(F.when(F.col("step") == "start", F.col("kills")), ignorenulls=True).over(so_far)
+    start, archive = F.col("step") == "start", F.col("step") == "archive"
+    snapshot = F.last(F.when(F.col("brought") | start, F.col("kills")), ignorenulls=True)
     return (
-        present.unionByName(brought, allowMissingColumns=True)
-        .withColumn("at_start", at_start)
-        .filter(F.col("step") == "archive")
+        with_carried(present, by, ORDER, ["kills"], source=start, target=archive)
+        .withColumn("at_start", snapshot.over(before(by, ORDER)))
+        .filter(archive)
         .select(
-            "session",
-            "player",
+            *by,
             SLICE,
             *ORDER,
             "round_num",
@@ -123,50 +110,37 @@ def player_history(stats: DataFrame) -> DataFrame:
     Three of the player's own rounds: a round the player missed adds nothing and takes no place.
     """
     by = ["session", "player"]
-    brought = carried(stats, by, ORDER, stats, depth=HISTORY_ROUNDS - 1).withColumn("brought", F.lit(True))
+    every = F.lit(True)
     last_three = (
         Window.partitionBy(*by, SLICE).orderBy(*ORDER).rowsBetween(1 - HISTORY_ROUNDS, Window.currentRow)
     )
     return (
-        stats.withColumn("brought", F.lit(False))
-        .unionByName(brought)
+        with_carried(stats, by, ORDER, ["kills", "damage"], every, every, depth=HISTORY_ROUNDS - 1)
         .withColumns(
             {
                 "kills_prev3": F.sum("kills").over(last_three).cast("int"),
                 "damage_prev3": F.sum("damage").over(last_three).cast("int"),
             }
         )
-        .filter(~F.col("brought"))
+        .filter("not brought")
         .drop("brought")
     )
 
 
-def _archives_in_force(ticks: DataFrame, archives: DataFrame) -> DataFrame:
-    """Add ``archive``: the latest archive before each tick, as (slice, position, round)."""
-    at = archives.select(
-        "session", SLICE, *ORDER, F.struct(F.col(SLICE).alias("home"), *ORDER, "round_num").alias("archive")
-    )
-    brought = carried(at, ["session"], ORDER, ticks)
-    so_far = Window.partitionBy("session", SLICE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        ticks.withColumn("is_tick", F.lit(True))
-        .unionByName(at.unionByName(brought).withColumn("is_tick", F.lit(False)), allowMissingColumns=True)
-        .withColumn("archive", F.last("archive", ignorenulls=True).over(so_far))
-        .filter("is_tick")
-        .drop("is_tick")
-    )
-
-
 def asked_players(ticks: DataFrame, archives: DataFrame) -> DataFrame:
     """Per slice, each archive some tick looks back to, with every player alive in such a tick.
 
     An archive whose ticks have nobody alive keeps one row with a null player.
     """
-    seen = _archives_in_force(
-        ticks.select("session", SLICE, *ORDER, F.concat("alive_ct", "alive_t").alias("alive")), archives
-    )
+    archive = F.struct(F.col(SLICE).alias("home"), *ORDER, "round_num").alias("archive")
+    living = ticks.select("session", SLICE, *ORDER, F.concat("alive_ct", "alive_t").alias("alive"))
+    rows = living.unionByName(archives.select("session", SLICE, *ORDER, archive), allowMissingColumns=True)
+    is_tick = F.col("alive").isNotNull()
+    latest = F.last("archive", ignorenulls=True).over(before(["session"], ORDER))
     return (
-        seen.filter(F.col("archive").isNotNull())
+        with_carried(rows, ["session"], ORDER, ["archive"], source=F.col("archive").isNotNull(), target=is_tick)
+        .withColumn("archive", latest)
+        .filter(is_tick & F.col("archive").isNotNull())
         .select("session", SLICE, "archive.*", F.explode_outer("alive").alias("player"))
         .distinct()
     )
@@ -185,14 +159,17 @@ def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
         .distinct()
     )
     known = history.select(*by, SLICE, "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
-    rows = known.unionByName(carried(known, by, ["round_num"], question)).withColumn("asks", F.lit(False))
+    rows = known.withColumn("asks", F.lit(False)).unionByName(
+        question.withColumn("asks", F.lit(True)), allowMissingColumns=True
+    )
+    # rounds grow with positions, so they order a player's rows; an answer includes its own round
     as_of = (
         Window.partitionBy(*by, SLICE)
-        .orderBy("round_num", "asks")
+        .orderBy("round_num", F.coalesce("asks", F.lit(False)))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     answers = (
-        rows.unionByName(question.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+        with_carried(rows, by, ["round_num"], ["sums"], source=~F.col("asks"), target=F.col("asks"))
         .withColumn("sums", F.last("sums", ignorenulls=True).over(as_of))
         .filter(F.col("asks") & F.col("sums").isNotNull())
         .select(*by, "round_num", "sums")
@@ -215,20 +192,18 @@ def _side_sum(alive: str, field: str):
 
 def with_prev3(ticks: DataFrame, standing: DataFrame) -> DataFrame:
     """Add the four last-three-rounds sums over the living of each side."""
-    so_far = Window.partitionBy("session", SLICE).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     sums = [
         _side_sum("alive_ct", "kills_prev3"),
         _side_sum("alive_ct", "damage_prev3"),
         _side_sum("alive_t", "kills_prev3"),
         _side_sum("alive_t", "damage_prev3"),
     ]
-    none = F.lit(0)
+    in_force = F.last("standing", ignorenulls=True).over(before(["session"], ORDER))
     return (
-        ticks.withColumn("is_tick", F.lit(True))
-        .unionByName(standing.withColumn("is_tick", F.lit(False)), allowMissingColumns=True)
-        .withColumn("standing", F.last("standing", ignorenulls=True).over(so_far))
-        .filter("is_tick")
-        .withColumns({n: F.coalesce(s, none) for n, s in zip(schemas.PREV3, sums)})
+        ticks.unionByName(standing, allowMissingColumns=True)
+        .withColumn("standing", in_force)
+        .filter("round_phase is not null")
+        .withColumns(dict(zip(schemas.PREV3, sums)))
     )
 
 

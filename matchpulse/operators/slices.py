@@ -1,51 +1,61 @@
 """Ordered work on groups of any size: contiguous slices, and rows carried into a slice.
 
 A window over a whole session would put the session in one task, and one session may hold a
-third of all rows. Rows are therefore range-partitioned by (group, order): Spark samples the
+third of all rows. Tables are therefore range-partitioned by (group, order): Spark samples the
 keys, so a hot group is cut into as many slices as its size asks for. Windows then run per
 (group, slice), and what a slice must know of the earlier ones arrives as a few carried rows.
 Slices are contiguous, so a carried row sorts before the rows of the slice by itself. Windows
-that span slices see at most a row per slice (two with the targets), never the rows themselves.
+that span slices see one row per slice, never the rows themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchpulse.sources.staging import staged
+
 SLICE = "slice"
+MOST_ROWS = 500_000
+LEAST_ROWS = 10_000
 
 
-def slice_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def slice_count(rows: int, cores: int) -> int:
+    """Enough slices to keep each within MOST_ROWS; below that, one per core if they are worth a task."""
+    return max(1, math.ceil(rows / MOST_ROWS), min(cores, math.ceil(rows / LEAST_ROWS)))
 
 
-def sliced(df: DataFrame, order: list[str], slices: int | None = None) -> DataFrame:
-    """Add the slice number. Write the result before using it twice: the cuts are sampled."""
-    count = slices or slice_count(df.sparkSession)
-    return df.repartitionByRange(count, *order).withColumn(SLICE, F.spark_partition_id())
+def sliced(df: DataFrame, order: list[str], name: str, slices: int | None = None, partition_by: str | None = None) -> DataFrame:
+    """``df`` as a written table with the number of the slice each row falls in.
+
+    Written twice: first so that what is behind ``df`` runs once (counting the rows and sampling
+    the cuts are passes of their own), then to fix the sampled cuts for every later reader.
+    """
+    table = staged(df, f"{name}-rows")
+    count = slices or slice_count(table.count(), df.sparkSession.sparkContext.defaultParallelism)
+    cut = table.repartitionByRange(count, *order).withColumn(SLICE, F.spark_partition_id())
+    return staged(cut, name, partition_by)
 
 
-def carried(
-    rows: DataFrame, by: list[str], key: list[str], targets: DataFrame, depth: int = 1
+def with_carried(
+    df: DataFrame, by: list[str], key: list[str], keep: list[str], source: Column, target: Column, depth: int = 1
 ) -> DataFrame:
-    """For every (by, slice) in ``targets``, the ``depth`` greatest rows by ``key`` of the earlier slices.
+    """``df`` and, for every (by, slice) with a ``target`` row, the last ``source`` rows of the earlier slices.
 
-    Same columns as ``rows``, with the slice they are carried into. With ``depth`` above 1 the
-    key must grow with the slices, as positions do.
+    Carried rows have ``brought`` = true, the columns by, key and keep, and nulls elsewhere. They
+    are the ``depth`` greatest by ``key``; above depth 1 the key must grow with the slices, as
+    positions do.
     """
-    values = [c for c in rows.columns if c not in (*by, SLICE, *key)]
-    both = rows.select(
-        *by, SLICE, F.struct(*key, *values).alias("row"), F.struct(*key).alias("key"), F.lit(False).alias("wanted")
-    ).unionByName(targets.select(*by, SLICE, F.lit(True).alias("wanted")), allowMissingColumns=True)
-    greatest = F.max_by("row", "key")
+    row, rank = F.struct(*key, *keep), F.struct(*key)
     if depth == 1:
+        greatest = F.max_by(F.when(source, row), F.when(source, rank))
         tail = F.when(greatest.isNotNull(), F.array(greatest))
     else:
-        tail = F.slice(F.sort_array(F.collect_list("row"), asc=False), 1, depth)
-    per_slice = both.groupBy(*by, SLICE).agg(tail.alias("tail"), F.max("wanted").alias("wanted"))
-    in_order = Window.partitionBy(*by).orderBy(SLICE)
-    earlier = in_order.rangeBetween(Window.unboundedPreceding, -1)
+        tail = F.slice(F.sort_array(F.collect_list(F.when(source, row)), asc=False), 1, depth)
+    per_slice = df.groupBy(*by, SLICE).agg(tail.alias("tail"), F.max(target).alias("wanted"))
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     if depth == 1:
         # the running greatest, so the key need not grow with the slices
         running = F.max("tail").over(earlier)
@@ -55,24 +65,29 @@ def carried(
         latest = F.sort_array(F.flatten(F.collect_list("tail").over(with_previous)), asc=False)
         per_slice = per_slice.withColumn("tail", F.when(F.col("filled"), F.slice(latest, 1, depth)))
         running = F.last("tail", ignorenulls=True).over(earlier)
-    return (
+    brought = (
         per_slice.withColumn("tail", running)
         .filter("wanted")
         .select(*by, SLICE, F.explode("tail").alias("row"))
-        .select(*by, SLICE, "row.*")
-        .select(*rows.columns)
+        .select(*by, SLICE, "row.*", F.lit(True).alias("brought"))
     )
+    return df.withColumn("brought", F.lit(False)).unionByName(brought, allowMissingColumns=True)
+
+
+def before(by: list[str], order: list[str]):
+    """Window over the rows of the slice that precede the current one."""
+    return Window.partitionBy(*by, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """1..N inside each group, over a table from :func:`sliced`: local numbers plus the earlier slices' counts."""
     sizes = df.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*by, SLICE, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    skipped = sizes.select(*by, SLICE, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("skipped"))
     local = Window.partitionBy(*by, SLICE).orderBy(*order)
     return (
         df.withColumn("local", F.row_number().over(local))
-        .join(before, [*by, SLICE])
-        .withColumn(name, F.col("before") + F.col("local"))
-        .drop("before", "local", SLICE)
+        .join(skipped, [*by, SLICE])
+        .withColumn(name, F.col("skipped") + F.col("local"))
+        .drop("skipped", "local", SLICE)
     )

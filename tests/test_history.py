@@ -51,15 +51,10 @@ def test_snapshot_is_written(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/snap/round_history").count() == 2
 
 
-@pytest.mark.parametrize("slices", ["1", "13"])
+@pytest.mark.parametrize("slices", [1, 13])
 def test_tick_index_over_any_number_of_slices(spark, sf_dir, slices):
     predictions = H.read_predictions(derived.prediction_log(spark, sf_dir))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", slices)
-    try:
-        rows = H.tick_index(predictions, ("round",)).select("round", "offset", "tick").collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = H.tick_index(predictions, ("round",), slices).select("round", "offset", "tick").collect()
     count, want = {}, {}
     for r in sorted(rows, key=lambda r: r.offset):
         count[r["round"]] = want[r.offset] = count.get(r["round"], 0) + 1
