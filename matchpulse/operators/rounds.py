@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import events as E
-from matchpulse.operators.slices import SLICE, before, sliced, with_carried
+from matchpulse.operators.slices import cut, earlier, in_slice, sliced, with_carried
 from matchpulse.schemas import ORDER
 from matchpulse.sources.staging import staged
 
@@ -26,7 +26,7 @@ def timeline(events: DataFrame, slices: int | None = None) -> DataFrame:
 
 def control_rows(line: DataFrame) -> DataFrame:
     return line.filter(F.col("kind") == "control").select(
-        "session", SLICE, *ORDER, "round_phase", "round_num", "players"
+        "session", *cut(line), *ORDER, "round_phase", "round_num", "players"
     )
 
 
@@ -46,7 +46,7 @@ def round_state(control: DataFrame) -> DataFrame:
             source=F.col("round_phase") == "freezetime",
             target=F.lit(True),
         )
-        .withColumn("current_round", F.greatest(F.lit(0), F.max(announced).over(before(["session"], ORDER))))
+        .withColumn("current_round", F.greatest(F.lit(0), F.max(announced).over(earlier(control, ["session"], ORDER))))
         .filter("not brought")
         .drop("brought")
     )
@@ -66,7 +66,7 @@ def transitions(line: DataFrame) -> DataFrame:
         state.withColumn("step", step)
         .filter("step is not null")
         .groupBy("session", "round_num", "step")
-        .agg(F.min_by(F.struct(SLICE, *ORDER, "players"), F.struct(*ORDER)).alias("first"))
+        .agg(F.min_by(F.struct(*cut(line), *ORDER, "players"), F.struct(*ORDER)).alias("first"))
         .select("session", "first.*", "round_num", "step")
     )
 
@@ -75,7 +75,7 @@ def kill_snapshots(steps: DataFrame) -> DataFrame:
     """Each present player's running kills at the start of a round."""
     return (
         steps.filter(F.col("step") == "start")
-        .select("session", SLICE, *ORDER, "round_num", F.inline("players"))
+        .select("session", *ORDER, "round_num", F.inline("players"))
         .drop("damage")
     )
 
@@ -86,16 +86,16 @@ def round_player_stats(steps: DataFrame) -> DataFrame:
     Kills are counted from the player's latest snapshot; without one the round counts 0 kills.
     """
     by = ["session", "player"]
-    present = steps.select("session", SLICE, *ORDER, "round_num", "step", F.inline("players"))
+    present = steps.select("session", *cut(steps), *ORDER, "round_num", "step", F.inline("players"))
     start, archive = F.col("step") == "start", F.col("step") == "archive"
     snapshot = F.last(F.when(F.col("brought") | start, F.col("kills")), ignorenulls=True)
     return (
         with_carried(present, by, ORDER, ["kills"], source=start, target=archive)
-        .withColumn("at_start", snapshot.over(before(by, ORDER)))
+        .withColumn("at_start", snapshot.over(earlier(present, by, ORDER)))
         .filter(archive)
         .select(
             *by,
-            SLICE,
+            *cut(steps),
             *ORDER,
             "round_num",
             F.greatest(F.lit(0), F.col("kills") - F.coalesce("at_start", "kills")).alias("kills"),
@@ -111,9 +111,7 @@ def player_history(stats: DataFrame) -> DataFrame:
     """
     by = ["session", "player"]
     every = F.lit(True)
-    last_three = (
-        Window.partitionBy(*by, SLICE).orderBy(*ORDER).rowsBetween(1 - HISTORY_ROUNDS, Window.currentRow)
-    )
+    last_three = in_slice(stats, by).orderBy(*ORDER).rowsBetween(1 - HISTORY_ROUNDS, Window.currentRow)
     return (
         with_carried(stats, by, ORDER, ["kills", "damage"], every, every, depth=HISTORY_ROUNDS - 1)
         .withColumns(
@@ -132,16 +130,18 @@ def asked_players(ticks: DataFrame, archives: DataFrame) -> DataFrame:
 
     An archive whose ticks have nobody alive keeps one row with a null player.
     """
-    archive = F.struct(F.col(SLICE).alias("home"), *ORDER, "round_num").alias("archive")
-    living = ticks.select("session", SLICE, *ORDER, F.concat("alive_ct", "alive_t").alias("alive"))
-    rows = living.unionByName(archives.select("session", SLICE, *ORDER, archive), allowMissingColumns=True)
+    place = ["session", *cut(ticks), *ORDER]
+    home = [F.col(c).alias("home") for c in cut(ticks)]
+    archive = F.struct(*home, *ORDER, "round_num").alias("archive")
+    living = ticks.select(*place, F.concat("alive_ct", "alive_t").alias("alive"))
+    rows = living.unionByName(archives.select(*place, archive), allowMissingColumns=True)
     is_tick = F.col("alive").isNotNull()
-    latest = F.last("archive", ignorenulls=True).over(before(["session"], ORDER))
+    latest = F.last("archive", ignorenulls=True).over(earlier(ticks, ["session"], ORDER))
     return (
         with_carried(rows, ["session"], ORDER, ["archive"], source=F.col("archive").isNotNull(), target=is_tick)
         .withColumn("archive", latest)
         .filter(is_tick & F.col("archive").isNotNull())
-        .select("session", SLICE, "archive.*", F.explode_outer("alive").alias("player"))
+        .select("session", *cut(ticks), "archive.*", F.explode_outer("alive").alias("player"))
         .distinct()
     )
 
@@ -155,16 +155,16 @@ def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
     by = ["session", "player"]
     question = (
         asked.filter(F.col("player").isNotNull())
-        .select(*by, F.col("home").alias(SLICE), "round_num")
+        .select(*by, *[F.col("home").alias(c) for c in cut(history)], "round_num")
         .distinct()
     )
-    known = history.select(*by, SLICE, "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
+    known = history.select(*by, *cut(history), "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
     rows = known.withColumn("asks", F.lit(False)).unionByName(
         question.withColumn("asks", F.lit(True)), allowMissingColumns=True
     )
     # rounds grow with positions, so they order a player's rows; an answer includes its own round
     as_of = (
-        Window.partitionBy(*by, SLICE)
+        in_slice(history, by)
         .orderBy("round_num", F.coalesce("asks", F.lit(False)))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
@@ -177,7 +177,7 @@ def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
     entry = F.when(F.col("sums").isNotNull(), F.struct("player", "sums"))
     return (
         asked.join(answers, [*by, "round_num"], "left")
-        .groupBy("session", SLICE, *ORDER)
+        .groupBy("session", *cut(asked), *ORDER)
         .agg(F.map_from_entries(F.collect_list(entry)).alias("standing"))
     )
 
@@ -198,7 +198,7 @@ def with_prev3(ticks: DataFrame, standing: DataFrame) -> DataFrame:
         _side_sum("alive_t", "kills_prev3"),
         _side_sum("alive_t", "damage_prev3"),
     ]
-    in_force = F.last("standing", ignorenulls=True).over(before(["session"], ORDER))
+    in_force = F.last("standing", ignorenulls=True).over(earlier(ticks, ["session"], ORDER))
     return (
         ticks.unionByName(standing, allowMissingColumns=True)
         .withColumn("standing", in_force)
@@ -219,7 +219,7 @@ def tick_features(line: DataFrame) -> DataFrame:
     """Feature rows with their log position (partition, offset), from a staged timeline."""
     steps = staged_transitions(line)
     history = staged_history(steps)
-    archives = steps.filter(F.col("step") == "archive").select("session", SLICE, *ORDER, "round_num")
+    archives = steps.filter(F.col("step") == "archive").select("session", *cut(line), *ORDER, "round_num")
     ticks = tick_rows(line)
     asked = staged(asked_players(ticks, archives), "asked")
     return with_prev3(ticks, history_in_force(asked, history)).select(

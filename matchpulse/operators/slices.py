@@ -6,6 +6,9 @@ keys, so a hot group is cut into as many slices as its size asks for. Windows th
 (group, slice), and what a slice must know of the earlier ones arrives as a few carried rows.
 Slices are contiguous, so a carried row sorts before the rows of the slice by itself. Windows
 that span slices see one row per slice, never the rows themselves.
+
+A table small enough for one slice is not cut: it has no slice column, its windows run per group,
+and nothing is carried.
 """
 
 from __future__ import annotations
@@ -19,24 +22,27 @@ from matchpulse.sources.staging import staged
 
 SLICE = "slice"
 MOST_ROWS = 500_000
-LEAST_ROWS = 10_000
 
 
-def slice_count(rows: int, cores: int) -> int:
-    """Enough slices to keep each within MOST_ROWS; below that, one per core if they are worth a task."""
-    return max(1, math.ceil(rows / MOST_ROWS), min(cores, math.ceil(rows / LEAST_ROWS)))
+def sliced(
+    df: DataFrame, order: list[str], name: str, slices: int | None = None, partition_by: str | None = None
+) -> DataFrame:
+    """``df`` as a written table, cut into slices of about MOST_ROWS (or into ``slices``).
 
+    Written twice when cut: first so that what is behind ``df`` runs once (counting the rows and
+    sampling the cuts are passes of their own), then to fix the sampled cuts for all readers.
+    """
+    table = staged(df, f"{name}-rows", partition_by)
+    count = slices or math.ceil(table.count() / MOST_ROWS)
+    if count <= 1:
+        return table
+    cuts = table.repartitionByRange(count, *order).withColumn(SLICE, F.spark_partition_id())
+    return staged(cuts, name, partition_by)
 
-def sliced(df: DataFrame, order: list[str], name: str, slices: int | None = None, partition_by: str | None = None) -> DataFrame:
-    """``df`` as a written table with the number of the slice each row falls in.
 
-    Written twice: first so that what is behind ``df`` runs once (counting the rows and sampling
-    the cuts are passes of their own), then to fix the sampled cuts for every later reader.
-    """
-    table = staged(df, f"{name}-rows")
-    count = slices or slice_count(table.count(), df.sparkSession.sparkContext.defaultParallelism)
-    cut = table.repartitionByRange(count, *order).withColumn(SLICE, F.spark_partition_id())
-    return staged(cut, name, partition_by)
+def cut(df: DataFrame) -> list[str]:
+    """The slice column, if the table has one."""
+    return [SLICE] if SLICE in df.columns else []
 
 
 def with_carried(
@@ -48,6 +54,8 @@ def with_carried(
     are the ``depth`` greatest by ``key``; above depth 1 the key must grow with the slices, as
     positions do.
     """
+    if not cut(df):
+        return df.withColumn("brought", F.lit(False))
     row, rank = F.struct(*key, *keep), F.struct(*key)
     if depth == 1:
         greatest = F.max_by(F.when(source, row), F.when(source, rank))
@@ -55,16 +63,16 @@ def with_carried(
     else:
         tail = F.slice(F.sort_array(F.collect_list(F.when(source, row)), asc=False), 1, depth)
     per_slice = df.groupBy(*by, SLICE).agg(tail.alias("tail"), F.max(target).alias("wanted"))
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices_before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     if depth == 1:
         # the running greatest, so the key need not grow with the slices
-        running = F.max("tail").over(earlier)
+        running = F.max("tail").over(slices_before)
     else:
         per_slice = per_slice.repartition(*by).withColumn("filled", F.size("tail") > 0)
         with_previous = Window.partitionBy(*by, "filled").orderBy(SLICE).rowsBetween(1 - depth, 0)
         latest = F.sort_array(F.flatten(F.collect_list("tail").over(with_previous)), asc=False)
         per_slice = per_slice.withColumn("tail", F.when(F.col("filled"), F.slice(latest, 1, depth)))
-        running = F.last("tail", ignorenulls=True).over(earlier)
+        running = F.last("tail", ignorenulls=True).over(slices_before)
     brought = (
         per_slice.withColumn("tail", running)
         .filter("wanted")
@@ -74,20 +82,26 @@ def with_carried(
     return df.withColumn("brought", F.lit(False)).unionByName(brought, allowMissingColumns=True)
 
 
-def before(by: list[str], order: list[str]):
+def in_slice(df: DataFrame, by: list[str]):
+    """Window over the group's rows of one slice."""
+    return Window.partitionBy(*by, *cut(df))
+
+
+def earlier(df: DataFrame, by: list[str], order: list[str]):
     """Window over the rows of the slice that precede the current one."""
-    return Window.partitionBy(*by, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return in_slice(df, by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """1..N inside each group, over a table from :func:`sliced`: local numbers plus the earlier slices' counts."""
+    local = df.withColumn(name, F.row_number().over(in_slice(df, by).orderBy(*order)))
+    if not cut(df):
+        return local
     sizes = df.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("rows"))
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    skipped = sizes.select(*by, SLICE, F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("skipped"))
-    local = Window.partitionBy(*by, SLICE).orderBy(*order)
+    previous = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    skipped = sizes.select(*by, SLICE, F.coalesce(F.sum("rows").over(previous), F.lit(0)).alias("skipped"))
     return (
-        df.withColumn("local", F.row_number().over(local))
-        .join(skipped, [*by, SLICE])
-        .withColumn(name, F.col("skipped") + F.col("local"))
-        .drop("skipped", "local", SLICE)
+        local.join(skipped, [*by, SLICE])
+        .withColumn(name, F.col("skipped") + F.col(name))
+        .drop("skipped", SLICE)
     )

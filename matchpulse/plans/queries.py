@@ -52,7 +52,8 @@ def _events(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataF
 
 
 def _timeline(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataFrame:
-    return R.timeline(_events(spark, sf_dir, disordered))
+    """The clean timeline is cut by its size; the disordered one always, to show hot sessions cut up."""
+    return R.timeline(_events(spark, sf_dir, disordered), 8 if disordered else None)
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +370,7 @@ def tick_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tick_index_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(H.tick_index(_predictions(spark, sf_dir), ("round",)).select("round", "offset", "tick"))
+    return _plain(H.tick_index(_predictions(spark, sf_dir), ("round",), slices=8).select("round", "offset", "tick"))
 
 
 @query
