@@ -132,15 +132,19 @@ def asked_players(ticks: DataFrame, archives: DataFrame) -> DataFrame:
     """
     place = ["session", *cut(ticks), *ORDER]
     home = [F.col(c).alias("home") for c in cut(ticks)]
-    archive = F.struct(*home, *ORDER, "round_num").alias("archive")
+    at = archives.select(*place, F.struct(*home, *ORDER, "round_num").alias("archive"))
+    # the ticks themselves stay out of the carrying: their slices are all it needs
+    marks = ticks.select("session", *cut(ticks)).distinct()
+    known = F.col("archive").isNotNull()
+    seen = with_carried(
+        at.unionByName(marks, allowMissingColumns=True), ["session"], ORDER, ["archive"], source=known, target=~known
+    )
     living = ticks.select(*place, F.concat("alive_ct", "alive_t").alias("alive"))
-    rows = living.unionByName(archives.select(*place, archive), allowMissingColumns=True)
-    is_tick = F.col("alive").isNotNull()
     latest = F.last("archive", ignorenulls=True).over(earlier(ticks, ["session"], ORDER))
     return (
-        with_carried(rows, ["session"], ORDER, ["archive"], source=F.col("archive").isNotNull(), target=is_tick)
+        living.unionByName(seen.filter(known).select(*place, "archive"), allowMissingColumns=True)
         .withColumn("archive", latest)
-        .filter(is_tick & F.col("archive").isNotNull())
+        .filter(F.col("alive").isNotNull() & known)
         .select("session", *cut(ticks), "archive.*", F.explode_outer("alive").alias("player"))
         .distinct()
     )
