@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN shape = 'full' THEN {prob} END AS prob_micro,
       CASE WHEN shape = 'nan' THEN 'remaining_time is not a number' END AS error FROM requests"""
     defaults = {"ct_alive": 5, "t_alive": 5, "ct_total_hp": 500, "t_total_hp": 500, "remaining_time": 115}
-    return {
+    sql = {
         "parse_events": clean
         + """SELECT key AS session_key, round_num, phase AS round_phase, ends_in AS phase_ends_in,
                phase AS bomb_phase, n AS players, second, event_id AS "offset"
@@ -263,6 +263,9 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT event_id AS "offset" FROM bodies
              WHERE shape IN ('cut', 'text') OR (shape = 'full' AND event_id % 61 = 6)""",
     }
+    for name in ("response_messages", "prediction_log_decode", "stateless_features"):
+        sql[f"live_{name}"] = sql[name]
+    return sql
 
 
 _VALIDATION = """, checks AS (

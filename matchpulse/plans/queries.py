@@ -17,7 +17,8 @@ from matchpulse.operators import matching as J
 from matchpulse.operators import requests as Q
 from matchpulse.operators import rounds as R
 from matchpulse.operators import scoring as S
-from matchpulse.sources import derived
+from matchpulse.sources import derived, kafka, staging
+from matchpulse.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -125,7 +126,10 @@ def bomb_and_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stateless_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    featured = E.predictable(E.with_stateless_features(_events(spark, sf_dir)))
+    return _stateless_columns(E.predictable(E.with_stateless_features(_events(spark, sf_dir))))
+
+
+def _stateless_columns(featured: DataFrame) -> DataFrame:
     return _plain(
         featured.select(
             "session_key", "offset", "round_num", "ct_alive", "t_alive", "ct_total_hp", "t_total_hp", "bomb_planted", tenths()
@@ -252,7 +256,10 @@ def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = Q.answer_requests(derived.request_log(spark, sf_dir), S.example_model(spark))
+    return _read_responses(Q.answer_requests(derived.request_log(spark, sf_dir), S.example_model(spark)))
+
+
+def _read_responses(messages: DataFrame) -> DataFrame:
     read = messages.select("key", F.from_json("value", schemas.RESPONSE).alias("m"))
     return read.select(
         "key",
@@ -262,6 +269,38 @@ def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Write the log as files, run the streaming job over all of them, return what it wrote."""
+    spark = log.sparkSession
+    folder, out = staging.new_folder(spark, "log"), staging.new_folder(spark, "stream")
+    log.write.parquet(folder)
+    stream = job(kafka.read_files(spark, folder))
+    run = kafka.writer(stream, f"run-{out[-36:]}", mode="parquet", path=out, available_now=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query
+def live_response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = S.example_model(spark)
+    return _read_responses(
+        _through_stream(derived.request_log(spark, sf_dir), lambda raw: live.live_answers(raw, model))
+    )
+
+
+@query
+def live_prediction_log_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prediction_columns(_through_stream(derived.prediction_log(spark, sf_dir), H.read_predictions))
+
+
+@query
+def live_stateless_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def job(raw: DataFrame) -> DataFrame:
+        return E.predictable(E.with_stateless_features(E.parse_events(raw)))
+
+    return _stateless_columns(_through_stream(derived.telemetry(spark, sf_dir), job))
+
+
 @query
 def request_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = Q.validate_requests(Q.parse_requests(derived.request_log(spark, sf_dir)))

@@ -18,15 +18,18 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="matchpulse-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/matchpulse/{name}-{uuid.uuid4()}"
+
+
 def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as parquet and return the written table.
 
     Cuts the lineage (a lost executor costs a re-read, not a recomputation), decodes and
     shuffles once for all readers, and lets each reader push its own columns and filters down.
     """
-    path = f"{shared_folder(df.sparkSession)}/matchpulse/{name}-{uuid.uuid4()}"
+    path = new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    ddl_first = [c for c in df.columns if c != partition_by]
-    schema = df.select(*ddl_first, *([partition_by] if partition_by else [])).schema
-    return df.sparkSession.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
