@@ -143,3 +143,12 @@ def test_checkpoint_folders(spark, tmp_path):
     fresh = [kafka.checkpoint_location(spark, "p", str(tmp_path)) for _ in range(2)]
     assert fresh[0] != fresh[1]
     assert kafka.checkpoint_location(spark, "p", str(tmp_path), resume=True) == f"{tmp_path}/p"
+
+
+def test_console_takes_the_typed_columns(spark, tmp_path):
+    write_chunks(derived.prediction_log(spark, "/root/testdata/sf0.001"), f"{tmp_path}/in", 1)
+    rows = read_predictions(kafka.read_files(spark, f"{tmp_path}/in")).select("session_key", "round", "prob_ct_win")
+    query = kafka.writer(rows, "shown", mode="console", available_now=True, checkpoint_root=str(tmp_path)).start()
+    assert query.awaitTermination(120)
+    progress = query.lastProgress
+    assert "Console" in progress["sink"]["description"] and progress["numInputRows"] == 1000
