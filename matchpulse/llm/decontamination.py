@@ -178,12 +178,11 @@ def occurrences(documents: DataFrame, sizes: list[int], bits: bytes, window: int
 
 
 def benchmark_spans(documents: DataFrame, items: DataFrame, window: int = 10) -> Decontamination:
-    """Where documents hold windows of items: spans in words, and the items."""
+    """Where documents hold windows of items: spans in words, and the items. Needs row, doc_id, text."""
     windows = staged(item_windows(items, window), "item-windows")
     sizes = [r[0] for r in windows.select(F.least(F.lit(SHINGLE), "n").alias("k")).distinct().collect()]
     bits = bit_map(windows.select(F.explode("keys").alias("key")))
-    numbered = C.numbered(documents.select("doc_id", "text"))
-    seen = staged(occurrences(numbered, sorted(sizes), bits, window), "shingle-places")
+    seen = staged(occurrences(documents, sorted(sizes), bits, window), "shingle-places")
 
     places = seen.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     counts = places.groupBy("key").agg(F.count("*").alias("times"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchpulse.llm.common import U, numbered
+from matchpulse.llm.common import U
 from matchpulse.llm.minimal_hash import MinimalHash
 from matchpulse.sources.staging import staged
 
@@ -126,14 +126,14 @@ def frequent_lines(packed: DataFrame, least_documents: int) -> DataFrame:
     return packed.groupBy("shard").applyInPandas(run, "block bigint, digests binary, last binary")
 
 
-def deduplicated_lines(
-    documents: DataFrame, least: int = 40, least_documents: int = 5, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """row, doc_id, n_lines, n_dropped, text (kept lines), rest (the columns named in ``carry``)."""
+def deduplicated_lines(table: DataFrame, least: int = 40, least_documents: int = 5) -> DataFrame:
+    """row, doc_id, n_lines, n_dropped, text (kept lines; null stays null), rest.
+
+    ``table`` has row, doc_id, text and a struct ``rest`` that goes through, and must be a written table:
+    it is read twice, and its row numbers must be the same both times.
+    """
     if least_documents > 255:
         raise ValueError("counts are kept up to 255")
-    rest = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(None).cast("string").alias("none"))
-    table = staged(numbered(documents.select("doc_id", "text", rest.alias("rest"))), "lines-documents")
     shards = max(MIN_SHARDS, table.count() // SHARD_ROWS)
     hits = staged(frequent_lines(packed_lines(table, least, shards), least_documents), "lines-frequent")
 

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchpulse.llm import decontamination, line_dedup, simhash_dedup
+from matchpulse.llm import (
+    decontamination,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    simhash_dedup,
+)
+from matchpulse.llm.common import numbered
+from matchpulse.sources.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,30 +25,58 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def sha256(column) -> F.Column:
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words hit in every document, and the items found there."""
-    documents, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    documents, items = _documents(spark, sf_dir), _read(spark, sf_dir, "benchmark")
     return decontamination.contamination(documents, items, window=10).drop("row")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
-    found = simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, distance=4)
+    found = simhash_dedup.near_duplicates(_documents(spark, sf_dir), shingle=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, and the digest of the lines that stay."""
-    kept = line_dedup.deduplicated_lines(_read(spark, sf_dir, "documents"), least=40, least_documents=5)
+    rest = F.struct(F.lit(None).cast("string").alias("none"))
+    table = staged(_documents(spark, sf_dir).withColumn("rest", rest), "lines-documents")
+    kept = line_dedup.deduplicated_lines(table, least=40, least_documents=5)
     return kept.select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and prediction of every document."""
+    documents = _documents(spark, sf_dir)
+    return quality_classifier.quality_scores(documents, _read(spark, sf_dir, "labels")).drop("row")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.packed(_documents(spark, sf_dir))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    documents = _documents(spark, sf_dir)
+    found = quality_rules.rule_verdicts(documents, _read(spark, sf_dir, "labels"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept")
+
+
 REGISTRY: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
 }

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchpulse.llm.common import U, numbered
+from matchpulse.llm.common import U
 from matchpulse.sources.staging import staged
 
 SEED = 42
@@ -72,8 +72,7 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
                 [batch.column("row"), batch.column("doc_id"), pa.array(bits, pa.int64())], ["row", "doc_id", "bits"]
             )
 
-    numbered_rows = numbered(documents.select("doc_id", "text"))
-    return numbered_rows.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, bits bigint")
+    return documents.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, bits bigint")
 
 
 def covering_masks(distance: int, step: int) -> list[int]:
@@ -198,7 +197,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """row, doc_id, bits, component_id (smallest doc_id), first (the one row that stays of a component)."""
+    """row, doc_id, bits, component_id (smallest doc_id), first (the one row that stays of a component).
+
+    ``documents`` needs row, doc_id, text.
+    """
     marked = staged(fingerprints(documents, shingle), "fingerprints")
     smallest = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     classes = staged(marked.groupBy("bits").agg(smallest.alias("least")), "fingerprint-classes")
