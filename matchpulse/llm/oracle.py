@@ -52,4 +52,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_line_dedup": OP6}
+OP9 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha256(coalesce(html, '')) AS digest FROM pages
+),
+o AS (
+  SELECT *, CASE WHEN octet_length(encode(payload)) >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS original FROM p
+)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM o
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_line_dedup": OP6, "op9_warc_revisits": OP9}

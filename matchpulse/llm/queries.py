@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchpulse.llm import (
+    chat_format,
     decontamination,
     line_dedup,
     packing,
     quality_classifier,
     quality_rules,
     simhash_dedup,
+    warc,
 )
 from matchpulse.llm.common import numbered
-from matchpulse.sources.staging import staged
+from matchpulse.sources.staging import new_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +47,14 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, read back from its examples."""
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _read(spark, sf_dir, "conversations").select(own.columns).unionByName(own)
+    return chat_format.conversation_digests(chat_format.examples(turns))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document, and the digest of the lines that stay."""
     rest = F.struct(F.lit(None).cast("string").alias("none"))
@@ -64,6 +74,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the archives written from all pages, read back."""
+    folder = new_folder(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), folder, least=100)
+    return warc.read_archives(spark, folder).drop("url")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document."""
     documents = _documents(spark, sf_dir)
@@ -75,8 +92,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
 }
