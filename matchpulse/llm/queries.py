@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matchpulse.llm import (
     chat_format,
     decontamination,
+    language_id,
     line_dedup,
     packing,
     quality_classifier,
@@ -17,7 +18,7 @@ from matchpulse.llm import (
     simhash_dedup,
     warc,
 )
-from matchpulse.llm.common import numbered
+from matchpulse.llm.common import numbered, remainder
 from matchpulse.sources.staging import new_folder, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(documents, items, window=10).drop("row")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    model = language_id.fit(documents, train=~held_out)
+    found = language_id.identified(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_dedup.near_duplicates(_documents(spark, sf_dir), shingle=4, distance=4)
@@ -91,6 +101,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_language_id": op2_language_id,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
