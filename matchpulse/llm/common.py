@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4_000_000
+MAP_BITS = 26
+MAP_PARTS = 64
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -135,3 +137,33 @@ def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def bit_map(keys: DataFrame, bits: int = MAP_BITS) -> bytes:
+    """A bit map of the top bits of all 64-bit keys (column key): 2**bits bits whatever the number of keys, made in MAP_PARTS parts."""
+    part_bits = (1 << bits) // MAP_PARTS
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = (batch.column(0).to_numpy(zero_copy_only=False).view(U) >> U(64 - bits)).astype(np.int64)
+            for part in np.unique(place // part_bits).tolist():
+                own = place[place // part_bits == part] % part_bits
+                parts.setdefault(part, np.zeros(part_bits, bool))[own] = True
+        for part, flags in parts.items():
+            packed = np.packbits(flags, bitorder="little").tobytes()
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
+
+    top = F.shiftrightunsigned("key", 64 - bits) / part_bits
+    parts = keys.select("key").repartition(MAP_PARTS, top.cast("int")).mapInArrow(run, "part int, bits binary")
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for part, packed in parts.collect():
+        begin = part * part_bits // 8
+        out[begin : begin + part_bits // 8] |= np.frombuffer(packed, np.uint8)
+    return out.tobytes()
+
+
+def in_bit_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the keys' bits are set (always for a key that was put in)."""
+    at = keys >> U(64 - (len(bits) * 8 - 1).bit_length())
+    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1

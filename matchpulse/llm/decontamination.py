@@ -7,7 +7,7 @@ only; a pair must pass the length and position bounds, then the window's words a
 with the text's words at that place.
 
 Before anything is shuffled, tasks drop shingles that no item has, by a bit map of fixed size
-(``MAP_BITS``). A full map only lets more rows through. Counts are combined before the shuffle, and
+(``common.MAP_BITS``). A full map only lets more rows through. Counts are combined before the shuffle, and
 the joins end in an exchange by another key, so Spark may split a hot shingle.
 
 Null texts have no words. Rows are separate documents even if their ids are equal or null. Items
@@ -28,8 +28,6 @@ from matchpulse.llm import common as C
 from matchpulse.sources.staging import staged
 
 SHINGLE = 5
-MAP_BITS = 26
-MAP_PARTS = 64
 
 ITEM_WINDOWS = "item string, words string, n int, keys array<bigint>"
 OCCURRENCES = (
@@ -115,34 +113,9 @@ def _window_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def bit_map(keys: DataFrame, bits: int = MAP_BITS) -> bytes:
-    """Bits of all keys: 2**bits bits whatever the number of keys, made in MAP_PARTS parts."""
-    part_bits = (1 << bits) // MAP_PARTS
-
-    def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            place = (batch.column(0).to_numpy(zero_copy_only=False).view(C.U) >> C.U(64 - bits)).astype(np.int64)
-            for part in np.unique(place // part_bits).tolist():
-                own = place[place // part_bits == part] % part_bits
-                parts.setdefault(part, np.zeros(part_bits, bool))[own] = True
-        for part, flags in parts.items():
-            packed = np.packbits(flags, bitorder="little").tobytes()
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], ["part", "bits"])
-
-    top = F.shiftrightunsigned("key", 64 - bits) / part_bits
-    parts = keys.select("key").repartition(MAP_PARTS, top.cast("int")).mapInArrow(run, "part int, bits binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for part, packed in parts.collect():
-        begin = part * part_bits // 8
-        out[begin : begin + part_bits // 8] |= np.frombuffer(packed, np.uint8)
-    return out.tobytes()
-
-
 def occurrences(documents: DataFrame, sizes: list[int], bits: bytes, window: int) -> DataFrame:
     """For each document the places of shingles that may be an item's, with the words around them."""
     shared = documents.sparkSession.sparkContext.broadcast(bits)
-    shift = C.U(64 - (len(bits) * 8 - 1).bit_length())
 
     def run(batches):
         flags = np.frombuffer(shared.value, np.uint8)
@@ -153,8 +126,7 @@ def occurrences(documents: DataFrame, sizes: list[int], bits: bytes, window: int
                 found = []
                 for k in sizes:
                     places, keys = table.shingles(k)
-                    at = keys >> shift
-                    hit = np.flatnonzero((flags[(at >> C.U(3)).astype(np.int64)] >> (at & C.U(7)).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero(C.in_bit_map(flags, keys))
                     around = window - k if k == SHINGLE else 0
                     for place, key in zip(places[hit].tolist(), keys[hit].view(np.int64).tolist()):
                         owner = int(owners[place])
@@ -181,7 +153,7 @@ def benchmark_spans(documents: DataFrame, items: DataFrame, window: int = 10) ->
     """Where documents hold windows of items: spans in words, and the items. Needs row, doc_id, text."""
     windows = staged(item_windows(items, window), "item-windows")
     sizes = [r[0] for r in windows.select(F.least(F.lit(SHINGLE), "n").alias("k")).distinct().collect()]
-    bits = bit_map(windows.select(F.explode("keys").alias("key")))
+    bits = C.bit_map(windows.select(F.explode("keys").alias("key")))
     seen = staged(occurrences(documents, sorted(sizes), bits, window), "shingle-places")
 
     places = seen.select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")

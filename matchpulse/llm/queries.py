@@ -16,6 +16,7 @@ from matchpulse.llm import (
     quality_classifier,
     quality_rules,
     simhash_dedup,
+    suffix_dedup,
     warc,
 )
 from matchpulse.llm.common import numbered, remainder
@@ -51,6 +52,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from every document because 100 bytes around them stand earlier too."""
+    table = staged(_documents(spark, sf_dir), "repeats-documents")
+    kept = suffix_dedup.without_repeats(table, length=100)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash_dedup.near_duplicates(_documents(spark, sf_dir), shingle=4, distance=4)
@@ -102,6 +110,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_line_dedup": op6_line_dedup,
