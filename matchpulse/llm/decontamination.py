@@ -204,3 +204,12 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> D
             "row",
         )
     )
+
+
+def clean_documents(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows whose text holds no window of an item; all columns go through."""
+    texts = C.numbered(documents.select(F.xxhash64("text").alias("doc_id"), "text"))
+    found = benchmark_spans(texts, items, window)
+    marks = found.documents.join(found.spans.select("row").distinct(), "row").select(F.col("doc_id").alias("hash"))
+    marked = staged(marks.distinct(), "contaminated-texts")
+    return documents.join(marked, F.xxhash64("text") == F.col("hash"), "left_anti")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchpulse.llm import text_stats
-from matchpulse.llm.common import numbered, remainder
+from matchpulse.llm.common import remainder, slices
 from matchpulse.sources.staging import staged
 
 SAMPLE_ROWS = 20_000
@@ -161,15 +161,32 @@ def scored(statistics: DataFrame, trees: Trees) -> DataFrame:
     return statistics.mapInArrow(run, "row bigint, doc_id bigint, score double")
 
 
+def _held_out() -> Column:
+    return F.coalesce(remainder("doc_id", HELD_OUT) == 0, F.lit(False))
+
+
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """row, doc_id, held_out, score, predicted. ``documents`` needs row, doc_id, text."""
     statistics = staged(text_stats.document_statistics(documents), "quality-statistics")
-    held_out = F.coalesce(remainder("doc_id", HELD_OUT) == 0, F.lit(False))
-    trees = fit_quality(statistics, labels, ~held_out)
+    trees = fit_quality(statistics, labels, ~_held_out())
     return scored(statistics, trees).select(
-        "row", "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= KEPT_SCORE).cast("int").alias("predicted")
+        "row", "doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= KEPT_SCORE).cast("int").alias("predicted")
     )
 
 
-def numbered_documents(documents: DataFrame) -> DataFrame:
-    return numbered(documents.select("doc_id", "text"))
+def fit_documents(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Trees:
+    """Trees fitted on a bounded sample of labelled documents (row, doc_id, text) that are not held out."""
+    statistics = staged(text_stats.document_statistics(documents.where(~_held_out())), "quality-sample")
+    return fit_quality(statistics, labels, F.lit(True), bound)
+
+
+def accepted(documents: DataFrame, trees: Trees) -> DataFrame:
+    """The rows whose text gets a score of at least KEPT_SCORE; all columns go through."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                kept = trees.scores(features(text_stats.statistics(batch.column("text")))) >= KEPT_SCORE
+                yield batch.filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)

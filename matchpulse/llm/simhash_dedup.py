@@ -63,16 +63,16 @@ def _ones(digests: list[bytes]) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
-    """row, doc_id, bits (the fingerprint as a signed number)."""
+    """The rows with bits (the fingerprint as a signed number) in place of text."""
+    others = [c for c in documents.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
             bits = [fingerprint(text.as_py(), shingle) for text in batch.column("text")]
-            yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), pa.array(bits, pa.int64())], ["row", "doc_id", "bits"]
-            )
+            yield pa.record_batch([*(batch.column(c) for c in others), pa.array(bits, pa.int64())], [*others, "bits"])
 
-    return documents.select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, bits bigint")
+    schema = documents.select(*others, F.lit(0).cast("long").alias("bits")).schema
+    return documents.select(*others, "text").mapInArrow(run, schema)
 
 
 def covering_masks(distance: int, step: int) -> list[int]:
@@ -196,23 +196,44 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("bits", "root")
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """row, doc_id, bits, component_id (smallest doc_id), first (the one row that stays of a component).
+def classes_of(marked: DataFrame, distance: int) -> DataFrame:
+    """bits, best: for each fingerprint the least (doc_id, place) of its component, ids before nulls.
 
-    ``documents`` needs row, doc_id, text.
+    ``marked`` has doc_id, place (orders rows of one id) and bits, and is a written table.
     """
-    marked = staged(fingerprints(documents, shingle), "fingerprints")
-    smallest = F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
-    classes = staged(marked.groupBy("bits").agg(smallest.alias("least")), "fingerprint-classes")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("place"))
+    classes = staged(marked.groupBy("bits").agg(F.min(order).alias("least")), "fingerprint-classes")
     roots = components(near_links(classes, distance))
     rooted = classes.join(roots, "bits", "left").select("bits", F.coalesce("root", "bits").alias("root"), "least")
-    order = F.struct(F.col("least.doc_id").isNull(), F.col("least.doc_id"), F.col("least.row"))
-    best = rooted.groupBy("root").agg(F.min_by("least", order).alias("best"))
-    classed = staged(rooted.join(best, "root").select("bits", "best"), "fingerprint-components")
-    return marked.join(classed, "bits").select(
-        "row",
-        "doc_id",
-        "bits",
-        F.col("best.doc_id").alias("component_id"),
-        (F.col("row") == F.col("best.row")).alias("first"),
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    return staged(
+        rooted.join(best, "root").select("bits", F.struct(F.col("best.doc_id"), F.col("best.place")).alias("best")), "fingerprint-components"
+    )
+
+
+def near_duplicates(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """row, doc_id, bits, component_id (the smallest doc_id of the component). Needs row, doc_id, text."""
+    rows = documents.select("row", "doc_id", "text")
+    marked = staged(fingerprints(rows, shingle).withColumn("place", F.col("row")), "fingerprints")
+    classes = classes_of(marked, distance)
+    return marked.join(classes, "bits").select("row", "doc_id", "bits", F.col("best.doc_id").alias("component_id"))
+
+
+def first_of_each(documents: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The one row of each component that has its smallest doc_id; all columns go through.
+
+    Rows are known by doc_id and a hash of the text; of rows equal in both any one stays.
+    """
+    place = F.xxhash64("text")
+    marked = staged(fingerprints(documents.select("doc_id", place.alias("place"), "text"), shingle), "fingerprints")
+    best = classes_of(marked, distance).select("best.doc_id", "best.place").distinct()
+    copies = marked.groupBy("doc_id", "place").agg(F.count("*").alias("copies"))
+    stay = best.join(copies, best["doc_id"].eqNullSafe(copies["doc_id"]) & (best["place"] == copies["place"])).select(
+        copies["doc_id"], copies["place"], "copies"
     )
+    known = documents.withColumn("place", place).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.place") == F.col("s.place"))
+    found = known.join(staged(stay, "fingerprint-firsts").alias("s"), same).select("d.*", "copies")
+    single = found.where("copies = 1").drop("place", "copies")
+    several = found.where("copies > 1").dropDuplicates(["doc_id", "place"]).drop("place", "copies")
+    return single.unionByName(several)
