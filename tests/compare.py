@@ -2,6 +2,7 @@
 
 import sys
 import time
+from pathlib import Path
 
 import duckdb
 
@@ -11,7 +12,8 @@ import __spark_entry__ as entry
 def oracle_rows(sf_dir, sql):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf_dir}/events.parquet'")
+    for table in Path(sf_dir).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}'")
     relation = con.sql(sql)
     return relation.columns, [str(t) for t in relation.types], relation.fetchall()
 
@@ -29,7 +31,7 @@ def compare(spark, sf_dir, name):
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     spark_types = {c: t for c, t in df.dtypes}
-    same = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
+    same = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for c, t in zip(columns, types):
         if same.get(spark_types[c]) != t:
             return f"type of {c}: {spark_types[c]} != {t}"
@@ -54,7 +56,7 @@ if __name__ == "__main__":
     )
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
-    for name in sys.argv[2:] or entry.queries():
+    for name in sys.argv[2:] or entry.oracle_sql():
         began = time.time()
         try:
             problem = compare(spark, sf_dir, name)
