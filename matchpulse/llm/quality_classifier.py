@@ -25,6 +25,7 @@ from matchpulse.llm.common import remainder, slices
 from matchpulse.sources.staging import staged
 
 SAMPLE_ROWS = 20_000
+SAFE_SHARE = 0.95
 BINS = 64
 TREES = 80
 DEPTH = 4
@@ -135,15 +136,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def labelled_sample(statistics: DataFrame, labels: DataFrame, train: Column, bound: int) -> DataFrame:
-    """Statistics and label of at most ``bound`` labelled rows: the smallest hashes of their ids."""
+    """Statistics and label of at most ``bound`` labelled rows: those of the smallest hashes of their ids.
+
+    The hash below which rows are taken comes from their number, so that the sample is small before
+    it leaves the tasks.
+    """
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = statistics.where(train).join(own, "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id", "row"), "row").limit(bound)
+    rows = staged(statistics.where(train).join(own, "doc_id"), "labelled")
+    share = min(1.0, SAFE_SHARE * bound / max(1, rows.count()))
+    place = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 32)) / float(1 << 32)
+    return rows.where(place < share).limit(bound) if share < 1 else rows.limit(bound)
 
 
 def fit_quality(statistics: DataFrame, labels: DataFrame, train: Column, bound: int = SAMPLE_ROWS) -> Trees:
     """Trees fitted on a bounded sample of the labelled rows for which ``train`` holds."""
-    sample = labelled_sample(statistics, labels, train, bound).select(*text_stats.COUNTS, "quality").toPandas()
+    sample = labelled_sample(statistics, labels, train, bound).toPandas().sort_values(["doc_id", "row"])
     return fit(features({k: sample[k] for k in text_stats.COUNTS}), (sample["quality"].to_numpy() == 1).astype(np.float64))
 
 

@@ -147,7 +147,8 @@ def shares(statistics: DataFrame) -> DataFrame:
 
 def fit_rules(statistics: DataFrame, labels: DataFrame, train: Column, bound: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules learned on a bounded sample of the labelled rows that pass the base rule."""
-    sample = labelled_sample(shares(statistics).where(~base_failed()), labels, train, bound).select(*SHARES, "quality").toPandas()
+    sample = labelled_sample(shares(statistics).where(~base_failed()), labels, train, bound).toPandas()
+    sample = sample.sort_values(["doc_id", "row"])
     return learned_rules({k: sample[k].to_numpy(np.float64) for k in SHARES}, sample["quality"].to_numpy() == 0)
 
 
