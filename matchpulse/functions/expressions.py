@@ -31,9 +31,14 @@ def head_count(alive: Column) -> Column:
 
 
 def total_health(alive: Column) -> Column:
-    return F.coalesce(
-        F.aggregate(alive, F.lit(0), lambda acc, p: acc + p["state"]["health"]), F.lit(0)
-    )
+    """Health of all, as a whole number; a sum beyond the type's range stops at its end."""
+    total = F.aggregate(alive, F.lit(0).cast("bigint"), lambda acc, p: acc + p["state"]["health"])
+    return whole(F.coalesce(total, F.lit(0)))
+
+
+def whole(number: Column) -> Column:
+    """A bigint as int, held at the ends of its range, so that absurd numbers fail no job."""
+    return F.least(F.greatest(number, F.lit(-(2**31))), F.lit(2**31 - 1)).cast("int")
 
 
 def finite(number: Column) -> Column:
@@ -98,6 +103,13 @@ def short_session(key: Column) -> Column:
 
 
 def uuid_from(*parts: Column) -> Column:
-    """UUID-shaped id derived from the row, so that a recomputed task mints the same id."""
-    digest = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+    """UUID-shaped id derived from the row, so that a recomputed task mints the same id.
+
+    Each part goes in with its length, a null one as a bare dash, so that different rows differ.
+    """
+    marked = []
+    for part in parts:
+        text = part.cast("string")
+        marked.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text, F.lit("|")), F.lit("-|")))
+    digest = F.md5(F.concat(*marked))
     return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])

@@ -1,25 +1,36 @@
 """The prediction log: decoding it and summarising it by session and round.
 
-Arrival order is (arrived_at, partition, offset). Summaries keep one row per group through
-map-side aggregates; only numbering rows needs an order inside groups, and that runs on slices.
+Arrival order is (partition, offset) throughout, as one number ``seq``. Summaries keep one row per
+group through map-side hash aggregates over fixed-width values; numbering, listing and taking the
+newest rows need an order inside groups, and that runs on slices.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from matchpulse.functions import expressions as X
 from matchpulse.operators.slices import row_numbers, sliced
+from matchpulse.sources.staging import staged
 
-ARRIVAL = ["arrived_at", "partition", "offset"]
-PAGE_OFFSETS = 4096
+#: seq = partition * 2^48 + offset: room for 32,768 partitions.
+OFFSET_BITS = 48
+PAGE_TICKS = 4096
+_MAX_INT = 2**31 - 1
+
+
+def sequence() -> Column:
+    """The place of a message in its log as one number."""
+    return (F.col("partition").cast("bigint") * F.lit(1 << OFFSET_BITS) + F.col("offset")).alias("seq")
 
 
 def _decoded(raw: DataFrame) -> DataFrame:
+    """Values that are not null, with the body's fields as text; body is null or _corrupt set if unreadable."""
     body = F.from_json(
         F.col("value").cast("string"),
-        "sessionKey string, round int, probCtWin double, timestamp bigint, _corrupt string",
+        "sessionKey string, round string, probCtWin string, timestamp string, _corrupt string",
         {"columnNameOfCorruptRecord": "_corrupt"},
     )
     return raw.filter(F.col("value").isNotNull()).select(
@@ -29,20 +40,36 @@ def _decoded(raw: DataFrame) -> DataFrame:
     )
 
 
+def _readable() -> Column:
+    return F.col("body").isNotNull() & F.col("body._corrupt").isNull()
+
+
+def _whole(field: str, most: int) -> Column:
+    """A number given as 3, 3.0 or "3"; what is no number or too large counts as absent."""
+    number = X.finite(F.col(f"body.{field}").try_cast("double"))
+    return F.when(F.abs(number) <= most, number.cast("bigint"))
+
+
 def read_predictions(raw: DataFrame) -> DataFrame:
-    """Prediction messages as rows; tombstones and unreadable values are skipped, seconds become ms."""
-    return _decoded(raw).filter(F.col("body._corrupt").isNull()).select(
+    """Prediction messages as rows; tombstones, blank and unreadable values are skipped, seconds become ms.
+
+    Numbers may come with a fraction, an exponent or as text.
+    """
+    return _decoded(raw).filter(_readable()).select(
         F.col("body.sessionKey").alias("session_key"),
-        F.col("body.round").alias("round"),
-        F.col("body.probCtWin").alias("prob_ct_win"),
-        X.to_epoch_ms(F.col("body.timestamp")).alias("timestamp_ms"),
-        *ARRIVAL,
+        _whole("round", _MAX_INT).cast("int").alias("round"),
+        F.col("body.probCtWin").try_cast("double").alias("prob_ct_win"),
+        X.to_epoch_ms(_whole("timestamp", 1 << 52)).alias("timestamp_ms"),
+        "arrived_at",
+        "partition",
+        "offset",
+        sequence(),
     )
 
 
 def unreadable_predictions(raw: DataFrame) -> DataFrame:
     """How many values of each partition could not be read."""
-    bad = _decoded(raw).filter(F.col("body._corrupt").isNotNull())
+    bad = _decoded(raw).filter(~_readable())
     return bad.groupBy("partition").agg(F.count(F.lit(1)).alias("unreadable"))
 
 
@@ -51,17 +78,17 @@ def append_history(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("append").parquet(path)
 
 
-def round_history_nested(predictions: DataFrame) -> DataFrame:
-    """Tick lists per session and round, in pages.
+def round_history_nested(predictions: DataFrame, slices: int | None = None) -> DataFrame:
+    """Tick lists per session and round, in arrival order.
 
-    A page holds the ticks of one stretch of log offsets, so no list outgrows PAGE_OFFSETS however
-    many ticks a round has; pages in (partition, page) order make up the whole list.
+    A list holds PAGE_TICKS ticks; a longer round goes on in further pages (page 1, 2, ...), so no list
+    outgrows a task however many ticks a round has.
     """
-    tick = F.struct("offset", "prob_ct_win", "timestamp_ms")
+    numbered = tick_index(predictions, slices=slices)
     return (
-        predictions.withColumn("page", F.floor(F.col("offset") / PAGE_OFFSETS).cast("bigint"))
-        .groupBy("session_key", "round", "partition", "page")
-        .agg(F.sort_array(F.collect_list(tick)).alias("ticks"))
+        numbered.withColumn("page", F.floor((F.col("tick") - 1) / PAGE_TICKS).cast("bigint"))
+        .groupBy("session_key", "round", "page")
+        .agg(F.sort_array(F.collect_list(F.struct("tick", "seq", "prob_ct_win", "timestamp_ms"))).alias("ticks"))
     )
 
 
@@ -73,18 +100,27 @@ def history_snapshot(predictions: DataFrame, path: str | None = None) -> dict[st
     return snapshot
 
 
-def _all_columns(df: DataFrame):
-    return F.struct(*df.columns)
+def _picked(df: DataFrame, by: list[str], pick: str) -> DataFrame:
+    """Each group's row of the least or greatest seq (``pick``: min or max).
+
+    Fixed-width columns come along in the same hash aggregate; if there are others besides the
+    keys, a second pass fetches the picked rows by seq.
+    """
+    by_seq, extreme = getattr(F, f"{pick}_by"), getattr(F, pick)
+    others = [f for f in df.schema if f.name not in by and f.name != "seq"]
+    if any(isinstance(f.dataType, T.StringType) for f in others):
+        return df.join(df.groupBy(*by).agg(extreme("seq").alias("seq")).select("seq"), "seq", "left_semi")
+    values = [by_seq(f.name, "seq").alias(f.name) for f in others]
+    return df.groupBy(*by).agg(extreme("seq").alias("seq"), *values).select(df.columns)
 
 
 def latest_prediction(predictions: DataFrame) -> DataFrame:
-    latest = F.max_by(_all_columns(predictions), F.struct(*ARRIVAL))
-    return predictions.agg(latest.alias("latest")).filter("latest is not null").select("latest.*")
+    last = predictions.select(F.max("seq")).scalar()
+    return predictions.filter(F.col("seq") == last)
 
 
 def latest_by_session(predictions: DataFrame) -> DataFrame:
-    latest = F.max_by(_all_columns(predictions), F.struct(*ARRIVAL))
-    return predictions.groupBy("session_key").agg(latest.alias("latest")).select("latest.*")
+    return _picked(predictions, ["session_key"], "max")
 
 
 def current_round(predictions: DataFrame) -> DataFrame:
@@ -103,57 +139,49 @@ def with_outcome(predictions: DataFrame) -> DataFrame:
 
 
 def session_series(predictions: DataFrame) -> DataFrame:
-    """Chart points, sorted by session and arrival; a range sort, so a hot session spreads out."""
-    return predictions.orderBy("session_key", *ARRIVAL).select(
-        "session_key",
-        X.short_session(F.col("session_key")).alias("session_label"),
-        F.col("timestamp_ms").alias("x"),
-        F.col("prob_ct_win").alias("y"),
+    """Chart points, sorted by session and arrival; a range sort, so a hot session spreads out.
+
+    The points are written first, so that sampling the ranges does not decode the log once more.
+    """
+    points = staged(
+        predictions.select("session_key", "seq", F.col("timestamp_ms").alias("x"), F.col("prob_ct_win").alias("y")), "points"
     )
+    label = X.short_session(F.col("session_key")).alias("session_label")
+    return points.orderBy("session_key", "seq").select("session_key", label, "x", "y")
 
 
 def round_summary(predictions: DataFrame, by: tuple[str, ...] = ("round",)) -> DataFrame:
     """Last probability as percentages and the number of ticks; also runs as a stream."""
-    return (
-        predictions.groupBy(*by)
-        .agg(
-            F.max_by("prob_ct_win", F.struct(*ARRIVAL)).alias("last_prob"),
-            F.count(F.lit(1)).alias("ticks"),
-        )
-        .select(
-            *by,
-            X.whole_percent(F.col("last_prob")).alias("ct_percent"),
-            (F.lit(100) - X.whole_percent(F.col("last_prob"))).alias("t_percent"),
-            "ticks",
-        )
+    return as_percentages(
+        predictions.groupBy(*by).agg(F.max_by("prob_ct_win", "seq").alias("last_prob"), F.count(F.lit(1)).alias("ticks")), by
     )
 
 
+def as_percentages(summary: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    percent = X.whole_percent(F.col("last_prob"))
+    return summary.select(*by, percent.alias("ct_percent"), (F.lit(100) - percent).alias("t_percent"), "ticks")
+
+
 def tick_index(
     predictions: DataFrame, by: tuple[str, ...] = ("session_key", "round"), slices: int | None = None
 ) -> DataFrame:
     """Number the ticks of each round 1..N in arrival order."""
-    cut = sliced(predictions, [*by, *ARRIVAL], "ticks", slices)
-    return row_numbers(cut, list(by), ARRIVAL, "tick")
+    cut = sliced(predictions, [*by, "seq"], "ticks", slices)
+    return row_numbers(cut, list(by), ["seq"], "tick")
 
 
 def first_ticks(predictions: DataFrame, by: tuple[str, ...] = ("session_key", "round")) -> DataFrame:
     """The tick that opened each round."""
-    first = F.min_by(_all_columns(predictions), F.struct(*ARRIVAL))
-    return predictions.groupBy(*by).agg(first.alias("first")).select("first.*")
+    return _picked(predictions, list(by), "min")
 
 
 def since_last_clear(predictions: DataFrame, markers: DataFrame) -> DataFrame:
-    """What arrived after the latest clear marker; everything when there is none."""
-    last = markers.select(F.max(F.struct(*ARRIVAL))).scalar()
-    return predictions.filter(last.isNull() | (F.struct(*ARRIVAL) > last))
+    """What arrived after the latest clear marker (by seq); everything when there is none."""
+    last = markers.select(F.max("seq")).scalar()
+    return predictions.filter(last.isNull() | (F.col("seq") > last))
 
 
-def last_n(predictions: DataFrame, n: int) -> DataFrame:
-    """The newest ``n`` of each session.
-
-    Spark limits each group before the shuffle for n up to
-    spark.sql.optimizer.windowGroupLimitThreshold, so a hot session sends n rows per task.
-    """
-    newest = Window.partitionBy("session_key").orderBy(*[F.desc(c) for c in ARRIVAL])
-    return predictions.withColumn("age", F.row_number().over(newest)).filter(F.col("age") <= n).drop("age")
+def last_n(predictions: DataFrame, n: int, slices: int | None = None) -> DataFrame:
+    """The newest ``n`` of each session, whatever ``n``: rows are counted from the end over slices."""
+    cut = sliced(predictions, ["session_key", "seq"], "newest", slices)
+    return row_numbers(cut, ["session_key"], ["seq"], "age", newest_first=True).filter(F.col("age") <= n).drop("age")

@@ -48,15 +48,15 @@ def match_responses(requests: DataFrame, responses: DataFrame, seconds: int = TI
     """
     start = _window(F.col("requested_at"), seconds)
     asked = (
-        requests.select("correlation_id", "requested_at")
+        requests.select("correlation_id", "requested_at", F.explode(F.array(start, start + 1)).alias("window"))
+        .repartition("correlation_id", "window")  # the join's own partitioning, so dropping repeats costs no shuffle
         .distinct()
-        .withColumn("window", F.explode(F.array(start, start + 1)))
     )
     given = responses.select(
         "correlation_id",
         "responded_at",
         _window(F.col("responded_at"), seconds).alias("window"),
-        F.struct("responded_at", "partition", "offset").alias("arrival"),
+        arrival().alias("arrival"),
         F.struct("prob_ct_win", "error").alias("answer"),
     )
     in_time = (F.col("responded_at") >= F.col("requested_at")) & (
@@ -72,6 +72,10 @@ def match_responses(requests: DataFrame, responses: DataFrame, seconds: int = TI
     )
 
 
+def arrival() -> Column:
+    return F.struct("responded_at", "partition", "offset")
+
+
 def outcome_columns(answered: Column) -> list[Column]:
     failed = F.coalesce(F.col("answer.error"), F.lit("")) != ""
     return [

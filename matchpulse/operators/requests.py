@@ -14,21 +14,22 @@ _FIELDS = {"correlationId": "correlation_id"} | {field: name for name, field in
 # Numbers are decoded as text, so that "5" and 5.7 can count as 5 and bad ones can be told apart.
 _TEXT_SCHEMA = ", ".join(f"{field} string" for field in _FIELDS) + ", _corrupt string"
 _MAX_INT = 2**31 - 1
+_LOG = ("timestamp", "partition", "offset")
 
 
 def make_requests(bodies: DataFrame, unique: list[str]) -> DataFrame:
-    """Request messages from rows with request fields as columns.
+    """Request messages from rows with body fields as columns; all of them are sent.
 
     The id is made from the ``unique`` columns, so a task that runs again mints the same id. A
     ``correlationId`` in the body wins over the minted one inside the message.
     """
     minted = X.uuid_from(*[F.col(c) for c in unique])
-    fields = [c for c in schemas.FEATURES.values() if c in bodies.columns]
+    fields = [c for c in bodies.columns if c not in (*_LOG, "correlationId")]
     own = F.coalesce("correlationId", minted) if "correlationId" in bodies.columns else minted
     return bodies.select(
         minted.alias("key"),
         F.to_json(F.struct(own.alias("correlationId"), *fields)).alias("value"),
-        *[c for c in ("timestamp", "partition", "offset") if c in bodies.columns],
+        *[c for c in _LOG if c in bodies.columns],
     )
 
 
@@ -41,7 +42,7 @@ def decode_requests(raw: DataFrame) -> DataFrame:
     body = F.from_json(
         F.col("value").cast("string"), _TEXT_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}
     )
-    log = [c for c in ("timestamp", "partition", "offset") if c in raw.columns]
+    log = [c for c in _LOG if c in raw.columns]
     text = raw.select(X.once(body).alias("body"), "value", *log)
 
     def number(field: str) -> Column:
@@ -83,17 +84,20 @@ def dead_letters(raw: DataFrame) -> DataFrame:
 
 
 def score_requests(requests: DataFrame, model: PipelineModel) -> DataFrame:
-    """All requests in one transform: ``prob_ct_win``, or ``error`` where the model cannot score."""
-    broken = F.isnan("remaining_time")
-    safe = requests.withColumns(
-        {
-            "error": F.when(broken, F.lit("remaining_time is not a number")),
-            "remaining_time": F.when(broken, F.lit(0.0).cast("float")).otherwise(F.col("remaining_time")),
-        }
-    )
-    return with_probability(safe, model).withColumn(
-        "prob_ct_win", F.when(F.col("error").isNull(), F.col("prob_ct_win"))
-    )
+    """All requests in one transform: ``prob_ct_win``, or ``error`` where the model cannot score.
+
+    A request the model would fail on costs its own answer only: features that are null, NaN or
+    infinite are replaced before the transform, and a probability that is no number is an error.
+    """
+    problems, sound = [], {}
+    for name in schemas.FEATURES:
+        usable = F.coalesce(X.finite(F.col(name).cast("double")).isNotNull(), F.lit(False))
+        problems.append(F.when(~usable, F.lit(f"{name} is not a number")))
+        sound[name] = F.when(usable, F.col(name)).otherwise(F.lit(0).cast(requests.schema[name].dataType))
+    scored = with_probability(requests.withColumns({"error": F.coalesce(*problems), **sound}), model)
+    odd = F.col("prob_ct_win").isNull() | F.isnan("prob_ct_win")
+    failed = F.coalesce(F.col("error"), F.when(odd, F.lit("the model gave no probability")))
+    return scored.withColumns({"error": failed, "prob_ct_win": F.when(failed.isNull(), F.col("prob_ct_win"))})
 
 
 def encode_responses(scored: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import events as E
-from matchpulse.operators.slices import cut, earlier, in_slice, sliced, with_carried
+from matchpulse.functions import expressions as X
+from matchpulse.operators.slices import SLICE, earlier, in_slice, sliced, with_carried
 from matchpulse.schemas import ORDER
 from matchpulse.sources.staging import staged
 
@@ -26,7 +27,7 @@ def timeline(events: DataFrame, slices: int | None = None) -> DataFrame:
 
 def control_rows(line: DataFrame) -> DataFrame:
     return line.filter(F.col("kind") == "control").select(
-        "session", *cut(line), *ORDER, "round_phase", "round_num", "players"
+        "session", SLICE, *ORDER, "round_phase", "round_num", "players"
     )
 
 
@@ -66,7 +67,7 @@ def transitions(line: DataFrame) -> DataFrame:
         state.withColumn("step", step)
         .filter("step is not null")
         .groupBy("session", "round_num", "step")
-        .agg(F.min_by(F.struct(*cut(line), *ORDER, "players"), F.struct(*ORDER)).alias("first"))
+        .agg(F.min_by(F.struct(SLICE, *ORDER, "players"), F.struct(*ORDER)).alias("first"))
         .select("session", "first.*", "round_num", "step")
     )
 
@@ -86,7 +87,7 @@ def round_player_stats(steps: DataFrame) -> DataFrame:
     Kills are counted from the player's latest snapshot; without one the round counts 0 kills.
     """
     by = ["session", "player"]
-    present = steps.select("session", *cut(steps), *ORDER, "round_num", "step", F.inline("players"))
+    present = steps.select("session", SLICE, *ORDER, "round_num", "step", F.inline("players"))
     start, archive = F.col("step") == "start", F.col("step") == "archive"
     snapshot = F.last(F.when(F.col("brought") | start, F.col("kills")), ignorenulls=True)
     return (
@@ -95,10 +96,10 @@ def round_player_stats(steps: DataFrame) -> DataFrame:
         .filter(archive)
         .select(
             *by,
-            *cut(steps),
+            SLICE,
             *ORDER,
             "round_num",
-            F.greatest(F.lit(0), F.col("kills") - F.coalesce("at_start", "kills")).alias("kills"),
+            X.whole(F.greatest(F.lit(0), F.col("kills").cast("bigint") - F.coalesce("at_start", "kills"))).alias("kills"),
             "damage",
         )
     )
@@ -116,8 +117,8 @@ def player_history(stats: DataFrame) -> DataFrame:
         with_carried(stats, by, ORDER, ["kills", "damage"], every, every, depth=HISTORY_ROUNDS - 1)
         .withColumns(
             {
-                "kills_prev3": F.sum("kills").over(last_three).cast("int"),
-                "damage_prev3": F.sum("damage").over(last_three).cast("int"),
+                "kills_prev3": X.whole(F.sum("kills").over(last_three)),
+                "damage_prev3": X.whole(F.sum("damage").over(last_three)),
             }
         )
         .filter("not brought")
@@ -125,44 +126,38 @@ def player_history(stats: DataFrame) -> DataFrame:
     )
 
 
-def asked_players(ticks: DataFrame, archives: DataFrame) -> DataFrame:
-    """Per slice, each archive some tick looks back to, with every player alive in such a tick.
-
-    An archive whose ticks have nobody alive keeps one row with a null player.
-    """
-    place = ["session", *cut(ticks), *ORDER]
-    home = [F.col(c).alias("home") for c in cut(ticks)]
-    at = archives.select(*place, F.struct(*home, *ORDER, "round_num").alias("archive"))
+def placed_ticks(line: DataFrame, archives: DataFrame) -> DataFrame:
+    """Ticks with a number of their own and the archive in force before them: its slice and round."""
+    ticks = tick_rows(line).withColumn("tick", F.monotonically_increasing_id())
+    at = archives.select("session", SLICE, *ORDER, F.struct(F.col(SLICE).alias("home"), "round_num").alias("archive"))
     # the ticks themselves stay out of the carrying: their slices are all it needs
-    marks = ticks.select("session", *cut(ticks)).distinct()
+    marks = ticks.select("session", SLICE).distinct()
     known = F.col("archive").isNotNull()
     seen = with_carried(
         at.unionByName(marks, allowMissingColumns=True), ["session"], ORDER, ["archive"], source=known, target=~known
     )
-    living = ticks.select(*place, F.concat("alive_ct", "alive_t").alias("alive"))
     latest = F.last("archive", ignorenulls=True).over(earlier(ticks, ["session"], ORDER))
     return (
-        living.unionByName(seen.filter(known).select(*place, "archive"), allowMissingColumns=True)
+        ticks.unionByName(seen.filter(known).select("session", SLICE, *ORDER, "archive"), allowMissingColumns=True)
         .withColumn("archive", latest)
-        .filter(F.col("alive").isNotNull() & known)
-        .select("session", *cut(ticks), "archive.*", F.explode_outer("alive").alias("player"))
-        .distinct()
+        .filter("tick is not null")
     )
 
 
-def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
-    """Per (session, slice, archive): the last-three sums of the asked players as of that archive.
-
-    One row per archive, placed at its position, with ``standing`` = map of player -> sums. Only
-    players that a tick of the slice asks for are in it, so the map is bounded by the slice.
-    """
-    by = ["session", "player"]
-    question = (
-        asked.filter(F.col("player").isNotNull())
-        .select(*by, *[F.col("home").alias(c) for c in cut(history)], "round_num")
+def asked_players(placed: DataFrame) -> DataFrame:
+    """Per slice, each archive some tick looks back to, with every player alive in such a tick."""
+    return (
+        placed.filter("archive is not null")
+        .select("session", SLICE, "archive.*", F.explode(F.concat("alive_ct", "alive_t")).alias("player"))
         .distinct()
     )
-    known = history.select(*by, *cut(history), "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
+
+
+def sums_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """The last-three sums of the asked players as of the archive, for each slice that asks."""
+    by = ["session", "player"]
+    question = asked.select(*by, F.col("home").alias(SLICE), "round_num").distinct()
+    known = history.select(*by, SLICE, "round_num", F.struct("kills_prev3", "damage_prev3").alias("sums"))
     rows = known.withColumn("asks", F.lit(False)).unionByName(
         question.withColumn("asks", F.lit(True)), allowMissingColumns=True
     )
@@ -178,37 +173,45 @@ def history_in_force(asked: DataFrame, history: DataFrame) -> DataFrame:
         .filter(F.col("asks") & F.col("sums").isNotNull())
         .select(*by, "round_num", "sums")
     )
-    entry = F.when(F.col("sums").isNotNull(), F.struct("player", "sums"))
-    return (
-        asked.join(answers, [*by, "round_num"], "left")
-        .groupBy("session", *cut(asked), *ORDER)
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("standing"))
-    )
+    return asked.join(answers, [*by, "round_num"]).select("session", SLICE, "round_num", "player", "sums.*")
 
 
-def _side_sum(alive: str, field: str):
-    return F.aggregate(
-        alive,
-        F.lit(0),
-        lambda acc, player: acc + F.coalesce(F.col("standing")[player][field], F.lit(0)),
-    )
-
+def with_prev3(placed: DataFrame, sums: DataFrame) -> DataFrame:
+    """Add the four last-three-rounds sums over the living of each side.
 
-def with_prev3(ticks: DataFrame, standing: DataFrame) -> DataFrame:
-    """Add the four last-three-rounds sums over the living of each side."""
-    sums = [
-        _side_sum("alive_ct", "kills_prev3"),
-        _side_sum("alive_ct", "damage_prev3"),
-        _side_sum("alive_t", "kills_prev3"),
-        _side_sum("alive_t", "damage_prev3"),
+    Ticks and sums go to the tasks of their slices in one shuffle. There each tick is spread over its
+    living players, who meet their sums by (round of the archive, player), and is put together again.
+    """
+    side = lambda alive, name: F.transform(alive, lambda p: F.struct(F.lit(name).alias("side"), p.alias("player")))
+    columns = [c for c in placed.columns if c not in ("archive", "alive_ct", "alive_t")]
+    ticks = placed.select(
+        *columns,
+        F.col("archive.round_num").alias("as_of"),
+        F.concat(side("alive_ct", "ct"), side("alive_t", "t")).alias("living"),
+    )
+    known = sums.select(
+        "session",
+        SLICE,
+        F.col("round_num").alias("as_of"),
+        F.array(F.struct(F.lit(None).cast("string").alias("side"), "player")).alias("living"),
+        "kills_prev3",
+        "damage_prev3",
+    )
+    own = Window.partitionBy("session", SLICE, "as_of", "one.player")
+    spread = (
+        ticks.unionByName(known, allowMissingColumns=True)
+        .repartition("session", SLICE)
+        .select(*columns, "as_of", "kills_prev3", "damage_prev3", F.explode_outer("living").alias("one"))
+        .withColumns({"kills": F.max("kills_prev3").over(own), "damage": F.max("damage_prev3").over(own)})
+        .filter("tick is not null")
+    )
+    totals = [
+        X.whole(F.coalesce(F.sum(F.when(F.col("one.side") == name, F.col(value))), F.lit(0))).alias(feature)
+        for feature, (name, value) in zip(
+            schemas.PREV3, (("ct", "kills"), ("ct", "damage"), ("t", "kills"), ("t", "damage"))
+        )
     ]
-    in_force = F.last("standing", ignorenulls=True).over(earlier(ticks, ["session"], ORDER))
-    return (
-        ticks.unionByName(standing, allowMissingColumns=True)
-        .withColumn("standing", in_force)
-        .filter("round_phase is not null")
-        .withColumns(dict(zip(schemas.PREV3, sums)))
-    )
+    return spread.groupBy(*columns).agg(*totals)
 
 
 def staged_transitions(line: DataFrame) -> DataFrame:
@@ -223,10 +226,10 @@ def tick_features(line: DataFrame) -> DataFrame:
     """Feature rows with their log position (partition, offset), from a staged timeline."""
     steps = staged_transitions(line)
     history = staged_history(steps)
-    archives = steps.filter(F.col("step") == "archive").select("session", *cut(line), *ORDER, "round_num")
-    ticks = tick_rows(line)
-    asked = staged(asked_players(ticks, archives), "asked")
-    return with_prev3(ticks, history_in_force(asked, history)).select(
+    archives = steps.filter(F.col("step") == "archive").select("session", SLICE, *ORDER, "round_num")
+    placed = staged(placed_ticks(line, archives), "ticks")
+    asked = staged(asked_players(placed), "asked")
+    return with_prev3(placed, sums_in_force(asked, history)).select(
         "session_key",
         "round_num",
         F.col("second").alias("event_timestamp"),

@@ -7,8 +7,7 @@ keys, so a hot group is cut into as many slices as its size asks for. Windows th
 Slices are contiguous, so a carried row sorts before the rows of the slice by itself. Windows
 that span slices see one row per slice, never the rows themselves.
 
-A table small enough for one slice is not cut: it has no slice column, its windows run per group,
-and nothing is carried.
+Every table is cut, small ones too: there is one plan for all sizes. Groups may have null keys.
 """
 
 from __future__ import annotations
@@ -21,30 +20,31 @@ from pyspark.sql import functions as F
 from matchpulse.sources.staging import staged
 
 SLICE = "slice"
-MOST_ROWS = 500_000
+#: Rows a slice should hold: a slice is a task and a file.
+SLICE_ROWS = 500_000
+#: Slices of a table of any size.
+LEAST_SLICES = 8
 
 
 def sliced(
-    df: DataFrame, order: list[str], name: str, slices: int | None = None, partition_by: str | None = None
+    df: DataFrame,
+    order: list[str],
+    name: str,
+    slices: int | None = None,
+    partition_by: str | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    """``df`` as a written table, cut into slices of about MOST_ROWS (or into ``slices``).
+    """``df`` as a written table with a slice column, cut into slices of about ``slice_rows`` (or into ``slices``).
 
-    Written twice when cut: first so that what is behind ``df`` runs once (counting the rows and
+    Written twice: first so that what is behind ``df`` runs once (counting the rows and
     sampling the cuts are passes of their own), then to fix the sampled cuts for all readers.
     """
     table = staged(df, f"{name}-rows", partition_by)
-    count = slices or math.ceil(table.count() / MOST_ROWS)
-    if count <= 1:
-        return table
+    count = slices or max(LEAST_SLICES, math.ceil(table.count() / slice_rows))
     cuts = table.repartitionByRange(count, *order).withColumn(SLICE, F.spark_partition_id())
     return staged(cuts, name, partition_by)
 
 
-def cut(df: DataFrame) -> list[str]:
-    """The slice column, if the table has one."""
-    return [SLICE] if SLICE in df.columns else []
-
-
 def with_carried(
     df: DataFrame, by: list[str], key: list[str], keep: list[str], source: Column, target: Column, depth: int = 1
 ) -> DataFrame:
@@ -54,21 +54,30 @@ def with_carried(
     are the ``depth`` greatest by ``key``; above depth 1 the key must grow with the slices, as
     positions do.
     """
-    if not cut(df):
-        return df.withColumn("brought", F.lit(False))
     row, rank = F.struct(*key, *keep), F.struct(*key)
-    if depth == 1:
-        greatest = F.max_by(F.when(source, row), F.when(source, rank))
-        tail = F.when(greatest.isNotNull(), F.array(greatest))
-    else:
-        tail = F.slice(F.sort_array(F.collect_list(F.when(source, row)), asc=False), 1, depth)
-    per_slice = df.groupBy(*by, SLICE).agg(tail.alias("tail"), F.max(target).alias("wanted"))
+    wanted = df.groupBy(*by, SLICE).agg(F.max(target).alias("wanted"))
     slices_before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     if depth == 1:
+        greatest = F.max_by(F.when(source, row), F.when(source, rank))
+        per_slice = df.groupBy(*by, SLICE).agg(greatest.alias("tail"), F.max(target).alias("wanted"))
         # the running greatest, so the key need not grow with the slices
-        running = F.max("tail").over(slices_before)
+        running = F.array(F.max("tail").over(slices_before))
     else:
-        per_slice = per_slice.repartition(*by).withColumn("filled", F.size("tail") > 0)
+        # only the last rows of each slice leave it; a mark per slice tells where they are wanted
+        newest = in_slice(df, by).orderBy(*[F.desc(c) for c in key])
+        tails = (
+            df.filter(source)
+            .withColumn("age", F.row_number().over(newest))
+            .filter(F.col("age") <= depth)
+            .groupBy(*by, SLICE)
+            .agg(F.sort_array(F.collect_list(row), asc=False).alias("tail"))
+        )
+        per_slice = (
+            tails.unionByName(wanted, allowMissingColumns=True)
+            .groupBy(*by, SLICE)
+            .agg(F.first("tail", ignorenulls=True).alias("tail"), F.max("wanted").alias("wanted"))
+            .withColumn("filled", F.col("tail").isNotNull())
+        )
         with_previous = Window.partitionBy(*by, "filled").orderBy(SLICE).rowsBetween(1 - depth, 0)
         latest = F.sort_array(F.flatten(F.collect_list("tail").over(with_previous)), asc=False)
         per_slice = per_slice.withColumn("tail", F.when(F.col("filled"), F.slice(latest, 1, depth)))
@@ -77,6 +86,7 @@ def with_carried(
         per_slice.withColumn("tail", running)
         .filter("wanted")
         .select(*by, SLICE, F.explode("tail").alias("row"))
+        .filter("row is not null")
         .select(*by, SLICE, "row.*", F.lit(True).alias("brought"))
     )
     return df.withColumn("brought", F.lit(False)).unionByName(brought, allowMissingColumns=True)
@@ -84,7 +94,7 @@ def with_carried(
 
 def in_slice(df: DataFrame, by: list[str]):
     """Window over the group's rows of one slice."""
-    return Window.partitionBy(*by, *cut(df))
+    return Window.partitionBy(*by, SLICE)
 
 
 def earlier(df: DataFrame, by: list[str], order: list[str]):
@@ -92,16 +102,22 @@ def earlier(df: DataFrame, by: list[str], order: list[str]):
     return in_slice(df, by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """1..N inside each group, over a table from :func:`sliced`: local numbers plus the earlier slices' counts."""
-    local = df.withColumn(name, F.row_number().over(in_slice(df, by).orderBy(*order)))
-    if not cut(df):
-        return local
+def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str, newest_first: bool = False) -> DataFrame:
+    """1..N inside each group over a table from :func:`sliced`, from the first row or from the last.
+
+    The number of rows in the slices before comes as a carried row, so null keys need no join. The
+    columns of ``df`` without the slice, then ``name``.
+    """
+    ordered = [F.desc(c) if newest_first else F.col(c) for c in order]
+    passed = Window.partitionBy(*by).orderBy(F.desc(SLICE) if newest_first else F.col(SLICE))
     sizes = df.groupBy(*by, SLICE).agg(F.count(F.lit(1)).alias("rows"))
-    previous = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    skipped = sizes.select(*by, SLICE, F.coalesce(F.sum("rows").over(previous), F.lit(0)).alias("skipped"))
+    before = F.sum("rows").over(passed.rowsBetween(Window.unboundedPreceding, -1))
+    carried = sizes.select(*by, SLICE, F.coalesce(before, F.lit(0)).alias("_step"), F.lit(0).alias("_own"))
+    steps = df.withColumns({"_step": F.lit(1).cast("bigint"), "_own": F.lit(1)})
+    place = in_slice(df, by).orderBy("_own", *ordered).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        local.join(skipped, [*by, SLICE])
-        .withColumn(name, F.col("skipped") + F.col(name))
-        .drop("skipped", SLICE)
+        steps.unionByName(carried, allowMissingColumns=True)
+        .withColumn(name, F.sum("_step").over(place))
+        .filter("_own = 1")
+        .select(*[c for c in df.columns if c != SLICE], name)
     )

@@ -7,11 +7,13 @@ lookup is an ASOF join, and the example model is its formula.
 from __future__ import annotations
 
 from matchpulse import schemas
-from matchpulse.operators import scoring as S
+from matchpulse.plans import example_model as S
 
 _LOG = """
 log AS (
-  SELECT event_id, event_type, ts, CAST(floor(epoch(ts)) AS BIGINT) AS second,
+  SELECT event_id, event_type, ts, CAST(floor(epoch(ts)) AS BIGINT) AS second, (event_id // 5) % 2 AS partition,
+    ((event_id // 5) % 2) * 281474976710656 + event_id AS seq,
+    (CAST(floor(epoch(ts)) AS BIGINT) * 2 + (event_id // 5) % 2) * 1000000000 + event_id AS pos,
     CASE WHEN event_id % 3 = 0 THEN 'arena' WHEN event_id % 12 = 11 THEN NULL
          ELSE 'm-' || (event_id // 4800) || '-' || (event_id % 12) END AS key,
     CASE WHEN event_id % 3 = 0 THEN event_id // 3 WHEN event_id % 12 = 11 THEN event_id // 12
@@ -57,33 +59,33 @@ stateless AS (
 _ROUNDS = """
 state AS (
   SELECT *, greatest(0, coalesce(max(CASE WHEN phase = 'freezetime' THEN round_or_0 END) OVER (
-      PARTITION BY session ORDER BY second, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS current_round
+      PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS current_round
   FROM game),
 steps AS (
-  SELECT session, 'start' AS step, round_or_0 AS round_num, second, event_id
+  SELECT session, 'start' AS step, round_or_0 AS round_num, second, event_id, pos
   FROM state WHERE phase = 'freezetime' AND round_or_0 > current_round
   UNION ALL
-  SELECT session, 'archive', round_or_0, second, event_id
+  SELECT session, 'archive', round_or_0, second, event_id, pos
   FROM state WHERE phase = 'over' AND round_or_0 = current_round
-  QUALIFY row_number() OVER (PARTITION BY session, current_round ORDER BY second, event_id) = 1),
+  QUALIFY row_number() OVER (PARTITION BY session, current_round ORDER BY pos) = 1),
 player_steps AS (
   SELECT s.*, p.player, p.kills, p.damage,
     last_value(CASE WHEN step = 'start' THEN p.kills END IGNORE NULLS) OVER (
-      PARTITION BY s.session, p.player ORDER BY s.second, s.event_id
+      PARTITION BY s.session, p.player ORDER BY s.pos
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at_start
   FROM steps s JOIN players p USING (event_id)),
 stats AS (
-  SELECT session, player, round_num, event_id, greatest(0, kills - coalesce(at_start, kills)) AS kills, damage
+  SELECT session, player, round_num, pos, greatest(0, kills - coalesce(at_start, kills)) AS kills, damage
   FROM player_steps WHERE step = 'archive'),
 history AS (
-  SELECT session, player, round_num, event_id,
+  SELECT session, player, round_num, pos,
     CAST(sum(kills) OVER last3 AS BIGINT) AS kills_prev3, CAST(sum(damage) OVER last3 AS BIGINT) AS damage_prev3
   FROM stats
-  WINDOW last3 AS (PARTITION BY session, player ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  WINDOW last3 AS (PARTITION BY session, player ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
 living AS (
   SELECT p.event_id, p.team, h.kills_prev3, h.damage_prev3
   FROM (SELECT * FROM players WHERE health > 0 AND phase IN ('live', 'bomb')) p
-  ASOF JOIN history h ON p.session = h.session AND p.player = h.player AND p.event_id > h.event_id),
+  ASOF JOIN history h ON p.session = h.session AND p.player = h.player AND p.pos > h.pos),
 sums AS (
   SELECT event_id,
     sum(kills_prev3) FILTER (team = 'CT') AS ck, sum(damage_prev3) FILTER (team = 'CT') AS cd,
@@ -126,9 +128,13 @@ requests AS (
 
 _PREDICTIONS = """
 predictions AS (
-  SELECT event_id AS "offset", coalesce(key, 'nobody-at-all') AS session_key, (rn // 20) % 30 + 1 AS round,
-    (event_id * 7919 % 1000001) / 1e6 AS p, event_id * 7919 % 1000001 AS prob_micro, second * 1000 AS timestamp_ms
-  FROM log WHERE event_id % 101 <> 3 AND event_id % 103 <> 2)"""
+  SELECT event_id AS "offset", seq, CASE WHEN event_id % 113 = 9 THEN 'loose' ELSE key END AS session_key,
+    CASE WHEN event_id % 113 = 9 THEN 3 ELSE (rn // 20) % 30 + 1 END AS round,
+    (event_id * 7919 % 1000001) / 1e6 AS p, event_id * 7919 % 1000001 AS prob_micro,
+    CASE WHEN event_id % 113 = 9 THEN 1700000000000 ELSE second * 1000 END AS timestamp_ms
+  FROM log WHERE event_id % 101 <> 3 AND event_id % 109 <> 7 AND (event_id % 113 = 9 OR event_id % 103 <> 2)),
+ticks AS (
+  SELECT *, row_number() OVER (PARTITION BY session_key, round ORDER BY seq) AS tick FROM predictions)"""
 
 _PERCENT = "CAST(floor(p * 100 + 0.5) AS BIGINT)"
 _PREDICTION_COLUMNS = 'session_key, round, prob_micro, timestamp_ms, "offset"'
@@ -159,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
     long_players = 'SELECT event_id AS "offset", player, team, health, kills, damage FROM players'
     transitions = 'SELECT session, step, round_num, second, event_id AS "offset" FROM steps'
     prob = _probability()
+    listed = "string_agg(tick || ':' || seq || ':' || prob_micro || ':' || timestamp_ms, ',' ORDER BY tick)"
     scored_request = f"""
       CASE WHEN shape = 'full' THEN {prob} END AS prob_micro,
       CASE WHEN shape = 'nan' THEN 'remaining_time is not a number' END AS error FROM requests"""
@@ -190,6 +197,8 @@ def oracle_sql() -> dict[str, str]:
         "prev3_features": rounds + f'SELECT event_id AS "offset", {prev3} FROM features',
         "prev3_features_disordered": disordered + f'SELECT event_id AS "offset", {prev3} FROM features',
         "feature_rows": rounds + f"SELECT session_key, round_num, event_timestamp, {features} FROM features",
+        "live_features": rounds
+        + f'SELECT session_key, round_num, event_timestamp, event_id AS "offset", {features} FROM features',
         "win_probability": rounds
         + f"SELECT session_key, round_num, event_timestamp, {prob} AS prob_micro FROM features",
         "prediction_messages": rounds
@@ -198,7 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "request_messages": asked
         + """SELECT id AS key, id AS correlation_id, event_id AS "offset" FROM (
                SELECT event_id, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id
-               FROM (SELECT event_id, md5('0|' || event_id) AS h FROM requests))""",
+               FROM (SELECT event_id, md5('1:' || (event_id // 5) % 2 || '|' || length(CAST(event_id AS VARCHAR)) || ':' || event_id || '|') AS h
+                     FROM requests))""",
         "request_features": asked + f"SELECT correlation_id, {features} FROM requests",
         "request_scores": asked + "SELECT correlation_id," + scored_request,
         "response_messages": asked + "SELECT correlation_id AS key, correlation_id," + scored_request,
@@ -213,21 +223,21 @@ def oracle_sql() -> dict[str, str]:
         "response_matching": _with(_LOG) + _MATCHING,
         "prediction_log_decode": log + f"SELECT {_PREDICTION_COLUMNS} FROM predictions",
         "unreadable_predictions": _with(_LOG)
-        + "SELECT CAST(0 AS BIGINT) AS partition, count(*) AS unreadable FROM log WHERE event_id % 101 = 3",
+        + "SELECT partition, count(*) AS unreadable FROM log WHERE event_id % 101 = 3 OR event_id % 109 = 7 GROUP BY partition",
         "round_history_nested": log
-        + """SELECT session_key, round, "offset" // 4096 AS page,
-               string_agg("offset" || ':' || prob_micro || ':' || timestamp_ms, ',' ORDER BY "offset") AS ticks
-             FROM predictions GROUP BY ALL""",
+        + f"""SELECT session_key, round, (tick - 1) // 4096 AS page, {listed} AS ticks FROM ticks GROUP BY ALL""",
         "history_snapshot": log
-        + """SELECT session_key, count(*) AS predictions, count(*) AS nested_ticks, count(DISTINCT round) AS rounds
-             FROM predictions GROUP BY session_key""",
+        + f"""SELECT session_key, round, page, ticks, predictions FROM (
+               SELECT session_key, round, (tick - 1) // 4096 AS page, {listed} AS ticks FROM ticks GROUP BY ALL) n
+             JOIN (SELECT session_key AS s, round AS r, count(*) AS predictions FROM predictions GROUP BY ALL)
+             ON session_key IS NOT DISTINCT FROM s AND round = r""",
         "latest_prediction": log
-        + f'SELECT {_PREDICTION_COLUMNS} FROM predictions QUALIFY row_number() OVER (ORDER BY "offset" DESC) = 1',
+        + f'SELECT {_PREDICTION_COLUMNS} FROM predictions QUALIFY row_number() OVER (ORDER BY seq DESC) = 1',
         "latest_by_session": log
         + f"""SELECT {_PREDICTION_COLUMNS} FROM predictions
-              QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY "offset" DESC) = 1""",
+              QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY seq DESC) = 1""",
         "current_round": log
-        + 'SELECT round FROM predictions QUALIFY row_number() OVER (ORDER BY "offset" DESC) = 1',
+        + 'SELECT round FROM predictions QUALIFY row_number() OVER (ORDER BY seq DESC) = 1',
         "outcome_label": log
         + f"""SELECT "offset", CASE WHEN p >= 0.5::DOUBLE THEN 'CT Win' ELSE 'T Win' END AS outcome,
                {_PERCENT} AS ct_percent, '…' || right(session_key, 8) AS session_label FROM predictions""",
@@ -236,35 +246,37 @@ def oracle_sql() -> dict[str, str]:
                prob_micro AS y_micro FROM predictions""",
         "round_summary": log
         + f"""SELECT round, pct AS ct_percent, 100 - pct AS t_percent, ticks FROM (
-               SELECT round, max_by({_PERCENT}, "offset") AS pct, count(*) AS ticks FROM predictions GROUP BY round)""",
+               SELECT round, max_by({_PERCENT}, seq) AS pct, count(*) AS ticks FROM predictions GROUP BY round)""",
         "round_summary_by_session": log
         + f"""SELECT session_key, round, pct AS ct_percent, 100 - pct AS t_percent, ticks FROM (
-               SELECT session_key, round, max_by({_PERCENT}, "offset") AS pct, count(*) AS ticks
+               SELECT session_key, round, max_by({_PERCENT}, seq) AS pct, count(*) AS ticks
                FROM predictions GROUP BY session_key, round)""",
         "tick_index": log
         + """SELECT session_key, round, "offset",
-               row_number() OVER (PARTITION BY session_key, round ORDER BY "offset") AS tick FROM predictions""",
+               row_number() OVER (PARTITION BY session_key, round ORDER BY seq) AS tick FROM predictions""",
         "tick_index_by_round": log
-        + """SELECT round, "offset", row_number() OVER (PARTITION BY round ORDER BY "offset") AS tick
+        + """SELECT round, "offset", row_number() OVER (PARTITION BY round ORDER BY seq) AS tick
              FROM predictions""",
         "first_ticks": log
         + f"""SELECT {_PREDICTION_COLUMNS} FROM predictions
-              QUALIFY row_number() OVER (PARTITION BY session_key, round ORDER BY "offset") = 1""",
+              QUALIFY row_number() OVER (PARTITION BY session_key, round ORDER BY seq) = 1""",
         "first_ticks_by_round": log
         + f"""SELECT {_PREDICTION_COLUMNS} FROM predictions
-              QUALIFY row_number() OVER (PARTITION BY round ORDER BY "offset") = 1""",
+              QUALIFY row_number() OVER (PARTITION BY round ORDER BY seq) = 1""",
         "since_last_clear": log
         + f"""SELECT {_PREDICTION_COLUMNS} FROM predictions
-              WHERE "offset" > coalesce((SELECT max(event_id) FROM log WHERE event_id % 4000 = 417), -1)""",
+              WHERE seq > coalesce((SELECT max(seq) FROM log WHERE event_id % 4000 = 417), -1)""",
         "last_n": log
         + f"""SELECT {_PREDICTION_COLUMNS} FROM predictions
-              QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY "offset" DESC) <= 5""",
+              QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY seq DESC) <= 5""",
         "request_dead_letters": asked
         + """SELECT event_id AS "offset" FROM bodies
              WHERE shape IN ('cut', 'text') OR (shape = 'full' AND event_id % 61 = 6)""",
     }
-    for name in ("response_messages", "prediction_log_decode", "stateless_features"):
+    for name in ("response_messages", "prediction_log_decode", "stateless_features", "round_summary"):
         sql[f"live_{name}"] = sql[name]
+    sql["live_predictions"] = sql["win_probability"]
+    sql["live_matches"] = sql["response_matching"]
     return sql
 
 
@@ -313,7 +325,7 @@ first AS (
   SELECT l.event_id, s.copy
   FROM log l JOIN sent s ON s.event_id = l.event_id
     AND s.responded_us >= epoch_us(l.ts) AND s.responded_us < epoch_us(l.ts) + 10000000
-  QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY s.responded_us, s."offset") = 1)
+  QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY s.responded_us, l.partition, s."offset") = 1)
 SELECT 'r' || l.event_id AS correlation_id,
   CASE WHEN copy IS NULL THEN 'timeout' WHEN l.event_id % 13 = 4 THEN 'error' ELSE 'ok' END AS status,
   CASE WHEN copy IS NOT NULL AND l.event_id % 13 <> 4 THEN (l.event_id * 7919 + copy) % 1000001 END AS prob_micro,

@@ -17,8 +17,9 @@ from matchpulse.operators import matching as J
 from matchpulse.operators import requests as Q
 from matchpulse.operators import rounds as R
 from matchpulse.operators import scoring as S
+from matchpulse.plans.example_model import example_model
 from matchpulse.sources import derived, kafka, staging
-from matchpulse.streaming import live
+from matchpulse.streaming import live, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -53,8 +54,7 @@ def _events(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataF
 
 
 def _timeline(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataFrame:
-    """The clean timeline is cut by its size; the disordered one always, to show hot sessions cut up."""
-    return R.timeline(_events(spark, sf_dir, disordered), 8 if disordered else None)
+    return R.timeline(_events(spark, sf_dir, disordered))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.score(R.build_features(_events(spark, sf_dir)), S.example_model(spark))
+    return S.score(R.build_features(_events(spark, sf_dir)), example_model(spark))
 
 
 @query
@@ -250,13 +250,13 @@ def request_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = Q.parse_requests(derived.request_log(spark, sf_dir))
-    scored = Q.score_requests(requests, S.example_model(spark))
+    scored = Q.score_requests(requests, example_model(spark))
     return scored.select("correlation_id", millionths("prob_ct_win").alias("prob_micro"), "error")
 
 
 @query
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_responses(Q.answer_requests(derived.request_log(spark, sf_dir), S.example_model(spark)))
+    return _read_responses(Q.answer_requests(derived.request_log(spark, sf_dir), example_model(spark)))
 
 
 def _read_responses(messages: DataFrame) -> DataFrame:
@@ -269,20 +269,107 @@ def _read_responses(messages: DataFrame) -> DataFrame:
     )
 
 
+CHUNKS = 3
+
+
+def _chunks(log: DataFrame, at: str = "timestamp") -> list[DataFrame]:
+    """The log, written once, in CHUNKS stretches of time."""
+    table = staging.staged(log, "log")
+    second = F.col(at).cast("bigint")
+    low, high = table.agg(F.min(second), F.max(second)).first()
+    place = F.floor((second - F.lit(low or 0)) * CHUNKS / F.lit((high or 0) - (low or 0) + 1))
+    return [table.filter(place == i) for i in range(CHUNKS)]
+
+
+def _micro_batches(streams: dict[str, list[DataFrame]], job: Callable[..., DataFrame], output_mode: str = "append") -> DataFrame:
+    """Run a streaming job over logs that arrive chunk by chunk, a micro-batch or more each, on one checkpoint.
+
+    Returns what it wrote; with output mode update each row has the number of its ``batch``.
+    """
+    spark = next(iter(streams.values()))[0].sparkSession
+    root = staging.new_folder(spark, "stream")
+    # a state with a processing-time timeout asks for batches without data for ever, so that the run would not end
+    without_data = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(without_data)
+    spark.conf.set(without_data, "false")
+    try:
+        return _run_chunks(spark, streams, job, output_mode, root)
+    finally:
+        spark.conf.set(without_data, before)
+
+
+def _run_chunks(
+    spark: SparkSession, streams: dict[str, list[DataFrame]], job: Callable[..., DataFrame], output_mode: str, root: str
+) -> DataFrame:
+    for parts in zip(*streams.values()):
+        for name, part in zip(streams, parts):
+            part.write.mode("append").parquet(f"{root}/{name}")
+        stream = job(*[spark.readStream.schema(p.schema).parquet(f"{root}/{n}") for n, p in zip(streams, parts)])
+        run = kafka.writer(
+            stream, "run", "parquet", path=f"{root}/out", available_now=True, checkpoint_root=root, resume=True, output_mode=output_mode
+        )
+        if output_mode == "update":
+            run = run.foreachBatch(
+                lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out")
+            )
+        run.start().awaitTermination()
+    schema = stream.withColumn("batch", F.lit(0).cast("bigint")).schema if output_mode == "update" else stream.schema
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
 def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Write the log as files, run the streaming job over all of them, return what it wrote."""
-    spark = log.sparkSession
-    folder, out = staging.new_folder(spark, "log"), staging.new_folder(spark, "stream")
-    log.write.parquet(folder)
-    stream = job(kafka.read_files(spark, folder))
-    run = kafka.writer(stream, f"run-{out[-36:]}", mode="parquet", path=out, available_now=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return _micro_batches({"log": _chunks(log)}, job)
+
+
+@query
+def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed round state over a stream of telemetry."""
+    rows = _through_stream(derived.telemetry(spark, sf_dir), state.live_features)
+    return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
+
+
+@query
+def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = example_model(spark)
+    rows = _through_stream(derived.telemetry(spark, sf_dir), lambda raw: live.live_predictions(raw, model))
+    return _plain(rows.select("session_key", "round_num", "event_timestamp", millionths("prob_ct_win").alias("prob_micro")))
+
+
+@query
+def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests and responses as streams; closing messages move the watermark past the last request."""
+    asked = derived.request_log(spark, sf_dir).select(
+        F.col("key").alias("correlation_id"), F.col("timestamp").alias("requested_at")
+    )
+    requests = _chunks(asked, "requested_at")
+    responses = _chunks(derived.response_log(spark, sf_dir))
+    for days in (1, 2, 3):
+        later = F.max("requested_at") + F.make_dt_interval(days=F.lit(days))
+        end = requests[0].unionByName(requests[-1]).agg(later.alias("at"))
+        requests.append(end.select(F.lit("end").alias("correlation_id"), F.col("at").alias("requested_at")))
+        none = [F.lit("end").alias("key"), F.lit('{"correlationId":"end"}').alias("value"), F.col("at").alias("timestamp")]
+        responses.append(end.select(*none, F.lit(0).alias("partition"), F.lit(days).cast("bigint").alias("offset")))
+    matched = _micro_batches({"requests": requests, "responses": responses}, live.live_matches)
+    return matched.filter("correlation_id <> 'end'").select(
+        "correlation_id", "status", millionths("prob_ct_win").alias("prob_micro"), "error"
+    )
+
+
+@query
+def live_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded with the first chunk as history, then updated by the others."""
+    first, *rest = _chunks(derived.prediction_log(spark, sf_dir))
+    seed = staging.staged(live.round_totals(H.read_predictions(first)), "seed")
+    updates = _micro_batches({"log": rest}, lambda raw: live.live_round_summary(raw, seed=seed), "update")
+    columns = ["ct_percent", "t_percent", "ticks"]
+    shown = H.as_percentages(seed, ("round",)).withColumn("batch", F.lit(-1).cast("bigint")).unionByName(updates)
+    last = shown.groupBy("round").agg(*[F.max_by(c, "batch").alias(c) for c in columns])
+    return _plain(last.select("round", *columns))
 
 
 @query
 def live_response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = S.example_model(spark)
+    model = example_model(spark)
     return _read_responses(
         _through_stream(derived.request_log(spark, sf_dir), lambda raw: live.live_answers(raw, model))
     )
@@ -342,26 +429,30 @@ def unreadable_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(H.unreadable_predictions(derived.prediction_log(spark, sf_dir)))
 
 
+def _listed() -> Column:
+    """A page's ticks as text."""
+    tick = lambda t: F.concat_ws(
+        ":", t["tick"].cast("string"), t["seq"].cast("string"), millionths(t["prob_ct_win"]).cast("string"), t["timestamp_ms"].cast("string")
+    )
+    return F.array_join(F.transform("ticks", tick), ",").alias("ticks")
+
+
 @query
 def round_history_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = H.round_history_nested(_predictions(spark, sf_dir))
-    text = F.transform(
-        "ticks",
-        lambda t: F.concat_ws(
-            ":", t["offset"].cast("string"), millionths(t["prob_ct_win"]).cast("string"), t["timestamp_ms"].cast("string")
-        ),
-    )
-    return _plain(pages.select("session_key", "round", "page", F.array_join(text, ",").alias("ticks")))
+    return _plain(pages.select("session_key", "round", "page", _listed()))
 
 
 @query
 def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    snapshot = H.history_snapshot(_predictions(spark, sf_dir))
-    flat = snapshot["predictions"].groupBy("session_key").agg(F.count(F.lit(1)).alias("predictions"))
-    nested = snapshot["round_history"].groupBy("session_key").agg(
-        F.sum(F.size("ticks")).alias("nested_ticks"), F.count_distinct("round").alias("rounds")
-    )
-    return flat.join(nested, "session_key")
+    """The written snapshot read again: the nested lists, next to the flat list's counts."""
+    folder = staging.new_folder(spark, "snapshot")
+    H.history_snapshot(staging.staged(_predictions(spark, sf_dir), "predictions"), folder)
+    flat = spark.read.parquet(f"{folder}/predictions").groupBy("session_key", "round")
+    counts = flat.agg(F.count(F.lit(1)).alias("predictions")).withColumnsRenamed({"session_key": "s", "round": "r"})
+    nested = spark.read.parquet(f"{folder}/round_history").select("session_key", "round", "page", _listed())
+    same = F.col("session_key").eqNullSafe(F.col("s")) & F.col("round").eqNullSafe(F.col("r"))
+    return _plain(nested.join(counts, same).drop("s", "r"))
 
 
 @query
@@ -409,7 +500,7 @@ def tick_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tick_index_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(H.tick_index(_predictions(spark, sf_dir), ("round",), slices=8).select("round", "offset", "tick"))
+    return _plain(H.tick_index(_predictions(spark, sf_dir), ("round",)).select("round", "offset", "tick"))
 
 
 @query
@@ -425,7 +516,7 @@ def first_ticks_by_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def since_last_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     clears = derived.event_log(spark, sf_dir).filter(F.col("event_id") % 4000 == 417)
-    markers = clears.select(F.col("timestamp").alias("arrived_at"), "partition", "offset")
+    markers = clears.select(H.sequence())
     return _prediction_columns(H.since_last_clear(_predictions(spark, sf_dir), markers))
 
 

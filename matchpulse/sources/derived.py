@@ -10,20 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchpulse import schemas
-
 
 def _div(column: Column, by: int) -> Column:
     return F.floor(column / by).cast("bigint")
 
 
-def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table, spread over the cores when it comes in fewer splits than there are cores."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
-    cores = spark.sparkContext.defaultParallelism
-    return events.repartition(cores, "event_id") if events.rdd.getNumPartitions() < cores else events
-
-
 def instant(ntz: Column) -> Column:
     """A zone-less UTC timestamp as an instant, whatever the session time zone."""
     return F.concat(ntz.cast("string"), F.lit("Z")).cast("timestamp")
@@ -33,16 +24,15 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the session each row plays in and its running number there (``rn``)."""
     E = F.col("event_id")
     hot, keyless = E % 3 == 0, E % 12 == 11
-    return events_table(spark, sf_dir).select(
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         "event_id",
         "event_type",
-        "value",
         instant(F.col("ts")).alias("timestamp"),
         F.when(hot, F.lit("arena"))
         .when(~keyless, F.concat_ws("-", F.lit("m"), _div(E, 4800).cast("string"), (E % 12).cast("string")))
         .alias("key"),
         F.when(hot, _div(E, 3)).when(keyless, _div(E, 12)).otherwise(_div(E % 4800, 12)).alias("rn"),
-        F.lit(0).alias("partition"),
+        (_div(E, 5) % 2).cast("int").alias("partition"),
         E.alias("offset"),
     )
 
@@ -121,19 +111,29 @@ def probability() -> Column:
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prediction messages with tombstones, unreadable rows and old rows in seconds."""
+    """Prediction messages with tombstones, unreadable and blank rows, numbers as text, old rows in seconds."""
     E = F.col("event_id")
     log = event_log(spark, sf_dir)
     seconds = F.unix_seconds("timestamp")
     body = F.to_json(
         F.struct(
-            F.coalesce("key", F.lit("nobody-at-all")).alias("sessionKey"),
+            F.col("key").alias("sessionKey"),
             (_div(F.col("rn"), 20) % 30 + 1).cast("int").alias("round"),
             probability().alias("probCtWin"),
             F.when(E % 10 == 4, seconds).otherwise(seconds * 1000).alias("timestamp"),
         )
     )
-    value = F.when(E % 101 == 3, F.lit("not json")).when(E % 103 != 2, body)
+    loose = F.concat(
+        F.lit('{"sessionKey":"loose","round":3.0,"probCtWin":"'),
+        probability().cast("decimal(7,6)").cast("string"),
+        F.lit('","timestamp":1.7e12}'),
+    )
+    value = (
+        F.when(E % 101 == 3, F.lit("not json"))
+        .when(E % 109 == 7, F.lit("  "))
+        .when(E % 113 == 9, loose)
+        .when(E % 103 != 2, body)
+    )
     return log.select("key", value.alias("value"), "timestamp", "partition", "offset")
 
 
@@ -199,10 +199,3 @@ def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("offset") * 2 + F.col("copy")).alias("offset"),
         )
     )
-
-
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows without the round history, from the requests' numbers; for scoring alone."""
-    from matchpulse.operators.requests import parse_requests
-
-    return parse_requests(request_log(spark, sf_dir)).select("correlation_id", *schemas.FEATURES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
@@ -57,6 +57,10 @@ def kafka_security_options(security: Security) -> dict[str, str]:
 
 
 def reader_options(topic: Topic) -> dict[str, str]:
+    """Options of a stream. From the earliest offset on the first micro-batch would be the whole log, so
+    that start asks for a limit."""
+    if topic.starting_offsets != "latest" and not topic.max_offsets_per_trigger:
+        raise ValueError("set max_offsets_per_trigger when the stream does not start at the latest offsets")
     options = {
         "kafka.bootstrap.servers": topic.servers,
         "subscribe": topic.name,
@@ -84,10 +88,14 @@ def read_topic(spark: SparkSession, topic: Topic) -> DataFrame:
     return spark.readStream.format("kafka").options(**reader_options(topic)).load()
 
 
+def replay_options(topic: Topic) -> dict[str, str]:
+    options = reader_options(replace(topic, starting_offsets="latest", max_offsets_per_trigger=None))
+    return {**options, "startingOffsets": "earliest", "failOnDataLoss": "true"}
+
+
 def replay_topic(spark: SparkSession, topic: Topic) -> DataFrame:
-    """The whole retained log of a topic as a bounded table."""
-    options = {k: v for k, v in reader_options(topic).items() if k != "maxOffsetsPerTrigger"}
-    return spark.read.format("kafka").options(**{**options, "startingOffsets": "earliest"}).load()
+    """The whole retained log of a topic as a bounded table; lost offsets are an error."""
+    return spark.read.format("kafka").options(**replay_options(topic)).load()
 
 
 def read_files(spark: SparkSession, path: str, file_format: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchpulse.operators.history import read_predictions, round_summary
-from matchpulse.operators.matching import TIMEOUT_SECONDS, outcome_columns, read_responses
+from matchpulse.operators.history import as_percentages, read_predictions
+from matchpulse.operators.matching import TIMEOUT_SECONDS, arrival, outcome_columns, read_responses
 from matchpulse.operators.requests import answer_requests
 from matchpulse.operators.scoring import encode_predictions, score
 from matchpulse.streaming.state import live_features
@@ -30,29 +33,57 @@ def live_answers(raw_requests: DataFrame, model: PipelineModel) -> DataFrame:
 def live_matches(requests: DataFrame, raw_responses: DataFrame, seconds: int = TIMEOUT_SECONDS) -> DataFrame:
     """Requests (correlation_id, requested_at) with their response, or a timeout, on event time.
 
-    Both sides are watermarked by the limit: an unanswered request comes out once both streams
-    have passed it. Of several responses to one id the first to arrive counts.
+    Both sides are watermarked by the limit: a request comes out once both streams have passed it.
+    Of several responses inside the limit the first counts, by (responded_at, partition, offset),
+    as in batch.
     """
     limit = f"{seconds} seconds"
     asked = requests.select("correlation_id", "requested_at").withWatermark("requested_at", limit)
     given = (
         read_responses(raw_responses)
         .withWatermark("responded_at", limit)
-        .dropDuplicatesWithinWatermark(["correlation_id"])
         .select(
             F.col("correlation_id").alias("response_id"),
             "responded_at",
+            arrival().alias("arrival"),
             F.struct("prob_ct_win", "error").alias("answer"),
         )
     )
     in_time = (F.col("responded_at") >= F.col("requested_at")) & (
         F.col("responded_at") < F.col("requested_at") + F.expr(f"interval {seconds} seconds")
     )
-    return asked.join(given, (F.col("correlation_id") == F.col("response_id")) & in_time, "leftOuter").select(
-        "correlation_id", "requested_at", *outcome_columns(F.col("response_id").isNotNull())
+    return (
+        asked.join(given, (F.col("correlation_id") == F.col("response_id")) & in_time, "leftOuter")
+        .groupBy("correlation_id", "requested_at")
+        .agg(F.min_by("answer", "arrival").alias("answer"), F.min("arrival").alias("arrival"))
+        .select("correlation_id", "requested_at", *outcome_columns(F.col("arrival").isNotNull()))
     )
 
 
-def live_round_summary(raw_predictions: DataFrame, by: tuple[str, ...] = ("round",)) -> DataFrame:
-    """Running round summary; write with output mode update (or complete). One state row per group."""
-    return round_summary(read_predictions(raw_predictions), by)
+def round_totals(predictions: DataFrame, by: tuple[str, ...] = ("round",)) -> DataFrame:
+    """Last probability and number of ticks per group: what a live summary starts from."""
+    return predictions.groupBy(*by).agg(F.max_by("prob_ct_win", "seq").alias("last_prob"), F.count(F.lit(1)).alias("ticks"))
+
+
+def live_round_summary(
+    raw_predictions: DataFrame,
+    by: tuple[str, ...] = ("round",),
+    seed: DataFrame | None = None,
+    markers: DataFrame | None = None,
+) -> DataFrame:
+    """Running round summary; write with output mode update (or complete). One state row per group.
+
+    ``seed`` (from :func:`round_totals` over the history before the stream) is added to what the stream
+    brings. Predictions up to the last of the clear ``markers`` (seq) are left out; a clear while the
+    stream runs is a new start with the new marker and no seed.
+    """
+    predictions = read_predictions(raw_predictions)
+    if markers is not None and (last := markers.agg(F.max("seq")).first()[0]) is not None:
+        predictions = predictions.filter(F.col("seq") > last)
+    totals = round_totals(predictions, by)
+    if seed is not None:
+        before = seed.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("ticks").alias("_ticks"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+        ticks = F.col("ticks") + F.coalesce("_ticks", F.lit(0))
+        totals = totals.join(before, same, "left").select(*by, "last_prob", ticks.alias("ticks"))
+    return as_percentages(totals, by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,31 +23,38 @@ FEATURES_WITH_POSITION = (
 )
 
 
-def _side(history: dict, alive) -> tuple[int, int]:
-    rounds = [r for player in alive for r in history.get(player, ())]
-    return sum(r[0] for r in rounds), sum(r[1] for r in rounds)
+def _sums(ticks: pd.DataFrame, history: dict) -> pd.DataFrame:
+    """The four last-three-rounds sums of ticks that see the same history, in column form."""
+    totals = [{p: sum(r[i] for r in rounds) for p, rounds in history.items()} for i in (0, 1)]
+    out = {}
+    for name, (side, total) in zip(schemas.PREV3, itertools.product(("alive_ct", "alive_t"), totals)):
+        living = ticks[side].explode()
+        out[name] = living.map(total).fillna(0).astype("int64").groupby(level=0).sum()
+    return pd.DataFrame(out, index=ticks.index)
 
 
 def _play(rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict):
-    """Run one session's rows, in order, over its state; returns the sums per tick and the new state."""
-    sums = []
-    for phase, number, players, ct, t in zip(
-        rows["round_phase"], rows["round_num"], rows["players"], rows["alive_ct"], rows["alive_t"]
-    ):
-        if phase == "freezetime":
-            if number > current:
-                start.update((p["player"], int(p["kills"])) for p in players)
-                current, archived = int(number), False
-        elif phase == "over":
-            if not archived and number == current:
-                for p in players:
-                    kills = int(p["kills"])
-                    entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
-                    history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
-                archived = True
-        else:
-            sums.append((*_side(history, ct), *_side(history, t)))
-    return sums, (current, archived, start, history)
+    """Run one session's rows, in order, over its state; returns the sums of its ticks and the new state.
+
+    Only control rows are visited one by one; the ticks between two archives are done together.
+    """
+    is_tick = rows["kind"] == "tick"
+    found, done = [], 0
+    control = rows[~is_tick]
+    for at, phase, number, players in zip(control.index, control["round_phase"], control["round_num"], control["players"]):
+        if phase == "freezetime" and number > current:
+            start.update((p["player"], int(p["kills"])) for p in players)
+            current, archived = int(number), False
+        elif phase == "over" and not archived and number == current:
+            found.append(_sums(rows[done:at][is_tick[done:at]], history))
+            done = at
+            for p in players:
+                kills = int(p["kills"])
+                entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
+                history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
+            archived = True
+    found.append(_sums(rows[done:][is_tick[done:]], history))
+    return pd.concat(found), (current, archived, start, history)
 
 
 def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,7 +72,7 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         history = {p: [(r[0], r[1]) for r in rounds] for p, rounds in history.items()}
     else:
         current, archived, start, history = 0, False, {}, {}
-    rows = pd.concat(batches, ignore_index=True).sort_values(schemas.ORDER, kind="stable")
+    rows = pd.concat(batches, ignore_index=True).sort_values(schemas.ORDER, kind="stable", ignore_index=True)
     sums, after = _play(rows, current, archived, start, history)
     state.update(after)
     state.setTimeoutDuration(IDLE_MS)
@@ -73,7 +81,7 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         out = ticks[["session_key", "round_num", "second", *schemas.STATELESS]].rename(
             columns={"second": "event_timestamp"}
         )
-        out[schemas.PREV3] = sums
+        out[schemas.PREV3] = sums[schemas.PREV3]
         out[["partition", "offset"]] = ticks[["partition", "offset"]]
         yield out
 

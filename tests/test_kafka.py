@@ -1,10 +1,24 @@
 """The Kafka jar is not installed here: the options are checked, the streams run on files elsewhere."""
 
+import pytest
+
 from matchpulse.sources import kafka
 
 SASL = kafka.Security("SASL_SSL", "SCRAM-SHA-256", "user", "word")
 
 
+def test_a_start_at_the_beginning_needs_a_limit():
+    with pytest.raises(ValueError):
+        kafka.reader_options(kafka.Topic("b:9092", "t", "earliest"))
+    assert "maxOffsetsPerTrigger" not in kafka.reader_options(kafka.Topic("b:9092", "t"))
+
+
+def test_replay_does_not_lose_offsets():
+    options = kafka.replay_options(kafka.Topic("b:9092", "t", "earliest", "g", 5000, SASL))
+    assert options["failOnDataLoss"] == "true" and options["startingOffsets"] == "earliest"
+    assert "maxOffsetsPerTrigger" not in options and options["kafka.security.protocol"] == "SASL_SSL"
+
+
 def test_plain_connections_need_no_options():
     assert kafka.kafka_security_options(kafka.Security()) == {}
     assert kafka.kafka_security_options(kafka.Security(mechanism="")) == {}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from matchpulse import schemas
 from matchpulse.operators import requests as Q
 from matchpulse.operators import scoring as S
+from matchpulse.plans import example_model
 from tests.messages import log
 
 FULL = {field: 1 for field in schemas.FEATURES.values()} | {"correlationId": "r1", "remainingTime": 30.5}
@@ -49,12 +50,12 @@ def test_numbers_are_coerced(spark, value, want):
 def test_unreadable_requests_get_no_answer(spark, body):
     raw = log(spark, [body])
     assert Q.parse_requests(raw).count() == 0 and Q.dead_letters(raw).count() == 1
-    assert Q.answer_requests(raw, S.example_model(spark)).count() == 0
+    assert Q.answer_requests(raw, example_model.example_model(spark)).count() == 0
 
 
 def test_answers(spark):
     raw = log(spark, [FULL, FULL | {"correlationId": "r2", "remainingTime": "NaN"}])
-    answers = {r.key: json.loads(r.value) for r in Q.answer_requests(raw, S.example_model(spark)).collect()}
+    answers = {r.key: json.loads(r.value) for r in Q.answer_requests(raw, example_model.example_model(spark)).collect()}
     assert set(answers["r1"]) == {"correlationId", "probCtWin"} and 0 < answers["r1"]["probCtWin"] < 1
     assert answers["r2"] == {"correlationId": "r2", "error": "remaining_time is not a number"}
 
@@ -133,7 +134,7 @@ def test_made_requests(spark):
 def test_model_is_saved_loaded_and_scores_by_formula(spark, tmp_path):
     import math
 
-    model = S.example_model(spark)
+    model = example_model.example_model(spark)
     model.save(f"{tmp_path}/model")
     values = [3, 2, 250, 180, 1, 30.5, 4, 320, 2, 150]
     features = spark.createDataFrame(
@@ -141,11 +142,27 @@ def test_model_is_saved_loaded_and_scores_by_formula(spark, tmp_path):
         "session_key string, round_num int, event_timestamp bigint, "
         + ", ".join(f"{n} {'float' if n == 'remaining_time' else 'int'}" for n in schemas.FEATURES),
     )
-    z = S.EXAMPLE_INTERCEPT + sum(
-        w * (v - m) / s for w, v, m, s in zip(S.EXAMPLE_WEIGHTS, values, S.EXAMPLE_MEAN, S.EXAMPLE_STD)
+    z = example_model.EXAMPLE_INTERCEPT + sum(
+        w * (v - m) / s for w, v, m, s in zip(example_model.EXAMPLE_WEIGHTS, values, example_model.EXAMPLE_MEAN, example_model.EXAMPLE_STD)
     )
     for each in (model, S.load_model(f"{tmp_path}/model")):
         scored = S.score(features, each)
         assert scored.columns == S.PREDICTION_COLUMNS
         assert scored.collect()[0].prob_ct_win == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
     assert json.loads(S.encode_predictions(S.score(features, model)).collect()[0].value)["timestamp"] == 2000
+
+
+def test_a_row_the_model_cannot_score_costs_its_own_answer(spark):
+    names = list(schemas.FEATURES)
+    kinds = ", ".join(f"{n} {'float' if n == 'remaining_time' else 'int'}" for n in names)
+    good = [1] * len(names)
+    rows = [("a", *good), ("b", None, *good[1:]), ("c", *[float("inf") if n == "remaining_time" else 1 for n in names])]
+    requests = spark.createDataFrame([(r[0], *[float(v) if n == "remaining_time" and v is not None else v for n, v in zip(names, r[1:])]) for r in rows], f"correlation_id string, {kinds}")
+    found = {r.correlation_id: (r.prob_ct_win is None, r.error) for r in Q.score_requests(requests, example_model.example_model(spark)).collect()}
+    assert found == {"a": (False, None), "b": (True, "ct_alive is not a number"), "c": (True, "remaining_time is not a number")}
+
+
+def test_all_fields_of_a_body_are_sent(spark):
+    bodies = spark.createDataFrame([(1, 5, "x")], "n int, ctAlive int, note string")
+    body = json.loads(Q.make_requests(bodies, ["n"]).collect()[0].value)
+    assert (body["n"], body["ctAlive"], body["note"]) == (1, 5, "x")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import rounds, scoring
+from matchpulse.plans.example_model import example_model
 from matchpulse.operators.events import parse_events
 from matchpulse.operators.history import read_predictions, round_summary
 from matchpulse.operators.matching import match_responses, read_responses
@@ -48,7 +49,7 @@ def test_live_features_equal_batch(spark, sf_dir, tmp_path, disordered, chunks):
 def test_live_prediction_messages(spark, sf_dir, tmp_path):
     raw = derived.telemetry(spark, sf_dir)
     write_chunks(raw, f"{tmp_path}/in", 1)
-    model = scoring.example_model(spark)
+    model = example_model(spark)
     got = run(live.live_prediction_messages(kafka.read_files(spark, f"{tmp_path}/in"), model), tmp_path, "predictions")
     want = scoring.encode_predictions(scoring.score(rounds.build_features(parse_events(raw)), model))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
@@ -57,7 +58,7 @@ def test_live_prediction_messages(spark, sf_dir, tmp_path):
 def test_live_answers_equal_batch(spark, sf_dir, tmp_path):
     raw = derived.request_log(spark, sf_dir)
     write_chunks(raw, f"{tmp_path}/in", 2)
-    model = scoring.example_model(spark)
+    model = example_model(spark)
     got = run(live.live_answers(kafka.read_files(spark, f"{tmp_path}/in"), model), tmp_path, "answers")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, answer_requests(raw, model).collect()))
 
