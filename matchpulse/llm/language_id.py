@@ -30,6 +30,7 @@ from matchpulse.llm import common as C
 
 MARK = 32
 WORD = 24
+SLICE = 4_000_000
 MOST_PIECE = 12
 MOST_LANGUAGES = 64
 SMOOTHING = 0.5
@@ -183,7 +184,7 @@ def piece_counts(texts: DataFrame, pieces: tuple[bytes, ...]) -> DataFrame:
         size = len(shared.value)
         totals: dict[str, np.ndarray] = {}
         for whole in batches:
-            for batch in C.slices(whole, "text"):
+            for batch in C.slices(whole, "text", SLICE):
                 coded = batch.column("lang").dictionary_encode()
                 group, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
                 words = Words(batch.column("text"), group)
@@ -234,7 +235,7 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         trie = trie_of(model.pieces)
         for whole in batches:
-            for batch in C.slices(whole, "text"):
+            for batch in C.slices(whole, "text", SLICE):
                 words = Words(batch.column("text"))
                 logs = np.zeros((len(words.at), len(model.languages)))
                 for rows, matrix in words.matrices():
