@@ -18,11 +18,11 @@ def featured(spark, bodies):
 
 
 def test_key_fields_are_extracted(spark):
-    players = {"a": player(kills=3), "b": player("T", 75, 1, 80)}
-    row = parsed(spark, [event("live", 2, players, "91.6")])[0]
-    assert (row.session_key, row.round_num, row.round_phase, row.phase_ends_in) == ("s1", 2, "live", "91.6")
+    players = {"a": player(kills=6), "b": player("T", 43, 2, 57)}
+    row = parsed(spark, [event("live", 11, players, "48.2")])[0]
+    assert (row.session_key, row.round_num, row.round_phase, row.phase_ends_in) == ("s1", 11, "live", "48.2")
     assert set(row.allplayers) == {"a", "b"}
-    assert row.allplayers["b"].state.round_totaldmg == 80
+    assert row.allplayers["b"].state.round_totaldmg == 57
 
 
 @pytest.mark.parametrize(

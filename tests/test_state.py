@@ -55,7 +55,7 @@ def over(number, players):
 
 def _four_rounds():
     total = 0
-    for number, (kills, damage) in enumerate([(1, 10), (2, 20), (3, 30), (2, 40)], 1):
+    for number, (kills, damage) in enumerate([(2, 11), (1, 24), (4, 35), (3, 47)], 1):
         yield freeze(number, both(total, 0, 0, 0))
         yield live(number)
         total += kills
@@ -76,19 +76,19 @@ CASES = {
     "history grows over rounds": (
         [
             freeze(1),
-            live(1, both(2, 80, 1, 50)),
-            over(1, both(2, 80, 1, 50)),
-            freeze(2, both(2, 0, 1, 0)),
-            live(2, both(3, 60, 2, 40)),
-            over(2, both(3, 60, 2, 40)),
-            freeze(3, both(3, 0, 2, 0)),
-            live(3, both(4, 70, 3, 30)),
+            live(1, both(3, 71, 2, 44)),
+            over(1, both(3, 71, 2, 44)),
+            freeze(2, both(3, 0, 2, 0)),
+            live(2, both(4, 52, 5, 37)),
+            over(2, both(4, 52, 5, 37)),
+            freeze(3, both(4, 0, 5, 0)),
+            live(3, both(6, 18, 5, 9)),
         ],
-        [(0, 0, 0, 0), (2, 80, 1, 50), (3, 140, 2, 90)],
+        [(0, 0, 0, 0), (3, 71, 2, 44), (4, 123, 5, 81)],
     ),
     "window is three rounds": (
         list(_four_rounds()),
-        [(0, 0, 0, 0), (1, 10, 0, 0), (3, 30, 0, 0), (6, 60, 0, 0), (7, 90, 0, 0)],
+        [(0, 0, 0, 0), (2, 11, 0, 0), (3, 35, 0, 0), (7, 70, 0, 0), (8, 106, 0, 0)],
     ),
     "late joiner and dead player add nothing": (
         [
@@ -101,8 +101,8 @@ CASES = {
     ),
     "freezetime and over emit nothing": ([freeze(1), over(1, both(0, 0, 0, 0))], []),
     "only the first over of the current round archives": (
-        [freeze(1), over(2, both(9, 900, 9, 900)), over(1, both(3, 120, 2, 80)), over(1, both(5, 200, 5, 200)), live(7)],
-        [(3, 120, 2, 80)],
+        [freeze(1), over(2, both(9, 900, 9, 900)), over(1, both(4, 97, 1, 63)), over(1, both(5, 200, 5, 200)), live(7)],
+        [(4, 97, 1, 63)],
     ),
     "round zero counts damage but no kills": (
         [freeze(0), over(0, both(4, 55, 1, 66)), event("bomb", 0, both(0, 0, 0, 0))],
