@@ -28,3 +28,31 @@ def check(spark, raw, slices):
 def test_batch_equals_sequential_model(spark, sf_dir, disordered, slices):
     got = check(spark, derived.telemetry(spark, sf_dir, disordered), slices)
     assert sum(any(v[1:]) for v in got.values()) > len(got) / 3
+
+
+def test_a_session_of_100_000_players(spark):
+    """New players every round of one keyless session: each tick sees its own players' sums only."""
+    number = F.floor(F.col("id") / 3)
+    phase = F.element_at(F.array(F.lit("freezetime"), F.lit("over"), F.lit("live")), (F.col("id") % 3 + 1).cast("int"))
+    done = F.when(phase == "freezetime", 0).otherwise(1)
+    entry = lambda j: F.struct(
+        F.concat(F.lit("p"), (number * 10 + j).cast("string")),
+        F.struct(
+            F.when(j < 5, F.lit("CT")).otherwise(F.lit("T")).alias("team"),
+            F.struct(F.lit(100).alias("health"), (done * 7).alias("round_totaldmg")).alias("state"),
+            F.struct((done * 2).alias("kills")).alias("match_stats"),
+        ),
+    )
+    players = F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(9)), entry))
+    body = F.struct(
+        F.struct((number + 1).alias("round")).alias("map"), F.struct(phase.alias("phase")).alias("round"), players.alias("allplayers")
+    )
+    raw = spark.range(30_000).select(
+        F.lit(None).cast("string").alias("key"),
+        F.to_json(body).alias("value"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("timestamp"),
+        F.lit(0).alias("partition"),
+        F.col("id").alias("offset"),
+    )
+    found = rounds.build_features(parse_events(raw)).groupBy(*schemas.PREV3).count().collect()
+    assert [tuple(r) for r in found] == [(10, 35, 10, 35, 10_000)]
