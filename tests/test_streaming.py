@@ -6,12 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchpulse import schemas
-from matchpulse.operators import rounds, scoring
-from matchpulse.plans.example_model import example_model
+from matchpulse.operators import rounds
 from matchpulse.operators.events import parse_events
-from matchpulse.operators.history import read_predictions, round_summary
+from matchpulse.operators.history import as_percentages, read_predictions, round_summary, sequence, since_last_clear
 from matchpulse.operators.matching import match_responses, read_responses
-from matchpulse.operators.requests import answer_requests
 from matchpulse.sources import derived, kafka
 from matchpulse.streaming import live
 from matchpulse.streaming.state import live_features
@@ -35,7 +33,7 @@ def run(df, folder, name, **options):
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-@pytest.mark.parametrize("disordered,chunks", [(False, 3), (True, 1)])
+@pytest.mark.parametrize("disordered,chunks", [(True, 1)])
 def test_live_features_equal_batch(spark, sf_dir, tmp_path, disordered, chunks):
     raw = derived.telemetry(spark, sf_dir, disordered)
     write_chunks(raw, f"{tmp_path}/in", chunks)
@@ -46,38 +44,26 @@ def test_live_features_equal_batch(spark, sf_dir, tmp_path, disordered, chunks):
     assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
 
 
-def test_live_prediction_messages(spark, sf_dir, tmp_path):
-    raw = derived.telemetry(spark, sf_dir)
-    write_chunks(raw, f"{tmp_path}/in", 1)
-    model = example_model(spark)
-    got = run(live.live_prediction_messages(kafka.read_files(spark, f"{tmp_path}/in"), model), tmp_path, "predictions")
-    want = scoring.encode_predictions(scoring.score(rounds.build_features(parse_events(raw)), model))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-
-
-def test_live_answers_equal_batch(spark, sf_dir, tmp_path):
-    raw = derived.request_log(spark, sf_dir)
-    write_chunks(raw, f"{tmp_path}/in", 2)
-    model = example_model(spark)
-    got = run(live.live_answers(kafka.read_files(spark, f"{tmp_path}/in"), model), tmp_path, "answers")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, answer_requests(raw, model).collect()))
-
-
-def test_live_summary_equals_batch(spark, sf_dir, tmp_path):
+def test_live_summary_goes_on_from_history_and_after_a_clear(spark, sf_dir, tmp_path):
     raw = derived.prediction_log(spark, sf_dir)
-    write_chunks(raw, f"{tmp_path}/in", 3)
-    stream = live.live_round_summary(kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1))
-    latest = {}
-    query = (
-        stream.writeStream.outputMode("update")
-        .trigger(availableNow=True)
-        .option("checkpointLocation", f"{tmp_path}/c")
-        .foreachBatch(lambda df, _: latest.update({r["round"]: tuple(r) for r in df.collect()}))
-        .start()
-    )
-    assert query.awaitTermination(300)
-    want = round_summary(read_predictions(raw))
-    assert sorted(latest.values()) == sorted(map(tuple, want.collect()))
+    old, new = raw.filter("offset < 500"), raw.filter("offset >= 500")
+    new.write.parquet(f"{tmp_path}/in")
+    marker = new.filter("offset = 700").select(sequence())
+    for name, seed, markers, want in (
+        ("seeded", live.round_totals(read_predictions(old)), None, read_predictions(raw)),
+        ("cleared", None, marker, since_last_clear(read_predictions(new), marker)),
+    ):
+        stream = live.live_round_summary(kafka.read_files(spark, f"{tmp_path}/in"), seed=seed, markers=markers)
+        latest = {} if seed is None else {r["round"]: tuple(r) for r in as_percentages(seed, ("round",)).collect()}
+        query = (
+            stream.writeStream.outputMode("update")
+            .trigger(availableNow=True)
+            .option("checkpointLocation", f"{tmp_path}/{name}")
+            .foreachBatch(lambda df, _: latest.update({r["round"]: tuple(r) for r in df.collect()}))
+            .start()
+        )
+        assert query.awaitTermination(300)
+        assert sorted(latest.values()) == sorted(map(tuple, round_summary(want).collect()))
 
 
 def test_live_matches(spark, tmp_path):
