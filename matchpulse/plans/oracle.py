@@ -273,7 +273,7 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT event_id AS "offset" FROM bodies
              WHERE shape IN ('cut', 'text') OR (shape = 'full' AND event_id % 61 = 6)""",
     }
-    for name in ("response_messages", "prediction_log_decode", "stateless_features", "round_summary"):
+    for name in ("response_messages", "prediction_log_decode", "stateless_features", "round_summary", "latest_by_session", "first_ticks"):
         sql[f"live_{name}"] = sql[name]
     sql["live_predictions"] = sql["win_probability"]
     sql["live_matches"] = sql["response_matching"]

@@ -361,10 +361,26 @@ def live_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, *rest = _chunks(derived.prediction_log(spark, sf_dir))
     seed = staging.staged(live.round_totals(H.read_predictions(first)), "seed")
     updates = _micro_batches({"log": rest}, lambda raw: live.live_round_summary(raw, seed=seed), "update")
-    columns = ["ct_percent", "t_percent", "ticks"]
     shown = H.as_percentages(seed, ("round",)).withColumn("batch", F.lit(-1).cast("bigint")).unionByName(updates)
-    last = shown.groupBy("round").agg(*[F.max_by(c, "batch").alias(c) for c in columns])
-    return _plain(last.select("round", *columns))
+    return _plain(_last_updates(shown, ["round"]))
+
+
+def _last_updates(updates: DataFrame, by: list[str]) -> DataFrame:
+    """What a reader of the updates has seen last of each group."""
+    values = [c for c in updates.columns if c not in (*by, "batch")]
+    return updates.groupBy(*by).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+
+
+@query
+def live_latest_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updates = _micro_batches({"log": _chunks(derived.prediction_log(spark, sf_dir))}, live.live_latest_by_session, "update")
+    return _prediction_columns(_last_updates(updates, ["session_key"]))
+
+
+@query
+def live_first_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updates = _micro_batches({"log": _chunks(derived.prediction_log(spark, sf_dir))}, live.live_first_ticks, "update")
+    return _prediction_columns(_last_updates(updates, ["session_key", "round"]))
 
 
 @query

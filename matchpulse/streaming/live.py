@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchpulse.operators.history import as_percentages, read_predictions
+from matchpulse.operators.history import as_percentages, first_ticks, latest_by_session, read_predictions
 from matchpulse.operators.matching import TIMEOUT_SECONDS, arrival, outcome_columns, read_responses
 from matchpulse.operators.requests import answer_requests
 from matchpulse.operators.scoring import encode_predictions, score
@@ -60,6 +60,16 @@ def live_matches(requests: DataFrame, raw_responses: DataFrame, seconds: int = T
     )
 
 
+def live_latest_by_session(raw_predictions: DataFrame) -> DataFrame:
+    """The latest prediction of each session, as updates; one fixed-width state row per session."""
+    return latest_by_session(read_predictions(raw_predictions))
+
+
+def live_first_ticks(raw_predictions: DataFrame) -> DataFrame:
+    """The tick that opened each round of a session, as updates: a round that shows up is a new round."""
+    return first_ticks(read_predictions(raw_predictions))
+
+
 def round_totals(predictions: DataFrame, by: tuple[str, ...] = ("round",)) -> DataFrame:
     """Last probability and number of ticks per group: what a live summary starts from."""
     return predictions.groupBy(*by).agg(F.max_by("prob_ct_win", "seq").alias("last_prob"), F.count(F.lit(1)).alias("ticks"))
