@@ -38,11 +38,6 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def lower_ascii(column: Column | str) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def remainder(id_column: Column | str, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``; null for a null id."""
     column = F.col(id_column) if isinstance(id_column, str) else id_column
@@ -127,11 +122,6 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def texts_of(owner: np.ndarray, n: int) -> np.ndarray:
-    """Where each text's words begin in the word table: n + 1 numbers."""
-    return np.searchsorted(owner, np.arange(n + 1))
-
-
 def lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
     """A list array of consecutive runs of ``values``."""
     offsets = np.zeros(len(counts) + 1, np.int32)
