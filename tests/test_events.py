@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from matchpulse.operators import events as E
 from tests.messages import event, log, player
