@@ -7,6 +7,9 @@ tree over remaining capacities finds that bin. Pieces of equal length behave ali
 placed in runs, which gives the same bins as one by one. Pieces then look up their place by length
 and number; token ids never leave their task.
 
+Ids come from tiktoken, except for runs of ``LONG_RUN`` white-space characters or more, at which its pattern
+matcher gives up (at some 1,000,000): the tokenizers library encodes those, tiktoken what lies between.
+
 A null text is empty and has only the end token. Rows are separate documents. Any numbers of
 sequences are given out without gaps; an empty table has none.
 """
@@ -14,6 +17,7 @@ sequences are given out without gaps; an empty table has none.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -27,6 +31,9 @@ from matchpulse.sources.staging import staged
 
 CAPACITY = 1024
 END = 2
+LONG_RUN = 200_000
+#: What ``\s`` of the pattern matches; Python's own has the four separators 1C to 1F besides.
+WHITE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 PIECES = (
     "row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, number bigint"
@@ -60,11 +67,42 @@ def encoder(path: str | None):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def run_encoder(path: str | None):
+    """The tokenizers library's own encoder for the same file."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def long_runs(text: str, special: set[str]) -> list[tuple[int, int]]:
+    """Starts and ends of the tokens of the pattern that are white space of LONG_RUN characters or more.
+
+    Such a token leaves the last character of its run to what follows, unless that is the end or a special token.
+    """
+    half = LONG_RUN // 2  # a long run holds one of the blocks of half its size
+    if len(text) < LONG_RUN or not any(text[i : i + half].isspace() for i in range(0, len(text), half)):
+        return []
+    out = []
+    for start, end in (x.span() for x in WHITE_RUN.finditer(text)):
+        if end - start >= LONG_RUN:
+            whole = end == len(text) or any(text.startswith(x, end) for x in special)
+            out.append((start, end if whole else end - 1))
+    return out
+
+
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     """The ids of a text and the end token, as little-endian 32-bit numbers."""
     if not text:
         return np.array([END], "<u4")
-    return np.append(encoder(path).encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
+    fast, out, done = encoder(path), [], 0
+    for start, end in long_runs(text, fast.special_tokens_set):
+        out.append(fast.encode_to_numpy(text[done:start], allowed_special="all"))
+        out.append(run_encoder(path).encode(text[start:end], add_special_tokens=False).ids)
+        done = end
+    out.append(fast.encode_to_numpy(text[done:] if done else text, allowed_special="all"))
+    return np.concatenate([*out, [END]]).astype("<u4")
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

@@ -204,3 +204,24 @@ def test_ids_equal_those_of_the_tokenizers_library():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("a<|endoftext|>b", "  \n\n\t x  ", "é漢字🙂\x00\x7f", "don't 123,456 ___ " * 50, "z" * 3000, " " * 500, "Straße ñandú\r\n"):
         assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_ids_of_very_long_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 2_000_000 + "x", "a" + "\n" * 2_000_000, "a b" + " \n" * 600_000 + "<|endoftext|>\u3000 c"):
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_ids_around_long_runs(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "LONG_RUN", 4)
+    tokenizer, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(11)
+    parts = ["    ", "     ", "\n\n\n\n", "\n\n\n\n\n ", "\t   \r\n", "\u3000\xa0\x85\u2028", "\x1c\x1d\x1e\x1f", " ", "<|endoftext|>", "ab", "1", "!", "é", "'s"]
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 12)))
+        assert packing.token_ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
