@@ -6,9 +6,10 @@ all ways to cut it into pieces, found by the forward algorithm. Piece probabilit
 expectation maximisation over all training texts: expected piece counts of every word under equal
 probabilities, by the forward-backward algorithm, summed per language.
 
-Words are lower-cased runs of letters and of everything beyond ASCII, and begin with a mark; a run
-over ``WORD`` bytes is scored in stretches of that size. Within a slice of a task each distinct word is
-cut once: numpy steps go through a trie for all words of one length together. What tasks send is a
+Words are lower-cased runs of letters and of everything beyond ASCII, and begin with a mark. A run
+over ``WORD`` bytes is parted where no piece can cross, so that the product over its parts is the sum over all
+its segmentations; a part still over ``WORD`` bytes is summed in logarithms. Within a slice of a task each distinct
+word or part is cut once: numpy steps go through a trie for all words of one length together. What tasks send is a
 count per language and piece; the model is as large as vocabulary times languages, of which
 more than ``MOST_LANGUAGES`` are an error.
 
@@ -31,7 +32,7 @@ from matchpulse.llm import common as C
 MARK = 32
 WORD = 24
 SLICE = 4_000_000
-MOST_PIECE = 12
+PLACES = 1_000_000
 MOST_LANGUAGES = 64
 SMOOTHING = 0.5
 LEAST_PROBABILITY = 1e-10
@@ -55,7 +56,7 @@ def vocabulary(path: str | None = None) -> tuple[bytes, ...]:
             letters = piece.removeprefix("▁")
             if letters.isalpha():
                 found.add(piece.replace("▁", chr(MARK)).encode())
-    return tuple(sorted(x for x in found if len(x) <= MOST_PIECE))
+    return tuple(sorted(found))
 
 
 class Trie:
@@ -78,14 +79,15 @@ class Trie:
                 self.child[nodes[x[:-1]], self.class_of[x[-1]]] = node
         self.piece = np.full(len(nodes) + 1, -1, np.int64)
         self.piece[[nodes[x] for x in pieces]] = np.arange(len(pieces))
+        self.longest = max(map(len, pieces))
 
-    def cuts(self, words: np.ndarray):
+    def cuts(self, words: np.ndarray, backwards: bool = False):
         """(start, end, rows, pieces) of all pieces in a matrix of words of one length, by start."""
         classes = self.class_of[words]
         size = words.shape[1]
-        for start in range(size):
+        for start in range(size)[:: -1 if backwards else 1]:
             node, rows = self.first[words[:, start]], np.arange(len(words))
-            for end in range(start + 1, min(start + MOST_PIECE, size) + 1):
+            for end in range(start + 1, min(start + self.longest, size) + 1):
                 piece = self.piece[node]
                 hit = piece >= 0
                 if hit.any():
@@ -98,6 +100,38 @@ class Trie:
                 if not len(rows):
                     break
 
+    def _reach(self, data: np.ndarray, node: np.ndarray, at: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Where the longest piece ends whose walk stands at ``node`` after the byte at ``at``; at + 1 if none does."""
+        reach, rows = at + 1, np.arange(len(at))
+        for step in range(self.longest):
+            rows, node = rows[node > 0], node[node > 0]
+            hit = rows[self.piece[node] >= 0]
+            reach[hit] = at[hit] + step + 1
+            more = at[rows] + step + 1 < limit[rows]
+            rows, node = rows[more], node[more]
+            if not len(rows):
+                break
+            node = self.child[node, self.class_of[data[at[rows] + step + 1]]]
+        return reach
+
+    def partings(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places inside marked runs of bytes that no piece crosses."""
+        sizes = ends - starts
+        before = np.cumsum(sizes) - sizes
+        out, far = [np.zeros(0, np.int64)], 0
+        for a in range(0, int(sizes.sum()), PLACES):
+            place = np.arange(a, min(a + PLACES, int(sizes.sum())))
+            run = np.searchsorted(before, place, "right") - 1
+            at, limit = starts[run] + place - before[run], ends[run]
+            reach = self._reach(data, self.first[data[at]], at, limit)
+            head = np.flatnonzero(place == before[run])
+            marked = self.child[self.first[MARK], self.class_of[data[at[head]]]]
+            reach[head] = np.maximum(reach[head], self._reach(data, marked, at[head], limit[head]))
+            furthest = np.maximum.accumulate(np.r_[far, reach])
+            out.append(at[(furthest[:-1] <= at) & (place != before[run])])
+            far = furthest[-1]
+        return np.concatenate(out)
+
 
 @lru_cache(maxsize=2)
 def trie_of(pieces: tuple[bytes, ...]) -> Trie:
@@ -113,8 +147,31 @@ def forward(trie: Trie, words: np.ndarray, probability: np.ndarray) -> np.ndarra
     return total[-1]
 
 
+def forward_logs(trie: Trie, words: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """Logarithms of ``forward`` for words of any length; only the sums that a piece can still reach are held."""
+    ring = trie.longest + 1
+    total = np.full((ring, len(words), probability.shape[1]), -np.inf)
+    total[0] = at = 0
+    for start, end, rows, pieces in trie.cuts(words):
+        if start != at:
+            total[at % ring] = -np.inf
+            at = start
+        more = total[start % ring, rows] + np.log(probability[pieces])
+        total[end % ring, rows] = np.logaddexp(total[end % ring, rows], more)
+    return total[words.shape[1] % ring]
+
+
+def log_sums(trie: Trie, words: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum over all segmentations of each word, per language."""
+    if words.shape[1] > WORD + 1:
+        return forward_logs(trie, words, probability)
+    return np.log(forward(trie, words, probability))
+
+
 def expected_counts(trie: Trie, words: np.ndarray, weights: np.ndarray, probability: float) -> tuple[np.ndarray, np.ndarray]:
     """Pieces, and their expected counts in each word times its weight, when all pieces are equally likely."""
+    if words.shape[1] > WORD + 1:
+        return _expected_counts_logs(trie, words, weights, np.log(probability))
     ahead = np.zeros((words.shape[1] + 1, len(words)))
     back = np.zeros_like(ahead)
     ahead[0] = back[-1] = 1
@@ -129,27 +186,42 @@ def expected_counts(trie: Trie, words: np.ndarray, weights: np.ndarray, probabil
     return np.concatenate(pieces), np.concatenate(shares)
 
 
+def _expected_counts_logs(trie: Trie, words: np.ndarray, weights: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same by logarithms, for words of any length; sums are held for places, not for pieces."""
+    ahead = np.full((words.shape[1] + 1, len(words)), -np.inf)
+    back = ahead.copy()
+    ahead[0] = back[-1] = 0
+    for start, end, rows, _ in trie.cuts(words):
+        ahead[end, rows] = np.logaddexp(ahead[end, rows], ahead[start, rows] + step)
+    counts = np.zeros(trie.piece.max() + 1)
+    for start, end, rows, pieces in trie.cuts(words, backwards=True):
+        after = back[end, rows] + step
+        back[start, rows] = np.logaddexp(back[start, rows], after)
+        np.add.at(counts, pieces, np.exp(ahead[start, rows] + after - ahead[-1, rows]) * weights[rows])
+    found = np.flatnonzero(counts)
+    return found, counts[found]
+
+
 class Words:
-    """The distinct words of the texts of an Arrow column, cut to stretches of WORD bytes."""
+    """The distinct words of the texts of an Arrow column; those over WORD bytes in parts that no piece crosses."""
 
-    def __init__(self, column: pa.Array, group: np.ndarray | None = None) -> None:
+    def __init__(self, trie: Trie, column: pa.Array, group: np.ndarray | None = None) -> None:
         """group: a number for each text; equal words of different groups are kept apart."""
         self.data, offsets = C.flat(column)
         starts, ends = C.words(self.data, LETTERS)
         counts = np.diff(np.searchsorted(starts, offsets))
         self.owners = np.repeat(np.arange(len(column)), counts)
-        stretches = -(-(ends - starts) // WORD)
-        first = np.cumsum(stretches) - stretches
-        which = np.repeat(np.arange(len(starts)), stretches)
-        step = np.arange(len(which)) - first[which]
-        begin = starts[which] + step * WORD
-        end = np.minimum(begin + WORD, ends[which])
+        long = ends - starts > WORD
+        begin = np.sort(np.concatenate([starts, trie.partings(self.data, starts[long], ends[long])]))
+        which = np.searchsorted(starts, begin, "right") - 1
+        end = np.minimum(np.append(begin[1:], len(self.data)), ends[which])
+        inner = begin != starts[which]
         self.owners = self.owners[which]
-        keys = C.word_hashes(self.data, begin, end) ^ C.mixed((step > 0).astype(C.U) + C.U(1))
+        keys = C.word_hashes(self.data, begin, end) ^ C.mixed(inner.astype(C.U) + C.U(1))
         if group is not None:
             keys ^= C.mixed(group[self.owners].astype(C.U) + C.U(7))
         _, self.at, self.word, self.times = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        self.begin, self.size, self.marked = begin[self.at], (end - begin)[self.at], step[self.at] == 0
+        self.begin, self.size, self.marked = begin[self.at], (end - begin)[self.at], ~inner[self.at]
 
     def matrices(self):
         """(rows of the distinct words, matrix of their bytes) for words of one length."""
@@ -187,7 +259,7 @@ def piece_counts(texts: DataFrame, pieces: tuple[bytes, ...]) -> DataFrame:
             for batch in C.slices(whole, "text", SLICE):
                 coded = batch.column("lang").dictionary_encode()
                 group, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-                words = Words(batch.column("text"), group)
+                words = Words(trie, batch.column("text"), group)
                 counts = np.zeros(size * len(names))
                 language = group[words.owners[words.at]] if len(words.at) else np.zeros(0, np.int64)
                 for rows, matrix in words.matrices():
@@ -236,10 +308,10 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
         trie = trie_of(model.pieces)
         for whole in batches:
             for batch in C.slices(whole, "text", SLICE):
-                words = Words(batch.column("text"))
+                words = Words(trie, batch.column("text"))
                 logs = np.zeros((len(words.at), len(model.languages)))
                 for rows, matrix in words.matrices():
-                    logs[rows] = np.log(forward(trie, matrix, model.probability))
+                    logs[rows] = log_sums(trie, matrix, model.probability)
                 known = np.asarray(batch.column("text").is_valid()) & bool(model.languages)
                 names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
                 if model.languages:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -131,3 +132,38 @@ def packs(lengths, capacity):
         else:
             rooms.append(capacity - n)
     return len(rooms)
+
+
+def _sums(word, pieces, chances):
+    """Sums over all segmentations of the first n bytes, as fractions of two to the power of an exponent."""
+    place = {p: i for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces))
+    out = [(1.0, 0)]
+    for end in range(1, len(word) + 1):
+        found = [(start, place[word[start:end]]) for start in range(max(0, end - longest), end) if word[start:end] in place]
+        top = max(out[start][1] for start, _ in found)
+        fraction, exponent = math.frexp(sum(math.ldexp(out[start][0], out[start][1] - top) * chances[i] for start, i in found))
+        out.append((fraction, exponent + top))
+    return out
+
+
+def segmentations(word, pieces, chances):
+    """The logarithm of the sum over all segmentations of a word."""
+    fraction, exponent = _sums(word, pieces, chances)[-1]
+    return math.log(fraction) + exponent * math.log(2)
+
+
+def piece_counts(word, pieces, chance):
+    """Expected counts of pieces in a word, all of the same chance."""
+    ahead = _sums(word, pieces, [chance] * len(pieces))
+    turned = [p[::-1] for p in pieces]
+    back = _sums(word[::-1], turned, [chance] * len(pieces))[::-1]
+    out = [0.0] * len(pieces)
+    place, longest = {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+    for start in range(len(word)):
+        for end in range(start + 1, min(start + longest, len(word)) + 1):
+            i = place.get(word[start:end])
+            if i is not None:
+                (a, x), (b, y), (c, z) = ahead[start], back[end], ahead[-1]
+                out[i] += math.ldexp(a * b / c * chance, x + y - z)
+    return out

@@ -131,6 +131,33 @@ def test_forward_sums_all_segmentations():
     assert math.isclose((sizes[found] * weight).sum(), 4)  # every byte lies in one piece
 
 
+def test_long_runs_are_summed_over_all_segmentations():
+    assert {b" relationship", " университе".encode()} <= set(language_id.vocabulary())
+    r = random.Random(12)
+    pieces = {bytes([b]) for b in range(256)} | {b" a", b"ab", b"bc", b" ca", "né".encode(), b"abcabcabcabcabcab", b"cccccccccccccccccccccccccc"}
+    pieces = tuple(sorted(pieces))
+    trie, probability = language_id.Trie(pieces), np.random.default_rng(13).random((len(pieces), 2))
+    texts = ["".join(r.choice(["ab", "c", "é", "n", "abcabcabc", "漢", "c" * 9]) for _ in range(r.randint(1, 400))) for _ in range(40)]
+    texts += ["a " + texts[0] + " abc", "", None, "c" * 3000, "漢字" * 2000]
+    words = language_id.Words(trie, pa.array(texts, pa.string()))
+    logs = np.zeros((len(words.at), 2))
+    counts = np.zeros(len(pieces))
+    for rows, matrix in words.matrices():
+        logs[rows] = language_id.log_sums(trie, matrix, probability)
+        found, weight = language_id.expected_counts(trie, matrix, words.times[rows], 0.1)
+        np.add.at(counts, found, weight)
+    got = np.array([np.bincount(words.owners, logs[words.word, k], len(texts)) for k in range(2)]).T
+    expected = np.zeros(len(pieces))
+    for text, own in zip(texts, got):
+        want = np.zeros(2)
+        for word in (b" " + x.encode() for x in (text or "").split()):
+            totals = np.array([brute.segmentations(word, pieces, probability[:, k]) for k in range(2)])
+            want += totals
+            expected += brute.piece_counts(word, pieces, 0.1)
+        assert np.allclose(own, want, rtol=1e-9)
+    assert np.allclose(counts, expected)
+
+
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
