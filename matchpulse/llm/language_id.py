@@ -10,8 +10,8 @@ Words are lower-cased runs of letters and of everything beyond ASCII, and begin
 over ``WORD`` bytes is parted where no piece can cross, so that the product over its parts is the sum over all
 its segmentations; a part still over ``WORD`` bytes is summed in logarithms. Within a slice of a task each distinct
 word or part is cut once: numpy steps go through a trie for all words of one length together. What tasks send is a
-count per language and piece; the model is as large as vocabulary times languages, of which
-more than ``MOST_LANGUAGES`` are an error.
+count per language and piece. Any number of languages is scored, in blocks of ``BLOCK``; the model holds the
+pieces that each language was seen with, so rare labels take little room.
 
 A null text or one without a letter is ``und`` with score 0, as is any text when nothing could be learned.
 Null langs and ids are not learned from. Ties go to the first language in alphabetical order.
@@ -19,6 +19,7 @@ Null langs and ids are not learned from. Ties go to the first language in alphab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,7 +34,7 @@ MARK = 32
 WORD = 24
 SLICE = 4_000_000
 PLACES = 1_000_000
-MOST_LANGUAGES = 64
+BLOCK = 64
 SMOOTHING = 0.5
 LEAST_PROBABILITY = 1e-10
 UNKNOWN = "und"
@@ -239,18 +240,34 @@ class Words:
 
 @dataclass
 class Model:
-    """Languages in alphabetical order, their log shares, and probability[piece, language]."""
+    """Languages in alphabetical order, their log shares, and the counts n of pieces seen in them, by language."""
 
     pieces: tuple[bytes, ...]
     languages: list[str]
     shares: np.ndarray
-    probability: np.ndarray
+    piece: np.ndarray
+    language: np.ndarray
+    n: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """The first language and probability[piece, language] of each block of languages."""
+        for first in range(0, len(self.languages), BLOCK):
+            a, b = np.searchsorted(self.language, [first, first + BLOCK])
+            counts = np.full((len(self.pieces), min(BLOCK, len(self.languages) - first)), SMOOTHING)
+            np.add.at(counts, (self.piece[a:b], self.language[a:b] - first), self.n[a:b])
+            yield first, np.maximum(counts / counts.sum(axis=0), LEAST_PROBABILITY)
 
 
 def piece_counts(texts: DataFrame, pieces: tuple[bytes, ...]) -> DataFrame:
-    """lang, piece, n: expected counts over all texts, one row per task, language and piece before the sum."""
+    """lang, piece, n: expected counts over all texts; tasks hold at most 2 * BLOCK languages before they send them."""
     shared = texts.sparkSession.sparkContext.broadcast(pieces)
 
+    def sums(totals):
+        for name, counts in totals.items():
+            piece = np.flatnonzero(counts)
+            columns = [pa.array([name] * len(piece), pa.string()), pa.array(piece, pa.int32()), pa.array(counts[piece])]
+            yield pa.record_batch(columns, ["lang", "piece", "n"])
+
     def run(batches):
         trie = trie_of(shared.value)
         size = len(shared.value)
@@ -260,20 +277,22 @@ def piece_counts(texts: DataFrame, pieces: tuple[bytes, ...]) -> DataFrame:
                 coded = batch.column("lang").dictionary_encode()
                 group, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
                 words = Words(trie, batch.column("text"), group)
-                counts = np.zeros(size * len(names))
                 language = group[words.owners[words.at]] if len(words.at) else np.zeros(0, np.int64)
-                for rows, matrix in words.matrices():
-                    for k in range(len(names)):
-                        own = language[rows] == k
-                        if own.any():
-                            found, weight = expected_counts(trie, matrix[own], words.times[rows[own]], 1 / size)
-                            counts[k * size : (k + 1) * size] += np.bincount(found, weight, size)
-                for k, name in enumerate(names):
-                    totals[name] = totals.get(name, 0) + counts[k * size : (k + 1) * size]
-        for name, counts in totals.items():
-            piece = np.flatnonzero(counts)
-            columns = [pa.array([name] * len(piece), pa.string()), pa.array(piece, pa.int32()), pa.array(counts[piece])]
-            yield pa.record_batch(columns, ["lang", "piece", "n"])
+                for first in range(0, len(names), BLOCK):
+                    block = names[first : first + BLOCK]
+                    counts = np.zeros(size * len(block))
+                    for rows, matrix in words.matrices():
+                        for k in range(len(block)):
+                            own = language[rows] == first + k
+                            if own.any():
+                                found, weight = expected_counts(trie, matrix[own], words.times[rows[own]], 1 / size)
+                                counts[k * size : (k + 1) * size] += np.bincount(found, weight, size)
+                    for k, name in enumerate(block):
+                        totals[name] = totals.get(name, 0) + counts[k * size : (k + 1) * size]
+                    if len(totals) > BLOCK:
+                        yield from sums(totals)
+                        totals = {}
+        yield from sums(totals)
 
     found = texts.select("lang", "text").mapInArrow(run, "lang string, piece int, n double")
     return found.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
@@ -284,17 +303,15 @@ def fit(documents: DataFrame, train: Column, path: str | None = None) -> Model:
     pieces = vocabulary(path)
     rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").where(F.coalesce(train, F.lit(False)))
     rows = rows.select("lang", F.lower("text").alias("text"))
-    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(texts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    texts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(texts)
-    counts = np.full((len(pieces), len(languages)), SMOOTHING)
-    found = piece_counts(rows, pieces).toPandas()
     place = {name: i for i, name in enumerate(languages)}
-    np.add.at(counts, (found["piece"].to_numpy(np.int64), found["lang"].map(place).to_numpy(np.int64)), found["n"].to_numpy())
+    found = piece_counts(rows, pieces).toPandas()
+    piece, language = found["piece"].to_numpy(np.int32), found["lang"].map(place).to_numpy(np.int32)
+    order = np.argsort(language, kind="stable")
     shares = np.array([texts[x] for x in languages], np.float64)
-    probability = np.maximum(counts / counts.sum(axis=0), LEAST_PROBABILITY)
-    return Model(pieces, languages, np.log(shares / shares.sum()) if languages else shares, probability)
+    shares = np.log(shares / shares.sum()) if languages else shares
+    return Model(pieces, languages, shares, piece[order], language[order], found["n"].to_numpy()[order])
 
 
 def identified(documents: DataFrame, model: Model) -> DataFrame:
@@ -306,23 +323,26 @@ def identified(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         trie = trie_of(model.pieces)
+        held = list(model.blocks()) if len(model.languages) <= BLOCK else None
         for whole in batches:
             for batch in C.slices(whole, "text", SLICE):
                 words = Words(trie, batch.column("text"))
-                logs = np.zeros((len(words.at), len(model.languages)))
-                for rows, matrix in words.matrices():
-                    logs[rows] = log_sums(trie, matrix, model.probability)
-                known = np.asarray(batch.column("text").is_valid()) & bool(model.languages)
-                names, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-                if model.languages:
+                best, top, mass = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, -np.inf), np.zeros(batch.num_rows)
+                for first, probability in model.blocks() if held is None else held:
+                    logs = np.zeros((len(words.at), probability.shape[1]))
+                    for rows, matrix in words.matrices():
+                        logs[rows] = log_sums(trie, matrix, probability)
                     likely = np.column_stack(
                         [np.bincount(words.owners, logs[words.word, k], batch.num_rows) for k in range(logs.shape[1])]
                     )
-                    likely += model.shares
-                    best = likely.argmax(axis=1)
-                    share = 1 / np.exp(likely - likely.max(axis=1, keepdims=True)).sum(axis=1)
-                    score = np.where(known, share, 0.0)
-                    names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
+                    likely += model.shares[first : first + BLOCK]
+                    highest = np.maximum(top, likely.max(axis=1))
+                    best = np.where(highest > top, first + likely.argmax(axis=1), best)
+                    mass = mass * np.exp(top - highest) + np.exp(likely - highest[:, None]).sum(axis=1)
+                    top = highest
+                known = np.asarray(batch.column("text").is_valid()) & bool(model.languages)
+                score = np.divide(1, mass, out=np.zeros(batch.num_rows), where=known)
+                names = [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
                 columns = [batch.column(c) for c in others]
                 yield pa.record_batch([*columns, pa.array(names, pa.string()), pa.array(score)], [*others, "lang_pred", "score"])
 

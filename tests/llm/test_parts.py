@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matchpulse.llm import chat_format, common, language_id, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, text_stats
@@ -158,6 +159,27 @@ def test_long_runs_are_summed_over_all_segmentations():
     assert np.allclose(counts, expected)
 
 
+def test_more_languages_than_a_block(spark):
+    r = random.Random(14)
+    own = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for i in range(150)}
+    texts = [(lang, " ".join(r.choices(words, k=6))) for lang, words in own.items() for _ in range(2)]
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(2)
+    model = language_id.fit(df, F.lit(True))
+    assert model.languages == sorted(own)
+    probability = np.concatenate([p for _, p in model.blocks()], axis=1)
+    assert probability.shape == (len(model.pieces), 150) and np.allclose(probability.sum(axis=0), 1)
+    trie, want = language_id.Trie(model.pieces), []
+    for lang, text in texts:
+        words = np.frombuffer("".join(f" {x}" for x in text.split()).encode(), np.uint8).reshape(6, 8)
+        likely = np.log(language_id.forward(trie, words, probability)).sum(axis=0) + model.shares
+        share = np.exp(likely - likely.max())
+        want.append((lang, text, model.languages[likely.argmax()], 1 / share.sum()))
+    got = sorted(language_id.identified(df.withColumn("copy", F.col("text")).select("lang", "copy", "text"), model).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
+    assert np.allclose([x[3] for x in got], [x[3] for x in sorted(want)])
+    assert sum(x.lang == x.lang_pred for x in got) > 290
+
+
 def test_language_of_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     lang = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
@@ -174,6 +196,21 @@ def test_quality_of_held_out_documents(spark):
     assert sum(r.kept == (r.quality == 1) for r in rules) >= 0.97 * len(rules)
 
 
+def test_sample_does_not_depend_on_partitions(spark):
+    r = random.Random(15)
+    texts = [(i // 2, " ".join(r.choice(["the", "a", "Word", "x!", "12"]) for _ in range(r.randint(20, 60)))) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(300)], "doc_id long, quality int")
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)
+        statistics = staged(text_stats.document_statistics(common.numbered(df)), "sample")
+        sample = quality_classifier.labelled_sample(statistics, labels, F.lit(True), 100).drop("row")
+        trees = quality_classifier.fit_quality(statistics, labels, F.lit(True), 100)
+        x = np.random.default_rng(16).random((50, 14)) * 5
+        found.append((sorted(sample.collect()), trees.scores(x).tolist(), quality_rules.fit_rules(statistics, labels, F.lit(True), 100)))
+    assert 80 <= len(found[0][0]) <= 100 and found[0] == found[1]
+
+
 def test_trees_learn_a_threshold_and_bear_one_class():
     r = np.random.default_rng(8)
     x = r.random((500, 3))
