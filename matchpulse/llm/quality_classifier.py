@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics of every text are made once and written; trees are fitted on at most ``SAMPLE_ROWS``
-labelled rows (the smallest hashes of their ids, a documented bound) with features cut into at
+labelled rows (the smallest hashes of id and statistics, a documented bound) with features cut into at
 most ``BINS`` bins. All trees lie in flat arrays: a batch of documents goes down one level of
 all trees per numpy step.
 
@@ -34,6 +34,7 @@ LEAST_WEIGHT = 4.0
 SMOOTHING = 1.0
 HELD_OUT = 5
 KEPT_SCORE = 0.3
+SAMPLE_ORDER = ["doc_id", *text_stats.COUNTS]
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -136,21 +137,21 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) ->
 
 
 def labelled_sample(statistics: DataFrame, labels: DataFrame, train: Column, bound: int) -> DataFrame:
-    """Statistics and label of at most ``bound`` labelled rows: those of the smallest hashes of their ids.
+    """Statistics and label of at most ``bound`` labelled rows: those of the smallest hashes of id and statistics.
 
     The hash below which rows are taken comes from their number, so that the sample is small before
-    it leaves the tasks.
+    it leaves the tasks. Row numbers have no part in it, so it is the same however the table is split.
     """
     own = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = staged(statistics.where(train).join(own, "doc_id"), "labelled")
     share = min(1.0, SAFE_SHARE * bound / max(1, rows.count()))
-    place = F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 32)) / float(1 << 32)
-    return rows.where(place < share).limit(bound) if share < 1 else rows.limit(bound)
+    place = F.pmod(F.xxhash64(*SAMPLE_ORDER), F.lit(1 << 32)) / float(1 << 32)
+    return rows.where(place < share).orderBy(place, *SAMPLE_ORDER).limit(bound) if share < 1 else rows
 
 
 def fit_quality(statistics: DataFrame, labels: DataFrame, train: Column, bound: int = SAMPLE_ROWS) -> Trees:
     """Trees fitted on a bounded sample of the labelled rows for which ``train`` holds."""
-    sample = labelled_sample(statistics, labels, train, bound).toPandas().sort_values(["doc_id", "row"])
+    sample = labelled_sample(statistics, labels, train, bound).toPandas().sort_values(SAMPLE_ORDER)
     return fit(features({k: sample[k] for k in text_stats.COUNTS}), (sample["quality"].to_numpy() == 1).astype(np.float64))
 
 

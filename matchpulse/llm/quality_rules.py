@@ -6,7 +6,7 @@ thirds of the rows, cut back on the other third, and kept only if it is precise
 rule covers are taken out before the next one. The list becomes one ordered conditional expression
 (the first rule that holds), which Spark evaluates over the whole table.
 
-The list is learned on at most ``SAMPLE_ROWS`` labelled rows (the smallest hashes of their ids). Null and
+The list is learned on at most ``SAMPLE_ROWS`` labelled rows (the smallest hashes of id and statistics). Null and
 empty texts have no words and fail the base rule. Without labels of both kinds there is no rule,
 and the base rule alone decides.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from matchpulse.llm import text_stats
 from matchpulse.llm.common import remainder
-from matchpulse.llm.quality_classifier import HELD_OUT, labelled_sample
+from matchpulse.llm.quality_classifier import HELD_OUT, SAMPLE_ORDER, labelled_sample
 from matchpulse.sources.staging import staged
 
 SAMPLE_ROWS = 20_000
@@ -148,7 +148,7 @@ def shares(statistics: DataFrame) -> DataFrame:
 def fit_rules(statistics: DataFrame, labels: DataFrame, train: Column, bound: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules learned on a bounded sample of the labelled rows that pass the base rule."""
     sample = labelled_sample(shares(statistics).where(~base_failed()), labels, train, bound).toPandas()
-    sample = sample.sort_values(["doc_id", "row"])
+    sample = sample.sort_values(SAMPLE_ORDER)
     return learned_rules({k: sample[k].to_numpy(np.float64) for k in SHARES}, sample["quality"].to_numpy() == 0)
 
 
