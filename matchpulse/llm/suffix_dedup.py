@@ -6,8 +6,8 @@ same document and an earlier start). Matches never cross documents.
 *Sharding.* Equal strings must meet in one shard, wherever they stand. Of the short strings (``GRAM``
 bytes) inside a string of ``length`` bytes the one of the least hash is its anchor; it depends on the
 string alone. Neighbouring strings with one anchor form a region. Regions go to shards by
-their anchor as packed arrays of hashes, not text. A region whose bytes (128 bits of hashes)
-stand earlier too is settled there, for all its strings, and only the first of equal regions goes on, and only
+their anchor as packed arrays of hashes, not text; of equal regions of a block of rows only the first goes to a
+shard, the others are settled at once. A region whose bytes (128 bits of hashes) stand earlier too is settled there, for all its strings, and only the first of equal regions goes on, and only
 if another region shares its anchor. Those are cut to stretches of ``STRETCH`` strings and settled
 again by the bytes that all strings of a stretch share. What is left is where repeats begin and end.
 
@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ BLOCK_BITS = 11
 CHUNK = 4_000_000
 PLACE_BITS = 23
 SHARD_ROWS = 10_000
+SHARD_BYTES = 32_000_000
 MIN_SHARDS = 32
 LAST_ID = np.iinfo(np.int64).max
 
@@ -79,8 +81,7 @@ def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def regions(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Regions of texts in flat bytes: text, first and last string, anchor, hashes of anchor and bytes."""
-    out = []
+    """Regions of texts in flat bytes, by stretches: text, first and last string, anchor, hashes of anchor and bytes."""
     for chunk in range(0, max(0, len(data) - length), CHUNK):
         own = data[chunk : chunk + CHUNK + length - 1]
         if len(own) < length:
@@ -97,17 +98,24 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int):
         first, last = start[new], start[np.r_[new[1:], len(start)] - 1]
         anchor, text = anchor[new], text[new]
         bytes_hash = C.range_hashes(own, first, last + length) ^ C.mixed((anchor - first).astype(C.U))
-        out.append((text, first + chunk, last + chunk, anchor + chunk, hashes[anchor], bytes_hash))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, C.U)] * 2
+        yield text, first + chunk, last + chunk, anchor + chunk, hashes[anchor], bytes_hash
 
 
-def _pack(block: int, shards: int, keys, hashes, ids, meta):
-    """Rows of PACKED: the entries of a block by shard."""
+def _pack(block: int, shards: int, keys, hashes, ids, meta, turn: int | None = None):
+    """Rows of PACKED: the entries of a block by shard; of equal ones the first, the others in rows of shards below 0."""
+    small = zstandard.ZstdCompressor(level=1).compress
+    order = np.lexsort((meta["start"], meta["row"], ids, hashes, keys))
+    keys, hashes, ids, meta = (x[order] for x in (keys, hashes, ids, meta))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])
+    if not new.all():
+        spread = block if turn is None else turn
+        yield -1 - spread % shards, block, b"", b"", b"", small(meta[~new].tobytes())
+    keys, hashes, ids, meta = (x[new] for x in (keys, hashes, ids, meta))
     shard = (keys % C.U(shards)).astype(np.int32)
     order = np.argsort(shard, kind="stable")
     keys, hashes, ids, meta, shard = (x[order] for x in (keys, hashes, ids, meta, shard))
     edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else []
-    small = zstandard.ZstdCompressor(level=1).compress
     for a, b in zip(edges[:-1], edges[1:]):
         yield int(shard[a]), block, keys[a:b].tobytes(), hashes[a:b].tobytes(), small(ids[a:b].tobytes()), small(meta[a:b].tobytes())
 
@@ -132,26 +140,26 @@ def packed_regions(table: DataFrame, length: int, shards: int) -> DataFrame:
     """The regions of all texts, packed by block of rows and shard."""
 
     def run(batches):
-        block, held, count = None, [], 0
+        block, held, count, turn = None, [], 0, TaskContext.get().partitionId()
 
         def flush():
             if held:
-                yield _record_batch(list(_pack(block, shards, *(np.concatenate(x) for x in zip(*held)))), PACKED)
+                yield _record_batch(list(_pack(block, shards, *(np.concatenate(x) for x in zip(*held)), turn)), PACKED)
 
         for whole in batches:
             for batch in C.slices(whole, "text"):
                 data, offsets = C.flat(batch.column("text"))
-                text, first, last, anchor, key, own = regions(data, offsets, length)
                 rows, ids = batch.column("row").to_numpy(), _ids(batch.column("doc_id"))
-                meta = _meta(rows[text] & (1 << BLOCK_BITS) - 1, first - offsets[text], last - first, anchor - first)
-                blocks = rows[text] >> BLOCK_BITS
-                for b in np.unique(blocks).tolist():
-                    if b != block or count > 1_000_000:
-                        yield from flush()
-                        block, held, count = b, [], 0
-                    at = blocks == b
-                    held.append((key[at], own[at], ids[text[at]], meta[at]))
-                    count += int(at.sum())
+                for text, first, last, anchor, key, own in regions(data, offsets, length):
+                    meta = _meta(rows[text] & (1 << BLOCK_BITS) - 1, first - offsets[text], last - first, anchor - first)
+                    blocks = rows[text] >> BLOCK_BITS
+                    for b in np.unique(blocks).tolist():
+                        if b != block or count > 1_000_000:
+                            yield from flush()
+                            block, held, count, turn = b, [], 0, turn + 1
+                        at = blocks == b
+                        held.append((key[at], own[at], ids[text[at]], meta[at]))
+                        count += int(at.sum())
         yield from flush()
 
     return table.select("row", "doc_id", "text").mapInArrow(run, PACKED)
@@ -162,6 +170,9 @@ def settled(packed: DataFrame) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         expand = zstandard.ZstdDecompressor().decompress
+        if frame["shard"].iat[0] < 0:  # settled inside their blocks
+            known = [(b, REMOVED, expand(x)) for b, x in zip(frame["block"], frame["meta"])]
+            return pd.DataFrame(known, columns=["block", "kind", "meta"])
         key = np.concatenate([np.frombuffer(x, C.U) for x in frame["keys"]])
         own = np.concatenate([np.frombuffer(x, C.U) for x in frame["hashes"]])
         ids = np.concatenate([np.frombuffer(expand(x), np.int64) for x in frame["ids"]])
@@ -390,7 +401,8 @@ def without_repeats(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not GRAM + STRETCH < length < 256:
         raise ValueError(f"length must lie between {GRAM + STRETCH} and 256")
-    shards = max(MIN_SHARDS, table.count() // SHARD_ROWS)
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shards = max(MIN_SHARDS, size["n"] // SHARD_ROWS, size["bytes"] // SHARD_BYTES)
     first = staged(settled(packed_regions(table, length, shards)), "repeats-regions")
     concerned = table.where(_marked(table, concerned_rows(first, (SHARED, HOT_SHARED))))
     second = staged(settled(packed_stretches(concerned, first.where(F.col("kind") != REMOVED), length, shards)), "repeats-stretches")

@@ -83,6 +83,20 @@ def test_repeats_in_hostile_texts(spark, monkeypatch, tmp_path):
     assert got == brute.repeats(rows)
 
 
+def test_equal_regions_are_settled_in_their_block(spark):
+    texts = [(0, "a" * 50_000), (1, "ab" * 20_000), (2, "a" * 30_000), (None, "a" * 300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    table = staged(common.numbered(df), "periodic")
+    packed = suffix_dedup.packed_regions(table, 100, 32).where("shard >= 0").collect()
+    assert sum(len(x["keys"]) // 8 for x in packed) < 1000  # of some 120,000 regions
+    found = suffix_dedup.without_repeats(table).collect()
+    got = sorted(((x.doc_id is None, x.doc_id), x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in found)
+    assert got == [
+        ((False, 0), 50_000, 49_999, 1, b"a"), ((False, 1), 40_000, 39_998, 1, b"ab"),
+        ((False, 2), 30_000, 30_000, 1, b""), ((True, None), 300, 300, 1, b""),
+    ]
+
+
 def test_every_pair_within_the_distance_meets():
     for step in simhash_dedup.STEPS:
         masks = simhash_dedup.covering_masks(4, step)
