@@ -270,6 +270,8 @@ def _read_responses(messages: DataFrame) -> DataFrame:
 
 
 CHUNKS = 3
+#: About so many rows of the log are in a micro-batch of the keyed state.
+CHUNK_ROWS = 500_000
 
 
 def _chunks(log: DataFrame, at: str = "timestamp") -> list[DataFrame]:
@@ -281,6 +283,16 @@ def _chunks(log: DataFrame, at: str = "timestamp") -> list[DataFrame]:
     return [table.filter(place == i) for i in range(CHUNKS)]
 
 
+def _bounded_chunks(log: DataFrame) -> list[DataFrame]:
+    """The log, written by stretches of time of about CHUNK_ROWS rows each, CHUNKS at least; a second is never split."""
+    table, second = staging.staged(log, "log"), F.col("timestamp").cast("bigint")
+    n = max(CHUNKS, -(-table.count() // CHUNK_ROWS))
+    cuts = table.agg(F.percentile_approx(second, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < second)) if cuts else F.lit(0)
+    written = staging.staged(table.withColumn("place", place).repartition("place"), "chunks", "place")
+    return [written.filter(F.col("place") == i).drop("place") for i in range(n)]
+
+
 def _micro_batches(streams: dict[str, list[DataFrame]], job: Callable[..., DataFrame], output_mode: str = "append") -> DataFrame:
     """Run a streaming job over logs that arrive chunk by chunk, a micro-batch or more each, on one checkpoint.
 
@@ -324,14 +336,14 @@ def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame]) -> Da
 @query
 def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed round state over a stream of telemetry."""
-    rows = _through_stream(derived.telemetry(spark, sf_dir), state.live_features)
+    rows = _micro_batches({"log": _bounded_chunks(derived.telemetry(spark, sf_dir))}, state.live_features)
     return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
 
 
 @query
 def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = example_model(spark)
-    rows = _through_stream(derived.telemetry(spark, sf_dir), lambda raw: live.live_predictions(raw, model))
+    rows = _micro_batches({"log": _bounded_chunks(derived.telemetry(spark, sf_dir))}, lambda raw: live.live_predictions(raw, model))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", millionths("prob_ct_win").alias("prob_micro")))
 
 

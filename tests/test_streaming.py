@@ -10,9 +10,11 @@ from matchpulse.operators import rounds
 from matchpulse.operators.events import parse_events
 from matchpulse.operators.history import as_percentages, read_predictions, round_summary, sequence, since_last_clear
 from matchpulse.operators.matching import match_responses, read_responses
+from matchpulse.plans import queries
 from matchpulse.sources import derived, kafka
 from matchpulse.streaming import live
 from matchpulse.streaming.state import live_features
+from tests.compare import compare
 from tests.messages import START
 
 
@@ -139,3 +141,15 @@ def test_console_takes_the_typed_columns(spark, tmp_path):
     assert query.awaitTermination(120)
     progress = query.lastProgress
     assert "Console" in progress["sink"]["description"] and progress["numInputRows"] == 1000
+
+
+def test_keyed_state_takes_micro_batches_of_bounded_rows(spark, sf_dir, monkeypatch):
+    log = derived.telemetry(spark, sf_dir)
+    rows = log.count()
+    monkeypatch.setattr(queries, "CHUNK_ROWS", rows // 6)
+    chunks = queries._bounded_chunks(log)
+    counts = [x.count() for x in chunks]
+    assert len(chunks) >= 6 and sum(counts) == rows and max(counts) <= 1.2 * rows / 6
+    spans = [x.agg(F.min("timestamp"), F.max("timestamp")).first() for x in chunks]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert compare(spark, sf_dir, "live_features") is None
