@@ -65,4 +65,100 @@ SELECT page_id, octet_length(encode(payload)) AS payload_bytes, digest AS payloa
 FROM o
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_line_dedup": OP6, "op9_warc_revisits": OP9}
+#: Unsigned crc32 of a column as text, bit by bit.
+CRC32 = """xor(list_reduce(
+  list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda held, c: list_reduce(range(0, 8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(held, c)), 4294967295), 4294967295)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _tree_levels(first: str, name: str, count: int) -> str:
+    """CTEs of the levels over ``first`` (tree, number, size, digest): nodes with the digests before and after them in their runs."""
+    out = []
+    for i in range(count):
+        below = first if i == 0 else f"{name}_up{i - 1}"
+        run = "OVER (PARTITION BY tree, number // 8 ORDER BY number ROWS BETWEEN"
+        out.append(f"""{name}{i} AS (
+  SELECT *, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {below}
+)""")
+        out.append(f"""{name}_up{i} AS (
+  SELECT tree, number // 8 AS number, (size + 7) // 8 AS size, CASE WHEN size = 1 THEN digest ELSE sha256(digest || after) END AS digest
+  FROM {name}{i} WHERE number % 8 = 0
+)""")
+    return ",\n".join(out)
+
+
+def _climb(first: str, name: str, count: int) -> str:
+    """CTEs that lead rows (tree, number, siblings, folded) up the levels of ``name``: siblings joined, digests folded."""
+    out = []
+    for i in range(count):
+        below = first if i == 0 else f"{name}_way{i - 1}"
+        out.append(f"""{name}_way{i} AS (
+  SELECT w.* EXCLUDE (number, siblings, folded), w.number // 8 AS number,
+         CASE WHEN n.size > 1 THEN siblings || before || after ELSE siblings END AS siblings,
+         CASE WHEN n.size > 1 THEN sha256(before || folded || after) ELSE folded END AS folded
+  FROM {below} w JOIN {name}{i} n USING (tree, number)
+)""")
+    return ",\n".join(out)
+
+
+def _merkle(low: int = 7, high: int = 2) -> str:
+    """Levels enough for 8^7 documents a language and 8^2 languages."""
+    fields = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text")))
+    lowered = fields.replace(_field("text"), _field(LOWERED.format("text")))
+    return f"""
+WITH leaf AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS tree, sha256({fields}) AS leaf,
+         CASE WHEN {CRC32.format("doc_id")} % 3 = 0 THEN sha256({lowered}) ELSE sha256({fields}) END AS folded, '' AS siblings
+  FROM documents
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS number, count(*) OVER (PARTITION BY tree) AS size FROM leaf
+),
+first AS (SELECT tree, number, size, leaf AS digest FROM numbered),
+{_tree_levels("first", "low", low)},
+subroots AS (
+  SELECT tree AS branch, digest AS subroot, '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS number, count(*) OVER () AS size FROM low_up{low - 1}
+),
+tops AS (SELECT tree, number, size, subroot AS digest FROM subroots),
+{_tree_levels("tops", "high", high)},
+start AS (SELECT doc_id, leaf, tree, number, siblings, folded FROM numbered),
+{_climb("start", "low", low)},
+again AS (
+  SELECT doc_id, leaf, subroot, s.tree, s.number, siblings, folded FROM low_way{low - 1} w JOIN subroots s ON w.tree = s.branch
+),
+{_climb("again", "high", high)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(siblings) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM high_way{high - 1}, high_up{high - 1}
+"""
+
+
+def _terms(table: str, key: str) -> str:
+    text = LOWERED.format("coalesce(text, '')")
+    return f"SELECT {key} AS id, unnest(regexp_extract_all({text}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM {table}"
+
+
+OP12 = f"""
+WITH seen AS ({_terms("documents", "doc_id")}),
+tf AS (SELECT id AS doc_id, term, count(*) AS tf FROM seen GROUP BY ALL),
+sizes AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * documents + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, totals GROUP BY term, documents
+),
+asked AS (SELECT DISTINCT id AS item_id, term FROM ({_terms("benchmark", "item_id")})),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * documents) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_line_dedup": OP6, "op9_warc_revisits": OP9, "op11_merkle_manifest": _merkle(), "op12_ranked_search": OP12}

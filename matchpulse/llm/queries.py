@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchpulse.llm import (
+    byte_bpe,
     chat_format,
     decontamination,
     language_id,
     line_dedup,
+    merkle,
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
     simhash_dedup,
     suffix_dedup,
     warc,
@@ -107,6 +111,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document; a third shows a text with lowered letters."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.coalesce(remainder("doc_id", 3) == 0, F.lit(False))
+    shown = merkle.leaves(_read(spark, sf_dir, "documents").select(*fields), fields, tampered)
+    proof = merkle.proof_digest(F.col("proof")).alias("proof_sha256")
+    verified = F.col("folded_root") == F.col("root")
+    return merkle.manifest(shown).select("doc_id", "leaf", "subroot", "root", proof, "folded_root", verified.alias("verified"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    items = numbered(_read(spark, sf_dir, "benchmark").select("item_id", "text"), "item")
+    return ranked_search.search(_documents(spark, sf_dir), items, best=10).drop("item")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.round_trip(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    ids = F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256")
+    return found.select("doc_id", "n_tokens", ids, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 REGISTRY: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_language_id": op2_language_id,
@@ -118,4 +146,7 @@ REGISTRY: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
