@@ -31,7 +31,7 @@ def compare(spark, sf_dir, name):
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
     spark_types = {c: t for c, t in df.dtypes}
-    same = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    same = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     for c, t in zip(columns, types):
         if same.get(spark_types[c]) != t:
             return f"type of {c}: {spark_types[c]} != {t}"
