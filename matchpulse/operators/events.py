@@ -91,13 +91,13 @@ def predictable(events: DataFrame) -> DataFrame:
     return events.filter(X.is_predictable(F.col("round_phase")))
 
 
-def slim_timeline(events: DataFrame) -> DataFrame:
+def slim_timeline(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What the round history needs of each event, and nothing more.
 
     Control rows (freezetime, over) move the round state and carry the players' totals; tick
     rows (live, bomb) are scored and carry the features and the ids of the living. All other
     phases neither move state nor emit. ``session`` is the state key (null keys share one),
-    ``session_key`` the key as it arrived.
+    ``session_key`` the key as it arrived. ``keep`` names further columns.
     """
     for name, default in (("partition", "int"), ("offset", "bigint")):
         if name not in events.columns:
@@ -121,4 +121,5 @@ def slim_timeline(events: DataFrame) -> DataFrame:
         on_tick(X.living_ids(F.col("_entries"), "CT")).alias("alive_ct"),
         on_tick(X.living_ids(F.col("_entries"), "T")).alias("alive_t"),
         F.when(~is_tick, X.round_totals(F.col("_entries"))).alias("players"),
+        *keep,
     )

@@ -275,6 +275,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for name in ("response_messages", "prediction_log_decode", "stateless_features", "round_summary", "latest_by_session", "first_ticks"):
         sql[f"live_{name}"] = sql[name]
+    sql["live_features_disordered"] = sql["live_features"]
     sql["live_predictions"] = sql["win_probability"]
     sql["live_matches"] = sql["response_matching"]
     return sql

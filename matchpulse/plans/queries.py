@@ -269,81 +269,118 @@ def _read_responses(messages: DataFrame) -> DataFrame:
     )
 
 
+#: A log comes in this many micro-batches at least, and
 CHUNKS = 3
-#: About so many rows of the log are in a micro-batch of the keyed state.
+#: about so many rows of it are in a micro-batch.
 CHUNK_ROWS = 500_000
 
 
-def _chunks(log: DataFrame, at: str = "timestamp") -> list[DataFrame]:
-    """The log, written once, in CHUNKS stretches of time."""
+def _in_chunks(rows: int) -> int:
+    return max(CHUNKS, -(-rows // CHUNK_ROWS))
+
+
+def _publish(placed: DataFrame, chunks: int, folder: str) -> None:
+    """A log with the ``place`` of each row as files in that order, one per place: a file is what a micro-batch takes."""
+    written = staging.staged(placed, "chunks", "place")
+    for i in range(chunks):
+        written.filter(F.col("place") == i).drop("place").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _by_position(log: DataFrame, at: str = "timestamp") -> tuple[DataFrame, int]:
+    """The log with the place of each row: ranges of (time, position) of about CHUNK_ROWS rows; rows without time come first."""
     table = staging.staged(log, "log")
-    second = F.col(at).cast("bigint")
-    low, high = table.agg(F.min(second), F.max(second)).first()
-    place = F.floor((second - F.lit(low or 0)) * CHUNKS / F.lit((high or 0) - (low or 0) + 1))
-    return [table.filter(place == i) for i in range(CHUNKS)]
+    order = [c for c in (at, "partition", "offset") if c in log.columns]
+    n = _in_chunks(table.count())
+    return table.repartitionByRange(n, *order).withColumn("place", F.spark_partition_id()), n
 
 
-def _bounded_chunks(log: DataFrame) -> list[DataFrame]:
-    """The log, written by stretches of time of about CHUNK_ROWS rows each, CHUNKS at least; a second is never split."""
-    table, second = staging.staged(log, "log"), F.col("timestamp").cast("bigint")
-    n = max(CHUNKS, -(-table.count() // CHUNK_ROWS))
-    cuts = table.agg(F.percentile_approx(second, [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < second)) if cuts else F.lit(0)
-    written = staging.staged(table.withColumn("place", place).repartition("place"), "chunks", "place")
-    return [written.filter(F.col("place") == i).drop("place") for i in range(n)]
+def _side_by_side(logs: dict[str, tuple[DataFrame, str]]) -> tuple[dict[str, DataFrame], int]:
+    """Several logs with the places of their rows, cut at the same times."""
+    tables = {name: staging.staged(log, name) for name, (log, _) in logs.items()}
+    second = {name: F.col(at).cast("bigint") for name, (_, at) in logs.items()}
+    spans = [t.agg(F.count(F.lit(1)), F.min(second[n]), F.max(second[n])).first() for n, t in tables.items()]
+    n = _in_chunks(max(s[0] for s in spans))
+    low = min((s[1] for s in spans if s[1] is not None), default=0)
+    high = max((s[2] for s in spans if s[2] is not None), default=0)
+    place = {name: F.floor((x - F.lit(low)) * n / F.lit(high - low + 1)).cast("int") for name, x in second.items()}
+    return {name: t.withColumn("place", F.coalesce(place[name], F.lit(0))) for name, t in tables.items()}, n
 
 
-def _micro_batches(streams: dict[str, list[DataFrame]], job: Callable[..., DataFrame], output_mode: str = "append") -> DataFrame:
-    """Run a streaming job over logs that arrive chunk by chunk, a micro-batch or more each, on one checkpoint.
+def _one_stream(
+    logs: dict[str, tuple[DataFrame, int]], job: Callable[..., DataFrame], output_mode: str = "append", without_data: bool = False
+) -> DataFrame:
+    """Run one streaming job over logs (rows with ``place``, number of places), a place of each a micro-batch.
 
-    Returns what it wrote; with output mode update each row has the number of its ``batch``.
+    Returns what it wrote; with output mode update each row has the number of its ``batch``. Micro-batches
+    ``without_data`` let event-time timers fire; a processing-time timeout would ask for them for ever.
     """
-    spark = next(iter(streams.values()))[0].sparkSession
+    spark = next(iter(logs.values()))[0].sparkSession
     root = staging.new_folder(spark, "stream")
-    # a state with a processing-time timeout asks for batches without data for ever, so that the run would not end
-    without_data = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(without_data)
-    spark.conf.set(without_data, "false")
+    streams = []
+    for name, (placed, chunks) in logs.items():
+        _publish(placed, chunks, f"{root}/{name}")
+        schema = placed.drop("place").schema
+        streams.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}"))
+    stream = job(*streams)
+    run = kafka.writer(stream, "run", "parquet", path=f"{root}/out", available_now=True, checkpoint_root=root, output_mode=output_mode)
+    schema = stream.schema
+    if output_mode == "update":
+        schema = stream.withColumn("batch", F.lit(0).cast("bigint")).schema
+        run = run.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out"))
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(without_data).lower())
     try:
-        return _run_chunks(spark, streams, job, output_mode, root)
+        run.start().awaitTermination()
     finally:
-        spark.conf.set(without_data, before)
+        spark.conf.set(setting, before)
+    return spark.read.schema(schema).parquet(f"{root}/out")
 
 
-def _run_chunks(
-    spark: SparkSession, streams: dict[str, list[DataFrame]], job: Callable[..., DataFrame], output_mode: str, root: str
-) -> DataFrame:
-    for parts in zip(*streams.values()):
-        for name, part in zip(streams, parts):
-            part.write.mode("append").parquet(f"{root}/{name}")
-        stream = job(*[spark.readStream.schema(p.schema).parquet(f"{root}/{n}") for n, p in zip(streams, parts)])
-        run = kafka.writer(
-            stream, "run", "parquet", path=f"{root}/out", available_now=True, checkpoint_root=root, resume=True, output_mode=output_mode
-        )
-        if output_mode == "update":
-            run = run.foreachBatch(
-                lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out")
-            )
-        run.start().awaitTermination()
-    schema = stream.withColumn("batch", F.lit(0).cast("bigint")).schema if output_mode == "update" else stream.schema
-    return spark.read.schema(schema).parquet(f"{root}/out")
+def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame], output_mode: str = "append") -> DataFrame:
+    return _one_stream({"log": _by_position(log)}, job, output_mode)
 
 
-def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return _micro_batches({"log": _chunks(log)}, job)
+def _live_features(log: DataFrame, job: Callable[..., DataFrame]) -> DataFrame:
+    table = staging.staged(log, "telemetry")
+    hot = state.hot_sessions(table)
+    return _through_stream(table, lambda raw: job(raw, hot))
 
 
 @query
 def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keyed round state over a stream of telemetry."""
-    rows = _micro_batches({"log": _bounded_chunks(derived.telemetry(spark, sf_dir))}, state.live_features)
+    """The keyed round state over a stream of telemetry; the hot session is dealt to several keys."""
+    rows = _live_features(derived.telemetry(spark, sf_dir), lambda raw, hot: state.live_features(raw, hot))
+    return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
+
+
+#: Rows of the disordered log come up to so many seconds late, in so many micro-batches.
+LATE_SECONDS, LATE_CHUNKS = 6 * 3600, 8
+
+
+@query
+def live_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that arrive hours out of order over several micro-batches are played in event order; closing rows move the watermark."""
+    late = F.pmod(F.xxhash64("partition", "offset"), F.lit(LATE_SECONDS))
+    table = staging.staged(derived.telemetry(spark, sf_dir).withColumn("arrival", F.col("timestamp").cast("bigint") + late), "telemetry")
+    n = max(LATE_CHUNKS, _in_chunks(table.count()))
+    placed = table.repartitionByRange(n, "arrival").withColumn("place", F.spark_partition_id())
+    end = table.agg(F.max("timestamp").alias("timestamp"))
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in table.dtypes}
+    for i in (1, 2, 3):
+        later = (F.col("timestamp") + F.make_dt_interval(days=F.lit(i))).alias("timestamp")
+        closing = end.select(*[later if c == "timestamp" else none[c] for c in table.columns], F.lit(n + i - 1).alias("place"))
+        placed = placed.unionByName(closing)
+    hot = state.hot_sessions(table)
+    job = lambda raw: state.live_features_in_order(raw.drop("arrival"), LATE_SECONDS, hot=hot, idle_ms=None)
+    rows = state.on_time(_one_stream({"log": (placed, n + 3)}, job, without_data=True))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
 
 
 @query
 def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = example_model(spark)
-    rows = _micro_batches({"log": _bounded_chunks(derived.telemetry(spark, sf_dir))}, lambda raw: live.live_predictions(raw, model))
+    rows = _live_features(derived.telemetry(spark, sf_dir), lambda raw, hot: live.live_predictions(raw, model, hot))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", millionths("prob_ct_win").alias("prob_micro")))
 
 
@@ -353,15 +390,15 @@ def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = derived.request_log(spark, sf_dir).select(
         F.col("key").alias("correlation_id"), F.col("timestamp").alias("requested_at")
     )
-    requests = _chunks(asked, "requested_at")
-    responses = _chunks(derived.response_log(spark, sf_dir))
+    logs, n = _side_by_side({"requests": (asked, "requested_at"), "responses": (derived.response_log(spark, sf_dir), "timestamp")})
+    requests, responses = logs["requests"], logs["responses"]
+    last = requests.agg(F.max("requested_at").alias("at"))
     for days in (1, 2, 3):
-        later = F.max("requested_at") + F.make_dt_interval(days=F.lit(days))
-        end = requests[0].unionByName(requests[-1]).agg(later.alias("at"))
-        requests.append(end.select(F.lit("end").alias("correlation_id"), F.col("at").alias("requested_at")))
-        none = [F.lit("end").alias("key"), F.lit('{"correlationId":"end"}').alias("value"), F.col("at").alias("timestamp")]
-        responses.append(end.select(*none, F.lit(0).alias("partition"), F.lit(days).cast("bigint").alias("offset")))
-    matched = _micro_batches({"requests": requests, "responses": responses}, live.live_matches)
+        at, place = F.col("at") + F.make_dt_interval(days=F.lit(days)), F.lit(n + days - 1).alias("place")
+        requests = requests.unionByName(last.select(F.lit("end").alias("correlation_id"), at.alias("requested_at"), place))
+        none = [F.lit("end").alias("key"), F.lit('{"correlationId":"end"}').alias("value"), at.alias("timestamp")]
+        responses = responses.unionByName(last.select(*none, F.lit(0).alias("partition"), F.lit(days).cast("bigint").alias("offset"), place))
+    matched = _one_stream({"requests": (requests, n + 3), "responses": (responses, n + 3)}, live.live_matches)
     return matched.filter("correlation_id <> 'end'").select(
         "correlation_id", "status", millionths("prob_ct_win").alias("prob_micro"), "error"
     )
@@ -370,9 +407,11 @@ def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def live_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded with the first chunk as history, then updated by the others."""
-    first, *rest = _chunks(derived.prediction_log(spark, sf_dir))
-    seed = staging.staged(live.round_totals(H.read_predictions(first)), "seed")
-    updates = _micro_batches({"log": rest}, lambda raw: live.live_round_summary(raw, seed=seed), "update")
+    placed, n = _by_position(derived.prediction_log(spark, sf_dir))
+    table = staging.staged(placed, "log")
+    seed = staging.staged(live.round_totals(H.read_predictions(table.filter("place = 0"))), "seed")
+    rest = table.filter("place > 0").withColumn("place", F.col("place") - 1)
+    updates = _one_stream({"log": (rest, n - 1)}, lambda raw: live.live_round_summary(raw, seed=seed), "update")
     shown = H.as_percentages(seed, ("round",)).withColumn("batch", F.lit(-1).cast("bigint")).unionByName(updates)
     return _plain(_last_updates(shown, ["round"]))
 
@@ -385,13 +424,13 @@ def _last_updates(updates: DataFrame, by: list[str]) -> DataFrame:
 
 @query
 def live_latest_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = _micro_batches({"log": _chunks(derived.prediction_log(spark, sf_dir))}, live.live_latest_by_session, "update")
+    updates = _through_stream(derived.prediction_log(spark, sf_dir), live.live_latest_by_session, "update")
     return _prediction_columns(_last_updates(updates, ["session_key"]))
 
 
 @query
 def live_first_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = _micro_batches({"log": _chunks(derived.prediction_log(spark, sf_dir))}, live.live_first_ticks, "update")
+    updates = _through_stream(derived.prediction_log(spark, sf_dir), live.live_first_ticks, "update")
     return _prediction_columns(_last_updates(updates, ["session_key", "round"]))
 
 

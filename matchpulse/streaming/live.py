@@ -16,13 +16,13 @@ from matchpulse.operators.scoring import encode_predictions, score
 from matchpulse.streaming.state import live_features
 
 
-def live_predictions(raw: DataFrame, model: PipelineModel) -> DataFrame:
+def live_predictions(raw: DataFrame, model: PipelineModel, hot: list[str] | None = None) -> DataFrame:
     """The four typed columns, as the console shows them."""
-    return score(live_features(raw), model)
+    return score(live_features(raw, hot), model)
 
 
-def live_prediction_messages(raw: DataFrame, model: PipelineModel) -> DataFrame:
-    return encode_predictions(live_predictions(raw, model))
+def live_prediction_messages(raw: DataFrame, model: PipelineModel, hot: list[str] | None = None) -> DataFrame:
+    return encode_predictions(live_predictions(raw, model, hot))
 
 
 def live_answers(raw_requests: DataFrame, model: PipelineModel) -> DataFrame:

@@ -1,12 +1,24 @@
-"""The round state of each session as keyed streaming state."""
+"""The round state of each session as keyed streaming state.
+
+*Hot sessions.* Only control rows move a session's state; ticks read it. A hot session is therefore dealt to
+``SALTS`` keys: its control rows go to all of them, each tick to one, and every key replays the few control
+rows and sums its own ticks. Other sessions have one key.
+
+*Order.* ``live_features`` takes rows in order inside a micro-batch and micro-batches as they come.
+``live_features_in_order`` keeps rows until the watermark has passed their second, so that rows of
+several micro-batches are played in order; rows that come too late for that leave on the side.
+"""
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchpulse import schemas
@@ -18,6 +30,9 @@ STATE = (
     "history map<string,array<struct<kills:int,damage:int>>>"
 )
 IDLE_MS = 4 * 60 * 60 * 1000
+SALTS = 16
+#: A session with more than this share of a log's rows is hot, so there are fewer than its inverse.
+HOT_SHARE = 1 / 8
 FEATURES_WITH_POSITION = (
     ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.FEATURE_ROW) + ", partition int, offset bigint"
 )
@@ -57,8 +72,29 @@ def _play(rows: pd.DataFrame, current: int, archived: bool, start: dict, history
     return pd.concat(found), (current, archived, start, history)
 
 
-def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one session in this micro-batch -> feature rows; a session idle too long is forgotten.
+def _loaded(state: GroupState) -> tuple[int, bool, dict, dict]:
+    if not state.exists:
+        return 0, False, {}, {}
+    current, archived, start, history = state.get[:4]
+    return current, archived, dict(start), {p: [(r[0], r[1]) for r in rounds] for p, rounds in history.items()}
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(schemas.ORDER, kind="stable", ignore_index=True)
+
+
+def _tick_features(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+    ticks = rows[rows["kind"] == "tick"]
+    out = ticks[["session_key", "round_num", "second", *schemas.STATELESS]].rename(columns={"second": "event_timestamp"})
+    out[schemas.PREV3] = sums[schemas.PREV3]
+    out[["partition", "offset"]] = ticks[["partition", "offset"]]
+    return out
+
+
+def advance(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = IDLE_MS
+) -> Iterator[pd.DataFrame]:
+    """Rows of one key in this micro-batch -> feature rows; a session idle too long is forgotten.
 
     The micro-batch bounds what is held here (maxOffsetsPerTrigger / maxFilesPerTrigger), the
     number of a session's players bounds the state.
@@ -66,36 +102,127 @@ def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     if state.hasTimedOut:
         state.remove()
         return
-    if state.exists:
-        current, archived, start, history = state.get
-        start = dict(start)
-        history = {p: [(r[0], r[1]) for r in rounds] for p, rounds in history.items()}
-    else:
-        current, archived, start, history = 0, False, {}, {}
-    rows = pd.concat(batches, ignore_index=True).sort_values(schemas.ORDER, kind="stable", ignore_index=True)
-    sums, after = _play(rows, current, archived, start, history)
+    rows = _in_order(pd.concat(batches, ignore_index=True))
+    sums, after = _play(rows, *_loaded(state))
     state.update(after)
-    state.setTimeoutDuration(IDLE_MS)
-    ticks = rows[rows["kind"] == "tick"]
-    if len(ticks):
-        out = ticks[["session_key", "round_num", "second", *schemas.STATELESS]].rename(
-            columns={"second": "event_timestamp"}
-        )
-        out[schemas.PREV3] = sums[schemas.PREV3]
-        out[["partition", "offset"]] = ticks[["partition", "offset"]]
-        yield out
+    state.setTimeoutDuration(idle_ms)
+    if (rows["kind"] == "tick").any():
+        yield _tick_features(rows, sums)
+
+
+def hot_sessions(raw: DataFrame, share: float = HOT_SHARE) -> list[str]:
+    """Sessions with more than ``share`` of the rows of a log: fewer than 1 / share of them, whatever its size."""
+    counts = raw.groupBy(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("session")).agg(F.count(F.lit(1)).alias("rows"))
+    total = counts.select(F.sum("rows")).scalar()
+    return [r["session"] for r in counts.filter(F.col("rows") > total * share).select("session").collect()]
 
 
-def live_features(raw: DataFrame) -> DataFrame:
+def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
+    """The rows with their ``salt``: 0, but for hot sessions ticks by position and control rows once per salt."""
+    by_place = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    is_hot = F.col("session").isin(*hot) if hot else F.lit(False)
+    keys = F.when(~is_hot, F.array(F.lit(0))).when(F.col("kind") == "tick", F.array(by_place)).otherwise(every)
+    return timeline.withColumn("salt", F.explode(keys))
+
+
+def live_features(raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS) -> DataFrame:
     """Stream of raw telemetry -> stream of feature rows with their log position.
 
     Decoding and the row-local features run before the shuffle; only slim rows are shuffled and
-    handed to Python, as Arrow batches.
+    handed to Python, as Arrow batches. ``hot`` and ``salts`` are part of the state's keys: a checkpoint
+    goes on only with the same ones.
     """
+
+    def run(key, batches, state):
+        return advance(key, batches, state, idle_ms)
+
     return (
-        slim_timeline(parse_events(raw))
-        .groupBy("session")
-        .applyInPandasWithState(
-            advance, FEATURES_WITH_POSITION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
+        dealt(slim_timeline(parse_events(raw)), hot or [], salts)
+        .groupBy("session", "salt")
+        .applyInPandasWithState(run, FEATURES_WITH_POSITION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    )
+
+
+# --- in event order over micro-batches
+
+STATE_IN_ORDER = STATE + ", waiting binary, passed bigint, latest bigint"
+FEATURES_IN_ORDER = FEATURES_WITH_POSITION + ", kind string, late boolean"
+
+
+def _packed(rows: pd.DataFrame, kept: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept) as out:
+        out.write_table(pa.Table.from_pandas(rows, kept, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes | None) -> pd.DataFrame | None:
+    return pa.ipc.open_stream(packed).read_pandas() if packed else None
+
+
+def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Callable:
+    """The keyed function that plays rows once the watermark plus ``grace_ms`` has passed their second."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        edge = (watermark + grace_ms) // 1000  # seconds before it are complete
+        waiting, passed, latest = state.get[4:] if state.exists else (None, 0, None)
+        rows = pd.concat([x for x in (_unpacked(waiting), *batches) if x is not None and len(x)] or [kept.empty_table().to_pandas()], ignore_index=True)
+        late = rows["second"] < passed
+        if late.any():
+            left = rows.loc[late, ["session_key", "round_num", "second", "partition", "offset", "kind"]].rename(columns={"second": "event_timestamp"})
+            yield left.assign(**dict.fromkeys(schemas.FEATURES), late=True)
+            rows = rows[~late]
+        due = rows["second"] < edge
+        ready, rest = _in_order(rows[due]), rows[~due]
+        moved = _loaded(state)
+        if idle_ms is not None and latest is not None and len(ready) and (int(ready["second"].iat[0]) - latest) * 1000 > idle_ms:
+            moved = 0, False, {}, {}
+        if len(ready):
+            sums, moved = _play(ready, *moved)
+            latest = int(ready["second"].iat[-1])
+            if (ready["kind"] == "tick").any():
+                yield _tick_features(ready, sums).assign(kind="tick", late=False)
+        elif not len(rest) and idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms:
+            state.remove()
+            return
+        state.update((*moved, _packed(rest, kept) if len(rest) else None, max(passed, edge), latest))
+        if len(rest):
+            state.setTimeoutTimestamp(max(watermark + 1, (int(rest["second"].min()) + 1) * 1000 - grace_ms - 1))
+        elif idle_ms is not None and latest is not None:
+            state.setTimeoutTimestamp(max(watermark + 1, latest * 1000 + idle_ms))
+
+    return run
+
+
+def live_features_in_order(
+    raw: DataFrame,
+    delay_s: int,
+    grace_s: int = 60,
+    hot: list[str] | None = None,
+    salts: int = SALTS,
+    idle_ms: int | None = IDLE_MS,
+) -> DataFrame:
+    """As :func:`live_features`, but rows of a session are played in event order over micro-batches.
+
+    A row waits until the stream has come ``delay_s`` past its second. A row that comes later than that leaves
+    unplayed with ``late`` = true (see :func:`on_time` and :func:`too_late`); one later by ``grace_s`` more is dropped by Spark
+    and counted in the query's progress. Idle time is event time here.
+    """
+    lines = slim_timeline(parse_events(raw.withWatermark("timestamp", f"{delay_s + grace_s} seconds")), keep=("event_timestamp",))
+    keyed = dealt(lines, hot or [], salts)
+    kept = to_arrow_schema(keyed.schema)
+    run = advance_in_order(kept, grace_s * 1000, idle_ms)
+    return keyed.groupBy("session", "salt").applyInPandasWithState(
+        run, FEATURES_IN_ORDER, STATE_IN_ORDER, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def on_time(features: DataFrame) -> DataFrame:
+    return features.filter(~F.col("late")).drop("late", "kind")
+
+
+def too_late(features: DataFrame) -> DataFrame:
+    """Rows that came too late to be played: ticks and control rows, by position."""
+    return features.filter("late").select("kind", "session_key", "round_num", "event_timestamp", "partition", "offset")

@@ -1,21 +1,24 @@
 """Streams over message files give what the batch forms give."""
 
+import json
+import time
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import rounds
-from matchpulse.operators.events import parse_events
+from matchpulse.operators.events import parse_events, slim_timeline
 from matchpulse.operators.history import as_percentages, read_predictions, round_summary, sequence, since_last_clear
 from matchpulse.operators.matching import match_responses, read_responses
 from matchpulse.plans import queries
 from matchpulse.sources import derived, kafka
 from matchpulse.streaming import live
-from matchpulse.streaming.state import live_features
+from matchpulse.streaming.state import SALTS, dealt, hot_sessions, live_features, live_features_in_order, on_time, too_late
 from tests.compare import compare
-from tests.messages import START
+from tests.messages import START, event, player
 
 
 def write_chunks(raw, folder, chunks):
@@ -35,15 +38,119 @@ def run(df, folder, name, **options):
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
-@pytest.mark.parametrize("disordered,chunks", [(True, 1)])
-def test_live_features_equal_batch(spark, sf_dir, tmp_path, disordered, chunks):
-    raw = derived.telemetry(spark, sf_dir, disordered)
-    write_chunks(raw, f"{tmp_path}/in", chunks)
-    stream = live_features(kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1))
+COLUMNS = [*schemas.FEATURE_ROW.fieldNames(), "offset"]
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(COLUMNS).collect()))
+
+
+@pytest.mark.parametrize("hot", [[], ["arena", ""]])
+def test_live_features_equal_batch(spark, sf_dir, tmp_path, hot):
+    """One micro-batch and several, with and without keys dealt to salts, on the log with disordered rounds."""
+    raw = derived.telemetry(spark, sf_dir, True)
+    write_chunks(raw, f"{tmp_path}/in", 6 if hot else 1)
+    stream = live_features(kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1), hot, salts=5)
     got = run(stream, tmp_path, "features")
-    want = rounds.tick_features(rounds.timeline(parse_events(raw)))
-    columns = [*schemas.FEATURE_ROW.fieldNames(), "offset"]
-    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert rows_of(got) == rows_of(rounds.tick_features(rounds.timeline(parse_events(raw))))
+
+
+def test_a_hot_session_is_spread_over_tasks(spark, sf_dir):
+    raw = derived.telemetry(spark, sf_dir)
+    hot = hot_sessions(raw)
+    assert hot == ["arena"]
+    lines = dealt(slim_timeline(parse_events(raw)), hot)
+    tasks = lines.repartition(32, "session", "salt").withColumn("task", F.spark_partition_id()).filter("session = 'arena'")
+    sizes = [r["count"] for r in tasks.groupBy("task").count().collect()]
+    ticks = tasks.filter("kind = 'tick'").count()
+    control = tasks.filter("kind = 'control'").select("offset").distinct().count()
+    assert len(sizes) >= 8 and tasks.filter("kind = 'tick'").select("offset").distinct().count() == ticks
+    assert max(sizes) <= 4 * (control + ticks / SALTS)
+
+
+def in_order(spark, folder, delay, **options):
+    stream = live_features_in_order(kafka.read_files(spark, folder, files_per_trigger=1), delay, **options)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    try:
+        return run(stream, folder, "ordered")
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
+def closing(spark, raw, folder, batches=2):
+    for i in range(batches):
+        end = raw.agg((F.max("timestamp") + F.make_dt_interval(days=F.lit(i + 1))).alias("timestamp"))
+        rest = [F.lit(None).cast(t).alias(c) for c, t in raw.dtypes if c != "timestamp"]
+        end.select("timestamp", *rest).select(raw.columns).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_rows_out_of_order_over_micro_batches_are_played_in_order(spark, sf_dir, tmp_path):
+    """Seven micro-batches; each row comes up to a day late, rounds run up and down besides."""
+    raw = derived.telemetry(spark, sf_dir, True)
+    arrival = F.col("timestamp").cast("bigint") + F.pmod(F.xxhash64("offset"), F.lit(86_400))
+    placed = raw.withColumn("place", F.ntile(7).over(Window.orderBy(arrival)))
+    for i in range(1, 8):
+        placed.filter(F.col("place") == i).drop("place").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    closing(spark, raw, f"{tmp_path}/in")
+    got = in_order(spark, f"{tmp_path}/in", 86_401, hot=["arena"], salts=3, idle_ms=None)
+    assert too_late(got).count() == 0
+    assert rows_of(on_time(got)) == rows_of(rounds.tick_features(rounds.timeline(parse_events(raw))))
+
+
+def test_rows_too_late_leave_on_the_side(spark, tmp_path):
+    def write(*messages):
+        rows = [("s", value and json.dumps(value), START + timedelta(seconds=at), 0, offset) for offset, at, value in messages]
+        spark.createDataFrame(rows, kafka.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    one = {"a": player("CT", 100, 3, 30)}
+    write((1, 0, event("freezetime", 1, {"a": player("CT")})), (2, 40, event("live", 2, one)))
+    write((3, 10, event("over", 1, one)), (4, 200, None))  # late for file order, in time for the delay of 60 s
+    write((6, 205, None))  # the timer of the first rows fires here
+    write((5, 20, event("live", 2, one)), (7, 400, None))  # passed by then
+    write((8, 500, None))
+    got = in_order(spark, f"{tmp_path}/in", 60, grace_s=600)
+    assert [tuple(r) for r in too_late(got).select("kind", "offset").collect()] == [("tick", 5)]
+    assert [(r["offset"], r["ct_alive_kills_prev3_sum"]) for r in on_time(got).collect()] == [(2, 3)]
+
+
+def test_an_idle_session_starts_anew(spark, tmp_path):
+    """A real timer fires: after the idle time the session's history is gone."""
+    def write(offset, value):
+        rows = [("s", json.dumps(value), START + timedelta(seconds=offset), 0, offset)]
+        spark.createDataFrame(rows, kafka.LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    one = {"a": player("CT", 100, 3, 30)}
+    write(1, event("freezetime", 1, {"a": player("CT")}))
+    rows = []
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    try:
+        stream = live_features(kafka.read_files(spark, f"{tmp_path}/in"), idle_ms=15_000)
+        query = (
+            stream.writeStream.outputMode("append")
+            .trigger(processingTime="500 milliseconds")
+            .option("checkpointLocation", f"{tmp_path}/c")
+            .foreachBatch(lambda df, _: rows.extend((r["offset"], r["ct_alive_kills_prev3_sum"]) for r in df.collect()))
+            .start()
+        )
+
+        def until(what):
+            for _ in range(240):
+                if what():
+                    return
+                time.sleep(0.5)
+            raise AssertionError("waited too long")
+
+        write(2, event("over", 1, one))
+        write(3, event("live", 2, one))
+        until(lambda: len(rows) == 1)
+        held = lambda: [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        until(lambda: held() and held()[-1] == 0)  # the timer has dropped the state
+        write(4, event("live", 2, one))
+        until(lambda: len(rows) == 2)
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    assert rows == [(3, 3), (4, 0)]
 
 
 def test_live_summary_goes_on_from_history_and_after_a_clear(spark, sf_dir, tmp_path):
@@ -143,13 +250,21 @@ def test_console_takes_the_typed_columns(spark, tmp_path):
     assert "Console" in progress["sink"]["description"] and progress["numInputRows"] == 1000
 
 
-def test_keyed_state_takes_micro_batches_of_bounded_rows(spark, sf_dir, monkeypatch):
-    log = derived.telemetry(spark, sf_dir)
+def test_one_stream_takes_files_of_bounded_rows_in_order(spark, sf_dir, tmp_path, monkeypatch):
+    log = derived.telemetry(spark, sf_dir).withColumn("timestamp", F.when(F.col("offset") != 7, F.col("timestamp")))
     rows = log.count()
     monkeypatch.setattr(queries, "CHUNK_ROWS", rows // 6)
-    chunks = queries._bounded_chunks(log)
-    counts = [x.count() for x in chunks]
-    assert len(chunks) >= 6 and sum(counts) == rows and max(counts) <= 1.2 * rows / 6
-    spans = [x.agg(F.min("timestamp"), F.max("timestamp")).first() for x in chunks]
-    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    placed, n = queries._by_position(log)
+    queries._publish(placed, n, f"{tmp_path}/in")
+    batches = []
+    query = (
+        spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        .writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c")
+        .foreachBatch(lambda df, _: batches.append(df.agg(F.count("*"), F.min("timestamp"), F.max("timestamp"), F.count("timestamp")).first()))
+        .start()
+    )
+    assert query.awaitTermination(300)
+    assert n >= 6 and len(batches) == n and sum(b[0] for b in batches) == rows and max(b[0] for b in batches) <= 1.5 * rows / 6
+    assert sum(b[3] for b in batches) == rows - 1  # the row without time is there
+    assert all(a[2] <= b[1] for a, b in zip(batches, batches[1:]))
     assert compare(spark, sf_dir, "live_features") is None
