@@ -7,18 +7,28 @@ newest rows need an order inside groups, and that runs on slices.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchpulse.functions import expressions as X
 from matchpulse.operators.slices import row_numbers, sliced
+from matchpulse.sources import ledger
 from matchpulse.sources.staging import staged
 
 #: seq = partition * 2^48 + offset: room for 32,768 partitions.
 OFFSET_BITS = 48
 PAGE_TICKS = 4096
 _MAX_INT = 2**31 - 1
+HISTORY = (
+    "session_key string, round int, prob_ct_win double, timestamp_ms bigint, arrived_at timestamp, partition int, offset bigint, seq bigint"
+)
+#: Up to so many newest rows of a session are taken by a limit inside tasks; more are counted over slices.
+FEW = 10_000
+#: The rows of a session are dealt to so many parts before the last limit.
+LIMIT_PARTS = 64
 
 
 def sequence() -> Column:
@@ -55,7 +65,11 @@ def read_predictions(raw: DataFrame) -> DataFrame:
 
     Numbers may come with a fraction, an exponent or as text.
     """
-    return _decoded(raw).filter(_readable()).select(
+    return _as_predictions(_decoded(raw).filter(_readable()))
+
+
+def _as_predictions(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
         F.col("body.sessionKey").alias("session_key"),
         _whole("round", _MAX_INT).cast("int").alias("round"),
         F.col("body.probCtWin").try_cast("double").alias("prob_ct_win"),
@@ -73,11 +87,35 @@ def unreadable_predictions(raw: DataFrame) -> DataFrame:
     return bad.groupBy("partition").agg(F.count(F.lit(1)).alias("unreadable"))
 
 
+def observed_predictions(raw: DataFrame, observation: Observation | str) -> DataFrame:
+    """As :func:`read_predictions`, counting in the same pass: messages, unreadable and readable ones.
+
+    With an ``Observation`` the counts are there after the first action; on a stream, where a name is given, they
+    stand in the progress of every micro-batch.
+    """
+    counts = (
+        F.count(F.lit(1)).alias("messages"),
+        F.count_if(~_readable()).alias("unreadable"),
+        F.count_if(_readable()).alias("readable"),
+    )
+    return _as_predictions(_decoded(raw).observe(observation, *counts).filter(_readable()))
+
+
 def append_history(predictions: DataFrame, path: str) -> None:
     """Append to the history table; arrival columns keep the order."""
     predictions.write.mode("append").parquet(path)
 
 
+def append_history_once(predictions: DataFrame, root: str, query: str, batch: int) -> bool:
+    """Append a batch of a query to the history below ``root``; a batch that is there already changes nothing."""
+    return ledger.publish(predictions, root, query, batch)
+
+
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """The history of :func:`append_history_once`, each message once."""
+    return ledger.each_message_once(ledger.read(spark, root, HISTORY)).drop("query", "batch")
+
+
 def round_history_nested(predictions: DataFrame, slices: int | None = None) -> DataFrame:
     """Tick lists per session and round, in arrival order.
 
@@ -182,6 +220,55 @@ def since_last_clear(predictions: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def last_n(predictions: DataFrame, n: int, slices: int | None = None) -> DataFrame:
-    """The newest ``n`` of each session, whatever ``n``: rows are counted from the end over slices."""
-    cut = sliced(predictions, ["session_key", "seq"], "newest", slices)
-    return row_numbers(cut, ["session_key"], ["seq"], "age", newest_first=True).filter(F.col("age") <= n).drop("age")
+    """The newest ``n`` of each session, whatever ``n``.
+
+    A few are taken by a limit inside each task, then per part of a session, then per session, so that what meets is a
+    multiple of ``n``. Many are counted from the end over slices. Both give the same rows.
+    """
+    if n > FEW or slices:
+        cut = sliced(predictions, ["session_key", "seq"], "newest", slices)
+        return row_numbers(cut, ["session_key"], ["seq"], "age", newest_first=True).filter(F.col("age") <= n).drop("age")
+    newest = F.desc("seq")
+    part = F.pmod(F.xxhash64("seq"), F.lit(LIMIT_PARTS))
+    few = predictions.withColumn("part", part).withColumn("age", F.row_number().over(Window.partitionBy("session_key", "part").orderBy(newest)))
+    few = few.filter(F.col("age") <= n).withColumn("age", F.row_number().over(Window.partitionBy("session_key").orderBy(newest)))
+    return few.filter(F.col("age") <= n).drop("age", "part")
+
+
+def folded(predictions: DataFrame) -> DataFrame:
+    """One mergeable summary row per session and round: ticks, first and last seq, last probability, sum, least and greatest."""
+    prob = F.col("prob_ct_win")
+    return predictions.groupBy("session_key", "round").agg(
+        F.count(F.lit(1)).alias("ticks"),
+        F.min("seq").alias("first_seq"),
+        F.max("seq").alias("last_seq"),
+        F.max_by(prob, "seq").alias("last_prob"),
+        F.sum(F.round(prob * 1_000_000).cast("bigint")).alias("sum_micro"),
+        F.min(prob).alias("least"),
+        F.max(prob).alias("greatest"),
+    )
+
+
+def merged(*summaries: DataFrame) -> DataFrame:
+    """Summaries of several stretches of the history as one."""
+    rows = reduce(DataFrame.unionByName, summaries)
+    return rows.groupBy("session_key", "round").agg(
+        F.sum("ticks").alias("ticks"),
+        F.min("first_seq").alias("first_seq"),
+        F.max("last_seq").alias("last_seq"),
+        F.max_by("last_prob", "last_seq").alias("last_prob"),
+        F.sum("sum_micro").alias("sum_micro"),
+        F.min("least").alias("least"),
+        F.max("greatest").alias("greatest"),
+    )
+
+
+def compacted(kept: DataFrame, summaries: DataFrame | None, new: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Two-tier retention after ``new`` has come: the newest ``n`` messages of each session, and one summary per round of the others.
+
+    ``kept`` and ``summaries`` are what an earlier compaction left. Summary and kept rows together tell what the whole history does.
+    """
+    held = staged(kept.unionByName(new), "held")
+    newest = staged(last_n(held, n), "kept")
+    evicted = folded(held.join(newest.select("seq"), "seq", "left_anti"))
+    return newest, evicted if summaries is None else merged(summaries, evicted)

@@ -231,6 +231,16 @@ def oracle_sql() -> dict[str, str]:
                SELECT session_key, round, (tick - 1) // 4096 AS page, {listed} AS ticks FROM ticks GROUP BY ALL) n
              JOIN (SELECT session_key AS s, round AS r, count(*) AS predictions FROM predictions GROUP BY ALL)
              ON session_key IS NOT DISTINCT FROM s AND round = r""",
+        "retained_history": log
+        + """, aged AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY seq DESC) AS age FROM predictions)
+             SELECT CASE WHEN age <= 20 THEN 'kept' ELSE 'folded' END AS tier, session_key, round, count(*) AS ticks,
+               min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(prob_micro) AS BIGINT) AS sum_micro,
+               max_by(prob_micro, seq) AS last_prob_micro, min(prob_micro) AS least_micro, max(prob_micro) AS greatest_micro
+             FROM aged GROUP BY ALL""",
+        "live_round_summary_cleared": log
+        + f"""SELECT round, pct AS ct_percent, 100 - pct AS t_percent, ticks FROM (
+               SELECT round, max_by({_PERCENT}, "offset") AS pct, count(*) AS ticks FROM predictions
+               WHERE "offset" > (SELECT coalesce(max(event_id), -1) FROM log WHERE event_id % 300 = 217) GROUP BY round)""",
         "latest_prediction": log
         + f'SELECT {_PREDICTION_COLUMNS} FROM predictions QUALIFY row_number() OVER (ORDER BY seq DESC) = 1',
         "latest_by_session": log
@@ -275,6 +285,7 @@ def oracle_sql() -> dict[str, str]:
     }
     for name in ("response_messages", "prediction_log_decode", "stateless_features", "round_summary", "latest_by_session", "first_ticks"):
         sql[f"live_{name}"] = sql[name]
+    sql["round_history_appended"] = sql["round_history_nested"]
     sql["live_features_disordered"] = sql["live_features"]
     sql["live_predictions"] = sql["win_probability"]
     sql["live_matches"] = sql["response_matching"]

@@ -14,12 +14,13 @@ from matchpulse import schemas
 from matchpulse.operators import events as E
 from matchpulse.operators import history as H
 from matchpulse.operators import matching as J
+from matchpulse.operators import pages
 from matchpulse.operators import requests as Q
 from matchpulse.operators import rounds as R
 from matchpulse.operators import scoring as S
 from matchpulse.plans.example_model import example_model
 from matchpulse.sources import derived, kafka, staging
-from matchpulse.streaming import live, state
+from matchpulse.streaming import clears, live, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -422,6 +423,19 @@ def _last_updates(updates: DataFrame, by: list[str]) -> DataFrame:
     return updates.groupBy(*by).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
+#: Clear markers are the events with this remainder.
+CLEAR_EVERY, CLEAR_AT = 300, 217
+
+
+@query
+def live_round_summary_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round summary with clears in mid-stream, as its reader sees it at the end."""
+    markers = derived.event_log(spark, sf_dir).filter(F.col("event_id") % CLEAR_EVERY == CLEAR_AT).select("timestamp", "partition", "offset")
+    logs, n = _side_by_side({"log": (derived.prediction_log(spark, sf_dir), "timestamp"), "clears": (markers, "timestamp")})
+    totals = _one_stream({name: (log, n) for name, log in logs.items()}, clears.live_totals)
+    return _plain(clears.shown(totals))
+
+
 @query
 def live_latest_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = _through_stream(derived.prediction_log(spark, sf_dir), live.live_latest_by_session, "update")
@@ -510,6 +524,36 @@ def round_history_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(pages.select("session_key", "round", "page", _listed()))
 
 
+def _arrivals(predictions: DataFrame, parts: int = 3) -> list[DataFrame]:
+    """The history in stretches of arrival."""
+    placed = staging.staged(predictions, "predictions").repartitionByRange(parts, "seq").withColumn("place", F.spark_partition_id())
+    table = staging.staged(placed, "arrivals", "place")
+    return [table.filter(F.col("place") == i).drop("place") for i in range(parts)]
+
+
+@query
+def round_history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tick lists kept up by three appends, the second of which comes twice."""
+    root = staging.new_folder(spark, "pages")
+    first, second, third = _arrivals(_predictions(spark, sf_dir))
+    for version, part in ((0, first), (1, second), (1, second), (2, third)):
+        pages.append_ticks(part, root, version)
+    return _plain(pages.pages(spark, root).select("session_key", "round", "page", _listed()))
+
+
+@query
+def retained_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-tier retention over three compactions: the newest 20 messages a session, a summary per round of the rest."""
+    first, *later = _arrivals(_predictions(spark, sf_dir))
+    kept, summaries = H.compacted(first.limit(0), None, first, 20)
+    for part in later:
+        kept, summaries = H.compacted(kept, staging.staged(summaries, "summaries"), part, 20)
+    tiers = H.folded(kept).withColumn("tier", F.lit("kept")).unionByName(summaries.withColumn("tier", F.lit("folded")))
+    values = ["ticks", "first_seq", "last_seq", "sum_micro"]
+    micro = [millionths(c).alias(f"{c}_micro") for c in ("last_prob", "least", "greatest")]
+    return _plain(tiers.select("tier", "session_key", "round", *values, *micro))
+
+
 @query
 def history_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The written snapshot read again: the nested lists, next to the flat list's counts."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from matchpulse.sources.staging import shared_folder
@@ -88,14 +91,80 @@ def read_topic(spark: SparkSession, topic: Topic) -> DataFrame:
     return spark.readStream.format("kafka").options(**reader_options(topic)).load()
 
 
-def replay_options(topic: Topic) -> dict[str, str]:
-    options = reader_options(replace(topic, starting_offsets="latest", max_offsets_per_trigger=None))
-    return {**options, "startingOffsets": "earliest", "failOnDataLoss": "true"}
+@dataclass(frozen=True)
+class Stretch:
+    """A part of a log: times in [start, end) and, per partition, offsets in [first, last); what is not given is not bounded.
 
+    With ``offsets`` only the partitions named there are in the stretch of a file log; a topic wants every partition
+    named, and takes None as the beginning or end of one.
+    """
 
-def replay_topic(spark: SparkSession, topic: Topic) -> DataFrame:
-    """The whole retained log of a topic as a bounded table; lost offsets are an error."""
-    return spark.read.format("kafka").options(**replay_options(topic)).load()
+    start: datetime | None = None
+    end: datetime | None = None
+    offsets: dict[int, tuple[int | None, int | None]] | None = None
+
+
+def _millis(at: datetime) -> str:
+    if at.tzinfo is None:
+        raise ValueError("times of a stretch need a time zone")
+    return str(int(at.timestamp() * 1000))
+
+
+def stretch_options(topic: Topic, stretch: Stretch) -> dict[str, str]:
+    """Where a replay of a topic begins and ends, as the reader's options: offsets per partition or times, not both."""
+    if stretch.offsets is not None:
+        if stretch.start or stretch.end:
+            raise ValueError("a topic is replayed by offsets or by times")
+        edge = lambda i, none: json.dumps({topic.name: {str(p): none if o[i] is None else o[i] for p, o in sorted(stretch.offsets.items())}})
+        return {"startingOffsets": edge(0, -2), "endingOffsets": edge(1, -1)}
+    options = {}
+    if stretch.start:
+        # a partition without messages since then has nothing to replay
+        options |= {"startingTimestamp": _millis(stretch.start), "startingOffsetsByTimestampStrategy": "latest"}
+    if stretch.end:
+        options["endingTimestamp"] = _millis(stretch.end)
+    return options
+
+
+def replay_options(topic: Topic, stretch: Stretch | None = None) -> dict[str, str]:
+    options = reader_options(replace(topic, starting_offsets="latest", max_offsets_per_trigger=None))
+    options = {**options, "startingOffsets": "earliest", "failOnDataLoss": "true"}
+    return {**options, **stretch_options(topic, stretch)} if stretch else options
+
+
+def replay_topic(spark: SparkSession, topic: Topic, stretch: Stretch | None = None) -> DataFrame:
+    """The retained log of a topic, or a stretch of it, as a bounded table; lost offsets are an error."""
+    return spark.read.format("kafka").options(**replay_options(topic, stretch)).load()
+
+
+def archive(log: DataFrame, path: str) -> None:
+    """Append messages to a file log that is laid out for replays: a folder per day, ordered by time and position inside its files."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("timestamp") / 86_400).cast("int")).alias("day")  # in UTC
+    rows = log.select(*[x.split()[0] for x in LOG_SCHEMA.split(", ")], day)
+    # ranges of time spread a busy day over files and keep the statistics of each narrow
+    rows.repartitionByRange("day", "timestamp").sortWithinPartitions("day", "timestamp", "partition", "offset").write.partitionBy("day").mode(
+        "append"
+    ).parquet(path)
+
+
+def replay_archive(spark: SparkSession, path: str, stretch: Stretch = Stretch()) -> DataFrame:
+    """A stretch of an archive: folders outside its days are not listed in the scan, row groups outside its times and offsets are skipped."""
+    rows = spark.read.schema(f"{LOG_SCHEMA}, day date").parquet(path)
+    at = F.col("timestamp")
+    if stretch.start is not None:
+        start = F.timestamp_millis(F.lit(int(_millis(stretch.start))))
+        rows = rows.filter((F.col("day") >= F.lit(stretch.start.astimezone(timezone.utc).date())) & (at >= start))
+    if stretch.end is not None:
+        end = F.timestamp_millis(F.lit(int(_millis(stretch.end))))
+        rows = rows.filter((F.col("day") <= F.lit(stretch.end.astimezone(timezone.utc).date())) & (at < end))
+    if stretch.offsets is not None:
+        inside = F.lit(False)
+        for partition, (first, last) in sorted(stretch.offsets.items()):
+            own = F.col("partition") == partition
+            own = own if first is None else own & (F.col("offset") >= first)
+            inside = inside | (own if last is None else own & (F.col("offset") < last))
+        rows = rows.filter(inside)
+    return rows.drop("day")
 
 
 def read_files(spark: SparkSession, path: str, file_format: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:

@@ -150,14 +150,15 @@ STATE_IN_ORDER = STATE + ", waiting binary, passed bigint, latest bigint"
 FEATURES_IN_ORDER = FEATURES_WITH_POSITION + ", kind string, late boolean"
 
 
-def _packed(rows: pd.DataFrame, kept: pa.Schema) -> bytes:
+def packed(rows: pd.DataFrame, kept: pa.Schema) -> bytes:
+    """Rows as one value of a state."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, kept) as out:
         out.write_table(pa.Table.from_pandas(rows, kept, preserve_index=False))
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(packed: bytes | None) -> pd.DataFrame | None:
+def unpacked(packed: bytes | None) -> pd.DataFrame | None:
     return pa.ipc.open_stream(packed).read_pandas() if packed else None
 
 
@@ -168,7 +169,7 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
         watermark = state.getCurrentWatermarkMs()
         edge = (watermark + grace_ms) // 1000  # seconds before it are complete
         waiting, passed, latest = state.get[4:] if state.exists else (None, 0, None)
-        rows = pd.concat([x for x in (_unpacked(waiting), *batches) if x is not None and len(x)] or [kept.empty_table().to_pandas()], ignore_index=True)
+        rows = pd.concat([x for x in (unpacked(waiting), *batches) if x is not None and len(x)] or [kept.empty_table().to_pandas()], ignore_index=True)
         late = rows["second"] < passed
         if late.any():
             left = rows.loc[late, ["session_key", "round_num", "second", "partition", "offset", "kind"]].rename(columns={"second": "event_timestamp"})
@@ -187,7 +188,7 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
         elif not len(rest) and idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms:
             state.remove()
             return
-        state.update((*moved, _packed(rest, kept) if len(rest) else None, max(passed, edge), latest))
+        state.update((*moved, packed(rest, kept) if len(rest) else None, max(passed, edge), latest))
         if len(rest):
             state.setTimeoutTimestamp(max(watermark + 1, (int(rest["second"].min()) + 1) * 1000 - grace_ms - 1))
         elif idle_ms is not None and latest is not None:
