@@ -89,7 +89,7 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int):
         hashes = rolling_hashes(own, GRAM)
         anchor = anchors(hashes, length - GRAM + 1)
         start = np.arange(len(anchor))
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[chunk : chunk + len(anchor)]
+        text = np.searchsorted(offsets, start + chunk, "right") - 1
         inside = start + chunk + length <= offsets[text + 1] - 1
         start, anchor, text = start[inside], anchor[inside], text[inside]
         if not len(start):
@@ -354,41 +354,51 @@ def stretch_texts(table: DataFrame, found: DataFrame, length: int) -> DataFrame:
     return beside(table, found, run, TEXTS)
 
 
-def repeated_strings(texts: DataFrame, length: int, limit: int | None = None) -> DataFrame:
-    """Strings that also stand earlier, found in each shard by external induced sorting."""
+#: What a suffix tuple carries: where its stretch lies, and which of its strings count.
+PAYLOAD = np.dtype([("doc_id", "i8"), ("row", "i8"), ("top", "i8"), ("first", "i4"), ("last", "i4")])
+STRING = np.dtype([("doc_id", "i8"), ("row", "i8"), ("start", "i8")])
+
+
+def _repeats(strings: np.ndarray, run: np.ndarray, open_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the strings of each run all but the earliest; and the earliest of the run that goes on, if it has any."""
+    order = np.lexsort((strings["start"], strings["row"], strings["doc_id"], run))
+    strings, run = strings[order], run[order]
+    again = np.zeros(len(run), bool)
+    again[1:] = run[1:] == run[:-1]
+    return strings[again], strings[~again & (run == open_run)]
+
+
+def repeated_strings(texts: DataFrame, length: int, shards: int, limit: int | None = None) -> DataFrame:
+    """Strings that also stand earlier, found in each of ``shards`` by external induced sorting; ``limit`` suffix tuples are held."""
     width = length + STRETCH - 1
     most = {} if limit is None else {"limit": limit}
 
-    def run(batches):
-        ids, rows, tops, firsts, lasts = [], [], [], [], []
-
-        def matrices():
-            done = 0
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                for held, name in ((ids, "doc_id"), (rows, "row"), (tops, "top"), (firsts, "first"), (lasts, "last")):
-                    held.append(batch.column(name).to_numpy())
-                joined = b"".join(batch.column("text").to_pylist())
-                yield np.arange(done, done + batch.num_rows), np.frombuffer(joined, np.uint8).reshape(-1, width)
-                done += batch.num_rows
+    def matrices(batches):
+        for batch in batches:
+            own = np.empty(batch.num_rows, PAYLOAD)
+            for name in PAYLOAD.names:
+                own[name] = batch.column(name).to_numpy()
+            yield own, np.frombuffer(b"".join(batch.column("text").to_pylist()), np.uint8).reshape(-1, width)
 
+    def run(batches):
         with tempfile.TemporaryDirectory(prefix="induced-") as folder:
-            for column, order, common in suffix_orders(matrices(), width, list(range(STRETCH)), folder, **most):
+            at, held = None, np.zeros(0, STRING)
+            for column, own, common in suffix_orders(matrices(batches), width, list(range(STRETCH)), folder, PAYLOAD, **most):
+                if column != at:
+                    at, held = column, held[:0]
                 back = STRETCH - 1 - column
-                held = [np.concatenate(x) for x in (ids, rows, tops, firsts, lasts)] if ids else [order] * 5
-                doc_id, row, top, first, last = (x[order] for x in held)
-                run_of = np.cumsum(common < length)
-                real = (first <= back) & (back <= last)
-                doc_id, row, start, run_of = doc_id[real], row[real], top[real] - back, run_of[real]
-                inner = np.lexsort((start, row, doc_id, run_of))
-                repeat = inner[1:][run_of[inner][1:] == run_of[inner][:-1]]
-                meta = _meta(row[repeat] & (1 << BLOCK_BITS) - 1, start[repeat], 0, 0)
-                out = [(b, REMOVED, x) for b, x in _by_block(row[repeat] >> BLOCK_BITS, meta)]
+                runs = np.cumsum(common < length)
+                real = (own["first"] <= back) & (back <= own["last"])
+                strings = np.empty(int(real.sum()), STRING)
+                strings["doc_id"], strings["row"], strings["start"] = own["doc_id"][real], own["row"][real], own["top"][real] - back
+                # the earliest of the run that the last block left open has run 0, like what goes on with it here
+                repeats, held = _repeats(np.concatenate([held, strings]), np.concatenate([np.zeros(len(held), np.int64), runs[real]]), runs[-1])
+                meta = _meta(repeats["row"] & (1 << BLOCK_BITS) - 1, repeats["start"], 0, 0)
+                out = [(b, REMOVED, x) for b, x in _by_block(repeats["row"] >> BLOCK_BITS, meta)]
                 if out:
                     yield _record_batch(out, FOUND)
 
-    return texts.repartition("key").mapInArrow(run, FOUND)
+    return texts.repartition(shards, "key").mapInArrow(run, FOUND)
 
 
 KEPT = "row bigint, doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
@@ -401,6 +411,7 @@ def without_repeats(table: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if not GRAM + STRETCH < length < 256:
         raise ValueError(f"length must lie between {GRAM + STRETCH} and 256")
+    C.bounded_batches(table.sparkSession)
     size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     shards = max(MIN_SHARDS, size["n"] // SHARD_ROWS, size["bytes"] // SHARD_BYTES)
     first = staged(settled(packed_regions(table, length, shards)), "repeats-regions")
@@ -408,7 +419,7 @@ def without_repeats(table: DataFrame, length: int = LENGTH) -> DataFrame:
     second = staged(settled(packed_stretches(concerned, first.where(F.col("kind") != REMOVED), length, shards)), "repeats-stretches")
     sharing = second.where(F.col("kind") != REMOVED)
     concerned = table.where(_marked(table, concerned_rows(second, (SHARED, HOT_SHARED))))
-    third = staged(repeated_strings(stretch_texts(concerned, sharing, length), length), "repeats-strings")
+    third = staged(repeated_strings(stretch_texts(concerned, sharing, length), length, shards), "repeats-strings")
     removed = first.unionByName(second).unionByName(third).where(F.col("kind") == REMOVED)
     marked = _marked(table, concerned_rows(removed, (REMOVED,)))
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from matchpulse.llm import chat_format, common, language_id, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, text_stats
-from matchpulse.llm.induced_sort import TupleQueue, suffix_orders
+from matchpulse.llm import chat_format, common, induced_sort, language_id, packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup, text_stats
+from matchpulse.llm.induced_sort import LeastBetween, TupleQueue, suffix_orders
 from matchpulse.llm.minimal_hash import MinimalHash
 from matchpulse.llm.oracle import ORACLE_SQL
 from matchpulse.llm.queries import REGISTRY
@@ -47,13 +48,52 @@ def test_suffix_orders(tmp_path_factory, texts, limit):
     folder = str(tmp_path_factory.mktemp("runs"))
     matrix = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, 20)
     batches = [(np.arange(i, min(i + 7, len(texts))), matrix[i : i + 7]) for i in range(0, len(texts), 7)]
+    found = {}
     for column, ids, common_prefix in suffix_orders(batches, 20, [0, 1, 2, 7], folder, limit=limit):
-        found = [texts[i][column:] for i in ids]
-        assert found == sorted(x[column:] for x in texts)
-        for (a, b), n in zip(itertools.pairwise(found), common_prefix[1:]):
+        held = found.setdefault(column, ([], []))
+        held[0].extend(texts[i][column:] for i in ids)
+        held[1].extend(common_prefix.tolist())
+    assert list(found) == ([7, 2, 1, 0] if texts else [])
+    for column, (own, common_prefix) in found.items():
+        assert own == sorted(x[column:] for x in texts)
+        for (a, b), n in zip(itertools.pairwise(own), common_prefix[1:]):
             assert n == next((i for i in range(len(a)) if a[i] != b[i]), len(a))
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=300), st.integers(1, 40), st.randoms())
+def test_least_between_on_disk(tmp_path_factory, values, span, r):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(induced_sort, "SPAN", span)
+        least = LeastBetween(str(tmp_path_factory.mktemp("least")))
+        for i in range(0, len(values), 13):
+            least.append(np.array(values[i : i + 13]))
+        least.finish()
+        pairs = [sorted((r.randrange(len(values)), r.randrange(len(values)))) for _ in range(60)]
+        got = least(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [min(values[a : b + 1]) for a, b in pairs]
+
+
+def test_sort_holds_a_bounded_part_of_a_large_shard(tmp_path):
+    """Ten and twenty times as many suffixes as are held take the same memory."""
+    r = np.random.default_rng(3)
+
+    def peak(n, limit=4_000, width=23):
+        texts = r.integers(97, 100, (n, width)).astype(np.uint8)
+        texts[n // 2 :] = texts[: n - n // 2]
+        batches = ((np.arange(i, min(i + 1000, n)), texts[i : i + 1000]) for i in range(0, n, 1000))
+        tracemalloc.start()
+        held = tracemalloc.get_traced_memory()[0]
+        equal = sum(int((common == width).sum()) for _, _, common in suffix_orders(batches, width, [0], str(tmp_path), limit=limit))
+        most = tracemalloc.get_traced_memory()[1] - held
+        tracemalloc.stop()
+        assert equal >= n // 2
+        return most
+
+    small, large = peak(40_000), peak(80_000)
+    assert large < 4_000 * 47 * 15 and large < 1.5 * small
+
+
 def test_queue_merges_runs_from_disk(tmp_path):
     kind = np.dtype([("head", "u8"), ("rank", "i8"), ("id", "i8"), ("text", "u1", (3,))])
     queue, r = TupleQueue(kind, str(tmp_path), 10), np.random.default_rng(2)
