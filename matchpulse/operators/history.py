@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchpulse.functions import expressions as X
-from matchpulse.operators.slices import row_numbers, sliced
+from matchpulse.operators.slices import cut_by, row_numbers
 from matchpulse.sources import ledger
 from matchpulse.sources.staging import staged
 
@@ -204,7 +204,7 @@ def tick_index(
     predictions: DataFrame, by: tuple[str, ...] = ("session_key", "round"), slices: int | None = None
 ) -> DataFrame:
     """Number the ticks of each round 1..N in arrival order."""
-    cut = sliced(predictions, [*by, "seq"], "ticks", slices)
+    cut = cut_by(predictions, "seq", "ticks", slices)
     return row_numbers(cut, list(by), ["seq"], "tick")
 
 
@@ -226,7 +226,7 @@ def last_n(predictions: DataFrame, n: int, slices: int | None = None) -> DataFra
     multiple of ``n``. Many are counted from the end over slices. Both give the same rows.
     """
     if n > FEW or slices:
-        cut = sliced(predictions, ["session_key", "seq"], "newest", slices)
+        cut = cut_by(predictions, "seq", "newest", slices)
         return row_numbers(cut, ["session_key"], ["seq"], "age", newest_first=True).filter(F.col("age") <= n).drop("age")
     newest = F.desc("seq")
     part = F.pmod(F.xxhash64("seq"), F.lit(LIMIT_PARTS))

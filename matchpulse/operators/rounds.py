@@ -7,22 +7,28 @@ of :func:`timeline` or tables made from it; ordered steps run per slice (see ``s
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchpulse import schemas
 from matchpulse.operators import events as E
 from matchpulse.functions import expressions as X
-from matchpulse.operators.slices import SLICE, earlier, in_slice, sliced, with_carried
+from matchpulse.operators.slices import SLICE, cut_by, earlier, in_slice, with_carried
 from matchpulse.schemas import ORDER
 from matchpulse.sources.staging import staged
 
 HISTORY_ROUNDS = 3
 
 
-def timeline(events: DataFrame, slices: int | None = None) -> DataFrame:
-    """Parsed events -> written, sliced timeline of control and tick rows."""
-    return sliced(E.slim_timeline(events), ["session", *ORDER], "timeline", slices, partition_by="kind")
+def timeline(events: DataFrame, slices: int | None = None, times: DataFrame | None = None) -> DataFrame:
+    """Parsed events -> written, sliced timeline of control and tick rows; a slice is a range of seconds.
+
+    ``times`` (one column, the raw log's timestamps) spares a second decoding for the cuts.
+    """
+    return cut_by(E.slim_timeline(events), "second", "timeline", slices, partition_by="kind", values=times)
 
 
 def control_rows(line: DataFrame) -> DataFrame:
@@ -225,10 +231,14 @@ def staged_history(steps: DataFrame) -> DataFrame:
 def tick_features(line: DataFrame) -> DataFrame:
     """Feature rows with their log position (partition, offset), from a staged timeline."""
     steps = staged_transitions(line)
-    history = staged_history(steps)
     archives = steps.filter(F.col("step") == "archive").select("session", SLICE, *ORDER, "round_num")
-    placed = staged(placed_ticks(line, archives), "ticks")
-    asked = staged(asked_players(placed), "asked")
+    # the history of the players and the places of the ticks need nothing of each other, so their jobs run side by side
+    with ThreadPoolExecutor(1) as beside:
+        spark = line.sparkSession
+        told = beside.submit(inheritable_thread_target(spark)(lambda: staged_history(steps)))
+        placed = staged(placed_ticks(line, archives), "ticks")
+        asked = staged(asked_players(placed), "asked")
+        history = told.result()
     return with_prev3(placed, sums_in_force(asked, history)).select(
         "session_key",
         "round_num",
@@ -239,6 +249,6 @@ def tick_features(line: DataFrame) -> DataFrame:
     )
 
 
-def build_features(events: DataFrame, slices: int | None = None) -> DataFrame:
+def build_features(events: DataFrame, slices: int | None = None, times: DataFrame | None = None) -> DataFrame:
     """Parsed events -> one feature row per scored event (the 13 contract columns)."""
-    return tick_features(timeline(events, slices)).select(*schemas.FEATURE_ROW.fieldNames())
+    return tick_features(timeline(events, slices, times)).select(*schemas.FEATURE_ROW.fieldNames())

@@ -24,6 +24,10 @@ SLICE = "slice"
 SLICE_ROWS = 500_000
 #: Slices of a table of any size.
 LEAST_SLICES = 8
+#: Slices of a table cut by ranges of one number.
+MOST_SLICES = 1024
+#: So many cuts are looked at in one step.
+STEP = 32
 
 
 def sliced(
@@ -45,6 +49,39 @@ def sliced(
     return staged(cuts, name, partition_by)
 
 
+def _place(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts lie below a value, 0 for null; found in two steps, so a row looks at few cuts."""
+    below = lambda held: F.size(F.filter(held, lambda cut: cut < value))
+    whole = F.array(*[F.lit(c).cast("bigint") for c in cuts])
+    if len(cuts) <= STEP:
+        return below(whole) if cuts else F.lit(0)
+    steps = below(F.array(*[F.lit(c).cast("bigint") for c in cuts[::STEP]]))
+    return F.when(steps == 0, 0).otherwise((steps - 1) * STEP + below(F.slice(whole, (steps - 1) * STEP + 1, F.lit(STEP))))
+
+
+def cut_by(
+    df: DataFrame,
+    at: str,
+    name: str,
+    slices: int | None = None,
+    partition_by: str | None = None,
+    values: DataFrame | None = None,
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """``df`` as a table, written once, with a slice column: ranges of the whole number ``at``, which grows with the order.
+
+    For all groups the cuts are the same, so a group has rows in as many slices as it lasts. They come from the number
+    and the approximate quantiles of ``values`` (one column, as cheap as it may be; else of ``df`` itself). Rows of one
+    value stay together; null belongs to the first slice. More than MOST_SLICES slices are not made, they grow instead.
+    """
+    known = (df if values is None else values).select(F.col(at if values is None else values.columns[0]).cast("bigint").alias("at"))
+    grid = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    rows, found = known.agg(F.count(F.lit(1)), F.percentile_approx("at", grid, 20 * MOST_SLICES)).first()
+    count = min(MOST_SLICES, slices or max(LEAST_SLICES, math.ceil(rows / slice_rows)))
+    cuts = sorted({found[i * MOST_SLICES // count - 1] for i in range(1, count)}) if found else []
+    return staged(df.withColumn(SLICE, _place(F.col(at), cuts).cast("int")), name, partition_by)
+
+
 def with_carried(
     df: DataFrame, by: list[str], key: list[str], keep: list[str], source: Column, target: Column, depth: int = 1
 ) -> DataFrame:

@@ -55,7 +55,13 @@ def _events(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataF
 
 
 def _timeline(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataFrame:
-    return R.timeline(_events(spark, sf_dir, disordered))
+    raw = derived.telemetry(spark, sf_dir, disordered)
+    return R.timeline(E.parse_events(raw), times=raw.select("timestamp"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = derived.telemetry(spark, sf_dir)
+    return R.build_features(E.parse_events(raw), times=raw.select("timestamp"))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +197,7 @@ def prev3_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(
-        R.build_features(_events(spark, sf_dir)).select("session_key", "round_num", "event_timestamp", *_features())
+        _built(spark, sf_dir).select("session_key", "round_num", "event_timestamp", *_features())
     )
 
 
@@ -199,7 +205,7 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.score(R.build_features(_events(spark, sf_dir)), example_model(spark))
+    return S.score(_built(spark, sf_dir), example_model(spark))
 
 
 @query
