@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from matchpulse import schemas
 from matchpulse.operators import events as E
 from matchpulse.functions import expressions as X
-from matchpulse.operators.slices import SLICE, cut_by, earlier, in_slice, with_carried
+from matchpulse.operators.slices import SLICE, cut_by, earlier, in_slice, running_total, with_carried
 from matchpulse.schemas import ORDER
 from matchpulse.sources.staging import staged
 
 HISTORY_ROUNDS = 3
+#: A freezetime that announces this round or a lower one, after higher ones, begins a match.
+FIRST_ROUND = 1
+#: Rounds that an ``over`` may name to archive the current one, as differences.
+ARCHIVE_RULES = {"equal": (0,), "equal_or_next": (0, 1)}
 
 
 def timeline(events: DataFrame, slices: int | None = None, times: DataFrame | None = None) -> DataFrame:
@@ -41,6 +45,25 @@ def tick_rows(line: DataFrame) -> DataFrame:
     return line.filter(F.col("kind") == "tick").drop("kind", "players")
 
 
+def split_matches(line: DataFrame) -> DataFrame:
+    """A timeline whose sessions are the single matches of the sessions, so that each match starts with no history.
+
+    ``session`` becomes the session, a unit separator and the number of the match. A match begins at a freezetime of FIRST_ROUND
+    or less when the freezetime before it announced a higher round.
+    """
+    freezes = control_rows(line).filter(F.col("round_phase") == "freezetime").drop("players", "round_phase")
+    every = F.lit(True)
+    before = F.last("round_num").over(earlier(freezes, ["session"], ORDER))
+    begins = (
+        with_carried(freezes, ["session"], ORDER, ["round_num"], every, every)
+        .withColumn("before", before)
+        .filter(~F.col("brought") & (F.col("round_num") <= FIRST_ROUND) & (F.col("before") > FIRST_ROUND))
+    )
+    numbered = running_total(line, ["session"], ORDER, begins, "match")
+    name = F.concat("session", F.lit("\x1f"), F.col("match").cast("string"))
+    return staged(numbered.withColumn("session", name).drop("match"), "matches", "kind")
+
+
 def round_state(control: DataFrame) -> DataFrame:
     """Add ``current_round``: the highest round a freezetime announced before this row, at least 0."""
     announced = F.when(F.col("brought") | (F.col("round_phase") == "freezetime"), F.col("round_num"))
@@ -59,19 +82,22 @@ def round_state(control: DataFrame) -> DataFrame:
     )
 
 
-def transitions(line: DataFrame) -> DataFrame:
+def transitions(line: DataFrame, archive_rule: str = "equal") -> DataFrame:
     """Start and archive rows of all sessions: at most one each per session and round.
 
     A freezetime that announces a higher round than any before starts it; others change nothing.
-    The first ``over`` of the current round archives it. The first is picked with a map-side
+    The first ``over`` of the current round archives it; by the rule ``equal_or_next`` that of the next round does too, for
+    logs whose counter moves on before the round's end is told. The first is picked with a map-side
     minimum, so a flood of ``over`` rows in one round does not meet in one task.
     """
     state = round_state(control_rows(line))
     freeze, number, current = F.col("round_phase") == "freezetime", F.col("round_num"), F.col("current_round")
-    step = F.when(freeze & (number > current), "start").when(~freeze & (number == current), "archive")
+    ends = (number - current).isin(*ARCHIVE_RULES[archive_rule])
+    step = F.when(freeze & (number > current), "start").when(~freeze & ends, "archive")
     return (
         state.withColumn("step", step)
         .filter("step is not null")
+        .withColumn("round_num", F.when(freeze, number).otherwise(current))
         .groupBy("session", "round_num", "step")
         .agg(F.min_by(F.struct(SLICE, *ORDER, "players"), F.struct(*ORDER)).alias("first"))
         .select("session", "first.*", "round_num", "step")
@@ -220,17 +246,17 @@ def with_prev3(placed: DataFrame, sums: DataFrame) -> DataFrame:
     return spread.groupBy(*columns).agg(*totals)
 
 
-def staged_transitions(line: DataFrame) -> DataFrame:
-    return staged(transitions(line), "transitions")
+def staged_transitions(line: DataFrame, archive_rule: str = "equal") -> DataFrame:
+    return staged(transitions(line, archive_rule), "transitions")
 
 
 def staged_history(steps: DataFrame) -> DataFrame:
     return staged(player_history(round_player_stats(steps)), "history")
 
 
-def tick_features(line: DataFrame) -> DataFrame:
+def tick_features(line: DataFrame, archive_rule: str = "equal") -> DataFrame:
     """Feature rows with their log position (partition, offset), from a staged timeline."""
-    steps = staged_transitions(line)
+    steps = staged_transitions(line, archive_rule)
     archives = steps.filter(F.col("step") == "archive").select("session", SLICE, *ORDER, "round_num")
     # the history of the players and the places of the ticks need nothing of each other, so their jobs run side by side
     with ThreadPoolExecutor(1) as beside:
@@ -249,6 +275,13 @@ def tick_features(line: DataFrame) -> DataFrame:
     )
 
 
-def build_features(events: DataFrame, slices: int | None = None, times: DataFrame | None = None) -> DataFrame:
+def build_features(
+    events: DataFrame,
+    slices: int | None = None,
+    times: DataFrame | None = None,
+    reset_on_new_match: bool = False,
+    archive_rule: str = "equal",
+) -> DataFrame:
     """Parsed events -> one feature row per scored event (the 13 contract columns)."""
-    return tick_features(timeline(events, slices, times)).select(*schemas.FEATURE_ROW.fieldNames())
+    line = timeline(events, slices, times)
+    return tick_features(split_matches(line) if reset_on_new_match else line, archive_rule).select(*schemas.FEATURE_ROW.fieldNames())

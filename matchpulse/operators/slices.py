@@ -158,3 +158,25 @@ def row_numbers(df: DataFrame, by: list[str], order: list[str], name: str, newes
         .filter("_own = 1")
         .select(*[c for c in df.columns if c != SLICE], name)
     )
+
+
+def running_total(df: DataFrame, by: list[str], order: list[str], steps: DataFrame, name: str) -> DataFrame:
+    """Rows of a sliced table with the number of ``steps`` (by, slice, order) of their group that are not after them.
+
+    A step at a row's own place counts for it. Steps of earlier slices come as one carried row per slice.
+    """
+    marked = steps.select(*by, SLICE, *order, F.lit(1).cast("bigint").alias("_step"), F.lit(1).alias("_own"))
+    there = df.select(*by, SLICE).distinct().withColumn("_step", F.lit(0).cast("bigint"))
+    per_slice = marked.select(*by, SLICE, "_step").unionByName(there).groupBy(*by, SLICE).agg(F.sum("_step").alias("steps"))
+    before = F.sum("steps").over(Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1))
+    carried = per_slice.select(*by, SLICE, F.coalesce(before, F.lit(0)).alias("_step"), F.lit(0).alias("_own"))
+    rows = df.withColumns({"_step": F.lit(0).cast("bigint"), "_own": F.lit(2)})
+    # what is carried comes first, then by place, a step before the rows of its place
+    place = in_slice(df, by).orderBy(F.col("_own") > 0, *order, "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.unionByName(marked, allowMissingColumns=True)
+        .unionByName(carried, allowMissingColumns=True)
+        .withColumn(name, F.sum("_step").over(place))
+        .filter("_own = 2")
+        .drop("_step", "_own")
+    )

@@ -140,6 +140,22 @@ _PERCENT = "CAST(floor(p * 100 + 0.5) AS BIGINT)"
 _PREDICTION_COLUMNS = 'session_key, round, prob_micro, timestamp_ms, "offset"'
 
 
+#: The games of single matches: a freezetime of round 1 or less after a higher one begins a match.
+_MATCHES = """
+fresh AS (
+  SELECT *, CAST(phase = 'freezetime' AND round_or_0 <= 1 AND coalesce(last_value(CASE WHEN phase = 'freezetime' THEN round_or_0 END IGNORE NULLS) OVER (
+      PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1 AS INTEGER) AS begins
+  FROM every_game),
+game AS (
+  SELECT * EXCLUDE (session, begins),
+    session || '#' || sum(begins) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING) AS session
+  FROM fresh),"""
+_GAME_BY_MATCH = _GAME.replace("game AS (", "every_game AS (", 1).replace("players AS (", _MATCHES.lstrip() + "\nplayers AS (", 1)
+_ROUNDS_OR_NEXT = _ROUNDS.replace("'archive', round_or_0, second", "'archive', current_round, second").replace(
+    "round_or_0 = current_round\n", "round_or_0 - current_round IN (0, 1)\n"
+)
+
+
 def _probability() -> str:
     """The example model's probability in millionths, from feature columns."""
     terms = [f"{S.EXAMPLE_INTERCEPT}::DOUBLE"]
@@ -191,6 +207,8 @@ def oracle_sql() -> dict[str, str]:
         "round_transitions_disordered": disordered + transitions,
         "kill_snapshots": rounds
         + "SELECT session, round_num, player, kills FROM player_steps WHERE step = 'start'",
+        "round_transitions_by_match": _with(_LOG, _DISORDERED, _GAME_BY_MATCH, _ROUNDS) + transitions,
+        "prev3_features_by_match": _with(_LOG, _DISORDERED, _GAME_BY_MATCH, _ROUNDS_OR_NEXT) + f'SELECT event_id AS "offset", {prev3} FROM features',
         "round_player_stats": disordered + "SELECT session, player, round_num, kills, damage FROM stats",
         "prev3_player_history": rounds
         + "SELECT session, player, round_num, kills_prev3, damage_prev3 FROM history",

@@ -162,6 +162,13 @@ def round_transitions_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _transitions(spark, sf_dir, True)
 
 
+@query
+def round_transitions_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of each match of a session: a low round after higher ones begins a match."""
+    steps = R.transitions(R.split_matches(_timeline(spark, sf_dir, True)))
+    return _plain(steps.select(F.translate("session", "\x1f", "#").alias("session"), "step", "round_num", "second", "offset"))
+
+
 @query
 def kill_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = R.transitions(_timeline(spark, sf_dir))
@@ -194,6 +201,13 @@ def prev3_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prev3(spark, sf_dir, True)
 
 
+@query
+def prev3_features_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of the present match only; an ``over`` of the next round archives too."""
+    line = R.split_matches(_timeline(spark, sf_dir, True))
+    return _plain(R.tick_features(line, "equal_or_next").select("offset", *schemas.PREV3))
+
+
 @query
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(

@@ -23,7 +23,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from matchpulse import schemas
 from matchpulse.operators.events import parse_events, slim_timeline
-from matchpulse.operators.rounds import HISTORY_ROUNDS
+from matchpulse.operators.rounds import ARCHIVE_RULES, FIRST_ROUND, HISTORY_ROUNDS
 
 STATE = (
     "current_round int, archived boolean, start_kills map<string,int>, "
@@ -48,19 +48,25 @@ def _sums(ticks: pd.DataFrame, history: dict) -> pd.DataFrame:
     return pd.DataFrame(out, index=ticks.index)
 
 
-def _play(rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict):
+def _play(
+    rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
+):
     """Run one session's rows, in order, over its state; returns the sums of its ticks and the new state.
 
-    Only control rows are visited one by one; the ticks between two archives are done together.
+    Only control rows are visited one by one; the ticks between two archives are done together. The rules are those of the batch form.
     """
+    ends = ARCHIVE_RULES[archive_rule]
     is_tick = rows["kind"] == "tick"
     found, done = [], 0
     control = rows[~is_tick]
     for at, phase, number, players in zip(control.index, control["round_phase"], control["round_num"], control["players"]):
+        if reset_on_new_match and phase == "freezetime" and number <= FIRST_ROUND < current:
+            found.append(_sums(rows[done:at][is_tick[done:at]], history))
+            done, current, archived, start, history = at, 0, False, {}, {}
         if phase == "freezetime" and number > current:
             start.update((p["player"], int(p["kills"])) for p in players)
             current, archived = int(number), False
-        elif phase == "over" and not archived and number == current:
+        elif phase == "over" and not archived and number - current in ends:
             found.append(_sums(rows[done:at][is_tick[done:at]], history))
             done = at
             for p in players:
@@ -92,7 +98,7 @@ def _tick_features(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
 
 
 def advance(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = IDLE_MS
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = IDLE_MS, **rules
 ) -> Iterator[pd.DataFrame]:
     """Rows of one key in this micro-batch -> feature rows; a session idle too long is forgotten.
 
@@ -103,7 +109,7 @@ def advance(
         state.remove()
         return
     rows = _in_order(pd.concat(batches, ignore_index=True))
-    sums, after = _play(rows, *_loaded(state))
+    sums, after = _play(rows, *_loaded(state), **rules)
     state.update(after)
     state.setTimeoutDuration(idle_ms)
     if (rows["kind"] == "tick").any():
@@ -126,16 +132,16 @@ def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
     return timeline.withColumn("salt", F.explode(keys))
 
 
-def live_features(raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS) -> DataFrame:
+def live_features(raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS, **rules) -> DataFrame:
     """Stream of raw telemetry -> stream of feature rows with their log position.
 
     Decoding and the row-local features run before the shuffle; only slim rows are shuffled and
     handed to Python, as Arrow batches. ``hot`` and ``salts`` are part of the state's keys: a checkpoint
-    goes on only with the same ones.
+    goes on only with the same ones. ``rules``: reset_on_new_match and archive_rule, as in batch.
     """
 
     def run(key, batches, state):
-        return advance(key, batches, state, idle_ms)
+        return advance(key, batches, state, idle_ms, **rules)
 
     return (
         dealt(slim_timeline(parse_events(raw)), hot or [], salts)

@@ -8,8 +8,11 @@ def _num(x):
     return x if isinstance(x, int) and not isinstance(x, bool) else 0
 
 
-def sequential_features(messages):
-    """messages: dicts with key, value, second, partition, offset. Returns {(partition, offset): sums}."""
+def sequential_features(messages, reset=False, ends=(0,)):
+    """messages: dicts with key, value, second, partition, offset. Returns {(partition, offset): sums}.
+
+    With ``reset`` a freezetime of round 1 or less after a higher one forgets the session; an over archives at these differences.
+    """
     sessions = defaultdict(list)
     for m in messages:
         try:
@@ -27,7 +30,10 @@ def sequential_features(messages):
             players = event.get("allplayers") or {}
             kills = {p: _num((v.get("match_stats") or {}).get("kills")) for p, v in players.items()}
             state = {p: v.get("state") or {} for p, v in players.items()}
-            if phase == "over" and not archived and number == current:
+            if reset and phase == "freezetime" and number <= 1 < current:
+                current, archived, start = 0, False, {}
+                hist = defaultdict(lambda: deque(maxlen=3))
+            if phase == "over" and not archived and number - current in ends:
                 for p in players:
                     gained = max(0, kills[p] - start.get(p, kills[p]))
                     hist[p].append((gained, _num(state[p].get("round_totaldmg"))))

@@ -8,16 +8,17 @@ from matchpulse.sources import derived
 from tests.model import sequential_features
 
 
-def check(spark, raw, slices):
+def check(spark, raw, slices, reset=False, rule="equal"):
     raw_rows = [
         dict(key=r.key, value=r.value, second=r.second, partition=r.partition, offset=r.offset)
         for r in raw.withColumn("second", F.col("timestamp").cast("bigint")).collect()
     ]
-    want = sequential_features(raw_rows)
+    want = sequential_features(raw_rows, reset, rounds.ARCHIVE_RULES[rule])
     line = rounds.timeline(parse_events(raw), slices)
+    line = rounds.split_matches(line) if reset else line
     got = {
         (r.partition, r.offset): (r.round_num, *[r[c] for c in schemas.PREV3])
-        for r in rounds.tick_features(line).collect()
+        for r in rounds.tick_features(line, rule).collect()
     }
     assert got == want
     return got
@@ -29,6 +30,17 @@ def test_batch_equals_sequential_model(spark, sf_dir, disordered, slices):
     assert sum(any(v[1:]) for v in got.values()) > len(got) / 3
 
 
+@pytest.mark.parametrize("slices", [1, 7, 40])
+def test_matches_of_a_session_and_the_lenient_rule(spark, sf_dir, slices):
+    """Rounds run up and begin anew several times in a session."""
+    raw = derived.telemetry(spark, sf_dir, True)
+    number = F.regexp_extract("value", r'"round":(-?\d+)', 1).try_cast("int")
+    again = F.regexp_replace("value", r'"round":-?\d+', F.concat(F.lit('"round":'), (F.pmod(number, F.lit(9)) - 1).cast("string")))
+    raw = raw.withColumn("value", F.when(number.isNotNull(), again).otherwise(F.col("value")))
+    both = check(spark, raw, slices, True, "equal_or_next")
+    assert both != check(spark, raw, slices) and sum(any(v[1:]) for v in both.values()) > len(both) / 5
+
+
 def test_a_session_of_100_000_players(spark):
     """New players every round of one keyless session: each tick sees its own players' sums only."""
     number = F.floor(F.col("id") / 3)

@@ -55,6 +55,16 @@ def test_live_features_equal_batch(spark, sf_dir, tmp_path, hot):
     assert rows_of(got) == rows_of(rounds.tick_features(rounds.timeline(parse_events(raw))))
 
 
+def test_live_features_by_match_equal_batch(spark, sf_dir, tmp_path):
+    raw = derived.telemetry(spark, sf_dir, True)
+    write_chunks(raw, f"{tmp_path}/in", 2)
+    rules = {"reset_on_new_match": True, "archive_rule": "equal_or_next"}
+    stream = live_features(kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["arena"], 3, **rules)
+    got = run(stream, tmp_path, "features")
+    line = rounds.split_matches(rounds.timeline(parse_events(raw)))
+    assert rows_of(got) == rows_of(rounds.tick_features(line, "equal_or_next"))
+
+
 def test_a_hot_session_is_spread_over_tasks(spark, sf_dir):
     raw = derived.telemetry(spark, sf_dir)
     hot = hot_sessions(raw)
