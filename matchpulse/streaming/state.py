@@ -11,7 +11,6 @@ several micro-batches are played in order; rows that come too late for that leav
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,14 +37,18 @@ FEATURES_WITH_POSITION = (
 )
 
 
-def _sums(ticks: pd.DataFrame, history: dict) -> pd.DataFrame:
-    """The four last-three-rounds sums of ticks that see the same history, in column form."""
-    totals = [{p: sum(r[i] for r in rounds) for p, rounds in history.items()} for i in (0, 1)]
-    out = {}
-    for name, (side, total) in zip(schemas.PREV3, itertools.product(("alive_ct", "alive_t"), totals)):
-        living = ticks[side].explode()
-        out[name] = living.map(total).fillna(0).astype("int64").groupby(level=0).sum()
-    return pd.DataFrame(out, index=ticks.index)
+def _sums(living: list, history: dict) -> list[tuple[int, ...]]:
+    """The four last-three-rounds sums of ticks (living of each side) that see the same history."""
+    totals = {p: tuple(map(sum, zip(*rounds))) for p, rounds in history.items()}
+    none = (0, 0)
+    out = []
+    for sides in living:
+        found = []
+        for side in sides:
+            known = [totals.get(p, none) for p in (() if side is None else side)]
+            found += [sum(x[0] for x in known), sum(x[1] for x in known)]
+        out.append(tuple(found))
+    return out
 
 
 def _play(
@@ -53,29 +56,36 @@ def _play(
 ):
     """Run one session's rows, in order, over its state; returns the sums of its ticks and the new state.
 
-    Only control rows are visited one by one; the ticks between two archives are done together. The rules are those of the batch form.
+    Control rows are visited one by one; the ticks between two archives are summed together. The rules are those of the batch form.
     """
     ends = ARCHIVE_RULES[archive_rule]
-    is_tick = rows["kind"] == "tick"
-    found, done = [], 0
+    is_tick = (rows["kind"] == "tick").to_numpy()
+    places = is_tick.nonzero()[0]
+    living = list(zip(*(rows[side].to_numpy()[is_tick] for side in ("alive_ct", "alive_t"))))
+    found: list[tuple[int, ...]] = []
+
+    def told(at: int) -> None:
+        """Sum the ticks before a place that are still open."""
+        if len(found) < (upto := int(places.searchsorted(at))):
+            found.extend(_sums(living[len(found) : upto], history))
+
     control = rows[~is_tick]
     for at, phase, number, players in zip(control.index, control["round_phase"], control["round_num"], control["players"]):
         if reset_on_new_match and phase == "freezetime" and number <= FIRST_ROUND < current:
-            found.append(_sums(rows[done:at][is_tick[done:at]], history))
-            done, current, archived, start, history = at, 0, False, {}, {}
+            told(at)
+            current, archived, start, history = 0, False, {}, {}
         if phase == "freezetime" and number > current:
             start.update((p["player"], int(p["kills"])) for p in players)
             current, archived = int(number), False
         elif phase == "over" and not archived and number - current in ends:
-            found.append(_sums(rows[done:at][is_tick[done:at]], history))
-            done = at
+            told(at)
             for p in players:
                 kills = int(p["kills"])
                 entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
                 history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
             archived = True
-    found.append(_sums(rows[done:][is_tick[done:]], history))
-    return pd.concat(found), (current, archived, start, history)
+    told(len(rows))
+    return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[is_tick]), (current, archived, start, history)
 
 
 def _loaded(state: GroupState) -> tuple[int, bool, dict, dict]:
