@@ -305,6 +305,7 @@ def oracle_sql() -> dict[str, str]:
         sql[f"live_{name}"] = sql[name]
     sql["round_history_appended"] = sql["round_history_nested"]
     sql["live_features_disordered"] = sql["live_features"]
+    sql["live_features_by_match"] = sql["prev3_features_by_match"]
     sql["live_predictions"] = sql["win_probability"]
     sql["live_matches"] = sql["response_matching"]
     return sql

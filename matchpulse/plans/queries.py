@@ -20,7 +20,7 @@ from matchpulse.operators import rounds as R
 from matchpulse.operators import scoring as S
 from matchpulse.plans.example_model import example_model
 from matchpulse.sources import derived, kafka, staging
-from matchpulse.streaming import clears, live, state
+from matchpulse.streaming import cells, clears, live, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -375,6 +375,15 @@ def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
 
 
+@query
+def live_features_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The round state in cells per player over the log with rounds out of order: each match anew, an ``over`` of the next round archives too."""
+    rules = {"reset_on_new_match": True, "archive_rule": "equal_or_next"}
+    with cells.rocksdb(spark):
+        rows = _live_features(derived.telemetry(spark, sf_dir, True), lambda raw, hot: cells.live_features_in_cells(raw, hot, **rules))
+    return _plain(rows.select("offset", *schemas.PREV3))
+
+
 #: Rows of the disordered log come up to so many seconds late, in so many micro-batches.
 LATE_SECONDS, LATE_CHUNKS = 6 * 3600, 8
 

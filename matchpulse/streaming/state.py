@@ -39,24 +39,30 @@ FEATURES_WITH_POSITION = (
 
 def _sums(living: list, history: dict) -> list[tuple[int, ...]]:
     """The four last-three-rounds sums of ticks (living of each side) that see the same history."""
-    totals = {p: tuple(map(sum, zip(*rounds))) for p, rounds in history.items()}
-    none = (0, 0)
+    totals: dict[str, tuple[int, int]] = {}
+
+    def total(player: str) -> tuple[int, int]:
+        if player not in totals:
+            totals[player] = tuple(map(sum, zip(*history.get(player, ())))) or (0, 0)
+        return totals[player]
+
     out = []
     for sides in living:
         found = []
         for side in sides:
-            known = [totals.get(p, none) for p in (() if side is None else side)]
+            known = [total(p) for p in (() if side is None else side)]
             found += [sum(x[0] for x in known), sum(x[1] for x in known)]
         out.append(tuple(found))
     return out
 
 
-def _play(
+def play(
     rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
 ):
-    """Run one session's rows, in order, over its state; returns the sums of its ticks and the new state.
+    """Run one session's rows, in order, over its state; returns the sums of its ticks, the round and whether it is archived.
 
-    Control rows are visited one by one; the ticks between two archives are summed together. The rules are those of the batch form.
+    ``start`` and ``history`` (player -> kills, last rounds) are changed in place. Control rows are visited one by one; the
+    ticks between two archives are summed together. The rules are those of the batch form.
     """
     ends = ARCHIVE_RULES[archive_rule]
     is_tick = (rows["kind"] == "tick").to_numpy()
@@ -73,7 +79,9 @@ def _play(
     for at, phase, number, players in zip(control.index, control["round_phase"], control["round_num"], control["players"]):
         if reset_on_new_match and phase == "freezetime" and number <= FIRST_ROUND < current:
             told(at)
-            current, archived, start, history = 0, False, {}, {}
+            current, archived = 0, False
+            start.clear()
+            history.clear()
         if phase == "freezetime" and number > current:
             start.update((p["player"], int(p["kills"])) for p in players)
             current, archived = int(number), False
@@ -85,7 +93,7 @@ def _play(
                 history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
             archived = True
     told(len(rows))
-    return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[is_tick]), (current, archived, start, history)
+    return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[is_tick]), (current, archived)
 
 
 def _loaded(state: GroupState) -> tuple[int, bool, dict, dict]:
@@ -95,11 +103,11 @@ def _loaded(state: GroupState) -> tuple[int, bool, dict, dict]:
     return current, archived, dict(start), {p: [(r[0], r[1]) for r in rounds] for p, rounds in history.items()}
 
 
-def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values(schemas.ORDER, kind="stable", ignore_index=True)
 
 
-def _tick_features(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+def tick_features(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
     ticks = rows[rows["kind"] == "tick"]
     out = ticks[["session_key", "round_num", "second", *schemas.STATELESS]].rename(columns={"second": "event_timestamp"})
     out[schemas.PREV3] = sums[schemas.PREV3]
@@ -118,12 +126,13 @@ def advance(
     if state.hasTimedOut:
         state.remove()
         return
-    rows = _in_order(pd.concat(batches, ignore_index=True))
-    sums, after = _play(rows, *_loaded(state), **rules)
-    state.update(after)
+    rows = in_order(pd.concat(batches, ignore_index=True))
+    current, archived, start, history = _loaded(state)
+    sums, after = play(rows, current, archived, start, history, **rules)
+    state.update((*after, start, history))
     state.setTimeoutDuration(idle_ms)
     if (rows["kind"] == "tick").any():
-        yield _tick_features(rows, sums)
+        yield tick_features(rows, sums)
 
 
 def hot_sessions(raw: DataFrame, share: float = HOT_SHARE) -> list[str]:
@@ -192,15 +201,16 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
             yield left.assign(**dict.fromkeys(schemas.FEATURES), late=True)
             rows = rows[~late]
         due = rows["second"] < edge
-        ready, rest = _in_order(rows[due]), rows[~due]
+        ready, rest = in_order(rows[due]), rows[~due]
         moved = _loaded(state)
         if idle_ms is not None and latest is not None and len(ready) and (int(ready["second"].iat[0]) - latest) * 1000 > idle_ms:
             moved = 0, False, {}, {}
         if len(ready):
-            sums, moved = _play(ready, *moved)
+            sums, after = play(ready, *moved)
+            moved = *after, *moved[2:]
             latest = int(ready["second"].iat[-1])
             if (ready["kind"] == "tick").any():
-                yield _tick_features(ready, sums).assign(kind="tick", late=False)
+                yield tick_features(ready, sums).assign(kind="tick", late=False)
         elif not len(rest) and idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms:
             state.remove()
             return

@@ -16,6 +16,7 @@ from matchpulse.operators.matching import match_responses, read_responses
 from matchpulse.plans import queries
 from matchpulse.sources import derived, kafka
 from matchpulse.streaming import live
+from matchpulse.streaming.cells import PROVIDER, ROCKSDB, Cells, live_features_in_cells, rocksdb
 from matchpulse.streaming.state import SALTS, dealt, hot_sessions, live_features, live_features_in_order, on_time, too_late
 from tests.compare import compare
 from tests.messages import START, event, player
@@ -65,6 +66,42 @@ def test_live_features_by_match_equal_batch(spark, sf_dir, tmp_path):
     assert rows_of(got) == rows_of(rounds.tick_features(line, "equal_or_next"))
 
 
+def test_features_in_cells_equal_batch(spark, sf_dir, tmp_path):
+    """Several micro-batches over the cells of RocksDB, with and without the rules of matches."""
+    raw = derived.telemetry(spark, sf_dir, True)
+    write_chunks(raw, f"{tmp_path}/in", 4)
+    by_match = {"reset_on_new_match": True, "archive_rule": "equal_or_next"}
+    for name, rules, line in (
+        ("plain", {}, rounds.timeline(parse_events(raw))),
+        ("matches", by_match, rounds.split_matches(rounds.timeline(parse_events(raw)))),
+    ):
+        with rocksdb(spark):
+            stream = live_features_in_cells(kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1), ["arena"], 3, **rules)
+            got = run(stream, tmp_path, name)
+        assert rows_of(got) == rows_of(rounds.tick_features(line, rules.get("archive_rule", "equal")))
+
+
+def test_only_changed_cells_are_written():
+    class Map(dict):
+        reads = 0
+
+        def getValue(self, key):
+            self.reads += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    stored = Map({("a",): (1,), ("b",): (2,)})
+    cells = Cells(stored)
+    assert [cells.get("a"), cells.get("a"), cells.get("c", 7)] == [1, 1, 7] and stored.reads == 2
+    cells.update([("c", 3)])
+    assert cells.write() == 1 and stored == {("a",): (1,), ("b",): (2,), ("c",): (3,)}
+    cells.clear()
+    cells["d"] = 4
+    assert cells.get("a", 0) == 0 and cells.write() == 1 and stored == {("d",): (4,)}
+
+
 def test_a_hot_session_is_spread_over_tasks(spark, sf_dir):
     raw = derived.telemetry(spark, sf_dir)
     hot = hot_sessions(raw)
@@ -123,7 +160,8 @@ def test_rows_too_late_leave_on_the_side(spark, tmp_path):
     assert [(r["offset"], r["ct_alive_kills_prev3_sum"]) for r in on_time(got).collect()] == [(2, 3)]
 
 
-def test_an_idle_session_starts_anew(spark, tmp_path):
+@pytest.mark.parametrize("job", [live_features, live_features_in_cells])
+def test_an_idle_session_starts_anew(spark, tmp_path, job):
     """A real timer fires: after the idle time the session's history is gone."""
     def write(offset, value):
         rows = [("s", json.dumps(value), START + timedelta(seconds=offset), 0, offset)]
@@ -133,8 +171,10 @@ def test_an_idle_session_starts_anew(spark, tmp_path):
     write(1, event("freezetime", 1, {"a": player("CT")}))
     rows = []
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    store = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB if job is live_features_in_cells else store)
     try:
-        stream = live_features(kafka.read_files(spark, f"{tmp_path}/in"), idle_ms=15_000)
+        stream = job(kafka.read_files(spark, f"{tmp_path}/in"), idle_ms=15_000)
         query = (
             stream.writeStream.outputMode("append")
             .trigger(processingTime="500 milliseconds")
@@ -159,6 +199,7 @@ def test_an_idle_session_starts_anew(spark, tmp_path):
         until(lambda: len(rows) == 2)
         query.stop()
     finally:
+        spark.conf.set(PROVIDER, store)
         spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     assert rows == [(3, 3), (4, 0)]
 
