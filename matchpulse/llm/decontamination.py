@@ -18,6 +18,8 @@ no hits. Other columns are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ SHINGLE = 5
 
 ITEM_WINDOWS = "item string, words string, n int, keys array<bigint>"
 OCCURRENCES = (
-    "row bigint, doc_id bigint, n_words bigint, "
+    "row bigint, doc_id {doc_id}, n_words bigint, "
     "found array<struct<key: bigint, place: int, first: int, context: string>>"
 )
 FOUND = pa.list_(
@@ -146,7 +148,8 @@ def occurrences(documents: DataFrame, sizes: list[int], bits: bytes, window: int
                     ["row", "doc_id", "n_words", "found"],
                 )
 
-    return documents.select("row", "doc_id", "text").mapInArrow(run, OCCURRENCES)
+    schema = OCCURRENCES.format(doc_id=documents.schema["doc_id"].dataType.simpleString())
+    return documents.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
 def benchmark_spans(documents: DataFrame, items: DataFrame, window: int = 10) -> Decontamination:
@@ -207,9 +210,15 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> D
 
 
 def clean_documents(documents: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """The rows whose text holds no window of an item; all columns go through."""
-    texts = C.numbered(documents.select(F.xxhash64("text").alias("doc_id"), "text"))
-    found = benchmark_spans(texts, items, window)
-    marks = found.documents.join(found.spans.select("row").distinct(), "row").select(F.col("doc_id").alias("hash"))
-    marked = staged(marks.distinct(), "contaminated-texts")
-    return documents.join(marked, F.xxhash64("text") == F.col("hash"), "left_anti")
+    """The rows whose text holds no window of an item; all columns go through.
+
+    Contaminated texts are known again by two 64-bit hashes of different seeds and their length, so the numbers of rows
+    need not be steady and no clean text goes because it shares one hash.
+    """
+    own = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.octet_length("text")]
+    names = ["hash", "second_hash", "size"]
+    digest = F.struct(*[x.alias(name) for x, name in zip(own, names)])
+    found = benchmark_spans(C.numbered(documents.select(digest.alias("doc_id"), "text")), items, window)
+    marks = found.documents.join(found.spans.select("row").distinct(), "row").select("doc_id.*")
+    marked = staged(marks.distinct(), "contaminated-texts").select(F.struct(*names).alias("marked"))
+    return documents.join(marked, reduce(and_, [x == F.col("marked")[name] for x, name in zip(own, names)]), "left_anti")
