@@ -31,7 +31,9 @@ from matchpulse.sources.staging import staged
 SPACE = " \t\n\x0b\x0c\r"
 NO_ID = np.iinfo(np.int64).min
 BLOCK_BITS = 11
-SHARD_ROWS = 200_000
+#: Bytes of text whose lines meet in one shard, and bytes of text that a task gets back with the hits.
+SHARD_BYTES = 64_000_000
+TASK_BYTES = 32_000_000
 MIN_SHARDS = 32
 
 
@@ -134,7 +136,8 @@ def deduplicated_lines(table: DataFrame, least: int = 40, least_documents: int =
     """
     if least_documents > 255:
         raise ValueError("counts are kept up to 255")
-    shards = max(MIN_SHARDS, table.count() // SHARD_ROWS)
+    size = table.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(MIN_SHARDS, -(-size // SHARD_BYTES))
     hits = staged(frequent_lines(packed_lines(table, least, shards), least_documents), "lines-frequent")
 
     block = F.shiftright("row", BLOCK_BITS).alias("block")
@@ -179,4 +182,7 @@ def deduplicated_lines(table: DataFrame, least: int = 40, least_documents: int =
                     ["row", "doc_id", "n_lines", "n_dropped", "text", "rest"],
                 )
 
-    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, kept.schema)
+    spark = table.sparkSession
+    least_tasks = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = both.repartition(max(least_tasks, -(-size // TASK_BYTES)), "block")
+    return dealt.sortWithinPartitions("block", "kind").mapInArrow(run, kept.schema)
