@@ -183,8 +183,18 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit_documents(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Trees:
-    """Trees fitted on a bounded sample of labelled documents (row, doc_id, text) that are not held out."""
-    statistics = staged(text_stats.document_statistics(documents.where(~_held_out())), "quality-sample")
+    """Trees fitted on a bounded sample of labelled documents (row, doc_id, text) that are not held out.
+
+    Only documents of the labelled ids with the smallest hashes are described: a few more than ``bound``, so their ids are
+    few enough to broadcast whatever the input, and no text is shuffled.
+    """
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id")
+    learned = documents.where(~_held_out())
+    ids = staged(learned.select("doc_id").join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows")), "labelled-ids")
+    share = min(1.0, SAFE_SHARE * bound / max(1, ids.agg(F.sum("rows")).first()[0] or 0))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32) < share
+    few = learned.where(chosen).join(F.broadcast(ids.where(chosen).select("doc_id")), "doc_id", "left_semi")
+    statistics = staged(text_stats.document_statistics(few), "quality-sample")
     return fit_quality(statistics, labels, F.lit(True), bound)
 
 
