@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from matchpulse.llm.chat_format import CLOSE, CONTROLS, OPEN, TRAINED
+
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -38,6 +40,36 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def _escaped(column: str, line_break: bool = False) -> str:
+    """A text whose backslashes are doubled and whose control strings are broken, as in ``chat_format``."""
+    out = rf"replace({column}, '\', '\\')"
+    for control in CONTROLS:
+        out = f"replace({out}, '{control}', '{control[0]}\\{control[1:]}')"
+    return f"replace({out}, chr(10), '\\' || chr(10))" if line_break else out
+
+
+OP5 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(role = '{TRAINED}', false) AS trained,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+),
+e AS (
+  SELECT *, sum({len(OPEN) + 1 + len(CLOSE)} + length({_escaped("role", True)}) + length({_escaped("text")})) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (trained), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (trained), '')) AS loss_sha256,
+       CAST(sum(prefix) FILTER (trained OR i = n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP6 = f"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -161,4 +193,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op6_line_dedup": OP6, "op9_warc_revisits": OP9, "op11_merkle_manifest": _merkle(), "op12_ranked_search": OP12}
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1, "op5_chat_formatting": OP5, "op6_line_dedup": OP6, "op9_warc_revisits": OP9, "op11_merkle_manifest": _merkle(), "op12_ranked_search": OP12}
