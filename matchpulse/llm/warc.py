@@ -5,8 +5,9 @@ held by several pages: the smallest page_id. Pages are then joined with these or
 archives are written with fresh headers: the payload once, as response, and a revisit record
 without payload for each other page. The join ends in the writer, so Spark may split a hot digest.
 
-Archives are gzip files written by Spark's text writer, at most ``FILE_RECORDS`` records each, on any file
-system that Spark reaches; they are read back file by file, by Content-Length.
+Archives are gzip files written by Spark's text writer, on any file system that Spark reaches. Pages are written by
+classes of size (``CLASSES``), so that an archive holds some 64 MB of payloads or one longer record. They are read
+back file by file, by Content-Length.
 
 A null html is an empty payload. Payloads under ``least`` bytes are always responses. Rows
 of one payload that share the smallest page_id are all responses; pages without page_id are
@@ -23,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchpulse.sources.staging import staged
+
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FILE_RECORDS = 2_000
+#: Payload bytes from which a class begins, and the records in one of its archives.
+CLASSES = ((0, 2_000), (32_000, 64), (1_000_000, 1))
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
@@ -51,10 +55,10 @@ def _record_id(page_id: str) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
-def records(pages: DataFrame, least: int, date: str) -> DataFrame:
-    """The text of each record, without its last newline."""
+def records(pages: DataFrame, known: DataFrame, date: str) -> DataFrame:
+    """The text of each record, without its last newline. ``known``: the originals of all pages."""
     rows = pages.select("page_id", "url", "html", F.sha2(payload(), 256).alias("payload_digest"))
-    joined = rows.join(originals(pages, least), "payload_digest", "left")
+    joined = rows.join(known, "payload_digest", "left")
     size = F.octet_length(payload()).cast("string")
     revisit = F.col("original").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("original")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit("\r\n\r\n"))
@@ -87,8 +91,16 @@ def records(pages: DataFrame, least: int, date: str) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write a record per page into gzip archives in a new folder."""
-    writer = records(pages, least, date).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS)
-    writer.text(folder, compression="gzip")
+    size = F.octet_length(payload())
+    ends = [begin for begin, _ in CLASSES[1:]] + [None]
+    counts = [F.count(F.when((size >= begin) & (F.lit(True) if end is None else size < end), 1)) for (begin, _), end in zip(CLASSES, ends)]
+    held = pages.agg(*counts).first()
+    known = staged(originals(pages, least), "warc-originals")
+    for at, ((begin, most), end) in enumerate(zip(CLASSES, ends)):
+        if held[at] or not at:
+            own = pages.where(size >= begin) if end is None else pages.where((size >= begin) & (size < end))
+            writer = records(own, known, date).write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", most)
+            writer.text(folder, compression="gzip")
 
 
 def parse(data: bytes):

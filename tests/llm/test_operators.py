@@ -1,15 +1,19 @@
 """Every registered query of the operators over small tables, next to a plain version."""
 
+import gzip
 import hashlib
 import itertools
+import random
 import zlib
 
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from matchpulse.llm import warc
 from matchpulse.llm.queries import REGISTRY
 from tests.llm import brute
+from tests.llm.conftest import write_tables
 
 
 def rows(spark, name, folder, *columns):
@@ -81,6 +85,19 @@ def test_quality(spark, nasty, documents):
     assert all(h == (d is not None and zlib.crc32(str(d).encode()) % 5 == 0) for d, h, _, _ in got)
 
 
+def pieces(documents):
+    """doc_id, piece, length by the tokenizers library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for doc_id, text in documents:
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        first = n % 1024 or 1024
+        for i, length in enumerate([first] + [1024] * ((n - first) // 1024)):
+            yield doc_id, i, length
+
+
 def test_packing(spark, nasty, documents):
     import numpy as np
     import public_tokenizers
@@ -122,6 +139,48 @@ def test_warc(spark, nasty):
     assert rows(spark, "op9_warc_revisits", nasty, *columns) == ordered(want)
 
 
+def test_archives_of_long_pages_hold_few_records(spark, tmp_path):
+    """Each class of sizes has its own archives; all of them are read back."""
+    sizes = [10, 31_999, 32_000, 999_999, 1_000_000, 3_000_000]
+    pages = [(100 * k + i, "u", chr(97 + i % 20) * n) for k, n in enumerate(sizes) for i in range(70 if n == 32_000 else 3)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(table, f"{tmp_path}/w")
+    files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "w").glob("*.gz")]
+    for data in files:
+        held = [size for _, _, size, *_ in warc.parse(data)]
+        assert sum(held) < 64_000_000 and (max(held) < 1_000_000 or len(held) == 1) and (max(held) < 32_000 or len(held) <= 64)
+    found = warc.read_archives(spark, f"{tmp_path}/w").select("page_id", "payload_bytes", "record_type").collect()
+    assert sorted((r[0], r[1]) for r in found) == sorted((p, len(h)) for p, _, h in pages)
+    assert sum(r[2] == "response" for r in found) == 3 + len({h for _, _, h in pages if len(h) > 10})
+
+
+def test_a_very_long_text(spark, tmp_path, documents):
+    """One text of some megabytes beside the others, through the operators that have a plain version."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(20_000)]
+    text = "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(40_000)) + "\n" + documents[32][1]
+    rows_ = [(1000, text), (1001, text), *documents[:40]]
+    folder = write_tables(tmp_path, rows_, [(1, " ".join(text.split()[300_000:300_030]))], [(1, "u", text), (2, "u", text)], [(1, 1), (2, 0)], [(1, 0, "assistant", text)])
+    got = rows(spark, "op1_benchmark_decontamination", folder, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == ordered(brute.contamination(rows_, [(1, " ".join(text.split()[300_000:300_030]))]))
+    prints = [(d, brute.fingerprint(t)) for d, t in rows_]
+    want = [(d, f"{p:016x}", c) for (d, p), c in zip(prints, brute.components(prints, 4))]
+    assert rows(spark, "op4_simhash_near_dedup", folder, "doc_id", "fingerprint", "component_id") == ordered(want)
+    got = rows(spark, "op5_chat_formatting", folder, "conv_id", "loss_chars", "loss_sha256")
+    assert (1, len(text), brute.sha(text)) in got
+    assert rows(spark, "op6_line_dedup", folder, "doc_id", "n_lines", "n_dropped", "kept_sha256") == ordered(brute.lines(rows_))
+    got = rows(spark, "op9_warc_revisits", folder, "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == [(1, len(text), "response", None), (2, len(text), "revisit", 1)]
+    got = rows(spark, "op10_quality_rules", folder, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert got == ordered((d, *brute.counts(t)) for d, t in rows_)
+
+
+def test_chat_sql(spark, nasty):
+    from tests.compare import compare
+
+    assert compare(spark, nasty, "op5_chat_formatting") is None
+
+
 def test_rules(spark, nasty, documents):
     got = rows(spark, "op10_quality_rules", nasty, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     want = []
@@ -145,7 +204,10 @@ def test_pipeline_stages(spark, nasty, documents):
         found.write.mode("overwrite").parquet(folder)
         docs = spark.read.parquet(folder)
         after = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (brute.key(x[0]), brute.key(x[1]))) if "text" in docs.columns else None
-        if name == "line dedup":
+        if name == "quality classifier":
+            scores = rows(spark, "op7_quality_classifier", nasty, "doc_id", "predicted")
+            assert ordered((d,) for d, _ in after) == [(d,) for d, kept in scores if kept]
+        elif name == "line dedup":
             assert sorted(brute.sha(t or "") for _, t in after) == sorted(x[3] for x in brute.lines(before))
         elif name == "simhash near-dedup":
             prints = [(d, brute.fingerprint(t)) for d, t in before]
@@ -156,6 +218,8 @@ def test_pipeline_stages(spark, nasty, documents):
             hit = {d for d, *_, c in brute.contamination(before, table(nasty, "benchmark", "item_id", "text")) if c}
             assert {d for d, _ in after} == {d for d, _ in before} - hit
         elif name == "best-fit packing":
-            assert {r.doc_id for r in docs.collect()} == {d for d, _ in before}
+            found = docs.collect()
+            assert ordered((r.doc_id, r.piece, r.length) for r in found) == ordered(pieces(before))
+            assert len({r.sequence_id for r in found}) == brute.packs([r.length for r in found], 1024)
         if after is not None:
             assert docs.columns == columns
