@@ -295,7 +295,6 @@ CHUNKS = 3
 #: about so many rows of it are in a micro-batch.
 CHUNK_ROWS = 500_000
 
-
 def _in_chunks(rows: int) -> int:
     return max(CHUNKS, -(-rows // CHUNK_ROWS))
 
@@ -307,10 +306,9 @@ def _publish(placed: DataFrame, chunks: int, folder: str) -> None:
         written.filter(F.col("place") == i).drop("place").coalesce(1).write.mode("append").parquet(folder)
 
 
-def _by_position(log: DataFrame, at: str = "timestamp") -> tuple[DataFrame, int]:
-    """The log with the place of each row: ranges of (time, position) of about CHUNK_ROWS rows; rows without time come first."""
-    table = staging.staged(log, "log")
-    order = [c for c in (at, "partition", "offset") if c in log.columns]
+def _by_position(table: DataFrame, at: str = "timestamp") -> tuple[DataFrame, int]:
+    """A written log with the place of each row: ranges of (time, position) of about CHUNK_ROWS rows; rows without time come first."""
+    order = [c for c in (at, "partition", "offset") if c in table.columns]
     n = _in_chunks(table.count())
     return table.repartitionByRange(n, *order).withColumn("place", F.spark_partition_id()), n
 
@@ -359,13 +357,13 @@ def _one_stream(
 
 
 def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame], output_mode: str = "append") -> DataFrame:
-    return _one_stream({"log": _by_position(log)}, job, output_mode)
+    return _one_stream({"log": _by_position(staging.staged(log, "log"))}, job, output_mode)
 
 
 def _live_features(log: DataFrame, job: Callable[..., DataFrame]) -> DataFrame:
     table = staging.staged(log, "telemetry")
     hot = state.hot_sessions(table)
-    return _through_stream(table, lambda raw: job(raw, hot))
+    return _one_stream({"log": _by_position(table)}, lambda raw: job(raw, hot))
 
 
 @query
@@ -437,7 +435,7 @@ def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def live_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded with the first chunk as history, then updated by the others."""
-    placed, n = _by_position(derived.prediction_log(spark, sf_dir))
+    placed, n = _by_position(staging.staged(derived.prediction_log(spark, sf_dir), "log"))
     table = staging.staged(placed, "log")
     seed = staging.staged(live.round_totals(H.read_predictions(table.filter("place = 0"))), "seed")
     rest = table.filter("place > 0").withColumn("place", F.col("place") - 1)
