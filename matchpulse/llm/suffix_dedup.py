@@ -51,6 +51,9 @@ PLACE_BITS = 23
 SHARD_ROWS = 10_000
 SHARD_BYTES = 32_000_000
 MIN_SHARDS = 32
+#: Bytes of text that a task reads beside what was found in it, on average.
+TASK_BYTES = 16_000_000
+MIN_PARTS = 8
 LAST_ID = np.iinfo(np.int64).max
 
 REMOVED, SHARED, HOT_SHARED = 0, 1, 2
@@ -228,8 +231,8 @@ def _marked(table: DataFrame, bits: bytes):
     return marked("row")
 
 
-def beside(table: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
-    """Bring found entries to their texts: ``run(row, doc_id, text, kinds, meta)`` for each batch of texts.
+def beside(table: DataFrame, found: DataFrame, run, schema: str, parts: int) -> DataFrame:
+    """Bring found entries to their texts, in ``parts`` tasks: ``run(row, doc_id, text, kinds, meta)`` for each batch of texts.
 
     Batches are slices of rows of one block; kinds and meta are the block's entries of their rows,
     in the order of rows, and meta's rows are places in the batch.
@@ -272,7 +275,7 @@ def beside(table: DataFrame, found: DataFrame, run, schema: str) -> DataFrame:
                     mine["row"] = at[here]
                     yield from run(part.column("row"), part.column("doc_id"), part.column("text"), kind[here], mine)
 
-    return both.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(rows, schema)
+    return both.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(rows, schema)
 
 
 def _stretches(offsets: np.ndarray, meta: np.ndarray):
@@ -288,7 +291,7 @@ def _stretches(offsets: np.ndarray, meta: np.ndarray):
     return region, number, top, np.maximum(top - STRETCH + 1, first[region]), np.minimum(top, last[region])
 
 
-def packed_stretches(table: DataFrame, found: DataFrame, length: int, shards: int) -> DataFrame:
+def packed_stretches(table: DataFrame, found: DataFrame, length: int, shards: int, parts: int) -> DataFrame:
     """The stretches of shared regions, packed by block and by the bytes that all their strings hold."""
 
     def run(row, doc_id, text, kinds, meta):
@@ -305,13 +308,13 @@ def packed_stretches(table: DataFrame, found: DataFrame, length: int, shards: in
         out = list(_pack(int(rows[0]) >> BLOCK_BITS, shards, key, own, _ids(doc_id)[at], entries))
         yield _record_batch(out, PACKED)
 
-    return beside(table, found, run, PACKED)
+    return beside(table, found, run, PACKED, parts)
 
 
 TEXTS = "key bigint, doc_id bigint, row bigint, top bigint, first int, last int, text binary"
 
 
-def stretch_texts(table: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def stretch_texts(table: DataFrame, found: DataFrame, length: int, parts: int) -> DataFrame:
     """The bytes of the stretches to be sorted; a string starts at top - i for i from first to last."""
     width = length + STRETCH - 1
 
@@ -351,7 +354,7 @@ def stretch_texts(table: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 [x.split()[0] for x in TEXTS.split(", ")],
             )
 
-    return beside(table, found, run, TEXTS)
+    return beside(table, found, run, TEXTS, parts)
 
 
 #: What a suffix tuple carries: where its stretch lies, and which of its strings count.
@@ -414,12 +417,13 @@ def without_repeats(table: DataFrame, length: int = LENGTH) -> DataFrame:
     C.bounded_batches(table.sparkSession)
     size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     shards = max(MIN_SHARDS, size["n"] // SHARD_ROWS, size["bytes"] // SHARD_BYTES)
+    parts = max(MIN_PARTS, -(-size["bytes"] // TASK_BYTES))
     first = staged(settled(packed_regions(table, length, shards)), "repeats-regions")
     concerned = table.where(_marked(table, concerned_rows(first, (SHARED, HOT_SHARED))))
-    second = staged(settled(packed_stretches(concerned, first.where(F.col("kind") != REMOVED), length, shards)), "repeats-stretches")
+    second = staged(settled(packed_stretches(concerned, first.where(F.col("kind") != REMOVED), length, shards, parts)), "repeats-stretches")
     sharing = second.where(F.col("kind") != REMOVED)
     concerned = table.where(_marked(table, concerned_rows(second, (SHARED, HOT_SHARED))))
-    third = staged(repeated_strings(stretch_texts(concerned, sharing, length), length, shards), "repeats-strings")
+    third = staged(repeated_strings(stretch_texts(concerned, sharing, length, parts), length, shards), "repeats-strings")
     removed = first.unionByName(second).unionByName(third).where(F.col("kind") == REMOVED)
     marked = _marked(table, concerned_rows(removed, (REMOVED,)))
 
@@ -444,7 +448,7 @@ def without_repeats(table: DataFrame, length: int = LENGTH) -> DataFrame:
             [x.split()[0] for x in KEPT.split(", ")],
         )
 
-    changed = beside(table.where(marked), removed, run, KEPT)
+    changed = beside(table.where(marked), removed, run, KEPT, parts)
     text = F.coalesce("text", F.lit("")).cast("binary")
     zero = F.lit(0).cast("long")
     same = table.where(~marked).select(
