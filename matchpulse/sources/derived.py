@@ -1,8 +1,9 @@
 """Message logs derived row by row from the ``events`` table, for queries, tests and the bench.
 
-Each row of ``events`` becomes one message; nothing is shuffled or sampled, and the work grows
-with the table. A third of all rows belong to the session ``arena`` and a twelfth have no key, so
-every query meets a hot group.
+Each row of ``events`` becomes one message, and the work grows with the table. A message is some
+hundred times its row, so the rows are dealt to tasks before messages are made: a table of few files or row
+groups would make and decode them in few tasks. A third of all rows belong to the session ``arena`` and a
+twelfth have no key, so every query meets a hot group.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Messages that one task makes, about.
+TASK_ROWS = 100_000
+
+
 def _div(column: Column, by: int) -> Column:
     return F.floor(column / by).cast("bigint")
 
@@ -20,11 +25,17 @@ def instant(ntz: Column) -> Column:
     return F.concat(ntz.cast("string"), F.lit("Z")).cast("timestamp")
 
 
+def _dealt(events: DataFrame) -> DataFrame:
+    """The rows in ranges of time, TASK_ROWS each and one per core at least."""
+    tasks = max(events.sparkSession.sparkContext.defaultParallelism, -(-events.count() // TASK_ROWS))
+    return events.repartitionByRange(tasks, "ts", "event_id")
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` with the session each row plays in and its running number there (``rn``)."""
     E = F.col("event_id")
     hot, keyless = E % 3 == 0, E % 12 == 11
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return _dealt(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")).select(
         "event_id",
         "event_type",
         instant(F.col("ts")).alias("timestamp"),
