@@ -49,7 +49,7 @@ def sliced(
     return staged(cuts, name, partition_by)
 
 
-def _place(value: Column, cuts: list[int]) -> Column:
+def place_of(value: Column, cuts: list[int]) -> Column:
     """How many of the ascending cuts lie below a value, 0 for null; found in two steps, so a row looks at few cuts."""
     below = lambda held: F.size(F.filter(held, lambda cut: cut < value))
     whole = F.array(*[F.lit(c).cast("bigint") for c in cuts])
@@ -59,6 +59,20 @@ def _place(value: Column, cuts: list[int]) -> Column:
     return F.when(steps == 0, 0).otherwise((steps - 1) * STEP + below(F.slice(whole, (steps - 1) * STEP + 1, F.lit(STEP))))
 
 
+def value_grid(values: DataFrame, at: str) -> tuple[int, list[int]]:
+    """The number of rows and MOST_SLICES - 1 approximate quantiles of a whole number, none if it is always null."""
+    grid = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    known = values.select(F.col(at).cast("bigint").alias("at"))
+    rows, found = known.agg(F.count(F.lit(1)), F.percentile_approx("at", grid, 20 * MOST_SLICES)).first()
+    return rows, list(found or [])
+
+
+def cuts_of(grid: list[int], count: int) -> list[int]:
+    """The values that part a grid of quantiles into ``count`` ranges, fewer if values repeat."""
+    count = min(count, MOST_SLICES)
+    return sorted({grid[i * MOST_SLICES // count - 1] for i in range(1, count)}) if grid else []
+
+
 def cut_by(
     df: DataFrame,
     at: str,
@@ -74,12 +88,10 @@ def cut_by(
     and the approximate quantiles of ``values`` (one column, as cheap as it may be; else of ``df`` itself). Rows of one
     value stay together; null belongs to the first slice. More than MOST_SLICES slices are not made, they grow instead.
     """
-    known = (df if values is None else values).select(F.col(at if values is None else values.columns[0]).cast("bigint").alias("at"))
-    grid = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
-    rows, found = known.agg(F.count(F.lit(1)), F.percentile_approx("at", grid, 20 * MOST_SLICES)).first()
+    rows, found = value_grid(*((df, at) if values is None else (values, values.columns[0])))
     count = min(MOST_SLICES, slices or max(LEAST_SLICES, math.ceil(rows / slice_rows)))
-    cuts = sorted({found[i * MOST_SLICES // count - 1] for i in range(1, count)}) if found else []
-    return staged(df.withColumn(SLICE, _place(F.col(at), cuts).cast("int")), name, partition_by)
+    cuts = cuts_of(found, count)
+    return staged(df.withColumn(SLICE, place_of(F.col(at), cuts).cast("int")), name, partition_by)
 
 
 def with_carried(

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from matchpulse import schemas
 from matchpulse.operators import events as E
@@ -18,6 +19,7 @@ from matchpulse.operators import pages
 from matchpulse.operators import requests as Q
 from matchpulse.operators import rounds as R
 from matchpulse.operators import scoring as S
+from matchpulse.operators.slices import cuts_of, place_of, value_grid
 from matchpulse.plans.example_model import example_model
 from matchpulse.sources import derived, kafka, staging
 from matchpulse.streaming import cells, clears, live, state
@@ -292,30 +294,58 @@ def _read_responses(messages: DataFrame) -> DataFrame:
 
 #: A log comes in this many micro-batches at least, and
 CHUNKS = 3
-#: about so many rows of it are in a micro-batch.
+#: about so many rows of it are in a micro-batch,
 CHUNK_ROWS = 500_000
+#: which comes in files of about so many, but not in more than there are cores.
+FILE_ROWS = 25_000
+
 
 def _in_chunks(rows: int) -> int:
     return max(CHUNKS, -(-rows // CHUNK_ROWS))
 
 
-def _publish(placed: DataFrame, chunks: int, folder: str) -> None:
-    """A log with the ``place`` of each row as files in that order, one per place: a file is what a micro-batch takes."""
+def _publish(placed: DataFrame, chunks: int, folder: str) -> int:
+    """A log with the ``place`` of each row as files in that order; a micro-batch takes the files of one place.
+
+    Returns the number of files, the same for every place. Above one each file begins with a ``filler`` row, so that none is left out.
+    """
     written = staging.staged(placed, "chunks", "place")
+    spark = written.sparkSession
+    most = written.groupBy("place").count().agg(F.max("count")).first()[0] or 0
+    files = max(1, min(spark.sparkContext.defaultParallelism, most // FILE_ROWS))
+    fillers = spark.range(files).select(F.col("id").cast("int").alias("file"), F.lit(True).alias("filler"))
     for i in range(chunks):
-        written.filter(F.col("place") == i).drop("place").coalesce(1).write.mode("append").parquet(folder)
+        rows = written.filter(F.col("place") == i).drop("place")
+        if files == 1:
+            rows = rows.coalesce(1)
+        else:
+            own = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")
+            every = rows.withColumn("file", own).unionByName(fillers, allowMissingColumns=True)
+            rows = every.repartitionById(files, F.col("file")).drop("file")
+        rows.write.mode("append").parquet(folder)
+    return files
+
+
+def _read_published(spark: SparkSession, folder: str, schema: StructType, files: int) -> DataFrame:
+    """The stream of a published log, a place a micro-batch."""
+    reader = spark.readStream.schema(StructType([*schema.fields, StructField("filler", BooleanType())]))
+    return reader.option("maxFilesPerTrigger", files).parquet(folder).filter(F.col("filler").isNull()).drop("filler")
 
 
-def _by_position(table: DataFrame, at: str = "timestamp") -> tuple[DataFrame, int]:
-    """A written log with the place of each row: ranges of (time, position) of about CHUNK_ROWS rows; rows without time come first."""
-    order = [c for c in (at, "partition", "offset") if c in table.columns]
-    n = _in_chunks(table.count())
-    return table.repartitionByRange(n, *order).withColumn("place", F.spark_partition_id()), n
+def _by_position(log: DataFrame, at: str = "timestamp", least: int = CHUNKS) -> tuple[DataFrame, int]:
+    """A log with the place of each row: ranges of time of about CHUNK_ROWS rows; rows without time come first.
+
+    Only the times are read for the cuts, and the messages stay in the tasks they are made in.
+    """
+    moment = F.unix_micros(F.col(at)) if log.schema[at].dataType == TimestampType() else F.col(at)
+    rows, held = value_grid(log.select(moment.alias("at")), "at")
+    n = max(least, _in_chunks(rows))
+    return log.withColumn("place", place_of(moment, cuts_of(held, n)).cast("int")), n
 
 
 def _side_by_side(logs: dict[str, tuple[DataFrame, str]]) -> tuple[dict[str, DataFrame], int]:
     """Several logs with the places of their rows, cut at the same times."""
-    tables = {name: staging.staged(log, name) for name, (log, _) in logs.items()}
+    tables = {name: log for name, (log, _) in logs.items()}
     second = {name: F.col(at).cast("bigint") for name, (_, at) in logs.items()}
     spans = [t.agg(F.count(F.lit(1)), F.min(second[n]), F.max(second[n])).first() for n, t in tables.items()]
     n = _in_chunks(max(s[0] for s in spans))
@@ -325,6 +355,10 @@ def _side_by_side(logs: dict[str, tuple[DataFrame, str]]) -> tuple[dict[str, Dat
     return {name: t.withColumn("place", F.coalesce(place[name], F.lit(0))) for name, t in tables.items()}, n
 
 
+#: State partitions of a stream per core, at most.
+STATE_TASKS = 2
+
+
 def _one_stream(
     logs: dict[str, tuple[DataFrame, int]], job: Callable[..., DataFrame], output_mode: str = "append", without_data: bool = False
 ) -> DataFrame:
@@ -337,33 +371,35 @@ def _one_stream(
     root = staging.new_folder(spark, "stream")
     streams = []
     for name, (placed, chunks) in logs.items():
-        _publish(placed, chunks, f"{root}/{name}")
-        schema = placed.drop("place").schema
-        streams.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}"))
+        files = _publish(placed, chunks, f"{root}/{name}")
+        streams.append(_read_published(spark, f"{root}/{name}", placed.drop("place").schema, files))
     stream = job(*streams)
     run = kafka.writer(stream, "run", "parquet", path=f"{root}/out", available_now=True, checkpoint_root=root, output_mode=output_mode)
     schema = stream.schema
     if output_mode == "update":
         schema = stream.withColumn("batch", F.lit(0).cast("bigint")).schema
         run = run.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{root}/out"))
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(without_data).lower())
+    # a session's partitions are meant for whole tables; here every micro-batch would pay for a task and a state store each
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STATE_TASKS * spark.sparkContext.defaultParallelism)
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": str(without_data).lower(), "spark.sql.shuffle.partitions": str(tasks)}
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         run.start().awaitTermination()
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(schema).parquet(f"{root}/out")
 
 
 def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame], output_mode: str = "append") -> DataFrame:
-    return _one_stream({"log": _by_position(staging.staged(log, "log"))}, job, output_mode)
+    return _one_stream({"log": _by_position(log)}, job, output_mode)
 
 
 def _live_features(log: DataFrame, job: Callable[..., DataFrame]) -> DataFrame:
-    table = staging.staged(log, "telemetry")
-    hot = state.hot_sessions(table)
-    return _one_stream({"log": _by_position(table)}, lambda raw: job(raw, hot))
+    hot = state.hot_sessions(log)
+    return _one_stream({"log": _by_position(log)}, lambda raw: job(raw, hot))
 
 
 @query
@@ -390,10 +426,9 @@ LATE_SECONDS, LATE_CHUNKS = 6 * 3600, 8
 def live_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that arrive hours out of order over several micro-batches are played in event order; closing rows move the watermark."""
     late = F.pmod(F.xxhash64("partition", "offset"), F.lit(LATE_SECONDS))
-    table = staging.staged(derived.telemetry(spark, sf_dir).withColumn("arrival", F.col("timestamp").cast("bigint") + late), "telemetry")
-    n = max(LATE_CHUNKS, _in_chunks(table.count()))
-    placed = table.repartitionByRange(n, "arrival").withColumn("place", F.spark_partition_id())
-    end = table.agg(F.max("timestamp").alias("timestamp"))
+    table = derived.telemetry(spark, sf_dir).withColumn("arrival", F.col("timestamp").cast("bigint") + late)
+    placed, n = _by_position(table, "arrival", LATE_CHUNKS)
+    end = staging.staged(table.agg(F.max("timestamp").alias("timestamp")), "end")
     none = {c: F.lit(None).cast(t).alias(c) for c, t in table.dtypes}
     for i in (1, 2, 3):
         later = (F.col("timestamp") + F.make_dt_interval(days=F.lit(i))).alias("timestamp")
@@ -420,7 +455,7 @@ def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     logs, n = _side_by_side({"requests": (asked, "requested_at"), "responses": (derived.response_log(spark, sf_dir), "timestamp")})
     requests, responses = logs["requests"], logs["responses"]
-    last = requests.agg(F.max("requested_at").alias("at"))
+    last = staging.staged(requests.agg(F.max("requested_at").alias("at")), "last")
     for days in (1, 2, 3):
         at, place = F.col("at") + F.make_dt_interval(days=F.lit(days)), F.lit(n + days - 1).alias("place")
         requests = requests.unionByName(last.select(F.lit("end").alias("correlation_id"), at.alias("requested_at"), place))
@@ -435,7 +470,7 @@ def live_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def live_round_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded with the first chunk as history, then updated by the others."""
-    placed, n = _by_position(staging.staged(derived.prediction_log(spark, sf_dir), "log"))
+    placed, n = _by_position(derived.prediction_log(spark, sf_dir))
     table = staging.staged(placed, "log")
     seed = staging.staged(live.round_totals(H.read_predictions(table.filter("place = 0"))), "seed")
     rest = table.filter("place > 0").withColumn("place", F.col("place") - 1)

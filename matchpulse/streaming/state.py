@@ -11,6 +11,7 @@ several micro-batches are played in order; rows that come too late for that leav
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -56,6 +57,11 @@ def _sums(living: list, history: dict) -> list[tuple[int, ...]]:
     return out
 
 
+def _told(players: list | str) -> list:
+    """The players of a control row, which :func:`dealt` hands over as JSON text: only rows that move the state are read."""
+    return json.loads(players) if isinstance(players, str) else players
+
+
 def play(
     rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
 ):
@@ -83,11 +89,11 @@ def play(
             start.clear()
             history.clear()
         if phase == "freezetime" and number > current:
-            start.update((p["player"], int(p["kills"])) for p in players)
+            start.update((p["player"], int(p["kills"])) for p in _told(players))
             current, archived = int(number), False
         elif phase == "over" and not archived and number - current in ends:
             told(at)
-            for p in players:
+            for p in _told(players):
                 kills = int(p["kills"])
                 entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
                 history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
@@ -143,12 +149,15 @@ def hot_sessions(raw: DataFrame, share: float = HOT_SHARE) -> list[str]:
 
 
 def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
-    """The rows with their ``salt``: 0, but for hot sessions ticks by position and control rows once per salt."""
+    """The rows with their ``salt``: 0, but for hot sessions ticks by position and control rows once per salt.
+
+    The players of control rows become text, as nested values are dear to hand to Python and few rows are looked into.
+    """
     by_place = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     is_hot = F.col("session").isin(*hot) if hot else F.lit(False)
     keys = F.when(~is_hot, F.array(F.lit(0))).when(F.col("kind") == "tick", F.array(by_place)).otherwise(every)
-    return timeline.withColumn("salt", F.explode(keys))
+    return timeline.withColumns({"players": F.to_json("players"), "salt": F.explode(keys)})
 
 
 def live_features(raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS, **rules) -> DataFrame:
