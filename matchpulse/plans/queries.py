@@ -338,7 +338,8 @@ def _by_position(log: DataFrame, at: str = "timestamp", least: int = CHUNKS) ->
     Only the times are read for the cuts, and the messages stay in the tasks they are made in.
     """
     moment = F.unix_micros(F.col(at)) if log.schema[at].dataType == TimestampType() else F.col(at)
-    rows, held = value_grid(log.select(moment.alias("at")), "at")
+    # rows without time count for the cuts as the first ones, so that the first place is no longer than the others for them
+    rows, held = value_grid(log.select(F.coalesce(moment, F.lit(-(2**63))).alias("at")), "at")
     n = max(least, _in_chunks(rows))
     return log.withColumn("place", place_of(moment, cuts_of(held, n)).cast("int")), n
 
