@@ -295,7 +295,7 @@ def _read_responses(messages: DataFrame) -> DataFrame:
 #: A log comes in this many micro-batches at least, and
 CHUNKS = 3
 #: about so many rows of it are in a micro-batch,
-CHUNK_ROWS = 500_000
+CHUNK_ROWS = 1_000_000
 #: which comes in files of about so many, but not in more than there are cores.
 FILE_ROWS = 25_000
 
@@ -304,9 +304,13 @@ def _in_chunks(rows: int) -> int:
     return max(CHUNKS, -(-rows // CHUNK_ROWS))
 
 
-def _publish(placed: DataFrame, chunks: int, folder: str) -> int:
+Messages = Callable[[DataFrame], DataFrame]
+
+
+def _publish(placed: DataFrame, chunks: int, folder: str, messages: Messages = lambda rows: rows) -> int:
     """A log with the ``place`` of each row as files in that order; a micro-batch takes the files of one place.
 
+    ``messages`` are made of its rows when they are put into files, so that only the rows are written and shuffled before.
     Returns the number of files, the same for every place. Above one each file begins with a ``filler`` row, so that none is left out.
     """
     written = staging.staged(placed, "chunks", "place")
@@ -322,7 +326,7 @@ def _publish(placed: DataFrame, chunks: int, folder: str) -> int:
             own = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")
             every = rows.withColumn("file", own).unionByName(fillers, allowMissingColumns=True)
             rows = every.repartitionById(files, F.col("file")).drop("file")
-        rows.write.mode("append").parquet(folder)
+        messages(rows).write.mode("append").parquet(folder)
     return files
 
 
@@ -332,14 +336,14 @@ def _read_published(spark: SparkSession, folder: str, schema: StructType, files:
     return reader.option("maxFilesPerTrigger", files).parquet(folder).filter(F.col("filler").isNull()).drop("filler")
 
 
-def _by_position(log: DataFrame, at: str = "timestamp", least: int = CHUNKS) -> tuple[DataFrame, int]:
+def _by_position(log: DataFrame, at: str = "timestamp", least: int = CHUNKS, times: DataFrame | None = None) -> tuple[DataFrame, int]:
     """A log with the place of each row: ranges of time of about CHUNK_ROWS rows; rows without time come first.
 
-    Only the times are read for the cuts, and the messages stay in the tasks they are made in.
+    Only the ``times`` (those of the log) are read for the cuts, and the messages stay in the tasks they are made in.
     """
     moment = F.unix_micros(F.col(at)) if log.schema[at].dataType == TimestampType() else F.col(at)
     # rows without time count for the cuts as the first ones, so that the first place is no longer than the others for them
-    rows, held = value_grid(log.select(F.coalesce(moment, F.lit(-(2**63))).alias("at")), "at")
+    rows, held = value_grid((log if times is None else times).select(F.coalesce(moment, F.lit(-(2**63))).alias("at")), "at")
     n = max(least, _in_chunks(rows))
     return log.withColumn("place", place_of(moment, cuts_of(held, n)).cast("int")), n
 
@@ -361,9 +365,13 @@ STATE_TASKS = 2
 
 
 def _one_stream(
-    logs: dict[str, tuple[DataFrame, int]], job: Callable[..., DataFrame], output_mode: str = "append", without_data: bool = False
+    logs: dict[str, tuple[DataFrame, int]],
+    job: Callable[..., DataFrame],
+    output_mode: str = "append",
+    without_data: bool = False,
+    messages: Messages = lambda rows: rows,
 ) -> DataFrame:
-    """Run one streaming job over logs (rows with ``place``, number of places), a place of each a micro-batch.
+    """Run one streaming job over the ``messages`` of logs (rows with ``place``, number of places), a place of each a micro-batch.
 
     Returns what it wrote; with output mode update each row has the number of its ``batch``. Micro-batches
     ``without_data`` let event-time timers fire; a processing-time timeout would ask for them for ever.
@@ -372,8 +380,8 @@ def _one_stream(
     root = staging.new_folder(spark, "stream")
     streams = []
     for name, (placed, chunks) in logs.items():
-        files = _publish(placed, chunks, f"{root}/{name}")
-        streams.append(_read_published(spark, f"{root}/{name}", placed.drop("place").schema, files))
+        files = _publish(placed, chunks, f"{root}/{name}", messages)
+        streams.append(_read_published(spark, f"{root}/{name}", messages(placed.drop("place")).schema, files))
     stream = job(*streams)
     run = kafka.writer(stream, "run", "parquet", path=f"{root}/out", available_now=True, checkpoint_root=root, output_mode=output_mode)
     schema = stream.schema
@@ -398,15 +406,21 @@ def _through_stream(log: DataFrame, job: Callable[[DataFrame], DataFrame], outpu
     return _one_stream({"log": _by_position(log)}, job, output_mode)
 
 
-def _live_features(log: DataFrame, job: Callable[..., DataFrame]) -> DataFrame:
-    hot = state.hot_sessions(log)
-    return _one_stream({"log": _by_position(log)}, lambda raw: job(raw, hot))
+def _through_telemetry(spark: SparkSession, sf_dir: str, job: Callable[..., DataFrame], disordered: bool = False) -> DataFrame:
+    """As :func:`_through_stream` over the telemetry of ``events``, whose rows are a hundredth of their messages."""
+    placed = _by_position(derived.event_log(spark, sf_dir), times=derived.event_log(spark, sf_dir, False))
+    return _one_stream({"log": placed}, job, messages=lambda rows: derived.telemetry_of(rows, disordered))
+
+
+def _live_features(spark: SparkSession, sf_dir: str, job: Callable[..., DataFrame], disordered: bool = False) -> DataFrame:
+    hot = state.hot_sessions(derived.event_log(spark, sf_dir, False))
+    return _through_telemetry(spark, sf_dir, lambda raw: job(raw, hot), disordered)
 
 
 @query
 def live_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keyed round state over a stream of telemetry; the hot session is dealt to several keys."""
-    rows = _live_features(derived.telemetry(spark, sf_dir), lambda raw, hot: state.live_features(raw, hot))
+    rows = _live_features(spark, sf_dir, lambda raw, hot: state.live_features(raw, hot))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
 
 
@@ -415,7 +429,7 @@ def live_features_by_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The round state in cells per player over the log with rounds out of order: each match anew, an ``over`` of the next round archives too."""
     rules = {"reset_on_new_match": True, "archive_rule": "equal_or_next"}
     with cells.rocksdb(spark):
-        rows = _live_features(derived.telemetry(spark, sf_dir, True), lambda raw, hot: cells.live_features_in_cells(raw, hot, **rules))
+        rows = _live_features(spark, sf_dir, lambda raw, hot: cells.live_features_in_cells(raw, hot, **rules), True)
     return _plain(rows.select("offset", *schemas.PREV3))
 
 
@@ -427,8 +441,10 @@ LATE_SECONDS, LATE_CHUNKS = 6 * 3600, 8
 def live_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that arrive hours out of order over several micro-batches are played in event order; closing rows move the watermark."""
     late = F.pmod(F.xxhash64("partition", "offset"), F.lit(LATE_SECONDS))
-    table = derived.telemetry(spark, sf_dir).withColumn("arrival", F.col("timestamp").cast("bigint") + late)
-    placed, n = _by_position(table, "arrival", LATE_CHUNKS)
+    arrival = F.col("timestamp").cast("bigint") + late
+    times = derived.event_log(spark, sf_dir, False).withColumn("arrival", arrival)
+    placed, n = _by_position(derived.event_log(spark, sf_dir).withColumn("arrival", arrival), "arrival", LATE_CHUNKS, times)
+    placed, table = placed.drop("arrival"), times.drop("arrival")
     end = staging.staged(table.agg(F.max("timestamp").alias("timestamp")), "end")
     none = {c: F.lit(None).cast(t).alias(c) for c, t in table.dtypes}
     for i in (1, 2, 3):
@@ -436,15 +452,15 @@ def live_features_disordered(spark: SparkSession, sf_dir: str) -> DataFrame:
         closing = end.select(*[later if c == "timestamp" else none[c] for c in table.columns], F.lit(n + i - 1).alias("place"))
         placed = placed.unionByName(closing)
     hot = state.hot_sessions(table)
-    job = lambda raw: state.live_features_in_order(raw.drop("arrival"), LATE_SECONDS, hot=hot, idle_ms=None)
-    rows = state.on_time(_one_stream({"log": (placed, n + 3)}, job, without_data=True))
+    job = lambda raw: state.live_features_in_order(raw, LATE_SECONDS, hot=hot, idle_ms=None)
+    rows = state.on_time(_one_stream({"log": (placed, n + 3)}, job, without_data=True, messages=derived.telemetry_of))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", *_features(), "offset"))
 
 
 @query
 def live_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = example_model(spark)
-    rows = _live_features(derived.telemetry(spark, sf_dir), lambda raw, hot: live.live_predictions(raw, model, hot))
+    rows = _live_features(spark, sf_dir, lambda raw, hot: live.live_predictions(raw, model, hot))
     return _plain(rows.select("session_key", "round_num", "event_timestamp", millionths("prob_ct_win").alias("prob_micro")))
 
 
@@ -529,7 +545,7 @@ def live_stateless_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def job(raw: DataFrame) -> DataFrame:
         return E.predictable(E.with_stateless_features(E.parse_events(raw)))
 
-    return _stateless_columns(_through_stream(derived.telemetry(spark, sf_dir), job))
+    return _stateless_columns(_through_telemetry(spark, sf_dir, job))
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Messages that one task makes, about.
 TASK_ROWS = 100_000
+EVENT_LOG = ("event_id", "event_type", "timestamp", "key", "rn", "partition", "offset")
 
 
 def _div(column: Column, by: int) -> Column:
@@ -31,11 +32,12 @@ def _dealt(events: DataFrame) -> DataFrame:
     return events.repartitionByRange(tasks, "ts", "event_id")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with the session each row plays in and its running number there (``rn``)."""
+def event_log(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``events`` with the session each row plays in and its running number there (``rn``); ``dealt`` to tasks unless no messages are made of it."""
     E = F.col("event_id")
     hot, keyless = E % 3 == 0, E % 12 == 11
-    return _dealt(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")).select(
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    return (_dealt(events) if dealt else events).select(
         "event_id",
         "event_type",
         instant(F.col("ts")).alias("timestamp"),
@@ -48,19 +50,27 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _text(value: Column) -> Column:
+    return F.concat(F.lit('"'), value, F.lit('"'))
+
+
+def _object(**fields: Column) -> Column:
+    """A JSON object of values that are JSON text already, null ones left out. No string of the telemetry needs escaping."""
+    named = [F.concat(F.lit(f'"{name}":'), value.cast("string")) for name, value in fields.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}"))
+
+
 def _player(log_rn: Column, pid: Column) -> Column:
+    """A player's entry as one text: an event that has a message has an id, so no number is null here."""
     E = F.col("event_id")
     kills = F.floor((log_rn % 4000) * (pid + 1) / 25) - F.when(E % 97 == 0, 3).otherwise(0)
     health = F.when((E * 7 + pid * 13) % 4 == 0, 0).otherwise((E * 11 + pid * 29) % 100 + 1)
-    return F.struct(
-        F.when(pid < 5, F.lit("CT")).otherwise(F.lit("T")).alias("team"),
-        F.struct(
-            health.cast("int").alias("health"),
-            F.lit(0).alias("round_kills"),
-            (((log_rn % 20) * (pid + 1) * 3) % 150).cast("int").alias("round_totaldmg"),
-        ).alias("state"),
-        F.struct(kills.cast("int").alias("kills")).alias("match_stats"),
-    )
+    return F.concat(
+        F.lit('"p'), pid.cast("string"),
+        F.when(pid < 5, '":{"team":"CT","state":{"health":').otherwise('":{"team":"T","state":{"health":'), health.cast("string"),
+        F.lit(',"round_kills":0,"round_totaldmg":'), (((log_rn % 20) * (pid + 1) * 3) % 150).cast("string"),
+        F.lit('},"match_stats":{"kills":'), kills.cast("string"), F.lit("}}"),
+    )
 
 
 def telemetry(spark: SparkSession, sf_dir: str, disordered: bool = False) -> DataFrame:
@@ -69,8 +79,12 @@ def telemetry(spark: SparkSession, sf_dir: str, disordered: bool = False) -> Dat
     ``disordered`` mixes up rounds and phases: regressions, round 0, negative rounds, repeated
     and missing starts and archives.
     """
+    return telemetry_of(event_log(spark, sf_dir), disordered)
+
+
+def telemetry_of(log: DataFrame, disordered: bool = False) -> DataFrame:
+    """The telemetry messages of rows of :func:`event_log`; columns that these do not have stay beside."""
     E = F.col("event_id")
-    log = event_log(spark, sf_dir)
     rn, step = F.col("rn"), F.col("rn") % 20
     if disordered:
         round_num = _div(rn, 7) - _div(E, 5) % 3
@@ -94,25 +108,19 @@ def telemetry(spark: SparkSession, sf_dir: str, disordered: bool = False) -> Dat
     pids = F.filter(
         F.sequence(F.lit(0), F.lit(9)), lambda pid: ~((pid >= 7) & ((E + pid) % 5 == 0))
     )
-    players = F.map_from_entries(
-        F.transform(pids, lambda pid: F.struct(F.concat(F.lit("p"), pid.cast("string")), _player(rn, pid)))
-    )
-    body = F.to_json(
-        F.struct(
-            F.struct(F.col("key").alias("steamid")).alias("provider"),
-            F.when(
-                in_game,
-                F.struct(
-                    F.when(E % 227 != 9, round_num.cast("int")).alias("round"), F.lit("live").alias("phase")
-                ),
-            ).alias("map"),
-            F.struct(phase.alias("phase")).alias("round"),
-            F.struct(phase.alias("phase"), ends_in.alias("phase_ends_in")).alias("phase_countdowns"),
-            players.alias("allplayers"),
-        )
+    players = F.transform(pids, lambda pid: _player(rn, pid))
+    body = _object(
+        provider=_object(steamid=_text(F.col("key"))),
+        map=F.when(
+            in_game, _object(round=F.when(E % 227 != 9, round_num.cast("int")), phase=F.lit('"live"'))
+        ),
+        round=_object(phase=_text(phase)),
+        phase_countdowns=_object(phase=_text(phase), phase_ends_in=_text(ends_in)),
+        allplayers=F.concat(F.lit("{"), F.concat_ws(",", players), F.lit("}")),
     )
     value = F.when(E % 211 == 5, F.lit('{"map": {')).when(E % 223 != 7, body)
-    return log.select("key", value.alias("value"), "timestamp", "partition", "offset")
+    beside = [c for c in log.columns if c not in EVENT_LOG]
+    return log.select("key", value.alias("value"), "timestamp", "partition", "offset", *beside)
 
 
 def probability() -> Column:

@@ -1,5 +1,6 @@
 """Work is spread over the cores whatever the files of the input and the session's settings are."""
 
+import json
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -83,3 +84,27 @@ def test_players_reach_the_state_as_text(spark):
     history = {}
     sums, after = state.play(rows, 0, False, {}, history)
     assert history == {"a": [(3, 40)]} and after == (1, True) and sums.iloc[0].tolist() == [3, 40, 0, 0]
+
+
+def test_messages_are_made_after_the_last_shuffle(spark, events_dir, tmp_path, monkeypatch):
+    """Only the rows of events are written and dealt to files; the messages, a hundred times larger, are written once."""
+    tables = []
+    staged = lambda df, name, *by, write=queries.staging.staged: tables.append((name, df.columns)) or write(df, name, *by)
+    monkeypatch.setattr(queries.staging, "staged", staged)
+    monkeypatch.setattr(queries, "FILE_ROWS", 200)
+    seen = queries._through_telemetry(spark, events_dir, lambda raw: raw)
+    assert [name for name, _ in tables] == ["chunks"] and "value" not in tables[0][1]
+    want = derived.telemetry(spark, events_dir)
+    assert seen.columns == want.columns and seen.count() == 4003
+    assert seen.exceptAll(want).isEmpty() and want.exceptAll(seen).isEmpty()
+
+
+def test_messages_are_the_json_of_their_fields(spark, events_dir):
+    """Written as text, they read as JSON without spaces, and null fields are left out."""
+    for disordered in (False, True):
+        values = [r["value"] for r in derived.telemetry(spark, events_dir, disordered).filter("value like '%allplayers%'").select("value").collect()]
+        read = [json.loads(v) for v in values]
+        assert len(values) > 3900 and [json.dumps(x, separators=(",", ":")) for x in read] == values
+        assert not any("null" in v for v in values) and any("steamid" not in x["provider"] for x in read)
+        assert any(len(x["allplayers"]) < 10 for x in read) and any("round" not in x.get("map", {}) for x in read)
+        assert all(len(p["state"]) == 3 and len(p["match_stats"]) == 1 for x in read for p in x["allplayers"].values())
