@@ -4,6 +4,10 @@
 ``SALTS`` keys: its control rows go to all of them, each tick to one, and every key replays the few control
 rows and sums its own ticks. Other sessions have one key.
 
+*Many sessions.* A call of Python costs milliseconds however few rows it gets, and with the log both the sessions and the
+micro-batches that each of them spans grow. Keys are therefore dealt to ``BUCKETS``; one call plays all sessions of a bucket
+and its state holds theirs.
+
 *Order.* ``live_features`` takes rows in order inside a micro-batch and micro-batches as they come.
 ``live_features_in_order`` keeps rows until the watermark has passed their second, so that rows of
 several micro-batches are played in order; rows that come too late for that leave on the side.
@@ -14,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,44 +67,57 @@ def _told(players: list | str) -> list:
     return json.loads(players) if isinstance(players, str) else players
 
 
-def play(
-    rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
-):
+class _Columns:
+    """Rows in order as plain lists, so that many sessions are played from one table: ticks and control rows by place."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        is_tick = (rows["kind"] == "tick").to_numpy()
+        self.is_tick, self.ticks, self.control = is_tick, is_tick.nonzero()[0], (~is_tick).nonzero()[0]
+        self.living = list(zip(*(rows[side].to_numpy()[is_tick] for side in ("alive_ct", "alive_t"))))
+        self.moves = list(zip(self.control.tolist(), *(rows[c].to_numpy()[~is_tick].tolist() for c in ("round_phase", "round_num", "players"))))
+
+    def play(
+        self, begin: int, end: int, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
+    ) -> tuple[list[tuple[int, ...]], tuple[int, bool]]:
+        """One session's rows, those of the places from ``begin`` to ``end``; see :func:`play`."""
+        ends = ARCHIVE_RULES[archive_rule]
+        first, last = self.ticks.searchsorted((begin, end))
+        found: list[tuple[int, ...]] = []
+
+        def told(upto: int) -> None:
+            """Sum the ticks before the ``upto``-th that are still open."""
+            if first + len(found) < upto:
+                found.extend(_sums(self.living[first + len(found) : upto], history))
+
+        for at, phase, number, players in self.moves[slice(*self.control.searchsorted((begin, end)))]:
+            if reset_on_new_match and phase == "freezetime" and number <= FIRST_ROUND < current:
+                told(self.ticks.searchsorted(at))
+                current, archived = 0, False
+                start.clear()
+                history.clear()
+            if phase == "freezetime" and number > current:
+                start.update((p["player"], int(p["kills"])) for p in _told(players))
+                current, archived = int(number), False
+            elif phase == "over" and not archived and number - current in ends:
+                told(self.ticks.searchsorted(at))
+                for p in _told(players):
+                    kills = int(p["kills"])
+                    entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
+                    history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
+                archived = True
+        told(last)
+        return found, (current, archived)
+
+
+def play(rows: pd.DataFrame, current: int, archived: bool, start: dict, history: dict, **rules) -> tuple[pd.DataFrame, tuple[int, bool]]:
     """Run one session's rows, in order, over its state; returns the sums of its ticks, the round and whether it is archived.
 
     ``start`` and ``history`` (player -> kills, last rounds) are changed in place. Control rows are visited one by one; the
     ticks between two archives are summed together. The rules are those of the batch form.
     """
-    ends = ARCHIVE_RULES[archive_rule]
-    is_tick = (rows["kind"] == "tick").to_numpy()
-    places = is_tick.nonzero()[0]
-    living = list(zip(*(rows[side].to_numpy()[is_tick] for side in ("alive_ct", "alive_t"))))
-    found: list[tuple[int, ...]] = []
-
-    def told(at: int) -> None:
-        """Sum the ticks before a place that are still open."""
-        if len(found) < (upto := int(places.searchsorted(at))):
-            found.extend(_sums(living[len(found) : upto], history))
-
-    control = rows[~is_tick]
-    for at, phase, number, players in zip(control.index, control["round_phase"], control["round_num"], control["players"]):
-        if reset_on_new_match and phase == "freezetime" and number <= FIRST_ROUND < current:
-            told(at)
-            current, archived = 0, False
-            start.clear()
-            history.clear()
-        if phase == "freezetime" and number > current:
-            start.update((p["player"], int(p["kills"])) for p in _told(players))
-            current, archived = int(number), False
-        elif phase == "over" and not archived and number - current in ends:
-            told(at)
-            for p in _told(players):
-                kills = int(p["kills"])
-                entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
-                history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
-            archived = True
-    told(len(rows))
-    return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[is_tick]), (current, archived)
+    columns = _Columns(rows)
+    found, after = columns.play(0, len(rows), current, archived, start, history, **rules)
+    return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[columns.is_tick]), after
 
 
 def _loaded(state: GroupState) -> tuple[int, bool, dict, dict]:
@@ -160,27 +178,92 @@ def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
     return timeline.withColumns({"players": F.to_json("players"), "salt": F.explode(keys)})
 
 
-def live_features(raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS, **rules) -> DataFrame:
-    """Stream of raw telemetry -> stream of feature rows with their log position.
+# --- many sessions under one key
 
-    Decoding and the row-local features run before the shuffle; only slim rows are shuffled and
-    handed to Python, as Arrow batches. ``hot`` and ``salts`` are part of the state's keys: a checkpoint
-    goes on only with the same ones. ``rules``: reset_on_new_match and archive_rule, as in batch.
+#: Keys of a stream's state: each holds the sessions that fall to it.
+BUCKETS = 256
+STATE_OF_BUCKET = "sessions string"
+
+
+def bucketed(keyed: DataFrame, buckets: int) -> DataFrame:
+    return keyed.withColumn("bucket", F.pmod(F.xxhash64("session", "salt"), F.lit(buckets)).cast("int"))
+
+
+def by_session(rows: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[tuple[str, int], int, int]]]:
+    """Rows with each (session, salt) together and in order, and where each of them begins and ends."""
+    rows = in_order(rows)
+    number = rows.groupby(["session", "salt"], sort=False).ngroup().to_numpy()
+    order = number.argsort(kind="stable")
+    rows, number = rows.iloc[order].reset_index(drop=True), number[order]
+    edges = [0, *((number[1:] != number[:-1]).nonzero()[0] + 1).tolist(), len(rows)] if len(rows) else []
+    names = list(zip(rows["session"].to_numpy()[edges[:-1]], rows["salt"].to_numpy()[edges[:-1]].tolist())) if edges else []
+    return rows, list(zip(names, edges, edges[1:]))
+
+
+def _written(sessions: dict[tuple[str, int], list]) -> str:
+    return json.dumps([[*name, *held] for name, held in sessions.items()])
+
+
+def _read(text: str | None) -> dict[tuple[str, int], list]:
+    return {(entry[0], entry[1]): entry[2:] for entry in json.loads(text or "[]")}
+
+
+def advance_bucket(batches: Iterator[pd.DataFrame], state: GroupState, idle_ms: int = IDLE_MS, **rules) -> Iterator[pd.DataFrame]:
+    """As :func:`advance` for the sessions of a bucket: per (session, salt) its round state and the time after which it is idle.
+
+    A session is forgotten when it is called no more after that time; the bucket's timeout is the earliest of them.
     """
+    now = state.getCurrentProcessingTimeMs()
+    sessions = _read(state.get[0]) if state.exists else {}
+    parts = [] if state.hasTimedOut else [b for b in batches if len(b)]
+    rows, spans = by_session(pd.concat(parts, ignore_index=True)) if parts else (None, [])
+    met = {name for name, _, _ in spans}
+    sessions = {name: held for name, held in sessions.items() if name in met or held[4] >= now}
+    if spans:
+        columns, found = _Columns(rows), []
+        for name, begin, end in spans:
+            current, archived, start, history = sessions.get(name, (0, False, {}, {}))[:4]
+            sums, after = columns.play(begin, end, current, archived, start, history, **rules)
+            found += sums
+            sessions[name] = [*after, start, history, now + idle_ms]
+    if sessions:
+        state.update((_written(sessions),))
+        state.setTimeoutDuration(max(1, min(held[4] for held in sessions.values()) - now))
+    elif state.exists:
+        state.remove()
+    if spans and len(columns.ticks):
+        yield tick_features(rows, pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[columns.is_tick]))
 
-    def run(key, batches, state):
-        return advance(key, batches, state, idle_ms, **rules)
 
+def live_features(
+    raw: DataFrame, hot: list[str] | None = None, salts: int = SALTS, idle_ms: int = IDLE_MS, buckets: int | None = BUCKETS, **rules
+) -> DataFrame:
+    """Stream of raw telemetry -> stream of feature rows with their log position.
+
+    Decoding and the row-local features run before the shuffle; only slim rows are shuffled and
+    handed to Python, as Arrow batches. Sessions are dealt to ``buckets``, so that a micro-batch calls Python once per bucket
+    and not once per session; without buckets each session is a key of its own. ``hot``, ``salts`` and ``buckets`` are part of the
+    state's keys: a checkpoint goes on only with the same ones. ``rules``: reset_on_new_match and archive_rule, as in batch.
+    """
+    keyed = dealt(slim_timeline(parse_events(raw)), hot or [], salts)
+    if buckets is None:
+        return keyed.groupBy("session", "salt").applyInPandasWithState(
+            lambda key, batches, state: advance(key, batches, state, idle_ms, **rules),
+            FEATURES_WITH_POSITION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        )
     return (
-        dealt(slim_timeline(parse_events(raw)), hot or [], salts)
-        .groupBy("session", "salt")
-        .applyInPandasWithState(run, FEATURES_WITH_POSITION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-    )
+        bucketed(keyed, buckets)
+        .groupBy("bucket")
+        .applyInPandasWithState(
+            lambda key, batches, state: advance_bucket(batches, state, idle_ms, **rules),
+            FEATURES_WITH_POSITION, STATE_OF_BUCKET, "append", GroupStateTimeout.ProcessingTimeTimeout,
+        )
+    )
 
 
 # --- in event order over micro-batches
 
-STATE_IN_ORDER = STATE + ", waiting binary, passed bigint, latest bigint"
+STATE_IN_ORDER = STATE_OF_BUCKET + ", waiting binary"
 FEATURES_IN_ORDER = FEATURES_WITH_POSITION + ", kind string, late boolean"
 
 
@@ -197,37 +280,66 @@ def unpacked(packed: bytes | None) -> pd.DataFrame | None:
 
 
 def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Callable:
-    """The keyed function that plays rows once the watermark plus ``grace_ms`` has passed their second."""
+    """The keyed function that plays rows of a bucket's sessions once the watermark plus ``grace_ms`` has passed their second.
+
+    Held per (session, salt): its round state, the second up to which it has been played and its latest second; the waiting rows of
+    all sessions lie together. A session is called when it has new rows, when waiting rows of it have become complete or when it has been idle.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = state.getCurrentWatermarkMs()
         edge = (watermark + grace_ms) // 1000  # seconds before it are complete
-        waiting, passed, latest = state.get[4:] if state.exists else (None, 0, None)
-        rows = pd.concat([x for x in (unpacked(waiting), *batches) if x is not None and len(x)] or [kept.empty_table().to_pandas()], ignore_index=True)
-        late = rows["second"] < passed
+        text, waiting = state.get if state.exists else (None, None)
+        sessions = _read(text)
+        parts = [x.assign(new=new) for new, x in ((False, unpacked(waiting)), *((True, b) for b in batches)) if x is not None and len(x)]
+        rows, spans = by_session(pd.concat(parts or [kept.empty_table().to_pandas().assign(new=True)], ignore_index=True))
+        passed = np.zeros(len(rows), "int64")
+        for name, begin, end in spans:
+            passed[begin:end] = sessions[name][4] if name in sessions else 0
+        late = (rows["second"] < passed).to_numpy()
         if late.any():
             left = rows.loc[late, ["session_key", "round_num", "second", "partition", "offset", "kind"]].rename(columns={"second": "event_timestamp"})
             yield left.assign(**dict.fromkeys(schemas.FEATURES), late=True)
-            rows = rows[~late]
-        due = rows["second"] < edge
-        ready, rest = in_order(rows[due]), rows[~due]
-        moved = _loaded(state)
-        if idle_ms is not None and latest is not None and len(ready) and (int(ready["second"].iat[0]) - latest) * 1000 > idle_ms:
-            moved = 0, False, {}, {}
-        if len(ready):
-            sums, after = play(ready, *moved)
-            moved = *after, *moved[2:]
-            latest = int(ready["second"].iat[-1])
-            if (ready["kind"] == "tick").any():
-                yield tick_features(ready, sums).assign(kind="tick", late=False)
-        elif not len(rest) and idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms:
-            state.remove()
+        due = (rows["second"] < edge).to_numpy() & ~late
+        rest = ~due & ~late
+        is_new, second = rows["new"].to_numpy(), rows["second"].to_numpy()
+        ready = rows[due].reset_index(drop=True)
+        columns, found, done = _Columns(ready), [], 0
+        idle = lambda latest: idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms
+        for name, begin, end in spans:
+            n = int(due[begin:end].sum())
+            if not n and not is_new[begin:end].any():
+                continue
+            current, archived, start, history, before, latest = sessions.get(name, (0, False, {}, {}, 0, None))
+            if n:
+                # rows are in order, so the due ones of a session are its first ones that are not late
+                played = second[begin:end][due[begin:end]]
+                if idle_ms is not None and latest is not None and (int(played[0]) - latest) * 1000 > idle_ms:
+                    current, archived, start, history = 0, False, {}, {}
+                sums, (current, archived) = columns.play(done, done + n, current, archived, start, history)
+                found += sums
+                done, latest = done + n, int(played[-1])
+            elif not rest[begin:end].any() and idle(latest):
+                sessions.pop(name, None)
+                continue
+            sessions[name] = [current, archived, start, history, max(before, edge), latest]
+        if len(columns.ticks):
+            sums = pd.DataFrame(found, columns=schemas.PREV3, index=ready.index[columns.is_tick])
+            yield tick_features(ready, sums).assign(kind="tick", late=False)
+        waits = {name for name, begin, end in spans if rest[begin:end].any()}
+        met = {name for name, _, _ in spans}
+        for name in [name for name, held in sessions.items() if name not in met and idle(held[5])]:
+            del sessions[name]
+        if not sessions:
+            if state.exists:
+                state.remove()
             return
-        state.update((*moved, packed(rest, kept) if len(rest) else None, max(passed, edge), latest))
-        if len(rest):
-            state.setTimeoutTimestamp(max(watermark + 1, (int(rest["second"].min()) + 1) * 1000 - grace_ms - 1))
-        elif idle_ms is not None and latest is not None:
-            state.setTimeoutTimestamp(max(watermark + 1, latest * 1000 + idle_ms))
+        state.update((_written(sessions), packed(rows.loc[rest, kept.names], kept) if waits else None))
+        moments = [latest * 1000 + idle_ms for name, (*_, latest) in sessions.items() if name not in waits and idle_ms is not None and latest is not None]
+        if rest.any() and pd.notna(earliest := rows.loc[rest, "second"].min()):
+            moments.append((int(earliest) + 1) * 1000 - grace_ms - 1)
+        if moments:
+            state.setTimeoutTimestamp(max(watermark + 1, min(moments)))
 
     return run
 
@@ -239,6 +351,7 @@ def live_features_in_order(
     hot: list[str] | None = None,
     salts: int = SALTS,
     idle_ms: int | None = IDLE_MS,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """As :func:`live_features`, but rows of a session are played in event order over micro-batches.
 
@@ -250,7 +363,7 @@ def live_features_in_order(
     keyed = dealt(lines, hot or [], salts)
     kept = to_arrow_schema(keyed.schema)
     run = advance_in_order(kept, grace_s * 1000, idle_ms)
-    return keyed.groupBy("session", "salt").applyInPandasWithState(
+    return bucketed(keyed, buckets).groupBy("bucket").applyInPandasWithState(
         run, FEATURES_IN_ORDER, STATE_IN_ORDER, "append", GroupStateTimeout.EventTimeTimeout
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from matchpulse import schemas
 from matchpulse.operators.events import parse_events, slim_timeline
 from matchpulse.operators.rounds import build_features
-from matchpulse.streaming.state import IDLE_MS, advance
+from matchpulse.streaming.state import IDLE_MS, advance, advance_bucket
 from tests.messages import event, log, player
 
 
@@ -196,3 +196,26 @@ def test_idle_session_is_forgotten(spark):
     assert state.timeout == IDLE_MS and state.value[0] == 3
     state.hasTimedOut = True
     assert list(advance(("s1",), iter([pd.DataFrame()]), state)) == [] and state.removed
+
+
+def test_a_bucket_plays_its_sessions_and_forgets_the_idle_ones(spark):
+    """All cases in one bucket, row by row of the log in turn: one call a step, a state a bucket."""
+    logs = [log(spark, bodies, key=name) for name, (bodies, _) in CASES.items()]
+    rows = slim_timeline(parse_events(reduce(DataFrame.union, logs))).toPandas().assign(salt=0)
+    state, got, now = FakeState(), {name: [] for name in CASES}, [0]
+    state.getCurrentProcessingTimeMs = lambda: now[0]
+    for _, step in rows.groupby("second"):
+        for pdf in advance_bucket(iter([step]), state):
+            for r in pdf.itertuples():
+                got[r.session_key].append(tuple(getattr(r, c) for c in schemas.PREV3))
+    assert got == {name: want for name, (_, want) in CASES.items()}
+    assert state.timeout == IDLE_MS
+    one = next(iter(CASES))
+    now[0] = 1000
+    list(advance_bucket(iter([rows[rows["session"] == one].head(1)]), state))
+    assert state.timeout == IDLE_MS - 1000  # the others are idle first
+    now[0], state.hasTimedOut = IDLE_MS + 1, True
+    assert list(advance_bucket(iter([pd.DataFrame()]), state)) == [] and one in state.value[0] and state.timeout == 999
+    assert not any(name in state.value[0] for name in CASES if name != one)
+    now[0] = IDLE_MS + 1001
+    assert list(advance_bucket(iter([pd.DataFrame()]), state)) == [] and state.removed

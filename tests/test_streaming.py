@@ -319,3 +319,23 @@ def test_one_stream_takes_files_of_bounded_rows_in_order(spark, sf_dir, tmp_path
     assert sum(b[3] for b in batches) == rows - 1  # the row without time is there
     assert all(a[2] <= b[1] for a, b in zip(batches, batches[1:]))
     assert compare(spark, sf_dir, "live_features") is None
+
+
+def test_python_is_called_once_a_bucket(spark, sf_dir, tmp_path):
+    """However many sessions a log has, the state has as many keys as buckets; results are those of the batch form."""
+    raw = derived.telemetry(spark, sf_dir, True)
+    assert raw.select("key").distinct().count() > 3
+    write_chunks(raw, f"{tmp_path}/in", 3)
+    closing(spark, raw, f"{tmp_path}/in")
+    want = rows_of(rounds.tick_features(rounds.timeline(parse_events(raw))))
+    files = lambda: kafka.read_files(spark, f"{tmp_path}/in", files_per_trigger=1)
+    for name, stream, ticks in (
+        ("plain", live_features(files(), ["arena"], 5, buckets=3), lambda df: df),
+        ("ordered", live_features_in_order(files(), 60, hot=["arena"], salts=5, idle_ms=None, buckets=3), on_time),
+    ):
+        out, keys = f"{tmp_path}/{name}", []
+        query = kafka.writer(stream, name, mode="parquet", path=out, available_now=True, checkpoint_root=f"{tmp_path}/checkpoints").start()
+        assert query.awaitTermination(300)
+        keys = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert keys and max(keys) <= 3
+        assert rows_of(ticks(spark.read.schema(stream.schema).parquet(out))) == want
