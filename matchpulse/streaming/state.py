@@ -44,24 +44,22 @@ FEATURES_WITH_POSITION = (
 
 
 def _sums(living: list, history: dict) -> list[tuple[int, ...]]:
-    """The four last-three-rounds sums of ticks (living of each side) that see the same history; equal sides are summed once."""
+    """The four last-three-rounds sums of ticks (living of each side) that see the same history."""
     totals: dict[str, tuple[int, int]] = {}
-    sums: dict[str, tuple[int, int]] = {}
 
     def total(player: str) -> tuple[int, int]:
         if player not in totals:
             totals[player] = tuple(map(sum, zip(*history.get(player, ())))) or (0, 0)
         return totals[player]
 
-    def summed(side: list | str | None) -> tuple[int, int]:
-        if not isinstance(side, str):
+    out = []
+    for sides in living:
+        found = []
+        for side in sides:
             known = [total(p) for p in (() if side is None else side)]
-            return sum(x[0] for x in known), sum(x[1] for x in known)
-        if side not in sums:
-            sums[side] = summed(json.loads(side))
-        return sums[side]
-
-    return [(*summed(ct), *summed(t)) for ct, t in living]
+            found += [sum(x[0] for x in known), sum(x[1] for x in known)]
+        out.append(tuple(found))
+    return out
 
 
 def _told(players: list | str) -> list:
@@ -171,14 +169,13 @@ def hot_sessions(raw: DataFrame, share: float = HOT_SHARE) -> list[str]:
 def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
     """The rows with their ``salt``: 0, but for hot sessions ticks by position and control rows once per salt.
 
-    Players become text, as nested values are dear to hand to Python: few control rows are looked into, and the living of ticks repeat.
+    The players of control rows become text, as nested values are dear to hand to Python and few rows are looked into.
     """
     by_place = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     is_hot = F.col("session").isin(*hot) if hot else F.lit(False)
     keys = F.when(~is_hot, F.array(F.lit(0))).when(F.col("kind") == "tick", F.array(by_place)).otherwise(every)
-    texts = {name: F.to_json(name) for name in ("players", "alive_ct", "alive_t")}
-    return timeline.withColumns({**texts, "salt": F.explode(keys)})
+    return timeline.withColumns({"players": F.to_json("players"), "salt": F.explode(keys)})
 
 
 # --- many sessions under one key
