@@ -16,11 +16,13 @@ several micro-batches are played in order; rows that come too late for that leav
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,40 +43,68 @@ HOT_SHARE = 1 / 8
 FEATURES_WITH_POSITION = (
     ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.FEATURE_ROW) + ", partition int, offset bigint"
 )
+#: What is looked at of ticks, and of control rows.
+LIVING, MOVES = ("alive_ct", "alive_t"), ("round_phase", "round_num", "players")
 
 
-def _sums(living: list, history: dict) -> list[tuple[int, ...]]:
-    """The four last-three-rounds sums of ticks (living of each side) that see the same history."""
+@lru_cache(maxsize=4096)
+def _players(side: str) -> tuple[str, ...]:
+    return tuple(json.loads(side))
+
+
+def _sums(living: Iterable, history: dict) -> list[tuple[int, ...]]:
+    """The four last-three-rounds sums of ticks (living of each side, as text or lists) that see the same history.
+
+    Few sides differ between two archives: as text they are summed once.
+    """
     totals: dict[str, tuple[int, int]] = {}
+    sums: dict[str, tuple[int, int]] = {}
 
     def total(player: str) -> tuple[int, int]:
         if player not in totals:
             totals[player] = tuple(map(sum, zip(*history.get(player, ())))) or (0, 0)
         return totals[player]
 
+    def summed(players: Iterable[str]) -> tuple[int, int]:
+        known = [total(p) for p in players]
+        return sum(x[0] for x in known), sum(x[1] for x in known)
+
     out = []
     for sides in living:
-        found = []
+        found: tuple[int, ...] = ()
         for side in sides:
-            known = [total(p) for p in (() if side is None else side)]
-            found += [sum(x[0] for x in known), sum(x[1] for x in known)]
-        out.append(tuple(found))
+            if not isinstance(side, str):
+                found += summed(() if side is None else side)
+                continue
+            if side not in sums:
+                sums[side] = summed(_players(side))
+            found += sums[side]
+        out.append(found)
     return out
 
 
-def _told(players: list | str) -> list:
-    """The players of a control row, which :func:`dealt` hands over as JSON text: only rows that move the state are read."""
-    return json.loads(players) if isinstance(players, str) else players
+def _told(players: list | str) -> Iterable[tuple[str, int, int]]:
+    """Player, kills and damage of a control row, which :func:`dealt` hands over as JSON text: only rows that move the state are read."""
+    if isinstance(players, str):
+        held = json.loads(players)
+        return zip(held["player"], held["kills"], held["damage"])
+    return ((p["player"], int(p["kills"]), int(p["damage"])) for p in players)
 
 
 class _Columns:
     """Rows in order as plain lists, so that many sessions are played from one table: ticks and control rows by place."""
 
-    def __init__(self, rows: pd.DataFrame) -> None:
-        is_tick = (rows["kind"] == "tick").to_numpy()
+    def __init__(self, is_tick: np.ndarray, living: Iterable[tuple], moves: Iterable[tuple]) -> None:
+        """``living``: both sides of each tick; ``moves``: phase, round and players of each control row."""
         self.is_tick, self.ticks, self.control = is_tick, is_tick.nonzero()[0], (~is_tick).nonzero()[0]
-        self.living = list(zip(*(rows[side].to_numpy()[is_tick] for side in ("alive_ct", "alive_t"))))
-        self.moves = list(zip(self.control.tolist(), *(rows[c].to_numpy()[~is_tick].tolist() for c in ("round_phase", "round_num", "players"))))
+        self.living = list(living)
+        self.moves = [(at, *move) for at, move in zip(self.control.tolist(), moves)]
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> _Columns:
+        is_tick = (rows["kind"] == "tick").to_numpy()
+        living = zip(*(rows[side].to_numpy()[is_tick] for side in LIVING))
+        return cls(is_tick, living, zip(*(rows[c].to_numpy()[~is_tick].tolist() for c in MOVES)))
 
     def play(
         self, begin: int, end: int, current: int, archived: bool, start: dict, history: dict, reset_on_new_match: bool = False, archive_rule: str = "equal"
@@ -96,14 +126,13 @@ class _Columns:
                 start.clear()
                 history.clear()
             if phase == "freezetime" and number > current:
-                start.update((p["player"], int(p["kills"])) for p in _told(players))
+                start.update((player, kills) for player, kills, _ in _told(players))
                 current, archived = int(number), False
             elif phase == "over" and not archived and number - current in ends:
                 told(self.ticks.searchsorted(at))
-                for p in _told(players):
-                    kills = int(p["kills"])
-                    entry = (max(0, kills - start.get(p["player"], kills)), int(p["damage"]))
-                    history[p["player"]] = [*history.get(p["player"], ()), entry][-HISTORY_ROUNDS:]
+                for player, kills, damage in _told(players):
+                    entry = (max(0, kills - start.get(player, kills)), damage)
+                    history[player] = [*history.get(player, ()), entry][-HISTORY_ROUNDS:]
                 archived = True
         told(last)
         return found, (current, archived)
@@ -115,7 +144,7 @@ def play(rows: pd.DataFrame, current: int, archived: bool, start: dict, history:
     ``start`` and ``history`` (player -> kills, last rounds) are changed in place. Control rows are visited one by one; the
     ticks between two archives are summed together. The rules are those of the batch form.
     """
-    columns = _Columns(rows)
+    columns = _Columns.of(rows)
     found, after = columns.play(0, len(rows), current, archived, start, history, **rules)
     return pd.DataFrame(found, columns=schemas.PREV3, index=rows.index[columns.is_tick]), after
 
@@ -169,13 +198,16 @@ def hot_sessions(raw: DataFrame, share: float = HOT_SHARE) -> list[str]:
 def dealt(timeline: DataFrame, hot: list[str], salts: int = SALTS) -> DataFrame:
     """The rows with their ``salt``: 0, but for hot sessions ticks by position and control rows once per salt.
 
-    The players of control rows become text, as nested values are dear to hand to Python and few rows are looked into.
+    Players become text, as nested values are dear to hand to Python: few control rows are looked into, and the living of ticks repeat.
     """
     by_place = F.pmod(F.xxhash64("partition", "offset"), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     is_hot = F.col("session").isin(*hot) if hot else F.lit(False)
     keys = F.when(~is_hot, F.array(F.lit(0))).when(F.col("kind") == "tick", F.array(by_place)).otherwise(every)
-    return timeline.withColumns({"players": F.to_json("players"), "salt": F.explode(keys)})
+    told = F.to_json(F.struct(*[F.col(f"players.{c}").alias(c) for c in ("player", "kills", "damage")]))
+    texts = {"players": F.when(F.col("players").isNotNull(), told), **{side: F.to_json(side) for side in LIVING}}
+    # made before the rows multiply
+    return timeline.withColumns(texts).withColumn("salt", F.explode(keys))
 
 
 # --- many sessions under one key
@@ -220,7 +252,7 @@ def advance_bucket(batches: Iterator[pd.DataFrame], state: GroupState, idle_ms:
     met = {name for name, _, _ in spans}
     sessions = {name: held for name, held in sessions.items() if name in met or held[4] >= now}
     if spans:
-        columns, found = _Columns(rows), []
+        columns, found = _Columns.of(rows), []
         for name, begin, end in spans:
             current, archived, start, history = sessions.get(name, (0, False, {}, {}))[:4]
             sums, after = columns.play(begin, end, current, archived, start, history, **rules)
@@ -265,13 +297,16 @@ def live_features(
 
 STATE_IN_ORDER = STATE_OF_BUCKET + ", waiting binary"
 FEATURES_IN_ORDER = FEATURES_WITH_POSITION + ", kind string, late boolean"
+#: What stands for a number that is missing: it comes last, and no watermark passes it.
+NEVER = 2**63 - 1
 
 
-def packed(rows: pd.DataFrame, kept: pa.Schema) -> bytes:
+def packed(rows: pd.DataFrame | pa.Table, kept: pa.Schema, compression: str | None = None) -> bytes:
     """Rows as one value of a state."""
+    table = rows if isinstance(rows, pa.Table) else pa.Table.from_pandas(rows, kept, preserve_index=False)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, kept) as out:
-        out.write_table(pa.Table.from_pandas(rows, kept, preserve_index=False))
+    with pa.ipc.new_stream(sink, kept, options=pa.ipc.IpcWriteOptions(compression=compression)) as out:
+        out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -279,11 +314,35 @@ def unpacked(packed: bytes | None) -> pd.DataFrame | None:
     return pa.ipc.open_stream(packed).read_pandas() if packed else None
 
 
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows[name].cast("int64").fill_null(NEVER).to_numpy()
+
+
+def spans_of(rows: pa.Table) -> tuple[np.ndarray, list[tuple[tuple[str, int], int, int]]]:
+    """As :func:`by_session` for an Arrow table, whose rows stay where they are: their order, and where each (session, salt) begins and ends in it."""
+    if not rows.num_rows:
+        return np.zeros(0, "int64"), []
+    session, salt = rows["session"].combine_chunks().dictionary_encode(), _numbers(rows, "salt")
+    width = int(salt.max()) + 1
+    number = session.indices.to_numpy().astype("int64") * width + salt
+    order = np.lexsort((*(_numbers(rows, c) for c in reversed(schemas.ORDER)), number))
+    number = number[order]
+    edges = [0, *((number[1:] != number[:-1]).nonzero()[0] + 1).tolist(), len(number)]
+    sessions = session.dictionary.to_pylist()
+    names = [(sessions[i // width], i % width) for i in number[edges[:-1]].tolist()]
+    return order, list(zip(names, edges, edges[1:]))
+
+
+def _values(rows: pa.Table, name: str, at: np.ndarray) -> np.ndarray:
+    return rows[name].take(pa.array(at)).to_numpy()
+
+
 def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Callable:
     """The keyed function that plays rows of a bucket's sessions once the watermark plus ``grace_ms`` has passed their second.
 
     Held per (session, salt): its round state, the second up to which it has been played and its latest second; the waiting rows of
     all sessions lie together. A session is called when it has new rows, when waiting rows of it have become complete or when it has been idle.
+    Each row passes here twice, so rows stay in columns of Arrow and only what is played of them becomes Python's.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -291,23 +350,31 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
         edge = (watermark + grace_ms) // 1000  # seconds before it are complete
         text, waiting = state.get if state.exists else (None, None)
         sessions = _read(text)
-        parts = [x.assign(new=new) for new, x in ((False, unpacked(waiting)), *((True, b) for b in batches)) if x is not None and len(x)]
-        rows, spans = by_session(pd.concat(parts or [kept.empty_table().to_pandas().assign(new=True)], ignore_index=True))
-        passed = np.zeros(len(rows), "int64")
+        held = pa.ipc.open_stream(waiting).read_all() if waiting else kept.empty_table()
+        new = [pa.Table.from_pandas(b, kept, preserve_index=False, nthreads=1) for b in batches if len(b)]
+        rows = pa.concat_tables([held, *new]).combine_chunks()
+        order, spans = spans_of(rows)
+        is_new, second = order >= held.num_rows, _numbers(rows, "second")[order]
+        passed = np.zeros(len(order), "int64")
         for name, begin, end in spans:
             passed[begin:end] = sessions[name][4] if name in sessions else 0
-        late = (rows["second"] < passed).to_numpy()
+        late = second < passed
         if late.any():
-            left = rows.loc[late, ["session_key", "round_num", "second", "partition", "offset", "kind"]].rename(columns={"second": "event_timestamp"})
-            yield left.assign(**dict.fromkeys(schemas.FEATURES), late=True)
-        due = (rows["second"] < edge).to_numpy() & ~late
+            left = rows.select(["session_key", "round_num", "second", "partition", "offset", "kind"]).take(pa.array(order[late])).to_pandas()
+            yield left.rename(columns={"second": "event_timestamp"}).assign(**dict.fromkeys(schemas.FEATURES), late=True)
+        due = (second < edge) & ~late
         rest = ~due & ~late
-        is_new, second = rows["new"].to_numpy(), rows["second"].to_numpy()
-        ready = rows[due].reset_index(drop=True)
-        columns, found, done = _Columns(ready), [], 0
+        ready = order[due]
+        is_tick = pc.equal(rows["kind"], "tick").to_numpy()[ready]
+        ticks, control = ready[is_tick], ready[~is_tick]
+        living, moves = ([_values(rows, c, at).tolist() for c in names] for names, at in ((LIVING, ticks), (MOVES, control)))
+        columns, found, done = _Columns(is_tick, zip(*living), zip(*moves)), [], 0
         idle = lambda latest: idle_ms is not None and latest is not None and watermark >= latest * 1000 + idle_ms
+        waits = set()
         for name, begin, end in spans:
             n = int(due[begin:end].sum())
+            if rest[begin:end].any():
+                waits.add(name)
             if not n and not is_new[begin:end].any():
                 continue
             current, archived, start, history, before, latest = sessions.get(name, (0, False, {}, {}, 0, None))
@@ -319,14 +386,14 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
                 sums, (current, archived) = columns.play(done, done + n, current, archived, start, history)
                 found += sums
                 done, latest = done + n, int(played[-1])
-            elif not rest[begin:end].any() and idle(latest):
+            elif name not in waits and idle(latest):
                 sessions.pop(name, None)
                 continue
             sessions[name] = [current, archived, start, history, max(before, edge), latest]
-        if len(columns.ticks):
-            sums = pd.DataFrame(found, columns=schemas.PREV3, index=ready.index[columns.is_tick])
-            yield tick_features(ready, sums).assign(kind="tick", late=False)
-        waits = {name for name, begin, end in spans if rest[begin:end].any()}
+        if len(ticks):
+            out = rows.select(["session_key", "round_num", "second", *schemas.STATELESS, "partition", "offset", "kind"]).take(pa.array(ticks)).to_pandas()
+            sums = dict(zip(schemas.PREV3, np.array(found, "int64").T))
+            yield out.rename(columns={"second": "event_timestamp"}).assign(**sums, late=False)
         met = {name for name, _, _ in spans}
         for name in [name for name, held in sessions.items() if name not in met and idle(held[5])]:
             del sessions[name]
@@ -334,10 +401,10 @@ def advance_in_order(kept: pa.Schema, grace_ms: int, idle_ms: int | None) -> Cal
             if state.exists:
                 state.remove()
             return
-        state.update((_written(sessions), packed(rows.loc[rest, kept.names], kept) if waits else None))
+        state.update((_written(sessions), packed(rows.take(pa.array(order[rest])), kept, "lz4") if waits else None))
         moments = [latest * 1000 + idle_ms for name, (*_, latest) in sessions.items() if name not in waits and idle_ms is not None and latest is not None]
-        if rest.any() and pd.notna(earliest := rows.loc[rest, "second"].min()):
-            moments.append((int(earliest) + 1) * 1000 - grace_ms - 1)
+        if rest.any() and (earliest := int(second[rest].min())) != NEVER:
+            moments.append((earliest + 1) * 1000 - grace_ms - 1)
         if moments:
             state.setTimeoutTimestamp(max(watermark + 1, min(moments)))
 
@@ -361,7 +428,7 @@ def live_features_in_order(
     """
     lines = slim_timeline(parse_events(raw.withWatermark("timestamp", f"{delay_s + grace_s} seconds")), keep=("event_timestamp",))
     keyed = dealt(lines, hot or [], salts)
-    kept = to_arrow_schema(keyed.schema)
+    kept = to_arrow_schema(keyed.drop("event_timestamp").schema)
     run = advance_in_order(kept, grace_s * 1000, idle_ms)
     return bucketed(keyed, buckets).groupBy("bucket").applyInPandasWithState(
         run, FEATURES_IN_ORDER, STATE_IN_ORDER, "append", GroupStateTimeout.EventTimeTimeout

@@ -86,6 +86,20 @@ def test_players_reach_the_state_as_text(spark):
     assert history == {"a": [(3, 40)]} and after == (1, True) and sums.iloc[0].tolist() == [3, 40, 0, 0]
 
 
+def test_the_living_reach_the_state_as_text_made_once(spark):
+    """Control rows of a hot session go to all salts, but their text is made before that; odd names come back whole."""
+    names = ['a"b', "c,d", "e\\u001ff", "[]"]
+    raw = log(spark, [event("over", 1, {n: player(kills=1) for n in names}), event("live", 1, {n: player("T" if n == "[]" else "CT") for n in names})])
+    lines = state.dealt(slim_timeline(parse_events(raw)), ["s1"], 7)
+    assert {t for n, t in lines.dtypes if n in ("alive_ct", "alive_t", "players")} == {"string"}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(CASE") < plan.index("AS alive_ct") < plan.index("explode(array(from_json")  # deeper is earlier
+    rows = {r["kind"]: r for r in lines.collect()}
+    assert json.loads(rows["tick"]["alive_ct"]) == names[:3] and json.loads(rows["tick"]["alive_t"]) == ["[]"]
+    assert list(state._told(rows["control"]["players"])) == [(n, 1, 0) for n in names]
+    assert rows["control"]["alive_ct"] is None and rows["tick"]["players"] is None
+
+
 def test_messages_are_made_after_the_last_shuffle(spark, events_dir, tmp_path, monkeypatch):
     """Only the rows of events are written and dealt to files; the messages, a hundred times larger, are written once."""
     tables = []

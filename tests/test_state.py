@@ -3,13 +3,15 @@
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from matchpulse import schemas
 from matchpulse.operators.events import parse_events, slim_timeline
 from matchpulse.operators.rounds import build_features
-from matchpulse.streaming.state import IDLE_MS, advance, advance_bucket
+from matchpulse.streaming.state import IDLE_MS, advance, advance_bucket, advance_in_order, by_session, dealt, in_order, play, spans_of
 from tests.messages import event, log, player
 
 
@@ -219,3 +221,90 @@ def test_a_bucket_plays_its_sessions_and_forgets_the_idle_ones(spark):
     assert not any(name in state.value[0] for name in CASES if name != one)
     now[0] = IDLE_MS + 1001
     assert list(advance_bucket(iter([pd.DataFrame()]), state)) == [] and state.removed
+
+
+class EventState(FakeState):
+    """A state with a watermark."""
+
+    def __init__(self):
+        super().__init__()
+        self.watermark = 0
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+
+def _dealt_rows(raw):
+    lines = dealt(slim_timeline(parse_events(raw), keep=("event_timestamp",)), [])
+    return lines.toPandas(), to_arrow_schema(lines.drop("event_timestamp").schema)
+
+
+def test_a_bucket_in_order_waits_plays_and_forgets(spark):
+    """All cases in one bucket, backwards and in three micro-batches; a row without time waits on, one that comes after its second leaves late."""
+    logs = [log(spark, bodies, key=name) for name, (bodies, _) in CASES.items()]
+    rows, kept = _dealt_rows(reduce(DataFrame.union, logs))
+    run, state, last = advance_in_order(kept, 0, IDLE_MS), EventState(), int(rows["second"].max())
+    timeless = rows.head(1).assign(second=None, session="timeless", session_key="timeless")
+    back = rows.iloc[::-1]
+    for part in (back.iloc[::3], pd.concat([back.iloc[1::3], timeless]), back.iloc[2::3]):
+        assert list(run((0,), iter([part.head(5), part.iloc[5:]]), state)) == []
+    assert pa.ipc.open_stream(state.value[1]).read_all().num_rows == len(rows) + 1
+    assert state.timeout == (int(rows["second"].min()) + 1) * 1000 - 1
+    state.watermark = (last + 1) * 1000
+    (out,) = run((0,), iter([]), state)
+    for name, (_, want) in CASES.items():
+        own = out[out["session_key"] == name].sort_values("event_timestamp")
+        assert list(own[schemas.PREV3].itertuples(index=False, name=None)) == want
+    assert len(out) == (rows["kind"] == "tick").sum() and not out["late"].any() and set(out["kind"]) == {"tick"}
+    tick = rows[rows["kind"] == "tick"].head(1)
+    (left,) = run((0,), iter([tick]), state)
+    assert left["late"].all() and left["offset"].tolist() == tick["offset"].tolist() and left["event_timestamp"].tolist() == tick["second"].tolist()
+    state.watermark = (last + 1) * 1000 + IDLE_MS
+    assert list(run((0,), iter([]), state)) == []
+    assert pa.ipc.open_stream(state.value[1]).read_all()["session"].to_pylist() == ["timeless"]
+    assert "timeless" in state.value[0] and not any(name in state.value[0] for name in CASES)
+
+
+def test_an_idle_bucket_in_order_is_removed(spark):
+    rows, kept = _dealt_rows(log(spark, [freeze(1), live(1)]))
+    run, state = advance_in_order(kept, 0, IDLE_MS), EventState()
+    assert list(run((0,), iter([rows]), state)) == []
+    state.watermark = (int(rows["second"].max()) + 1) * 1000
+    assert [len(out) for out in run((0,), iter([]), state)] == [1] and state.value[1] is None
+    assert state.timeout == int(rows["second"].max()) * 1000 + IDLE_MS
+    state.watermark = state.timeout
+    assert list(run((0,), iter([]), state)) == [] and state.removed
+
+
+def test_waiting_rows_are_held_as_compressed_columns(spark):
+    """A waiting row passes Python and the state store twice: its players are text, and many rows take few bytes each."""
+    ten = {f"player{i}": player("CT" if i < 5 else "T", 100, i, 10 * i) for i in range(10)}
+    bodies = [freeze(1, ten), *[live(1, ten)] * 700, over(1, ten), *[over(1, ten)] * 600, *[live(1, ten)] * 700]
+    rows, kept = _dealt_rows(log(spark, bodies))
+    run, state = advance_in_order(kept, 0, None), EventState()
+    assert list(run((0,), iter([rows]), state)) == []
+    held = pa.ipc.open_stream(state.value[1]).read_all()
+    assert held.num_rows == 2002 and {str(held.schema.field(c).type) for c in ("alive_ct", "alive_t", "players")} == {"string"}
+    assert len(state.value[1]) < 60 * held.num_rows
+    state.watermark = 2**41
+    (out,) = run((0,), iter([]), state)
+    sums, _ = play(in_order(rows), 0, False, {}, {})
+    assert out.sort_values("offset")[schemas.PREV3].to_numpy().tolist() == sums.to_numpy().tolist()
+    assert sums.iloc[-1].tolist() == [0, 100, 0, 350] and sums.iloc[0].tolist() == [0, 0, 0, 0]
+
+
+def test_spans_of_columns_are_those_of_rows():
+    """Ties go by partition and offset, a missing second comes last, whatever order rows are in."""
+    rows = pd.DataFrame(
+        [(s, salt, second, p, o) for s in ("b", "", "a") for salt in (0, 2) for second, p, o in ((5, 1, 1), (5, 0, 9), (None, 0, 0), (4, 1, 7))],
+        columns=["session", "salt", "second", "partition", "offset"],
+    ).sample(frac=1, random_state=7)
+    want, spans = by_session(rows)
+    order, found = spans_of(pa.Table.from_pandas(rows, preserve_index=False).set_column(2, "second", pa.array(rows["second"], "int64", from_pandas=True)))
+    rows = rows.reset_index(drop=True)
+    groups = lambda table, spans: {name: table.iloc[a:b].fillna(-1).to_numpy().tolist() for name, a, b in spans}
+    assert groups(rows.iloc[order], found) == groups(want, spans) and len(found) == 6
+    assert [r[2] for r in groups(rows.iloc[order], found)[("", 2)]] == [4, 5, 5, -1]
